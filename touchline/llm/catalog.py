@@ -8,6 +8,8 @@ _HERE = __name__.rsplit(".", 1)[0]
 
 #: query name: module, function, and the module's SQL where there is one
 QUERIES = {
+    "op5_sstable": ("sstable", "op5_sstable", None),
+    "op6_urls": ("urls", "op6_urls", "SQL"),
     "op9_mixing": ("mixing", "op9_mixing", "SQL"),
     "op10_bpe": ("bpe", "op10_bpe", None),
 }
