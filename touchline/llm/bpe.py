@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import pieces
+
 #: Chunks whose encodings a worker keeps; a full table gives way to a new one, but keeps what is in use.
 KEPT = 250_000
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
@@ -215,19 +217,6 @@ class Encoder:
         return out
 
 
-def slices(texts: list[str], most: int = 8_000_000):
-    """The list in runs of no more than most characters, or of one longer text."""
-    run, size = [], 0
-    for text in texts:
-        if run and size + len(text) > most:
-            yield run
-            run, size = [], 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield run
-
-
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -251,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         enc = encoder(path, pattern)
         for b in found:
             n, sha, back, lists = [], [], [], []
-            for joined, data in (x for run in slices([text or "" for text in b.column(1).to_pylist()]) for x in enc.texts(run)):
+            for joined, data in (x for run in pieces([text or "" for text in b.column(1).to_pylist()]) for x in enc.texts(run)):
                 n.append(joined.count(" ") + 1 if joined else 0)
                 sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256(data).hexdigest())

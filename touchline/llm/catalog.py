@@ -8,6 +8,7 @@ _HERE = __name__.rsplit(".", 1)[0]
 
 #: query name: module, function, and the module's SQL where there is one
 QUERIES = {
+    "op3_langid": ("langid", "op3_langid", None),
     "op1_secrets": ("secrets", "op1_secrets", "SQL"),
     "op5_sstable": ("sstable", "op5_sstable", None),
     "op6_urls": ("urls", "op6_urls", "SQL"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters that are not ASCII white space.
@@ -87,3 +87,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return cur.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component_id")).unionByName(
         cur.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
     )
+
+
+def bounded_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
+    """Ids and classes of at most per_class rows of each class, those with the smallest md5 of their ids."""
+    first = Window.partitionBy(class_col).orderBy(F.md5(F.col(id_col).cast("string")), F.col(id_col))
+    return (
+        rows.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
+        .select(id_col, class_col)
+        .distinct()
+        .withColumn("_rn", F.row_number().over(first))
+        .where(F.col("_rn") <= per_class)
+        .drop("_rn")
+    )
+
+
+def held_out(id_col: str, folds: int = 5) -> Column:
+    """Whether the crc32 of the id as text is divisible by folds; a null id is held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
+
+
+def pieces(texts: list[str], most: int = 8_000_000):
+    """The list in runs of no more than most characters, or of one longer text."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > most:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run

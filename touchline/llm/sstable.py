@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import pieces, shared_dir, written
 
 MAGIC = b"TLSST1"
 _FOOTER = struct.Struct("<QQQQQQI6s")
@@ -270,8 +270,6 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
     spread over shards. Null and empty texts hold end_id only. An empty table gives
     an empty manifest. Manifest: shard int, path, docs, tokens, first_id, last_id.
     """
-    from .bpe import slices
-
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/sst-{uuid.uuid4().hex}"
 
@@ -283,7 +281,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
         end = np.array([end_id], f"<u{w.id_bytes}").tobytes()
         for b in found:
             ids, at = b.column(0).to_pylist(), 0
-            for run in slices([t or "" for t in b.column(1).to_pylist()]):
+            for run in pieces([t or "" for t in b.column(1).to_pylist()]):
                 for value in w.texts(run):
                     if out is None:
                         system.create_dir(root, recursive=True)
