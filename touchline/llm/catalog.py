@@ -8,6 +8,7 @@ _HERE = __name__.rsplit(".", 1)[0]
 
 #: query name: module, function, and the module's SQL where there is one
 QUERIES = {
+    "op7_jaccard": ("jaccard", "op7_jaccard", None),
     "op4_toxicity": ("toxicity", "op4_toxicity", None),
     "op3_langid": ("langid", "op3_langid", None),
     "op1_secrets": ("secrets", "op1_secrets", "SQL"),

@@ -118,3 +118,57 @@ def pieces(texts: list[str], most: int = 8_000_000):
         size += len(text)
     if run:
         yield run
+
+
+def groups(batches, keys: int):
+    """Tables of the rows that agree in the first keys columns (whole numbers), from batches sorted by these columns."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            key = tuple(k[:, start].tolist())
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(start, stop - start))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+class Sets:
+    """Disjoint sets of 0 to n-1; merge() returns whether it joined two."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def merge(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def spread_join(rows: DataFrame, classes: DataFrame, keys: list[str], n_col: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to classes (unique by keys, n_col rows each): classes with a thousandth of all rows or more,
+    of which there are no more than a thousand, are broadcast; the others are joined by shuffling."""
+    large = F.col(n_col) >= max(1, total // 1000)
+    hot = F.broadcast(classes.where(large).withColumn("_hot", F.lit(True)))
+    rest = classes.where(~large).drop(n_col)
+    marked = rows.join(hot.select(*keys, "_hot"), keys, "left")
+    out = [c for c in rows.columns if c not in keys] + [c for c in rest.columns if c not in keys]
+    return (
+        marked.where("_hot").drop("_hot").join(hot.drop("_hot", n_col), keys).select(*keys, *out)
+        .unionByName(marked.where("_hot is null").drop("_hot").join(rest, keys, how).select(*keys, *out))
+    )
