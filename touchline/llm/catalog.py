@@ -8,6 +8,7 @@ _HERE = __name__.rsplit(".", 1)[0]
 
 #: query name: module, function, and the module's SQL where there is one
 QUERIES = {
+    "op8_forest": ("forest", "op8_forest", None),
     "op2_vectors": ("vectors", "op2_vectors", None),
     "op7_jaccard": ("jaccard", "op7_jaccard", None),
     "op4_toxicity": ("toxicity", "op4_toxicity", None),
