@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm import bpe, jaccard, langid, mixing, secrets
@@ -29,9 +29,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links connect: the one with the smallest id. Rows of that id alike in all columns are one."""
+    """Keeps one document of each group that links connect: the one with the smallest id; of rows that share it,
+    the first by their texts' hashes. Rows without an id stay."""
     kept = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source")
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
+    return rows.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
