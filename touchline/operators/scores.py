@@ -73,7 +73,7 @@ def rescale(matrix: DataFrame, targets: DataFrame) -> DataFrame:
 
 def first_half(expected: DataFrame) -> DataFrame:
     """From rows (id, home, away, home_share, away_share): first-half goals, or nothing known if a share is missing."""
-    t = F.col("home") * F.col("home_share") + F.col("away") * F.col("away_share")
+    t = F.round(F.col("home") * F.col("home_share") + F.col("away") * F.col("away_share"), 9)
     safe = F.greatest(t, F.lit(1e-6))
     return expected.select("id", F.round(t, 3).alias("expected"), F.round(1 - poisson_upto(0, safe), 6).alias("over_0_5"), F.round(1 - poisson_upto(1, safe), 6).alias("over_1_5"), t.isNotNull().alias("sufficient_data"))
 
@@ -138,7 +138,7 @@ def player_projection(rows: DataFrame, availability: DataFrame, as_of, blend: fl
     out = F.coalesce(F.col("status").isin("injured", "suspended", "unavailable"), F.lit(False))
     rate = lambda n, x: F.coalesce(blend * F.col(x) + (1 - blend) * F.col(n), F.col(n)) * 90.0 / F.col("minutes")
     share = F.col("em") * doubt / 90.0
-    t = t.where("minutes > 0 or minutes is null").withColumn("eg", F.when(out, 0.0).otherwise(rate("goals", "xg") * share)).withColumn("ea", F.when(out, 0.0).otherwise(rate("assists", "xa") * share))
+    t = t.where("minutes > 0 or minutes is null").withColumn("eg", F.when(out, 0.0).otherwise(F.round(rate("goals", "xg") * share, 9))).withColumn("ea", F.when(out, 0.0).otherwise(F.round(rate("assists", "xa") * share, 9)))
     at_least = lambda x: 1 - F.exp(-F.greatest(x, F.lit(1e-6)))
     eg, ea = F.col("eg"), F.col("ea")
     enough = out | (F.col("minutes") >= least_minutes)

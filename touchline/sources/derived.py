@@ -74,7 +74,7 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     #: Status of each event type.
     codes = {"signup": "available", "view": "unknown", "click": "doubtful", "error": "injured", "purchase": "suspended"}
     status = F.element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), F.col("event_type"))
