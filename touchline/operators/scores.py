@@ -75,7 +75,7 @@ def first_half(expected: DataFrame) -> DataFrame:
     """From rows (id, home, away, home_share, away_share): first-half goals, or nothing known if a share is missing."""
     t = F.round(F.col("home") * F.col("home_share") + F.col("away") * F.col("away_share"), 9)
     safe = F.greatest(t, F.lit(1e-6))
-    return expected.select("id", F.round(t, 3).alias("expected"), F.round(1 - poisson_upto(0, safe), 6).alias("over_0_5"), F.round(1 - poisson_upto(1, safe), 6).alias("over_1_5"), t.isNotNull().alias("sufficient_data"))
+    return expected.select("id", F.round(t, 6).alias("expected"), F.round(1 - poisson_upto(0, safe), 6).alias("over_0_5"), F.round(1 - poisson_upto(1, safe), 6).alias("over_1_5"), t.isNotNull().alias("sufficient_data"))
 
 
 def count_rates(rows: DataFrame, value: str, as_of, days: float = 365.0, shrinkage: float = 6.0) -> DataFrame:

@@ -231,7 +231,7 @@ def matrix_rescale(spark, d):
 _SHARE = "share as (select team_id, round(sum(ht_goals_for) filter (goals_for > 0) / (sum(goals_for) filter (goals_for > 0 and ht_goals_for is not null))::double, 3) as s from hist80 group by 1)"
 
 
-@query(over("hist", "select id, round(t, 3) as expected, case when t is not null then round(1 - exp(-greatest(t, 1e-6)), 6) end as over_0_5, case when t is not null then round(1 - exp(-greatest(t, 1e-6)) * (1 + greatest(t, 1e-6)), 6) end as over_1_5, t is not null as sufficient_data from (select m.id, round((0.6 + (home_team_id % 10) * 0.15::double) * h.s + (0.5 + (away_team_id % 9) * 0.12::double) * a.s, 9) as t from matches m left join share h on h.team_id = home_team_id left join share a on a.team_id = away_team_id where status = 'scheduled')", _SHARE))
+@query(over("hist", "select id, round(t, 6) as expected, case when t is not null then round(1 - exp(-greatest(t, 1e-6)), 6) end as over_0_5, case when t is not null then round(1 - exp(-greatest(t, 1e-6)) * (1 + greatest(t, 1e-6)), 6) end as over_1_5, t is not null as sufficient_data from (select m.id, round((0.6 + (home_team_id % 10) * 0.15::double) * h.s + (0.5 + (away_team_id % 9) * 0.12::double) * a.s, 9) as t from matches m left join share h on h.team_id = home_team_id left join share a on a.team_id = away_team_id where status = 'scheduled')", _SHARE))
 def first_half_goals(spark, d):
     share = features.form_points(cut(spark, d).history(newest_rows=80)).select("team_id", "first_half_share")
     m = derived.matches(spark, d).where("status = 'scheduled'").join(share.select(F.col("team_id").alias("home_team_id"), F.col("first_half_share").alias("home_share")), "home_team_id", "left").join(share.select(F.col("team_id").alias("away_team_id"), F.col("first_half_share").alias("away_share")), "away_team_id", "left")
