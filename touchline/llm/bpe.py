@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces
+from .common import long_texts, pieces
 
 #: Chunks whose encodings a worker keeps; a full table gives way to a new one, but keeps what is in use.
-KEPT = 250_000
+KEPT = 100_000
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _SAFE_CUT = re.compile(r"(?<=\S) ")
 
@@ -240,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         enc = encoder(path, pattern)
         for b in found:
             n, sha, back, lists = [], [], [], []
-            for joined, data in (x for run in pieces([text or "" for text in b.column(1).to_pylist()]) for x in enc.texts(run)):
+            for joined, data in (x for run in pieces((text.as_py() or "" for text in b.column(1)), 3_000_000) for x in enc.texts(run)):
                 n.append(joined.count(" ") + 1 if joined else 0)
                 sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256(data).hexdigest())
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(
+    return long_texts(docs).select(id_col, text_col).mapInArrow(
         batches, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
     )
 

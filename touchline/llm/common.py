@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def long_texts(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with batches for Python of no more than rows rows from here on: texts are long, workers' memory is not."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives a lost executor, is computed once."""
     spark = df.sparkSession
@@ -107,8 +115,8 @@ def held_out(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def pieces(texts: list[str], most: int = 8_000_000):
-    """The list in runs of no more than most characters, or of one longer text."""
+def pieces(texts, most: int = 6_000_000):
+    """The texts in lists of no more than most characters, or of one longer text."""
     run, size = [], 0
     for text in texts:
         if run and size + len(text) > most:

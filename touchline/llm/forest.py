@@ -90,15 +90,15 @@ def nearest(
     enough x the block's rows, counting a row once for each tree, and at least least rows: on vectors without any
     clusters that is what a recall above 0.9 takes. Vectors that are null, zero, or hold
     null or non-finite components take no part, nor do rows with a null id; vectors
-    of different lengths never meet. Repeated rows are candidates each. Other columns
-    are ignored.
+    of different lengths never meet. Repeated rows are candidates each; an id asks once,
+    by the first of its vectors in order. Other columns are ignored.
     """
     rows = written(clean(vectors, id_col, vector_col).where("ok and _id is not null").select("_id", "v", F.size("v").alias("dim")), "points")
     total, asked = rows.agg(F.count("*"), F.count(F.when(F.col("_id") % every == 0, 1))).first()
     blocks, query_blocks = max(1, -(-total // block)), max(1, -(-asked // query_block))
     own = lambda n: F.pmod(F.xxhash64("_id", F.lit(n)), F.lit(n)).cast("int")
     points = rows.select("dim", own(blocks).alias("blk"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "_id", "v")
-    queries = rows.where(F.col("_id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), own(query_blocks).alias("qb"), "_id", "v")
+    queries = rows.where(F.col("_id") % every == 0).groupBy("_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), own(query_blocks).alias("qb"), "_id", "v")
     schema = "query_id long, other long, score double"
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sets, components, groups, spread_join, table, written
+from .common import Sets, components, groups, long_texts, spread_join, table, written
 from .shingles import mix, shingles
 
 SKETCH, CHUNK = 16, 2048
@@ -88,7 +88,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["_id", "n", "h1", "h2", "band", "sketch", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
+    return long_texts(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
         batches, "_id long, n long, h1 long, h2 long, band int, sketch array<long>, bits binary"
     )
 

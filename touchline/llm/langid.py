@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, pieces, table
+from .common import bounded_sample, held_out, long_texts, pieces, table
 
 #: n-grams of four bytes are hashed to this many buckets.
 BUCKETS = 1 << 17
@@ -58,9 +58,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     what comes to the driver is bounded by languages x BUCKETS counts. Rows with a null
     language or id teach nothing.
     """
-    sample = bounded_sample(docs, id_col, lang_col, per_language).select(F.col(id_col).alias("_id"))
-    picked = docs.join(sample.distinct(), docs[id_col] == F.col("_id"), "left_semi")
-    found = count(picked, lang_col, text_col).toPandas()
+    sample = bounded_sample(docs.select(id_col, lang_col), id_col, lang_col, per_language).select(F.col(id_col).alias("_id"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    found = count(rows.join(F.broadcast(sample.distinct()), "_id", "left_semi")).toPandas()  # per_language ids of each language at most
     languages = sorted(found.lang.unique())
     n = np.zeros((BUCKETS, len(languages)))
     for k, lang in enumerate(languages):
@@ -117,7 +117,7 @@ def predict(docs: DataFrame, languages: list[str], logs: np.ndarray, id_col: str
         table_ = shared.value
         for b in found:
             names, scores, mixtures = [], [], []
-            for run in pieces([t or "" for t in b.column(1).to_pylist()]):
+            for run in pieces(t.as_py() or "" for t in b.column(1)):
                 for text in run:
                     if not languages or not _LETTER.search(text):
                         names.append("und"), scores.append(0.0), mixtures.append("")
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, languages: list[str], logs: np.ndarray, id_col: str
 
     kept = [F.col(c).alias(f"_c_{c}") for c in carry]
     schema = [f"_id {docs.schema[id_col].dataType.simpleString()}", "lang_pred string", "score double", "mixture string", *[f"`_c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]]
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *kept).mapInArrow(batches, ", ".join(schema))
+    rows = long_texts(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *kept).mapInArrow(batches, ", ".join(schema))
     return rows.select(F.col("_id").alias(id_col), "lang_pred", "score", "mixture", *[F.col(f"_c_{c}").alias(c) for c in carry])
 
 

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, written
+from .common import long_texts, pieces, shared_dir, written
 
 MAGIC = b"TLSST1"
 _FOOTER = struct.Struct("<QQQQQQI6s")
@@ -281,7 +281,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
         end = np.array([end_id], f"<u{w.id_bytes}").tobytes()
         for b in found:
             ids, at = b.column(0).to_pylist(), 0
-            for run in pieces([t or "" for t in b.column(1).to_pylist()]):
+            for run in pieces(t.as_py() or "" for t in b.column(1)):
                 for value in w.texts(run):
                     if out is None:
                         system.create_dir(root, recursive=True)
@@ -300,7 +300,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
             schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]),
         )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = long_texts(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text").asc()]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return written(sorted_.mapInArrow(shard, "shard int, path string, docs long, tokens long, first_id long, last_id long"), "manifest")

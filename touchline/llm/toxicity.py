@@ -21,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, pieces, table
+from .common import bounded_sample, held_out, long_texts, pieces, table
 
 ORDER, DECAY = 3, 0.75
+#: The normalised kernel is raised to this power (again a kernel), so that several faint likenesses don't add up to one word.
+POWER = 4
 #: Kernels below this count as nothing.
 FLOOR = 0.35
 #: Words are compared in windows of so many letters, each beginning half a window after the one before.
 WINDOW = 24
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\W_]{1,2}){2,}[^\W\d_](?![^\W_])")
+_SENTENCE = re.compile(r"[.!?\n]+")
 _LETTERS = np.zeros(256, np.uint32)
 for _i in range(26):
     _LETTERS[97 + _i] = _LETTERS[65 + _i] = 1 << _i
@@ -79,7 +82,7 @@ class Landmarks:
 
     def matrix(self) -> np.ndarray:
         k = np.array([[kernel(a, b)[0] for b in self.rows] for a in self.rows])
-        return k / np.outer(self.norms, self.norms)
+        return (k / np.outer(self.norms, self.norms)) ** POWER
 
     def passing(self, masks: np.ndarray) -> np.ndarray:
         """Whether words with these letter sets can reach FLOOR with any landmark."""
@@ -123,36 +126,39 @@ class Landmarks:
         out = np.zeros((len(texts), len(self.words)), np.float32)
         if not texts or not self.words:
             return out
-        found = [self._words(t) for t in texts]
-        self.learn(set().union(*found))
-        for i, words in enumerate(found):
-            for w in words:
-                hit = self.table[w]
-                if hit is not None:
-                    np.maximum.at(out[i], *hit)
-        return out
-
-    def _words(self, text: str) -> set[bytes]:
-        """The distinct words of the whole text that may come near a landmark: lower-case letters, others left out."""
-        data = text.encode("utf-8", "replace").translate(_LOWER, _DROP)
-        b = np.frombuffer(b" " + data + b" ", np.uint8)
+        owners, words = self._words(texts)
+        self.learn(set(words))
+        found = [(i, *hit) for i, hit in zip(owners, map(self.table.__getitem__, words), strict=True) if hit is not None]
+        if found:
+            owner, at, k = zip(*found, strict=True)
+            np.maximum.at(out, (np.repeat(owner, list(map(len, at))), np.concatenate(at)), np.concatenate(k))
+        return out**POWER
+
+    def _words(self, texts: list[str]) -> tuple[list[int], list[bytes]]:
+        """The words that may come near a landmark, with their texts: lower-case letters, others left out, long ones in windows."""
+        data = [t.encode("utf-8", "replace").translate(_LOWER, _DROP) for t in texts]
+        joined = b" " + b" ".join(data) + b" "
+        b = np.frombuffer(joined, np.uint8)
         space = b <= 32
-        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        words = set()
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+        owners, words = [], []
         if len(starts):
-            masks = np.bitwise_or.reduceat(np.where(space, np.uint32(0), _LETTERS[b]), starts)
-            ends = np.flatnonzero(~space[:-1] & space[1:])
-            ok = self.passing(masks) & (ends - starts >= ORDER - 1)
-            joined = b.tobytes()
-            for s, e in zip(starts[ok].tolist(), (ends[ok] + 1).tolist(), strict=True):
-                words.add(joined[s:e])
-        for spelled in _SPELLED.findall(text):
-            words.add(re.sub(rb"[^a-z]", b"", spelled.lower().encode("utf-8", "replace")))
-        long = [w for w in words if len(w) > WINDOW]
-        for w in long:
-            words.discard(w)
-            words.update(w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2))
-        return words
+            letters = _LETTERS[b]
+            letters[space] = 0
+            ok = np.flatnonzero(self.passing(np.bitwise_or.reduceat(letters, starts)) & (ends - starts >= ORDER))
+            begins = np.cumsum([1] + [len(d) + 1 for d in data])
+            owners = (np.searchsorted(begins, starts[ok], side="right") - 1).tolist()
+            words = [joined[s:e] for s, e in zip(starts[ok].tolist(), ends[ok].tolist(), strict=True)]
+        for i, text in enumerate(texts):
+            for spelled in _SPELLED.findall(text):
+                owners.append(i)
+                words.append(re.sub(rb"[^a-z]", b"", spelled.lower().encode("utf-8", "replace")))
+        for i, w in list(zip(owners, words, strict=True)):
+            if len(w) > WINDOW:
+                parts = [w[k : k + WINDOW] for k in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
+                owners += [i] * len(parts)
+                words += parts
+        return owners, [w if len(w) <= WINDOW else b"" for w in words]
 
 
 class Model:
@@ -181,8 +187,9 @@ def _landmark_words(sample: DataFrame, most: int) -> list[bytes]:
     return sorted(r.w.encode() for r in found if r.b >= found[0].b / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, landmarks: int = 24, ridge: float = 1e-3, rounds: int = 400) -> Model:
-    """Fits on at most per_class labelled texts of either class, by the md5 of their ids (a documented bound).
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, landmarks: int = 24, sentences: int = 8, ridge: float = 1e-4, rounds: int = 2000) -> Model:
+    """Fits on at most per_class labelled texts of either class, by the md5 of their ids (a documented bound),
+    and on up to sentences sentences of each toxic one, as far as text and sentences hold a landmark.
 
     An id labelled more than once counts once for each class that it has. Without
     labels of both classes the model scores everything 0.
@@ -195,8 +202,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def kernels(found):
         marks = Landmarks(words)
         for b in found:
-            k = [x for run in pieces([t or "" for t in b.column(1).to_pylist()]) for x in marks.texts(run)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in k], pa.list_(pa.float32()))], names=["toxic", "k"])
+            toxic, rows = [], []
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts = [text or ""] + [s for s in _SENTENCE.split(text or "") if s] * (label == 1)
+                k = marks.texts(parts)
+                # a toxic text teaches by itself and by its sentences, as far as they hold a landmark: the others don't show why it is
+                near = [0] if label == 0 else [i for i in range(len(parts)) if k[i].max(initial=0) >= 0.97][: sentences + 1]
+                toxic += [label] * len(near)
+                rows += k[near].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["toxic", "k"])
 
     got = rows.select("toxic", "text").repartition(8).mapInArrow(kernels, "toxic int, k array<float>").toPandas() if words else None
     if got is None or got.toxic.nunique() < 2:
@@ -237,13 +251,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def batches(found):
         marks = Landmarks(model.words)
         for b in found:
-            k = [marks.texts(run) for run in pieces([t or "" for t in b.column(1).to_pylist()])]
+            k = [marks.texts(run) for run in pieces(t.as_py() or "" for t in b.column(1))]
             k = np.concatenate(k) if k else np.zeros((0, len(model.words)), np.float32)
             s = model.scores(k) if len(model.words) else np.zeros(len(k))
             near = [model.words[int(np.argmax(x))].decode() if len(x) and x.max() > 0 else None for x in k]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(near, pa.string())], names=[id_col, "score", "predicted", "closest"])
 
-    return docs.select(id_col, text_col).mapInArrow(batches, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int, closest string")
+    return long_texts(docs).select(id_col, text_col).mapInArrow(batches, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int, closest string")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
