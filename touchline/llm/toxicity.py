@@ -25,7 +25,7 @@ from .common import bounded_sample, held_out, long_texts, pieces, table
 
 ORDER, DECAY = 3, 0.75
 #: The normalised kernel is raised to this power (again a kernel), so that several faint likenesses don't add up to one word.
-POWER = 4
+POWER = 3
 #: Kernels below this count as nothing.
 FLOOR = 0.35
 #: Words are compared in windows of so many letters, each beginning half a window after the one before.
@@ -216,6 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if got is None or got.toxic.nunique() < 2:
         return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, -40.0)
     k, y = np.array(got.k.to_list(), np.float64), np.where(got.toxic == 1, 1.0, -1.0)
+    spelled = [w[: i + 1] + w[i:] for w in words for i in range(len(w))]  # landmarks with a letter put in: toxic as well
+    k, y = np.concatenate([k, Landmarks(words).texts([w.decode() for w in spelled])]), np.concatenate([y, np.ones(len(spelled))])
     order = np.lexsort((*k.T, y))  # the same sums whatever the order of rows
     k, y = k[order], y[order]
     values, vectors = np.linalg.eigh(Landmarks(words).matrix())
