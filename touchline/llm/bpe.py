@@ -15,9 +15,11 @@ are first cut there and the chunks' results are kept in a bounded table per work
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import long_texts, pieces
 
 #: Chunks whose encodings a worker keeps; a full table gives way to a new one, but keeps what is in use.
-KEPT = 100_000
+KEPT = 250_000
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _SAFE_CUT = re.compile(r"(?<=\S) ")
 
@@ -39,8 +41,13 @@ class Vocabulary:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.longest = max(map(len, self.ranks))
-        #: every ending of a token, with its own rank or -1: what isn't here need not be lengthened
-        self.endings = {t[i:]: -1 for t in self.ranks for i in range(len(t))} | self.ranks
+        self.lengths = [len(self.bytes_of.get(t, b"")) for t in range(max(self.bytes_of) + 1)]
+        self.names = list(map(str, range(len(self.lengths))))
+        #: finds the tokens that end at each place, longest first
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for data, token in self.ranks.items():
+            self.automaton.add_word(data.decode("latin-1"), token)
+        self.automaton.make_automaton()
         self._fits: dict[int, bool] = {}
         self._joins: dict[tuple[int, int], int] = {}
         self._halves: list[tuple[int, int]] = []
@@ -97,6 +104,45 @@ class Vocabulary:
         return known
 
 
+    @functools.cached_property
+    def endings(self) -> dict[bytes, int]:
+        """Every ending of a token, with its own rank or -1: what isn't here need not be lengthened."""
+        return {t[i:]: -1 for t in self.ranks for i in range(len(t))} | self.ranks
+
+    def last_tokens(self, data: bytes) -> list[int]:
+        """The last token of every prefix of a whole byte string, in one pass of the automaton."""
+        last, done = [], 0
+        known, lengths = self._fits.get, self.lengths
+        for at, token in self.automaton.iter(data.decode("latin-1")):
+            if at < done:
+                continue
+            if at > done:
+                break
+            start = at + 1 - lengths[token]
+            if start:
+                left = last[start - 1]
+                if not ((ok := known(left << 32 | token)) or ok is None and self.fits(left, token)):
+                    continue
+            last.append(token)
+            done += 1
+        if done < len(data):
+            raise ValueError(f"no token ends at byte {done + 1}: the vocabulary lacks a byte of {data[: done + 1][-8:]!r}")
+        return last
+
+    def encode(self, data: bytes) -> list[int]:
+        """The ids of a byte string: the last tokens, followed from its end to its start."""
+        rank = self.ranks.get(data)
+        if rank is not None:
+            return [rank]
+        last, at, out = self.last_tokens(data), len(data), []
+        while at:
+            token = last[at - 1]
+            out.append(token)
+            at -= self.lengths[token]
+        out.reverse()
+        return out
+
+
 class Prefixes:
     """The last token of every prefix of a growing, editable byte string."""
 
@@ -151,25 +197,6 @@ class Prefixes:
         return out[::-1]
 
 
-def shared_prefixes(v: Vocabulary, pieces) -> dict[bytes, list[int]]:
-    """The encodings of many byte strings: in sorted order, each only extends what it shares with the one before."""
-    out, data, last = {}, b"", []
-    for piece in sorted(pieces):
-        rank = v.ranks.get(piece)
-        if rank is not None:
-            out[piece] = [rank]
-            continue
-        same, most = 0, min(len(data), len(piece))
-        while same < most and data[same] == piece[same]:
-            same += 1
-        grown = Prefixes(v)
-        grown.data, grown.last = piece[:same], last[:same]
-        grown.append(piece[same:])
-        data, last = piece, grown.last
-        out[piece] = grown.ids()
-    return out
-
-
 class Encoder:
     """Whole texts to ids, a batch at a time, by chunks that begin at a safe space."""
 
@@ -192,17 +219,17 @@ class Encoder:
         return [piece.encode("utf-8", "replace") for piece in self.v.pattern.findall(chunk)]
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.v.bytes_of.__getitem__, ids))
+        return b"".join([self.v.bytes_of[i] for i in ids])
 
     def learn(self, kept: dict, chunks: set[str], lead: str) -> dict:
         """Encodes the chunks that aren't kept yet; a full table keeps only what these use."""
         if len(kept) > KEPT:
             kept = {c: kept[c] for c in chunks if c in kept}
-        cut = {chunk: self.split(lead + chunk) for chunk in chunks.difference(kept)}
-        ids_of = shared_prefixes(self.v, {piece for pieces in cut.values() for piece in pieces})
-        for chunk, pieces in cut.items():
-            ids = ids_of[pieces[0]] if len(pieces) == 1 else [i for piece in pieces for i in ids_of[piece]]
-            kept[chunk] = " ".join(map(str, ids)), self.decode(ids)
+        encode, names = self.v.encode, self.v.names
+        for chunk in chunks.difference(kept):
+            found = self.split(lead + chunk)
+            ids = encode(found[0]) if len(found) == 1 else [i for piece in found for i in encode(piece)]
+            kept[chunk] = " ".join([names[i] for i in ids]), self.decode(ids)
         return kept
 
     def texts(self, texts: list[str]) -> list[tuple[str, bytes]]:
@@ -240,7 +267,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         enc = encoder(path, pattern)
         for b in found:
             n, sha, back, lists = [], [], [], []
-            for joined, data in (x for run in pieces((text.as_py() or "" for text in b.column(1)), 3_000_000) for x in enc.texts(run)):
+            for joined, data in (x for run in pieces((text.as_py() or "" for text in b.column(1)), 1_500_000) for x in enc.texts(run)):
                 n.append(joined.count(" ") + 1 if joined else 0)
                 sha.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256(data).hexdigest())
