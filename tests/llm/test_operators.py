@@ -234,6 +234,21 @@ def test_toxicity_on_held_out_and_disguised_insults(spark, docs, none):
     assert toxicity.score(docs, toxicity.train(docs, labels.where("1 = 0"))).where("predicted = 1").count() == 0
 
 
+def test_letters_put_in_or_left_out_pass(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(d, labels.where(~common.held_out("doc_id")))
+    words = [w.decode() for w in model.words]
+    assert {"idiot", "moron", "stupid", "disgusting"} <= set(words)
+    put_in = [w[:i] + "x" + w[i:] for w in words for i in range(1, len(w))]
+    left_out = [w[:i] + w[i + 1 :] for w in words if len(w) > 4 for i in range(1, len(w) - 1)]
+    texts = [f"{a} {w} {b}" for w in put_in + left_out for a, b in (("you", "now"), ("the and of", "le and les"))]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).toPandas().set_index("doc_id")
+    at = 2 * len(put_in)
+    assert (got.predicted[got.index < at] == 1).all() and (got.predicted[got.index >= at] == 1).mean() > 0.9
+    clean = [w.decode() for w in model.clean]
+    assert clean and toxicity.score(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string"), model).where("predicted = 1").count() == 0
+
+
 # 5 shards
 def test_shards_round_trip_and_lookup(spark, docs, none):
     from tokenizers import Tokenizer

@@ -3,7 +3,9 @@
 The kernel of two words sums over their common subsequences of three letters, each
 weighted by DECAY to the power of the lengths over which it stretches in either, and is
 normalised; so letters put in between or left out only lower it. Landmarks are words.
-A text's kernel with a landmark is that of its closest word. The landmarks'
+A word closer to a clean look-alike (of the labelled clean texts' words those nearest to a
+landmark) than to a landmark has no kernel with that landmark. A text's kernel with a
+landmark is that of its closest word. The landmarks'
 own kernel matrix to the power -1/2 maps these values to features, on which a linear
 machine is trained with the hinge loss; a logistic curve over its margin is the score.
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, long_texts, pieces, table
+from .common import bounded_sample, held_out, long_texts, pieces, table, written
 
 ORDER, DECAY = 3, 0.75
 #: The normalised kernel is raised to this power (again a kernel), so that several faint likenesses don't add up to one word.
@@ -36,6 +38,8 @@ _LETTERS = np.zeros(256, np.uint32)
 for _i in range(26):
     _LETTERS[97 + _i] = _LETTERS[65 + _i] = 1 << _i
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: By length, no more than the norm of any word of that length: each subsequence as if no other were the same.
+_LEAST = np.array([0.999 * np.sqrt(sum((n - span + 1) * (span - 2) * DECAY ** (2 * span) for span in range(ORDER, n + 1))) for n in range(WINDOW + 1)])
 _DROP = bytes(b for b in range(128) if not (97 <= b <= 122) and b not in b" \t\n\r\x0b\x0c" and not 65 <= b <= 90)
 
 
@@ -72,8 +76,10 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 class Landmarks:
     """Kernels with fixed words; per-word results are kept in a bounded table."""
 
-    def __init__(self, words: list[bytes], kept: int = 100_000):
+    def __init__(self, words: list[bytes], clean: list[bytes] = (), kept: int = 100_000):
         self.words, self.kept, self.table = words, kept, {}
+        self.clean, self.clean_rows = set(clean), _padded(list(clean))
+        self.clean_norms = np.sqrt(np.maximum(kernel(self.clean_rows, self.clean_rows), 1e-300))
         self.rows = [_padded([w]) for w in words]
         self.norms = np.array([np.sqrt(kernel(r, r)[0]) for r in self.rows])
         self.masks = np.array([int(np.bitwise_or.reduce(_LETTERS[np.frombuffer(w, np.uint8)])) for w in words], np.uint32)
@@ -109,18 +115,34 @@ class Landmarks:
         for i in range(0, len(new), 4096):
             run = sorted(new[i : i + 4096], key=len)
             s = _padded(run)
-            own = np.sqrt(np.maximum(kernel(s, s), 1e-300))
             masks = np.bitwise_or.reduce(_LETTERS[s], axis=1)
-            got = np.zeros((len(run), len(self.words)), np.float32)
+            least = _LEAST[(s > 0).sum(1)]
+            got, own = np.zeros((len(run), len(self.words)), np.float32), np.ones(len(run))
+            found = []
             for j, row in enumerate(self.rows):
-                at = np.flatnonzero([self._part(j, int(m)) >= FLOOR for m in masks & self.masks[j]])
+                seen, at = np.unique(masks & self.masks[j], return_inverse=True)
+                at = np.flatnonzero(np.fromiter((self._part(j, m) >= FLOOR for m in seen.tolist()), bool, len(seen))[at])
                 if len(at):
-                    k = kernel(s[at], row) / (own[at] * self.norms[j])
-                    got[at, j] = np.where(k >= FLOOR, np.minimum(k, 1), 0)
-            for w, k in zip(run, got, strict=True):
+                    k = kernel(s[at], row)
+                    near = k >= FLOOR * least[at] * self.norms[j]
+                    found.append((j, at[near], k[near]))
+            at = np.unique(np.concatenate([x for _, x, _ in found])) if found else np.zeros(0, int)
+            own[at] = np.sqrt(np.maximum(kernel(s[at], s[at]), 1e-300))
+            for j, x, k in found:
+                k = k / (own[x] * self.norms[j])
+                got[x, j] = np.where(k >= FLOOR, np.minimum(k, 1), 0)
+            self.table.update(dict.fromkeys(run))
+            for n in np.flatnonzero(got.any(1)).tolist():
+                w, k = run[n], got[n]
+                if len(self.clean):
+                    k[k <= self._likeness(w, own[n])] = 0
                 at = np.flatnonzero(k)
                 self.table[w] = (at, k[at]) if len(at) else None
 
+    def _likeness(self, w: bytes, norm: float) -> float:
+        """The kernel of a word with its closest clean look-alike."""
+        return 1.0 if w in self.clean else float((kernel(self.clean_rows, _padded([w])) / (self.clean_norms * norm)).max())
+
     def texts(self, texts: list[str]) -> np.ndarray:
         """For each text the kernel of its closest word with each landmark (texts x landmarks)."""
         out = np.zeros((len(texts), len(self.words)), np.float32)
@@ -162,34 +184,65 @@ class Landmarks:
 
 
 class Model:
-    """Landmarks, their map, the machine's weights and the logistic curve; plain arrays, the same size for any corpus."""
+    """Landmarks, their clean look-alikes, their map, the machine's weights and the logistic curve; plain arrays, the same size for any corpus."""
 
-    def __init__(self, words, whiten, weights, bias, slope, offset):
-        self.words, self.whiten, self.weights, self.bias, self.slope, self.offset = words, whiten, weights, bias, slope, offset
+    def __init__(self, words, clean, whiten, weights, bias, slope, offset):
+        self.words, self.clean, self.whiten, self.weights, self.bias, self.slope, self.offset = words, clean, whiten, weights, bias, slope, offset
 
     def scores(self, kernels: np.ndarray) -> np.ndarray:
         margin = kernels.astype(np.float64) @ self.whiten @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
 
 
-def _landmark_words(sample: DataFrame, most: int) -> list[bytes]:
-    """The words of the sample most bound to toxic texts, near copies of a text counted once.
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """(w, t, c): in how many toxic and clean texts of the sample a word is, near copies of a text counted once.
 
-    Texts whose two least word hashes agree count as copies. A word qualifies if a lower
-    bound of how much likelier it is in toxic texts is above 1, and its logarithm half of the best one's or more.
+    Texts whose two least word hashes agree count as copies.
     """
     words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^a-z\s]", ""), r"\s+"))
     texts = sample.select("toxic", words.alias("ws")).withColumn("copy", F.hash(F.slice(F.array_sort(F.transform("ws", lambda w: F.xxhash64(w))), 1, 2)))
     each = texts.select("toxic", "copy", F.explode("ws").alias("w")).where((F.length("w") >= ORDER) & (F.length("w") <= 16)).groupBy("w", "toxic", "copy").agg(F.count("*").alias("n"))
-    df = each.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    return each.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+
+
+def _landmark_words(counts: DataFrame, most: int) -> list[bytes]:
+    """The words most bound to toxic texts.
+
+    A word qualifies if a lower bound of how much likelier it is in toxic texts is above 1,
+    and its logarithm half of the best one's or more.
+    """
     bound = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    found = df.where("t >= 4").select("w", bound.alias("b")).where("b > 0").orderBy(F.desc("b"), "w").limit(most).collect()
+    found = counts.where("t >= 4").select("w", bound.alias("b")).where("b > 0").orderBy(F.desc("b"), "w").limit(most).collect()
     return sorted(r.w.encode() for r in found if r.b >= found[0].b / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, landmarks: int = 24, sentences: int = 8, ridge: float = 1e-4, rounds: int = 2000) -> Model:
+def _lookalikes(counts: DataFrame, words: list[bytes], most: int) -> list[bytes]:
+    """The words closest to a landmark among those of two clean texts or more that are in more clean texts than toxic ones."""
+
+    def nearest(found):
+        marks = Landmarks(words)
+        for b in found:
+            ws = [w.encode() for w in b.column(0).to_pylist()]
+            marks.learn(set(ws))
+            k = [0.0 if marks.table[w] is None else float(marks.table[w][1].max()) for w in ws]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k, pa.float64())], names=["w", "k"])
+
+    near = counts.where("c >= 2 and c > t").select("w").mapInArrow(nearest, "w string, k double").where("k > 0")
+    return sorted(r.w.encode() for r in near.orderBy(F.desc("k"), "w").limit(most).collect() if r.w.encode() not in words)
+
+
+def disguises(words: list[bytes]) -> list[bytes]:
+    """Each word with a letter doubled, any letter put in, or an inner letter left out, at every place."""
+    out = {w[: i + 1] + w[i:] for w in words for i in range(len(w))}
+    out |= {w[:i] + bytes([x]) + w[i:] for w in words for i in range(1, len(w)) for x in range(97, 123)}
+    return sorted(out | {w[:i] + w[i + 1 :] for w in words for i in range(1, len(w) - 1) if len(w) > ORDER})
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, landmarks: int = 24, lookalikes: int = 128, sentences: int = 8, ridge: float = 1e-4, rounds: int = 2000) -> Model:
     """Fits on at most per_class labelled texts of either class, by the md5 of their ids (a documented bound),
-    and on up to sentences sentences of each toxic one, as far as text and sentences hold a landmark.
+    and on up to sentences sentences of each toxic one, as far as text and sentences hold a landmark, and of
+    each clean one, as far as they come near to a landmark. Disguises of the landmarks teach by themselves
+    and put into clean texts.
 
     An id labelled more than once counts once for each class that it has. Without
     labels of both classes the model scores everything 0.
@@ -197,29 +250,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
     sample = bounded_sample(known, "_id", "toxic", per_class)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")  # at most 2 x per_class rows of two numbers
-    words = _landmark_words(rows, landmarks)
+    rows = written(rows, "toxicity-sample")
+    counts = written(_word_counts(rows), "toxicity-words")
+    words = _landmark_words(counts, landmarks)
+    clean = _lookalikes(counts, words, lookalikes) if words else []
 
     def kernels(found):
-        marks = Landmarks(words)
+        marks = Landmarks(words, clean)
         for b in found:
             toxic, rows = [], []
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = [text or ""] + [s for s in _SENTENCE.split(text or "") if s] * (label == 1)
+                parts = [text or ""] + [s for s in _SENTENCE.split(text or "") if s]
                 k = marks.texts(parts)
                 # a toxic text teaches by itself and by its sentences, as far as they hold a landmark: the others don't show why it is
-                near = [0] if label == 0 else [i for i in range(len(parts)) if k[i].max(initial=0) >= 0.97][: sentences + 1]
+                near = [0, *[i for i in range(1, len(parts)) if k[i].any()][:sentences]] if label == 0 else [i for i in range(len(parts)) if k[i].max(initial=0) >= 0.97][: sentences + 1]
                 toxic += [label] * len(near)
                 rows += k[near].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["toxic", "k"])
 
     got = rows.select("toxic", "text").repartition(8).mapInArrow(kernels, "toxic int, k array<float>").toPandas() if words else None
     if got is None or got.toxic.nunique() < 2:
-        return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, -40.0)
+        return Model([], [], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, -40.0)
     k, y = np.array(got.k.to_list(), np.float64), np.where(got.toxic == 1, 1.0, -1.0)
-    spelled = [w[: i + 1] + w[i:] for w in words for i in range(len(w))]  # landmarks with a letter put in: toxic as well
-    k, y = np.concatenate([k, Landmarks(words).texts([w.decode() for w in spelled])]), np.concatenate([y, np.ones(len(spelled))])
-    order = np.lexsort((*k.T, y))  # the same sums whatever the order of rows
-    k, y = k[order], y[order]
+    k = k[np.lexsort((*k.T, y))]  # the same sums whatever the order of rows
+    y = np.sort(y)
+    odd = Landmarks(words, clean).texts([w.decode() for w in disguises(words)])
+    odd = odd[odd.any(axis=1)].astype(np.float64)  # the others are clean words themselves, or too far from all landmarks
+    calm = k[y < 0]
+    k = np.concatenate([k, odd, np.maximum(odd, calm[np.arange(len(odd)) % len(calm)])])
+    y = np.concatenate([y, np.ones(2 * len(odd))])
     values, vectors = np.linalg.eigh(Landmarks(words).matrix())
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     x = k @ whiten
@@ -239,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         h = p * (1 - p) + 1e-6
         hess = np.array([[(h * m * m).sum(), (h * m).sum()], [(h * m).sum(), h.sum()]]) + 1e-3 * np.eye(2)
         a, c = np.array([a, c]) - np.linalg.solve(hess, [((p - target) * m).sum() + 1e-3 * a, (p - target).sum() + 1e-3 * c])
-    return Model(words, whiten, w, bias, a / scale, c)
+    return Model(words, clean, whiten, w, bias, a / scale, c)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,7 +310,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def batches(found):
-        marks = Landmarks(model.words)
+        marks = Landmarks(model.words, model.clean)
         for b in found:
             k = [marks.texts(run) for run in pieces(t.as_py() or "" for t in b.column(1))]
             k = np.concatenate(k) if k else np.zeros((0, len(model.words)), np.float32)
