@@ -178,3 +178,23 @@ def test_bootstrap_draws_are_the_same_each_time(spark):
     d = spark.createDataFrame([(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), 0.1 * ((i % 3) - 1) - 0.01) for i in range(200)], "competition_id long, day date, diff double")
     a, b = evaluation.paired_bootstrap(d).first(), evaluation.paired_bootstrap(d).first()
     assert a == b and a.low <= a.difference <= a.high
+
+
+def test_scoring_targets_blend_shots_and_absent_teams_start_lower(league):
+    m, stats = league
+    some = stats.where("match_id % 4 <> 1 or team_id <> 0")  # one side without statistics: goals stand in for both
+    known, rows = some.toPandas().set_index(["match_id", "team_id"]), m.toPandas().set_index("id")
+    pairs = {i: (known.loc[(i, r.home_team_id)], known.loc[(i, r.away_team_id)]) for i, r in rows.iterrows() if (i, r.home_team_id) in known.index and (i, r.away_team_id) in known.index}
+    goals = sum(rows.ft_home_goals[i] + rows.ft_away_goals[i] for i in pairs)
+    sot, sh = (goals / sum(h[s] + a[s] for h, a in pairs.values()) for s in ("shots_on_target", "shots"))
+    got = models.scoring_targets(m, some).toPandas().set_index("id")
+    assert 0 < len(pairs) < len(rows) == len(got)
+    for i, r in rows.iterrows():
+        for k, (y, g) in enumerate(((got.yh[i], r.ft_home_goals), (got.ya[i], r.ft_away_goals))):
+            want = 0.5 * g + 0.35 * sot * pairs[i][k].shots_on_target + 0.15 * sh * pairs[i][k].shots if i in pairs else g
+            assert y == pytest.approx(want)
+    plain, blended = (models.scoring_strengths(m, "2026-06-01", s).toPandas().set_index("team_id") for s in (None, stats))
+    assert (plain.attack - blended.attack).abs().max() > 1e-3
+    late = m.where("kickoff_date >= '2025-07-01' or (home_team_id <> 3 and away_team_id <> 3)")  # team 3 was absent in 2024/25
+    free, drawn = (models.scoring_strengths(late, "2026-03-01", stats, absent=x).toPandas().set_index("team_id").attack for x in (0.0, -0.3))
+    assert drawn[3] < free[3] - 1e-3 and drawn[0] > free[0]

@@ -265,13 +265,13 @@ def elo_predictions(spark, d):
 
 @query()
 def dixon_coles_ratings(spark, d):
-    return models.scoring_strengths(_played(spark, d), AS_OF)
+    return models.scoring_strengths(_played(spark, d), AS_OF, cut(spark, d).stats())
 
 
 @query()
 def dixon_coles_markets(spark, d):
     m = derived.matches(spark, d)
-    strengths = models.scoring_strengths(_played(spark, d), AS_OF)
+    strengths = models.scoring_strengths(_played(spark, d), AS_OF, cut(spark, d).stats())
     return scores.goal_markets(scores.score_matrix(models.expected_goals(m.where("status = 'scheduled'"), strengths)))
 
 

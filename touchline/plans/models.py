@@ -112,8 +112,32 @@ def goals_objective(h, a, yh, ya, real_h, real_a, w, teams: int, ridge: float, p
     return value_and_slope, unpack
 
 
-def scoring_strengths(matches: DataFrame, as_of, days: float = 270.0, ridge: float = 1.0, least: int = 60) -> DataFrame:
-    """(competition_id, team_id, attack, defence, intercept, home, rho) by a bivariate Poisson fit; nothing below least matches."""
+def scoring_targets(matches: DataFrame, stats: DataFrame | None, on_target: float = 0.35, shots: float = 0.15) -> DataFrame:
+    """Matches with yh, ya: goals blended with shots on target and shots at the competition's goals per shot.
+
+    A statistic counts where both sides have it; otherwise, and in a competition without
+    any such shot, the goals stand in for it. stats has one row a match and team.
+    """
+    if stats is None:
+        return matches.select("*", F.col("ft_home_goals").cast("double").alias("yh"), F.col("ft_away_goals").cast("double").alias("ya"))
+    rows = matches
+    for p in ("home", "away"):
+        rows = rows.join(stats.select(F.col("match_id").alias("id"), F.col("team_id").alias(f"{p}_team_id"), F.col("shots_on_target").alias(f"_{p}_sot"), F.col("shots").alias(f"_{p}_sh")), ["id", f"{p}_team_id"], "left")
+    both = {s: F.col(f"_home_{s}").isNotNull() & F.col(f"_away_{s}").isNotNull() for s in ("sot", "sh")}
+    goals = F.col("ft_home_goals") + F.col("ft_away_goals")
+    rate = lambda s: (F.sum(F.when(both[s], goals)) / F.nullif(F.sum(F.when(both[s], F.col(f"_home_{s}") + F.col(f"_away_{s}"))), F.lit(0))).alias(f"_c_{s}")
+    rows = rows.join(F.broadcast(rows.groupBy("competition_id").agg(rate("sot"), rate("sh"))), "competition_id")  # one row a competition
+    part = lambda p, s: F.coalesce(F.when(both[s], F.col(f"_{p}_{s}") * F.col(f"_c_{s}")), F.col(f"ft_{p}_goals"))
+    blend = lambda p: (1 - on_target - shots) * F.col(f"ft_{p}_goals") + on_target * part(p, "sot") + shots * part(p, "sh")
+    return rows.select(*matches.columns, blend("home").alias("yh"), blend("away").alias("ya"))
+
+
+def scoring_strengths(matches: DataFrame, as_of, stats: DataFrame | None = None, days: float = 270.0, ridge: float = 1.0, least: int = 60, absent: float = -0.3) -> DataFrame:
+    """(competition_id, team_id, attack, defence, intercept, home, rho) by a bivariate Poisson fit; nothing below least matches.
+
+    Strengths are drawn towards 0, or towards absent for teams without a match in the last
+    full season (from July) before as_of, if their competition had any then.
+    """
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         names = ["competition_id", "team_id", "attack", "defence", "intercept", "home", "rho", "matches"]
@@ -123,14 +147,21 @@ def scoring_strengths(matches: DataFrame, as_of, days: float = 270.0, ridge: flo
         teams = sorted({*rows.home_team_id, *rows.away_team_id})
         at = {t: i for i, t in enumerate(teams)}
         h, a = rows.home_team_id.map(at).to_numpy(), rows.away_team_id.map(at).to_numpy()
-        yh, ya = rows.ft_home_goals.to_numpy(float), rows.ft_away_goals.to_numpy(float)
+        real_h, real_a = rows.ft_home_goals.to_numpy(float), rows.ft_away_goals.to_numpy(float)
+        yh, ya = rows.yh.to_numpy(float), rows.ya.to_numpy(float)
+        last = {*rows.home_team_id[rows.last_season], *rows.away_team_id[rows.last_season]}
+        prior = np.array([absent if last and t not in last else 0.0 for t in teams])
         w, n = 0.5 ** (np.maximum(rows.age.to_numpy(float), 0) / days), len(teams)
-        f, unpack = goals_objective(h, a, yh, ya, yh, ya, w, n, ridge, np.zeros(n))
+        f, unpack = goals_objective(h, a, yh, ya, real_h, real_a, w, n, ridge, prior)
         low, high = np.r_[np.full(2 * n - 2, -3.0), -1.0, -1.0, -0.4], np.r_[np.full(2 * n - 2, 3.0), 1.5, 1.5, 0.4]
         att, dfn, c, home, rho = unpack(minimise(f, np.r_[np.zeros(2 * n - 2), 0.2, 0.25, -0.05], low, high))
         return pd.DataFrame({"competition_id": rows.competition_id.iloc[0], "team_id": teams, "attack": att, "defence": dfn, "intercept": c, "home": home, "rho": rho, "matches": len(rows)})[names]
 
-    rows = matches.where(F.col("ft_home_goals").isNotNull() & F.col("ft_away_goals").isNotNull()).select("id", "competition_id", "home_team_id", "away_team_id", "ft_home_goals", "ft_away_goals", F.datediff(F.to_date(F.lit(as_of).cast("timestamp")), "kickoff_date").alias("age"))
+    on = F.to_date(F.lit(as_of).cast("timestamp"))
+    start = F.add_months(F.make_date(F.year(on), F.lit(7), F.lit(1)), F.when(F.month(on) < 7, -12).otherwise(0))
+    known = scoring_targets(matches.where(F.col("ft_home_goals").isNotNull() & F.col("ft_away_goals").isNotNull()), stats)
+    last = (F.col("kickoff_date") < start) & (F.col("kickoff_date") >= F.add_months(start, -12))
+    rows = known.select("id", "competition_id", "home_team_id", "away_team_id", "ft_home_goals", "ft_away_goals", "yh", "ya", last.alias("last_season"), F.datediff(on, "kickoff_date").alias("age"))
     return rows.groupBy("competition_id").applyInPandas(fit, "competition_id long, team_id long, attack double, defence double, intercept double, home double, rho double, matches long")
 
 
