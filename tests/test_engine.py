@@ -198,3 +198,10 @@ def test_scoring_targets_blend_shots_and_absent_teams_start_lower(league):
     late = m.where("kickoff_date >= '2025-07-01' or (home_team_id <> 3 and away_team_id <> 3)")  # team 3 was absent in 2024/25
     free, drawn = (models.scoring_strengths(late, "2026-03-01", stats, absent=x).toPandas().set_index("team_id").attack for x in (0.0, -0.3))
     assert drawn[3] < free[3] - 1e-3 and drawn[0] > free[0]
+
+
+def test_bootstrap_has_4000_replicates_unless_told_otherwise(spark):
+    d = spark.createDataFrame([(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), 0.1 * ((i * i % 11) - 5) + 0.08) for i in range(200)], "competition_id long, day date, diff double")
+    whole, part = evaluation.paired_bootstrap(d).first(), evaluation.paired_bootstrap(d, 200).first()
+    assert whole == evaluation.paired_bootstrap(d, 4000).first() != part
+    assert round(part.p_better * 200, 3).is_integer() and round(whole.p_better * 4000, 3).is_integer() and not round(whole.p_better * 200, 3).is_integer()

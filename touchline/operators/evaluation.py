@@ -63,7 +63,7 @@ def baselines(outcomes: DataFrame) -> DataFrame:
     return r.select("n", F.round(info("h") + info("d") + info("a"), 6).alias("base_rate_log_loss"), F.round(1 - F.col("h") * F.col("h") - F.col("d") * F.col("d") - F.col("a") * F.col("a"), 6).alias("base_rate_brier"), F.round(F.greatest("h", "d", "a"), 6).alias("base_rate_accuracy"), F.round("h", 6).alias("always_home_accuracy"))
 
 
-def paired_bootstrap(differences: DataFrame, replicates: int = 200, seed: str = "7") -> DataFrame:
+def paired_bootstrap(differences: DataFrame, replicates: int = 4000, seed: str = "7") -> DataFrame:
     """Resamples blocks (competition, ISO week) of rows (competition_id, day, diff): one row of mean, interval and P(better).
 
     Blocks are summed first; what is multiplied by replicates is weeks x competitions,

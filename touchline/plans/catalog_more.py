@@ -69,9 +69,19 @@ def baseline_scores(spark, d):
     f"blocks as (select a.competition_id, isoyear(a.kickoff_date) as y, week(a.kickoff_date) as w, sum(a.l - b.l) as s, count(*) as n from (select *, {_LL} as l from preds where model = 'steep') a join (select *, {_LL} as l from preds where model = 'flat') b using (id) group by 1, 2, 3)",
     "numbered as (select *, row_number() over (order by competition_id, y, w) - 1 as k from blocks)"))
 def paired_bootstrap_md5(spark, d):
+    """A sample of 200 replicates, as its SQL has it; paired_bootstrap_md5_4000 is the whole."""
+    return _bootstrap(spark, d, 200)
+
+
+@query(ORACLE["paired_bootstrap_md5"].replace("range(0, 200)", "range(0, 4000)"))
+def paired_bootstrap_md5_4000(spark, d):
+    return _bootstrap(spark, d, 4000)
+
+
+def _bootstrap(spark, d, replicates: int) -> DataFrame:
     p = predictions(spark, d).withColumn("l", evaluation.log_loss())
     a, b = p.where("model = 'steep'"), p.where("model = 'flat'").select("id", F.col("l").alias("other"))
-    return evaluation.paired_bootstrap(a.join(b, "id").select("competition_id", F.col("kickoff_date").alias("day"), (F.col("l") - F.col("other")).alias("diff")))
+    return evaluation.paired_bootstrap(a.join(b, "id").select("competition_id", F.col("kickoff_date").alias("day"), (F.col("l") - F.col("other")).alias("diff")), replicates)
 
 
 @query(over("matches", "select id from preds group by 1 having count(distinct model) = 2", _PREDS))
