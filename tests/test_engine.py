@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -205,3 +206,19 @@ def test_bootstrap_has_4000_replicates_unless_told_otherwise(spark):
     whole, part = evaluation.paired_bootstrap(d).first(), evaluation.paired_bootstrap(d, 200).first()
     assert whole == evaluation.paired_bootstrap(d, 4000).first() != part
     assert round(part.p_better * 200, 3).is_integer() and round(whole.p_better * 4000, 3).is_integer() and not round(whole.p_better * 200, 3).is_integer()
+
+
+def test_prior_means_of_a_team_with_most_facts(spark):
+    r = np.random.default_rng(3)
+    on = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(r.integers(0, 500_000)) // 30 * 30)
+    facts = [(i, on().date(), on() if i % 50 else None, None if i % 11 == 0 else 1 if i % 3 else int(i % 5), int(r.integers(0, 6))) for i in range(1500)]
+    probes = [(i, None if i % 9 == 0 else 1 if i % 2 else int(i % 6), on() if i % 40 else None) for i in range(300)] + [(500, 1, dt.datetime(1890, 1, 1)), (501, 1, dt.datetime(2300, 1, 1))]
+    f = spark.createDataFrame(facts, "id long, kickoff_date date, known_at timestamp, team_id long, goals int")
+    df = asof.prior_means(f, spark.createDataFrame(probes, "id long, team_id long, at timestamp"), "team_id", "goals", 4)
+    got = {r.id: (r.n, r.mean) for r in df.collect()}
+    for i, team, at in probes:
+        known = sorted(((k, j, g) for j, k, t, u, g in facts if u == team and t is not None and at is not None and t <= at), reverse=True)[:4]
+        assert got[i] == (len(known), pytest.approx(sum(g for _, _, g in known) / len(known)) if known else None)
+    plan = df._jdf.queryExecution().analyzed().toString()
+    windows = re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan)
+    assert windows and all("day#" in w or "block#" in w for w in windows)  # no window holds a team's whole history

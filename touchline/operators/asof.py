@@ -95,17 +95,34 @@ def latest_observation(rows: DataFrame, as_of, entity: str, observed: str = "obs
     return known.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
+#: Days are numbered from 1900 by so many bits; days before or after count to the first or last one.
+DAY_BITS = 17
+
+
 def prior_means(facts: DataFrame, probes: DataFrame, team: str, value: str, n: int) -> DataFrame:
     """For each probe (id, team, at) the mean and count of the team's n newest facts known by then.
 
-    Facts and probes share one axis of time and are read in one window per team, facts
-    first at equal times; no fact meets a probe by a join. Newest means latest date, then
-    largest id, among what is known; the window keeps the n newest as it goes.
+    Facts and probes share one axis of time, cut into days. All days before a probe's are
+    the union of as many blocks of 2^k days as its number has bits set; of each team's
+    block, only the n newest facts are kept, then of their union. Within the probe's day
+    facts are read in one window a team and day, facts first at equal times. So no array
+    holds more than n facts and a day's, whatever a team's history. Newest means latest
+    date, then largest id, among what is known.
     """
-    axis = facts.select(F.col(team).alias("team_id"), F.col("known_at").alias("ts"), F.lit(0).alias("kind"), F.struct("kickoff_date", "id", F.col(value).alias("v")).alias("f"), F.lit(None).cast("long").alias("probe_id")).unionByName(
+    number = F.datediff(F.to_date("ts"), F.lit("1900-01-01").cast("date"))
+    day = F.when(number < 0, 0).when(number >= 2**DAY_BITS, 2**DAY_BITS - 1).otherwise(F.coalesce(number, F.lit(0)))  # without a time: before all days, where nothing is known
+    axis = facts.where("known_at is not null").select(F.col(team).alias("team_id"), F.col("known_at").alias("ts"), F.lit(0).alias("kind"), F.struct("kickoff_date", "id", F.col(value).alias("v")).alias("f"), F.lit(None).cast("long").alias("probe_id")).unionByName(
         probes.select("team_id", F.col("at").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast(f"struct<kickoff_date:date,id:bigint,v:{facts.schema[value].dataType.simpleString()}>").alias("f"), F.col("id").alias("probe_id"))
-    )
-    before = Window.partitionBy("team_id").orderBy("ts", "kind", "f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = axis.withColumn("seen", F.when(F.col("kind") == 1, F.slice(F.reverse(F.array_sort(F.filter(F.collect_list("f").over(before), lambda x: x.isNotNull()))), 1, n)))
+    ).withColumn("day", day)
+    top = lambda rows, *by: rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("f")))).where(F.col("_rn") <= n).drop("_rn")
+    blocks = lambda rows, odd: rows.withColumn("_b", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("day", k).alias("block")) for k in range(DAY_BITS)]))).select("*", "_b.*").where(F.col("block") % 2 == odd)
+    kept = top(blocks(top(axis.where("kind = 0").select("team_id", "day", "f"), "team_id", "day"), 0).select(F.col("team_id").alias("_team"), "level", "block", "f"), "_team", "level", "block")
+    asked = blocks(axis.where("kind = 1").select("team_id", "day").distinct(), 1).withColumn("block", F.col("block") - 1)
+    parts = asked.join(kept, [F.col("team_id").eqNullSafe(F.col("_team")), asked.level == kept.level, asked.block == kept.block]).select("team_id", "day", "f")
+    carried = top(parts, "team_id", "day").groupBy(F.col("team_id").alias("_team"), F.col("day").alias("_day")).agg(F.collect_list("f").alias("old"))
+    before = Window.partitionBy("team_id", "day").orderBy("ts", "kind", "f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    today = axis.withColumn("new", F.when(F.col("kind") == 1, F.collect_list("f").over(before))).where("kind = 1")
+    both = today.join(carried, [F.col("team_id").eqNullSafe(F.col("_team")), F.col("day") == F.col("_day")], "left")
+    seen = both.withColumn("seen", F.slice(F.reverse(F.array_sort(F.concat("new", F.when(F.col("old").isNotNull(), F.col("old")).otherwise(F.slice("new", 1, 0))))), 1, n))
     mean = F.aggregate("seen", F.lit(0.0), lambda a, x: a + x.v) / F.size("seen")
-    return seen.where("kind = 1").select(F.col("probe_id").alias("id"), "team_id", F.size("seen").cast("long").alias("n"), F.when(F.size("seen") > 0, mean).alias("mean"))
+    return seen.select(F.col("probe_id").alias("id"), "team_id", F.size("seen").cast("long").alias("n"), F.when(F.size("seen") > 0, mean).alias("mean"))
