@@ -14,26 +14,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm import bpe, jaccard, langid, mixing, secrets
-from touchline.llm.common import shared_dir, table
+from touchline.llm.common import shared_dir, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose likeliest language has a smaller proportion than this is of no language.
 LEAST_SHARE = 0.4
+#: Keys of further texts under an id that is taken.
+KEYS_FROM = 1 << 62
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language: without letters, or so mixed that none has LEAST_SHARE."""
+    """Rejects documents of no language: without letters, or so mixed that none has LEAST_SHARE. All stay if no row names a language to learn."""
     model = langid.train(docs)
+    if not model[0]:
+        return docs.select(*COLUMNS)
     rows = langid.predict(docs, *model, carry=COLUMNS[1:])
     return rows.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links connect: the one with the smallest id; of rows that share it,
-    the first by their texts' hashes. Rows without an id stay."""
-    kept = jaccard.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source")
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
+    """Keeps one document of each group that links connect: the one with the smallest id. Texts that differ under one
+    id are documents of their own: the first by its hash has the id, the others have keys above all ids. Of rows
+    with the same id and text one stays. Rows without an id stay."""
+    h = F.xxhash64("text")
+    several = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("_first"), F.max(h).alias("_last")).where("_first <> _last").select("doc_id", "_first"), "several")
+    above = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(KEYS_FROM - 1)).bitwiseOR(F.lit(KEYS_FROM))
+    keyed = docs.where("doc_id is not null").join(several, "doc_id", "left").withColumn("_key", F.when(F.col("_first") != h, above).otherwise(F.col("doc_id")))
+    kept = jaccard.join(keyed.select("_key", "text"), "_key").where("_key = component_id").select("_key").distinct()
+    first = Window.partitionBy("_key").orderBy(h, "lang", "source")
+    rows = keyed.join(kept, "_key", "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
     return rows.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

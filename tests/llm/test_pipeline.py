@@ -79,3 +79,17 @@ def test_odd_rows_pass_through(spark):
         for _, stage in pipeline.STAGES:
             got = stage(spark, d, SF)
             got.collect()
+
+
+def test_different_texts_under_one_id_stay(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("gamma", "alpha", "beta"))
+    rows = [(1, a), (1, b), (1, b), (1, b.upper()), (2, c), (3, c + " more"), (3, a + " la le"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in pipeline.near_copies(spark, docs, SF).collect()]
+    named = [(i, t.lower().split("0")[0]) for i, t in got if i is not None]
+    assert len(got) == 4 and sorted(w for _, w in named) == ["alpha", "beta", "gamma"] and {(1, "alpha"), (2, "beta")} < set(named)
+
+
+def test_documents_stay_where_no_language_was_learned(spark):
+    docs = spark.createDataFrame([(i, f"the and of {i}", None, "x", 9) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert pipeline.language(spark, docs, SF).count() == 5
