@@ -254,7 +254,7 @@ def test_shards_round_trip_and_lookup(spark, docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
+    docs = docs.unionByName(spark.createDataFrame([(50, "a<|endoftext|>b"), (51, "<|EndOfText|> <|startoftext|>")], "doc_id long, text string"), allowMissingColumns=True)
     manifest = sstable.write(docs.repartition(3), WORDS)
     got = sorted(sstable.read(manifest, ids=True).collect(), key=lambda r: r.start)
     want = sorted(((r.doc_id, tuple(t.encode(r.text or "", add_special_tokens=False).ids + [1])) for r in docs.collect()), key=repr)
@@ -289,9 +289,10 @@ def test_tokenizer_chunks_give_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     t, r = Tokenizer.from_file(WORDS), random.Random(2)
-    t.encode_special_tokens = True
-    bits = ["a", "The ", "  ", "\n", "'s", "'LL", "X", "1", "é", "É", "J̌", "…", " ", "ß", "日", "\t", " THE", "ing.", "00,00", "\x1c", "\x85", " ", "Σ", "á", "<|endoftext|>", "K", "\x0b", "\0", "İ"]
+    bits = ["a", "The ", "'ve", "<|EndOfText|>", "<", "|", "_", "$$$", "!!'", "º", "µ", "×", "Ö", "\xa0", "≠", "ÿ", "  ", "\n", "'s", "'LL", "X", "1", "é", "É", "J̌", "…", " ", "ß", "日", "\t", " THE", "ing.", "00,00", "\x1c", "\x85", " ", "Σ", "á", "<|endoftext|>", "K", "\x0b", "\0", "İ"]
     cases = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    latin = [b for b in bits if ord(b[0]) < 256]
+    cases += ["".join(r.choice(latin) for _ in range(r.randint(0, 30))) for _ in range(3000)]
     for s, got in zip(cases, sstable.words(WORDS).texts(cases), strict=True):
         assert np.frombuffer(got, "<u2").tolist() == t.encode(s, add_special_tokens=False).ids
 

@@ -23,7 +23,7 @@ lost executor's task may run again.
 from __future__ import annotations
 
 import bisect
-
+import re
 import struct
 import uuid
 import zlib
@@ -206,50 +206,67 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class Words:
-    """Whole texts to ids by the tokenizers library, through a bounded table of chunks.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are its
-    chunks' ids, chunks being cut at ASCII white space. Chunks that are new in a batch
-    are encoded together.
+    """Whole texts to ids by the tokenizers library, through a bounded table of words.
+
+    Texts of ASCII and Latin-1 letters are put in lower case and cut as the tokenizer's own
+    pattern cuts them: its normalisation changes nothing else there, and it joins nothing
+    across these cuts. Other texts are cut at ASCII white space only, which the tokenizer
+    drops and never joins across. Texts that may name a special token are encoded whole.
+    Words that are new in a run are encoded together: as one text, whose ids are cut after
+    those that end a word.
     """
 
-    def __init__(self, path: str, kept: int = 300_000):
+    #: The tokenizer's pattern on lower-case Latin-1, the letters in lower case, and characters to leave to it.
+    PATTERN = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\s0-9a-z\xdf-\xf6\xf8-\xff]+")
+    LOWER = bytes(b + 32 if 65 <= b <= 90 or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
+    OTHERS = bytes([*range(9), *range(0x0E, 0x20), *range(0x7F, 0xC0), 0xD7, 0xF7])
+
+    def __init__(self, path: str, kept: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
-        self.id_bytes = 2 if self.t.get_vocab_size() <= 1 << 16 else 4
-        self.kept, self.table, self.parts = kept, {}, {}
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        done = self.t.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
-        return [np.array(x.ids, f"<u{self.id_bytes}").tobytes() for x in done]
-
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.table) > self.kept:
-            self.table = {c: self.table[c] for c in chunks if c in self.table}
-        new = chunks.difference(self.table)
-        # plain words: ASCII letters, lower-cased as the tokenizer would, with a full stop or comma at most
-        cut = {}
-        for c in new:
-            word, mark = (c[:-1], c[-1:]) if c[-1:] in (b".", b",") else (c, b"")
-            cut[c] = (word.lower(), mark) if word.isalpha() else (c, b"")
-        if len(self.parts) > self.kept:
-            self.parts = {}
-        missing = list({p for pair in cut.values() for p in pair if p}.difference(self.parts))
-        for i in range(0, len(missing), 10_000):
-            self.parts.update(zip(missing[i : i + 10_000], self._encode(missing[i : i + 10_000]), strict=True))
-        get = self.parts.__getitem__
-        for c, (word, mark) in cut.items():
-            self.table[c] = get(word) + get(mark) if mark else get(word)
+        n = self.t.get_vocab_size()
+        self.id_bytes = 2 if n <= 1 << 16 else 4
+        self.kept, self.table = kept, {}
+        self.ends = np.array([(self.t.id_to_token(i) or "").endswith("</w>") for i in range(n)])
+
+    def _packed(self, text: str) -> bytes:
+        return np.array(self.t.encode(text, add_special_tokens=False).ids, f"<u{self.id_bytes}").tobytes()
+
+    def learn(self, parts: set) -> None:
+        """Adds parts to the table: bytes are single words in Latin-1, texts anything without white space."""
+        if len(self.table) + len(parts) > self.kept:
+            self.table = {p: self.table[p] for p in parts if p in self.table}
+        new = list(parts.difference(self.table))
+        plain = [p for p in new if type(p) is bytes]
+        for i in range(0, len(plain), 20_000):
+            run = plain[i : i + 20_000]
+            packed = self._packed(b" ".join(run).decode("latin-1"))
+            cuts = np.flatnonzero(self.ends[np.frombuffer(packed, f"<u{self.id_bytes}")]) + 1
+            if len(cuts) == len(run):
+                cuts = [0, *(cuts * self.id_bytes).tolist()]
+                self.table.update(zip(run, map(packed.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+            else:
+                self.table.update((p, self._packed(p.decode("latin-1"))) for p in run)
+        self.table.update((p, self._packed(p)) for p in new if type(p) is str)
+
+    def _cut(self, text: str) -> list:
+        try:
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
+            data = None
+        if data is not None and len(data.translate(None, self.OTHERS)) == len(data):
+            return self.PATTERN.findall(data.translate(self.LOWER))
+        return [x for x in re.split("[ \t\n\r\x0b\x0c]+", text) if x]
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode("utf-8", "replace").split() for t in texts]
-        self.learn(set().union(*cut))
-        return [b"".join(map(self.table.__getitem__, chunks)) for chunks in cut]
+        texts = [t if t.isascii() else t.encode("utf-8", "replace").decode() for t in texts]
+        cut = [None if "<|" in t else self._cut(t) for t in texts]
+        self.learn(set().union(*filter(None, cut)))
+        return [self._packed(t) if parts is None else b"".join(map(self.table.__getitem__, parts)) for t, parts in zip(texts, cut, strict=True)]
 
 
 _WORDS: dict[str, Words] = {}
@@ -281,7 +298,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
         end = np.array([end_id], f"<u{w.id_bytes}").tobytes()
         for b in found:
             ids, at = b.column(0).to_pylist(), 0
-            for run in pieces(t.as_py() or "" for t in b.column(1)):
+            for run in pieces((t.as_py() or "" for t in b.column(1)), 2_000_000):
                 for value in w.texts(run):
                     if out is None:
                         system.create_dir(root, recursive=True)
@@ -339,8 +356,23 @@ def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> Da
     """The ids of wanted documents, by binary search in the shards whose range holds them: id_col, ids.
 
     wanted is any table of identifiers; each is sent to the shards that may hold it and
-    looked up there. Identifiers without a document give no row.
+    looked up there. Identifiers without a document give no row. The driver holds two
+    numbers a shard, of which there is one for many MB of documents.
     """
+    spark = manifest.sparkSession
+    least = -(1 << 63)
+    bounds = manifest.orderBy("shard").select("shard", F.col("first_id").isNull().alias("null"), F.coalesce("first_id", F.lit(least)).alias("first"), F.coalesce("last_id", F.lit(least)).alias("last")).toPandas()
+    shared = spark.sparkContext.broadcast((bounds["shard"].to_numpy(), bounds["first"].to_numpy(), bounds["last"].to_numpy(), int(bounds["null"].sum())))
+
+    def route(found):
+        shards, first, last, nulls = shared.value
+        for b in found:
+            ids = b.column(0).to_pylist()
+            known = np.array([least if i is None else i for i in ids], np.int64)
+            begin, end = np.searchsorted(last, known), np.searchsorted(first, known, side="right")
+            spans = [range(nulls) if i is None else range(x, y) for i, x, y in zip(ids, begin.tolist(), end.tolist(), strict=True)]
+            rows = [(int(shards[k]), i) for i, span in zip(ids, spans, strict=True) for k in span]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([i for _, i in rows], pa.int64())], names=["shard", "_id"])
 
     def batches(found):
         open_ = {}
@@ -355,10 +387,8 @@ def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> Da
                 rows += [{id_col: doc_id, "ids": ids} for ids in open_[path].get(doc_id)]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
-    ids = wanted.select(F.col(id_col).cast("long").alias("_id"))
-    inside = F.coalesce((F.col("_id") >= F.coalesce("first_id", F.lit(-(1 << 63)))) & (F.col("_id") <= F.col("last_id")), F.col("_id").isNull() & F.col("first_id").isNull())
-    # the manifest has a row per shard of many MB, far fewer than documents: one row of it per 10^4 or more
-    return ids.join(manifest, inside).select("path", "_id").repartition("path").sortWithinPartitions("path", "_id").mapInArrow(batches, f"{id_col} long, ids array<int>")
+    asked = wanted.select(F.col(id_col).cast("long").alias("_id")).mapInArrow(route, "shard int, _id long")
+    return asked.join(manifest.select("shard", "path"), "shard").select("path", "_id").repartition("path").sortWithinPartitions("path", "_id").mapInArrow(batches, f"{id_col} long, ids array<int>")
 
 
 def op5_sstable(spark, sf_dir: str) -> DataFrame:
