@@ -1,248 +1,302 @@
 """Toxicity by a subsequence string kernel with Nystroem landmarks and a linear support vector machine.
 
-The kernel of two words sums over their common subsequences of three letters, each
-weighted by DECAY to the power of the lengths over which it stretches in either, and is
-normalised; so letters put in between or left out only lower it. Landmarks are words.
-A word closer to a clean look-alike (of the labelled clean texts' words those nearest to a
-landmark) than to a landmark has no kernel with that landmark. A text's kernel with a
-landmark is that of its closest word. The landmarks'
-own kernel matrix to the power -1/2 maps these values to features, on which a linear
-machine is trained with the hinge loss; a logistic curve over its margin is the score.
-
-Only words that can reach FLOOR with some landmark are compared: the part of a
-landmark's subsequences that a word's set of letters can spell bounds the kernel from
-above, and the sets of all words of a batch are found by array operations.
+A word's features are its subsequences of three letters (its beginning counts as a letter),
+each weighted by DECAY to the power of the length over which it stretches; the kernel of two
+words is the normalised inner product of these. So letters put in between or left out only lower it, in
+proportion to the subsequences that they touch. Landmarks are words, or beginnings of words, of the
+labelled toxic texts. A text's kernel with a landmark is that of its closest word, words being taken
+whole and by their beginnings; a word closer to a clean look-alike (of the labelled clean texts'
+words those nearest to a landmark) than to a landmark has no kernel with that landmark. The
+landmarks' own kernel matrix to the power -1/2 maps these values to features, on which a
+linear machine is trained with the hinge loss; a logistic curve over its margin is the score.
+
+The landmarks' subsequences are a table, so a word's kernels with all landmarks are sums of its
+rows; the largest entry of each row bounds them from above. All distinct words of a batch are
+bounded by array operations, and only those that can reach FLOOR are compared and kept by.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, held_out, long_texts, pieces, table, written
 
 ORDER, DECAY = 3, 0.75
-#: The normalised kernel is raised to this power (again a kernel), so that several faint likenesses don't add up to one word.
-POWER = 3
 #: Kernels below this count as nothing.
-FLOOR = 0.35
-#: Words are compared in windows of so many letters, each beginning half a window after the one before.
+FLOOR = 0.4
+#: Longer words are compared in windows of so many letters, each beginning half a window after the one before.
 WINDOW = 24
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\W_]{1,2}){2,}[^\W\d_](?![^\W_])")
+#: Words are compared by their beginnings of these lengths too.
+BEGINNINGS = (5, 7)
 _SENTENCE = re.compile(r"[.!?\n]+")
-_LETTERS = np.zeros(256, np.uint32)
-for _i in range(26):
-    _LETTERS[97 + _i] = _LETTERS[65 + _i] = 1 << _i
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: By length, no more than the norm of any word of that length: each subsequence as if no other were the same.
-_LEAST = np.array([0.999 * np.sqrt(sum((n - span + 1) * (span - 2) * DECAY ** (2 * span) for span in range(ORDER, n + 1))) for n in range(WINDOW + 1)])
-_DROP = bytes(b for b in range(128) if not (97 <= b <= 122) and b not in b" \t\n\r\x0b\x0c" and not 65 <= b <= 90)
-
-
-def _padded(words: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(words), max(1, max(map(len, words), default=1))), np.uint8)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w, np.uint8)
+_START, _OTHER = 27, 28
+#: By byte: 1 to 26 for a to z, 28 to 63 for other letters; 27 stands for the beginning of a word.
+_SYMBOL = np.array([b - 96 if 97 <= b <= 122 else _OTHER + b % 36 for b in range(256)], np.int32)
+
+
+@cache
+def _folds() -> np.ndarray:
+    """By code point below 65536: the byte of a letter (its base letter, or itself up to 255, others from 128 to 191), 32 for white space, 0 for what is left out."""
+    out = np.zeros(1 << 16, np.uint8)
+    for x in range((1 << 16) - 1):
+        c = chr(x)
+        if c.isspace():
+            out[x] = 32
+        elif c.isalpha():
+            base = ord(unicodedata.normalize("NFKD", c)[0]) if x > 255 else x
+            out[x] = base if base < 256 else 128 + x % 64
     return out
 
 
-def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Unnormalised kernels of rows of s with rows of t (or with one row): bytes, padded by zeros on the right."""
-    n, m = len(s), t.shape[1]
-    inner = [np.ones((n, m + 1))] + [np.zeros((n, m + 1)) for _ in range(ORDER - 1)]  # K'_i over prefixes of t
-    total = np.zeros(n)
-    for a in range(s.shape[1]):
-        x = s[:, a : a + 1]
-        same = (x == t) & (x > 0)
-        if not same.any():
-            for i in range(1, ORDER):
-                inner[i] *= DECAY
-            continue
-        total += (same * inner[ORDER - 1][:, :-1]).sum(1) * DECAY**2
-        for i in range(ORDER - 1, 0, -1):
-            run, step = np.zeros(n), same * inner[i - 1][:, :-1] * DECAY**2
-            grown = inner[i] * DECAY
-            for j in range(m):
-                run = run * DECAY + step[:, j]
-                grown[:, j + 1] += run
-            inner[i] = grown
-    return total
+def fold(text: str) -> np.ndarray:
+    """Bytes of the text's letters in lower case and its white space; digits, marks and punctuation are left out."""
+    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    out = _folds()[np.minimum(x, (1 << 16) - 1)]
+    return out[out > 0]
+
+
+@cache
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All i < j < k below n, and their weights."""
+    at = np.array(list(combinations(range(n), ORDER)), np.int32).reshape(-1, ORDER)
+    return at.T.copy(), (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
+
+
+def symbols(word: bytes, lead: int = _START) -> np.ndarray:
+    return np.append(np.int32(lead), _SYMBOL[np.frombuffer(word[:WINDOW], np.uint8)]).astype(np.int32)
+
+
+def _codes(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return s[:, at[0]] << 12 | s[:, at[1]] << 6 | s[:, at[2]]
+
+
+def norms(s: np.ndarray) -> np.ndarray:
+    """The kernels' own values, square roots: rows of symbols of one length."""
+    at, weight = _triples(s.shape[1])
+    codes = _codes(s, at)
+    by = np.argsort(codes, axis=1)
+    codes, weight = np.take_along_axis(codes, by, 1), weight[by].astype(np.float64)
+    sums = np.cumsum(weight, axis=1)
+    last = np.ones(codes.shape, bool)
+    last[:, :-1] = codes[:, 1:] != codes[:, :-1]
+    out = np.zeros(len(s))
+    for i in range(len(s)):
+        out[i] = np.sqrt((np.diff(sums[i, last[i]], prepend=0) ** 2).sum())
+    return out
+
+
+#: By number of symbols, no more than the norm of any word: each subsequence as if no other were the same.
+_LEAST = np.array([0.999 * np.sqrt((_triples(n)[1].astype(np.float64) ** 2).sum()) for n in range(WINDOW + 2)])
+
+
+class Table:
+    """The subsequences of fixed words: kernels of any word with all of them are sums of rows."""
+
+    def __init__(self, words: list[bytes]):
+        rows = [symbols(w) for w in words]
+        self.norms = np.array([norms(r[None])[0] for r in rows])
+        codes = [_codes(r[None], _triples(len(r))[0])[0] for r in rows]
+        known = np.unique(np.concatenate(codes)) if rows else np.zeros(0, np.int32)
+        self.at = np.zeros(1 << 18, np.int32)
+        self.at[known] = np.arange(1, len(known) + 1)
+        self.rows = np.zeros((len(known) + 1, len(words)), np.float32)
+        for j, (r, c) in enumerate(zip(rows, codes, strict=True)):
+            np.add.at(self.rows[:, j], self.at[c], _triples(len(r))[1] / self.norms[j])
+        self.top = self.rows.max(axis=1, initial=0)
+
+    def bounds(self, s: np.ndarray) -> np.ndarray:
+        """No less than any kernel of these rows of symbols, unnormalised on their side."""
+        at, weight = _triples(s.shape[1])
+        return self.top[self.at[_codes(s, at)]] @ weight
+
+    def kernels(self, s: np.ndarray) -> np.ndarray:
+        """Rows x words, unnormalised on the rows' side."""
+        at, weight = _triples(s.shape[1])
+        rows = self.at[_codes(s, at)]
+        out = np.zeros((len(s), self.rows.shape[1]), np.float32)
+        for c in np.flatnonzero(rows.any(axis=0)).tolist():
+            on = np.flatnonzero(rows[:, c])
+            out[on] += weight[c] * self.rows[rows[on, c]]
+        return out
 
 
 class Landmarks:
-    """Kernels with fixed words; per-word results are kept in a bounded table."""
-
-    def __init__(self, words: list[bytes], clean: list[bytes] = (), kept: int = 100_000):
-        self.words, self.kept, self.table = words, kept, {}
-        self.clean, self.clean_rows = set(clean), _padded(list(clean))
-        self.clean_norms = np.sqrt(np.maximum(kernel(self.clean_rows, self.clean_rows), 1e-300))
-        self.rows = [_padded([w]) for w in words]
-        self.norms = np.array([np.sqrt(kernel(r, r)[0]) for r in self.rows])
-        self.masks = np.array([int(np.bitwise_or.reduce(_LETTERS[np.frombuffer(w, np.uint8)])) for w in words], np.uint32)
-        self.bounds: dict[int, float] = {}  # by landmark and the letters of it that a word has
-        self.passes: dict[int, bool] = {}
+    """Kernels with fixed words; results of the words that come near are kept in a bounded table."""
+
+    def __init__(self, words: list[str], clean: list[str] = (), kept: int = 200_000):
+        self.words, self.kept, self.found = words, kept, {}
+        self.toxic = Table([fold(w).tobytes() for w in words])
+        self.clean = Table([fold(w).tobytes() for w in clean]) if len(clean) else None
 
     def matrix(self) -> np.ndarray:
-        k = np.array([[kernel(a, b)[0] for b in self.rows] for a in self.rows])
-        return (k / np.outer(self.norms, self.norms)) ** POWER
-
-    def passing(self, masks: np.ndarray) -> np.ndarray:
-        """Whether words with these letter sets can reach FLOOR with any landmark."""
-        seen, at = np.unique(masks, return_inverse=True)
-        if len(self.passes) > 500_000:
-            self.passes.clear(), self.bounds.clear()
-        for mask in seen.tolist():
-            if mask not in self.passes:
-                self.passes[mask] = any(self._part(j, mask & m) >= FLOOR for j, m in enumerate(self.masks.tolist()))
-        return np.fromiter(map(self.passes.__getitem__, seen.tolist()), bool, len(seen))[at]
-
-    def _part(self, j: int, letters: int) -> float:
-        key = j << 32 | letters
-        found = self.bounds.get(key)
-        if found is None:
-            part = np.where(_LETTERS[self.rows[j]] & np.uint32(letters), self.rows[j], 0)
-            found = self.bounds[key] = float(np.sqrt(kernel(part, self.rows[j])[0]) / self.norms[j])
-        return found
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.table]
-        if len(self.table) + len(new) > self.kept:
-            self.table = {w: self.table[w] for w in words if w in self.table}
-        for i in range(0, len(new), 4096):
-            run = sorted(new[i : i + 4096], key=len)
-            s = _padded(run)
-            masks = np.bitwise_or.reduce(_LETTERS[s], axis=1)
-            least = _LEAST[(s > 0).sum(1)]
-            got, own = np.zeros((len(run), len(self.words)), np.float32), np.ones(len(run))
-            found = []
-            for j, row in enumerate(self.rows):
-                seen, at = np.unique(masks & self.masks[j], return_inverse=True)
-                at = np.flatnonzero(np.fromiter((self._part(j, m) >= FLOOR for m in seen.tolist()), bool, len(seen))[at])
-                if len(at):
-                    k = kernel(s[at], row)
-                    near = k >= FLOOR * least[at] * self.norms[j]
-                    found.append((j, at[near], k[near]))
-            at = np.unique(np.concatenate([x for _, x, _ in found])) if found else np.zeros(0, int)
-            own[at] = np.sqrt(np.maximum(kernel(s[at], s[at]), 1e-300))
-            for j, x, k in found:
-                k = k / (own[x] * self.norms[j])
-                got[x, j] = np.where(k >= FLOOR, np.minimum(k, 1), 0)
-            self.table.update(dict.fromkeys(run))
-            for n in np.flatnonzero(got.any(1)).tolist():
-                w, k = run[n], got[n]
-                if len(self.clean):
-                    k[k <= self._likeness(w, own[n])] = 0
-                at = np.flatnonzero(k)
-                self.table[w] = (at, k[at]) if len(at) else None
-
-    def _likeness(self, w: bytes, norm: float) -> float:
-        """The kernel of a word with its closest clean look-alike."""
-        return 1.0 if w in self.clean else float((kernel(self.clean_rows, _padded([w])) / (self.clean_norms * norm)).max())
+        rows = [symbols(fold(w).tobytes()) for w in self.words]
+        return np.stack([self.toxic.kernels(r[None])[0] / n for r, n in zip(rows, self.toxic.norms, strict=True)]).astype(np.float64)
+
+    def near(self, s: np.ndarray) -> list:
+        """For each row of symbols the landmarks that it comes near and its kernels with them, or None."""
+        out, own = [None] * len(s), norms(s)[:, None]
+        k = self.toxic.kernels(s) / own
+        k = np.where(k >= FLOOR, np.minimum(k, 1), 0)
+        on = np.flatnonzero(k.any(axis=1))
+        if self.clean is not None and len(on):
+            like = (self.clean.kernels(s[on]) / own[on]).max(axis=1, keepdims=True)
+            k[on] = np.where(k[on] <= like + 1e-6, 0, k[on])
+        for i in on.tolist():
+            at = np.flatnonzero(k[i])
+            if len(at):
+                out[i] = (at, k[i, at])
+        return out
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """For each text the kernel of its closest word with each landmark (texts x landmarks)."""
         out = np.zeros((len(texts), len(self.words)), np.float32)
         if not texts or not self.words:
             return out
-        owners, words = self._words(texts)
-        self.learn(set(words))
-        found = [(i, *hit) for i, hit in zip(owners, map(self.table.__getitem__, words), strict=True) if hit is not None]
-        if found:
-            owner, at, k = zip(*found, strict=True)
-            np.maximum.at(out, (np.repeat(owner, list(map(len, at))), np.concatenate(at)), np.concatenate(k))
-        return out**POWER
-
-    def _words(self, texts: list[str]) -> tuple[list[int], list[bytes]]:
-        """The words that may come near a landmark, with their texts: lower-case letters, others left out, long ones in windows."""
-        data = [t.encode("utf-8", "replace").translate(_LOWER, _DROP) for t in texts]
-        joined = b" " + b" ".join(data) + b" "
-        b = np.frombuffer(joined, np.uint8)
-        space = b <= 32
+        for owners, s in self._words(texts):
+            key = np.ascontiguousarray(s.astype(np.uint8))
+            if key.shape[1] <= 10:  # six bits a symbol
+                packed = np.zeros(len(key), np.uint64)
+                for c in range(key.shape[1]):
+                    packed = packed << np.uint64(6) | key[:, c]
+            else:
+                packed = key.view(np.dtype((np.void, key.shape[1]))).ravel()
+            _, first, of = np.unique(packed, return_index=True, return_inverse=True)
+            least = FLOOR * _LEAST[s.shape[1]]
+            hit = np.concatenate([np.flatnonzero(self.toxic.bounds(s[first[i : i + 4096]]) >= least) + i for i in range(0, len(first), 4096)])
+            if not len(hit):
+                continue
+            words = [key[i].tobytes() for i in first[hit].tolist()]
+            if len(self.found) + len(words) > self.kept:
+                self.found.clear()
+            new = [i for i, w in zip(first[hit].tolist(), words, strict=True) if w not in self.found]
+            for i in range(0, len(new), 1024):
+                part = new[i : i + 1024]
+                self.found.update(zip((key[j].tobytes() for j in part), self.near(s[part]), strict=True))
+            near = np.full(len(first), -1)
+            got = [self.found[w] for w in words]
+            near[hit] = [-1 if g is None else i for i, g in enumerate(got)]
+            at = near[of]
+            for row in np.flatnonzero(at >= 0).tolist():
+                which, k = got[at[row]]
+                out[owners[row], which] = np.maximum(out[owners[row], which], k)
+        return out
+
+    @staticmethod
+    def _words(texts: list[str]):
+        """By length: the texts of the words, and their symbols. Letters that stand alone in a row of three or more are a word too."""
+        folded = [fold(t) for t in texts]
+        sizes = np.cumsum([len(f) + 1 for f in folded])
+        b = np.full(int(sizes[-1]) + 1, 32, np.uint8)
+        for f, end in zip(folded, sizes.tolist(), strict=True):
+            b[end - len(f) : end] = f
+        space = b == 32
         starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
-        owners, words = [], []
-        if len(starts):
-            letters = _LETTERS[b]
-            letters[space] = 0
-            ok = np.flatnonzero(self.passing(np.bitwise_or.reduceat(letters, starts)) & (ends - starts >= ORDER))
-            begins = np.cumsum([1] + [len(d) + 1 for d in data])
-            owners = (np.searchsorted(begins, starts[ok], side="right") - 1).tolist()
-            words = [joined[s:e] for s, e in zip(starts[ok].tolist(), ends[ok].tolist(), strict=True)]
-        for i, text in enumerate(texts):
-            for spelled in _SPELLED.findall(text):
-                owners.append(i)
-                words.append(re.sub(rb"[^a-z]", b"", spelled.lower().encode("utf-8", "replace")))
-        for i, w in list(zip(owners, words, strict=True)):
-            if len(w) > WINDOW:
-                parts = [w[k : k + WINDOW] for k in range(0, len(w) - WINDOW // 2, WINDOW // 2)]
-                owners += [i] * len(parts)
-                words += parts
-        return owners, [w if len(w) <= WINDOW else b"" for w in words]
+        owners, lens = np.searchsorted(sizes, starts, side="left"), ends - starts
+        alone = np.concatenate([[False], lens == 1, [False]])
+        runs = []
+        edges = np.flatnonzero(alone[1:] != alone[:-1])
+        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # words i to j - 1 are single letters
+            for own in np.unique(owners[i:j]).tolist() if j - i >= ORDER else ():
+                at = np.arange(i, j)[owners[i:j] == own]
+                if len(at) >= ORDER:
+                    runs.append((own, b[starts[at]]))
+        if runs:
+            more = np.cumsum([len(b), *[len(r) for _, r in runs]])
+            b = np.concatenate([b, *[r for _, r in runs]])
+            starts, ends = np.concatenate([starts, more[:-1]]), np.concatenate([ends, more[1:]])
+            owners, lens = np.concatenate([owners, [o for o, _ in runs]]), ends - starts
+        lead = np.full(len(starts), _START, np.int32)
+        long = np.flatnonzero(lens > WINDOW)
+        if len(long):
+            half = WINDOW // 2
+            n = np.maximum(1, -(-lens[long] // half) - 1)
+            of = np.repeat(long, n)
+            step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            begin = starts[of] + step * half
+            rest = np.delete(np.arange(len(starts)), long)
+            size = np.minimum(WINDOW, ends[of] - begin)
+            starts, owners, lens = np.concatenate([starts[rest], begin]), np.concatenate([owners[rest], owners[of]]), np.concatenate([lens[rest], size])
+            lead = np.concatenate([lead[rest], np.where(step == 0, _START, 0).astype(np.int32)])
+        parts = [(starts, owners, lens, lead)]
+        for n in BEGINNINGS:
+            at = np.flatnonzero((lens > n) & (lead > 0))
+            parts.append((starts[at], owners[at], np.full(len(at), n), lead[at]))
+        starts, owners, lens, lead = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for n in range(ORDER, WINDOW + 1):
+            at = np.flatnonzero(lens == n)
+            for i in range(0, len(at), 200_000):
+                some = at[i : i + 200_000]
+                yield owners[some], np.concatenate([lead[some, None], _SYMBOL[b[starts[some, None] + np.arange(n)]]], axis=1)
 
 
 class Model:
     """Landmarks, their clean look-alikes, their map, the machine's weights and the logistic curve; plain arrays, the same size for any corpus."""
 
-    def __init__(self, words, clean, whiten, weights, bias, slope, offset):
-        self.words, self.clean, self.whiten, self.weights, self.bias, self.slope, self.offset = words, clean, whiten, weights, bias, slope, offset
+    def __init__(self, words, clean, whiten, weights, slope):
+        self.words, self.clean, self.whiten, self.weights, self.slope = words, clean, whiten, weights, slope
 
     def scores(self, kernels: np.ndarray) -> np.ndarray:
-        margin = kernels.astype(np.float64) @ self.whiten @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
+        margin = kernels.astype(np.float64) @ self.whiten @ self.weights - 1
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin, -40, 40)))
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
-    """(w, t, c): in how many toxic and clean texts of the sample a word is, near copies of a text counted once.
-
-    Texts whose two least word hashes agree count as copies.
-    """
-    words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^a-z\s]", ""), r"\s+"))
+    """(w, t, c, whole): in how many toxic and clean texts of the sample a word or the beginning of one is, near copies of a text
+    counted once, and in how many it is a whole word. Texts whose two least word hashes agree count as copies."""
+    cleaned = F.regexp_replace(F.lower("text"), r"[^\p{L}\s]", "")
+    words = F.filter(F.array_distinct(F.split(cleaned, r"\s+")), lambda w: (F.length(w) >= 4) & (F.length(w) <= 16))
     texts = sample.select("toxic", words.alias("ws")).withColumn("copy", F.hash(F.slice(F.array_sort(F.transform("ws", lambda w: F.xxhash64(w))), 1, 2)))
-    each = texts.select("toxic", "copy", F.explode("ws").alias("w")).where((F.length("w") >= ORDER) & (F.length("w") <= 16)).groupBy("w", "toxic", "copy").agg(F.count("*").alias("n"))
-    return each.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-
-
-def _landmark_words(counts: DataFrame, most: int) -> list[bytes]:
-    """The words most bound to toxic texts.
-
-    A word qualifies if a lower bound of how much likelier it is in toxic texts is above 1,
-    and its logarithm half of the best one's or more.
-    """
-    bound = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5)) - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    found = counts.where("t >= 4").select("w", bound.alias("b")).where("b > 0").orderBy(F.desc("b"), "w").limit(most).collect()
-    return sorted(r.w.encode() for r in found if r.b >= found[0].b / 2)
-
-
-def _lookalikes(counts: DataFrame, words: list[bytes], most: int) -> list[bytes]:
-    """The words closest to a landmark among those of two clean texts or more that are in more clean texts than toxic ones."""
+    begun = F.flatten(F.transform("ws", lambda w: F.transform(F.sequence(F.lit(4), F.least(F.length(w), F.lit(10))), lambda n: F.substring(w, F.lit(1), n))))
+    both = F.concat(F.transform("ws", lambda w: F.struct(w.alias("w"), F.lit(1).alias("whole"))), F.transform(F.array_distinct(begun), lambda w: F.struct(w.alias("w"), F.lit(0).alias("whole"))))
+    each = texts.select("toxic", "copy", F.inline(both)).groupBy("w", "toxic", "copy").agg(F.max("whole").alias("whole"))
+    return each.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.sum("whole").alias("whole"))
+
+
+def _landmark_words(counts: DataFrame, toxic: int, clean: int, most: int) -> list[str]:
+    """The words and beginnings most bound to toxic texts: at least ten times likelier there, and by a likelihood
+    ratio that chance does not reach among so many words. Of beginnings nearly as frequent as a longer one, only the longest stays."""
+    p = toxic / max(1, toxic + clean)
+    n = F.col("t") + F.col("c")
+    ratio = 2 * (F.col("t") * F.log(F.col("t") / (n * p)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - p)))).otherwise(0.0))
+    least = 2 * np.log(100.0 * max(1, counts.count()))
+    bound = counts.where((F.col("t") >= 4) & (F.col("t") * clean >= 10 * F.col("c") * toxic)).withColumn("g", ratio).where(F.col("g") >= float(least))
+    found = bound.orderBy(F.desc("g"), "w").limit(20 * most).collect()
+    t, longer = {r.w: r.t for r in found}, set()
+    for w in sorted(t, key=lambda w: (-len(w), w)):
+        for n in range(4, len(w)):
+            if t.get(w[:n], 0) * 0.9 <= t[w]:
+                longer.add(w[:n])
+    return sorted([r.w for r in found if r.w not in longer][:most])
+
+
+def _lookalikes(counts: DataFrame, words: list[str], most: int) -> list[str]:
+    """For each landmark the words closest to it, most of them, among those of two clean texts or more that are likelier there than in toxic ones."""
 
     def nearest(found):
         marks = Landmarks(words)
         for b in found:
-            ws = [w.encode() for w in b.column(0).to_pylist()]
-            marks.learn(set(ws))
-            k = [0.0 if marks.table[w] is None else float(marks.table[w][1].max()) for w in ws]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k, pa.float64())], names=["w", "k"])
-
-    near = counts.where("c >= 2 and c > t").select("w").mapInArrow(nearest, "w string, k double").where("k > 0")
-    return sorted(r.w.encode() for r in near.orderBy(F.desc("k"), "w").limit(most).collect() if r.w.encode() not in words)
-
+            k = marks.texts(b.column(0).to_pylist())
+            row, at = np.nonzero(k)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(at, pa.int64()), pa.array(k[row, at].astype(np.float64), pa.float64())], names=["w", "mark", "k"])
 
-def disguises(words: list[bytes]) -> list[bytes]:
-    """Each word with a letter doubled, any letter put in, or an inner letter left out, at every place."""
-    out = {w[: i + 1] + w[i:] for w in words for i in range(len(w))}
-    out |= {w[:i] + bytes([x]) + w[i:] for w in words for i in range(1, len(w)) for x in range(97, 123)}
-    return sorted(out | {w[:i] + w[i + 1 :] for w in words for i in range(1, len(w) - 1) if len(w) > ORDER})
+    near = counts.where("whole > 0 and c >= 2 and c > t").select("w").mapInArrow(nearest, "w string, mark long, k double")
+    first = Window.partitionBy("mark").orderBy(F.desc("k"), "w")
+    near = near.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= most).select("w").distinct()
+    return sorted(r.w for r in near.collect() if r.w not in words)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, landmarks: int = 24, lookalikes: int = 128, sentences: int = 8, ridge: float = 1e-4, rounds: int = 2000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, landmarks: int = 128, lookalikes: int = 24, sentences: int = 8, ridge: float = 1e-4, rounds: int = 2000) -> Model:
     """Fits on at most per_class labelled texts of either class, by the md5 of their ids (a documented bound),
     and on up to sentences sentences of each toxic one, as far as text and sentences hold a landmark, and of
-    each clean one, as far as they come near to a landmark. Disguises of the landmarks teach by themselves
-    and put into clean texts.
+    each clean one, as far as they come near to a landmark. Nothing but labelled texts teaches.
 
     An id labelled more than once counts once for each class that it has. Without
     labels of both classes the model scores everything 0.
@@ -252,53 +306,47 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")  # at most 2 x per_class rows of two numbers
     rows = written(rows, "toxicity-sample")
     counts = written(_word_counts(rows), "toxicity-words")
-    words = _landmark_words(counts, landmarks)
+    per = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    words = _landmark_words(counts, per.get(1, 0), per.get(0, 0), landmarks) if len(per) == 2 else []
     clean = _lookalikes(counts, words, lookalikes) if words else []
 
     def kernels(found):
         marks = Landmarks(words, clean)
         for b in found:
-            toxic, rows = [], []
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = [text or ""] + [s for s in _SENTENCE.split(text or "") if s]
-                k = marks.texts(parts)
-                # a toxic text teaches by itself and by its sentences, as far as they hold a landmark: the others don't show why it is
-                near = [0, *[i for i in range(1, len(parts)) if k[i].any()][:sentences]] if label == 0 else [i for i in range(len(parts)) if k[i].max(initial=0) >= 0.97][: sentences + 1]
-                toxic += [label] * len(near)
-                rows += k[near].tolist()
+            toxic, rows, at = [], [], 0
+            labels_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for run in pieces((t or "" for t in texts), 1_000_000):
+                parts = [[text] + [s for s in _SENTENCE.split(text) if s] for text in run]
+                k, begin = marks.texts([p for some in parts for p in some]), 0
+                for some in parts:
+                    mine, begin, label, at = k[begin : begin + len(some)], begin + len(some), labels_[at], at + 1
+                    # a toxic text teaches by itself and by its sentences, as far as they hold a landmark: the others don't show why it is
+                    near = [0, *[i for i in range(1, len(mine)) if mine[i].any()][:sentences]] if label == 0 else [i for i in range(len(mine)) if mine[i].max(initial=0) >= 0.97][: sentences + 1]
+                    toxic += [label] * len(near)
+                    rows += mine[near].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["toxic", "k"])
 
-    got = rows.select("toxic", "text").repartition(8).mapInArrow(kernels, "toxic int, k array<float>").toPandas() if words else None
+    got = rows.select("toxic", "text").repartition(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(kernels, "toxic int, k array<float>").toPandas() if words else None  # per_class x (sentences + 1) rows of each class at most
     if got is None or got.toxic.nunique() < 2:
-        return Model([], [], np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, -40.0)
+        return Model([], [], np.zeros((0, 0)), np.zeros(0), 1.0)
     k, y = np.array(got.k.to_list(), np.float64), np.where(got.toxic == 1, 1.0, -1.0)
     k = k[np.lexsort((*k.T, y))]  # the same sums whatever the order of rows
     y = np.sort(y)
-    odd = Landmarks(words, clean).texts([w.decode() for w in disguises(words)])
-    odd = odd[odd.any(axis=1)].astype(np.float64)  # the others are clean words themselves, or too far from all landmarks
-    calm = k[y < 0]
-    k = np.concatenate([k, odd, np.maximum(odd, calm[np.arange(len(odd)) % len(calm)])])
-    y = np.concatenate([y, np.ones(2 * len(odd))])
     values, vectors = np.linalg.eigh(Landmarks(words).matrix())
-    whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
     x = k @ whiten
-    w, bias, mean_w, mean_b = np.zeros(x.shape[1]), 0.0, 0.0, 0.0
-    for i in range(rounds):  # subgradient steps on the hinge loss, averaged over the second half
-        on = (y * (x @ w + bias) < 1) * y / len(y)
-        step = 1 / (ridge * (i + 100))
-        w, bias = w - step * (ridge * w - on @ x), bias + step * on.sum()
-        if i >= rounds // 2:
-            mean_w, mean_b = mean_w + w, mean_b + bias
-    w, bias = mean_w / (rounds - rounds // 2), mean_b / (rounds - rounds // 2)
-    margin = x @ w + bias
-    scale = max(margin.std(), 1e-9)
-    m, a, c, target = margin / scale, 0.0, 0.0, (y + 1) / 2
-    for _ in range(50):  # Newton steps for the logistic curve
-        p = 1 / (1 + np.exp(-np.clip(a * m + c, -40, 40)))
-        h = p * (1 - p) + 1e-6
-        hess = np.array([[(h * m * m).sum(), (h * m).sum()], [(h * m).sum(), h.sum()]]) + 1e-3 * np.eye(2)
-        a, c = np.array([a, c]) - np.linalg.solve(hess, [((p - target) * m).sum() + 1e-3 * a, (p - target).sum() + 1e-3 * c])
-    return Model(words, clean, whiten, w, bias, a / scale, c)
+    w, mean = np.zeros(x.shape[1]), 0.0
+    share = 1 / len(y)
+    for i in range(rounds):  # subgradient steps on the hinge loss, averaged over the second half; a text without any landmark has the margin -1
+        on = (y * (x @ w - 1) < 1) * y * share
+        w = w - (ridge * w - on @ x) / (ridge * (i + 100))
+        mean = mean + w if i >= rounds // 2 else mean
+    w = mean / (rounds - rounds // 2)
+    m, slope, target = x @ w - 1, 1.0, (y + 1) / 2
+    for _ in range(50):  # Newton steps for the slope of the logistic curve
+        p = 1 / (1 + np.exp(-np.clip(slope * m, -40, 40)))
+        slope = float(np.clip(slope - ((p - target) @ m * share + 1e-3 * slope) / ((p * (1 - p)) @ (m * m) * share + 1e-3), 0.5, 10))
+    return Model(words, clean, whiten, w, slope)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,10 +360,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def batches(found):
         marks = Landmarks(model.words, model.clean)
         for b in found:
-            k = [marks.texts(run) for run in pieces(t.as_py() or "" for t in b.column(1))]
+            k = [marks.texts(run) for run in pieces((t.as_py() or "" for t in b.column(1)), 2_000_000)]
             k = np.concatenate(k) if k else np.zeros((0, len(model.words)), np.float32)
             s = model.scores(k) if len(model.words) else np.zeros(len(k))
-            near = [model.words[int(np.argmax(x))].decode() if len(x) and x.max() > 0 else None for x in k]
+            near = [model.words[int(np.argmax(x))] if len(x) and x.max() > 0 else None for x in k]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(near, pa.string())], names=[id_col, "score", "predicted", "closest"])
 
     return long_texts(docs).select(id_col, text_col).mapInArrow(batches, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int, closest string")
