@@ -31,7 +31,7 @@ from .common import bounded_sample, held_out, long_texts, pieces, table, written
 
 ORDER, DECAY = 3, 0.75
 #: Kernels below this count as nothing.
-FLOOR = 0.4
+FLOOR = 0.45
 #: Longer words are compared in windows of so many letters, each beginning half a window after the one before.
 WINDOW = 24
 #: Words are compared by their beginnings of these lengths too.
@@ -84,13 +84,11 @@ def norms(s: np.ndarray) -> np.ndarray:
     codes = _codes(s, at)
     by = np.argsort(codes, axis=1)
     codes, weight = np.take_along_axis(codes, by, 1), weight[by].astype(np.float64)
-    sums = np.cumsum(weight, axis=1)
-    last = np.ones(codes.shape, bool)
-    last[:, :-1] = codes[:, 1:] != codes[:, :-1]
-    out = np.zeros(len(s))
-    for i in range(len(s)):
-        out[i] = np.sqrt((np.diff(sums[i, last[i]], prepend=0) ** 2).sum())
-    return out
+    first = np.ones(codes.shape, bool)
+    first[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    sums = np.bincount(np.cumsum(first) - 1, weights=weight.ravel())  # of each subsequence of each row
+    of = np.nonzero(first)[0]
+    return np.sqrt(np.bincount(of, weights=sums**2, minlength=len(s)))
 
 
 #: By number of symbols, no more than the norm of any word: each subsequence as if no other were the same.
@@ -111,20 +109,30 @@ class Table:
         for j, (r, c) in enumerate(zip(rows, codes, strict=True)):
             np.add.at(self.rows[:, j], self.at[c], _triples(len(r))[1] / self.norms[j])
         self.top = self.rows.max(axis=1, initial=0)
+        starts = sorted({w[:2] for w in words})
+        self.tops = np.stack([self.rows[:, [j for j, w in enumerate(words) if w[:2] == x]].max(axis=1) for x in starts], axis=1) if words else self.rows
 
     def bounds(self, s: np.ndarray) -> np.ndarray:
         """No less than any kernel of these rows of symbols, unnormalised on their side."""
         at, weight = _triples(s.shape[1])
         return self.top[self.at[_codes(s, at)]] @ weight
 
-    def kernels(self, s: np.ndarray) -> np.ndarray:
+    def reach(self, s: np.ndarray, least: float) -> np.ndarray:
+        """The rows whose kernel with a word may be least: bounded first over all words, then over those that begin alike."""
+        on = np.flatnonzero(self.bounds(s) >= least)
+        return on[self.kernels(s[on], self.tops).max(axis=1, initial=0) >= least]
+
+    def kernels(self, s: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         """Rows x words, unnormalised on the rows' side."""
+        table = self.rows if table is None else table
         at, weight = _triples(s.shape[1])
         rows = self.at[_codes(s, at)]
-        out = np.zeros((len(s), self.rows.shape[1]), np.float32)
-        for c in np.flatnonzero(rows.any(axis=0)).tolist():
-            on = np.flatnonzero(rows[:, c])
-            out[on] += weight[c] * self.rows[rows[on, c]]
+        out = np.zeros((len(s), table.shape[1]), np.float32)
+        for i in range(0, len(s), 1024):
+            of, c = np.nonzero(rows[i : i + 1024])
+            if len(of):
+                begin = np.flatnonzero(np.diff(of, prepend=-1))
+                out[of[begin] + i] = np.add.reduceat(weight[c, None] * table[rows[of + i, c]], begin, axis=0)
         return out
 
 
@@ -142,13 +150,15 @@ class Landmarks:
 
     def near(self, s: np.ndarray) -> list:
         """For each row of symbols the landmarks that it comes near and its kernels with them, or None."""
-        out, own = [None] * len(s), norms(s)[:, None]
-        k = self.toxic.kernels(s) / own
-        k = np.where(k >= FLOOR, np.minimum(k, 1), 0)
-        on = np.flatnonzero(k.any(axis=1))
+        out, k = [None] * len(s), self.toxic.kernels(s)
+        on = np.flatnonzero(k.max(axis=1, initial=0) >= FLOOR * _LEAST[s.shape[1]])
+        own = norms(s[on])[:, None]
+        near = k[on] / own
+        near = np.where(near >= FLOOR, np.minimum(near, 1), 0)
         if self.clean is not None and len(on):
-            like = (self.clean.kernels(s[on]) / own[on]).max(axis=1, keepdims=True)
-            k[on] = np.where(k[on] <= like + 1e-6, 0, k[on])
+            like = (self.clean.kernels(s[on]) / own).max(axis=1, keepdims=True)
+            near = np.where(near <= like + 1e-6, 0, near)
+        k[on] = near
         for i in on.tolist():
             at = np.flatnonzero(k[i])
             if len(at):
@@ -170,7 +180,7 @@ class Landmarks:
                 packed = key.view(np.dtype((np.void, key.shape[1]))).ravel()
             _, first, of = np.unique(packed, return_index=True, return_inverse=True)
             least = FLOOR * _LEAST[s.shape[1]]
-            hit = np.concatenate([np.flatnonzero(self.toxic.bounds(s[first[i : i + 4096]]) >= least) + i for i in range(0, len(first), 4096)])
+            hit = np.concatenate([self.toxic.reach(s[first[i : i + 4096]], least) + i for i in range(0, len(first), 4096)])
             if not len(hit):
                 continue
             words = [key[i].tobytes() for i in first[hit].tolist()]
