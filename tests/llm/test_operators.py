@@ -144,7 +144,7 @@ def test_parts_of_large_filters_and_tiles_give_the_same(spark, points, monkeypat
 
 def test_forest_recall_and_order(spark, points):
     got = collections.defaultdict(list)
-    for r in forest.nearest(points, every=10, k=10).collect():
+    for r in forest.nearest(points, every=10, k=10, recall=1.0).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in points.collect() if r.vec_id is not None and r.vec_id < 300]
     for q in range(0, 300, 10):
@@ -156,15 +156,55 @@ def test_forest_recall_and_order(spark, points):
     assert forest.nearest(points.where("vec_id in (0, 3)"), every=1).count() >= 2
 
 
-def test_forest_recall_over_blocks():
+def brute_nearest(x, at, k=10):
+    far = np.sqrt(((x - x[at]) ** 2).sum(1))
+    return [i for i in np.lexsort((np.arange(len(x)), far)).tolist() if i != at][:k]
+
+
+@pytest.mark.parametrize("block, share", [(700, 0.6), (400, 0.6)])
+def test_forest_recall_over_blocks(spark, monkeypatch, block, share):
+    """Several blocks, with and without the bound that a sample of them gives; the share of rows that are compared."""
+    monkeypatch.setattr(forest, "SAMPLE", 2)
     r = np.random.default_rng(1)
-    x = r.normal(size=(3000, 32))
-    f = forest.Forest(x, 96)
-    keys, hit = f.keys(x[:30]), 0
-    for i in range(30):
-        at = set(f.candidates(keys[:, i], 0.6, 11).tolist())
-        hit += len(at & set(np.argsort(((x - x[i]) ** 2).sum(1))[:11].tolist()))
-    assert hit >= 0.9 * 330
+    x = np.concatenate([r.normal(size=(1500, 32)), r.normal(size=(20, 32))[r.integers(0, 20, 500)] * 2 + r.normal(size=(500, 32)) * 0.3])
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for row in forest.nearest(d, block=block, every=20).collect():
+        got[row.query_id].add(row.vec_id)
+    hit = [len(got[q] & set(brute_nearest(x, q))) for q in range(0, len(x), 20)]
+    assert len(got) == 100 and sum(hit) >= 0.9 * 1000
+    rows = d.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("v"))
+    trees, depth = forest._measured(rows, rows.where("_id % 20 = 0"), 32, 10, 96, 0.94)
+    seen = forest.Forest(x, trees).candidates(trees.keys(x[1500:1700]), depth, 11)
+    assert seen.mean() < share and depth > 2
+
+
+def test_prefixes_ascend_together():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 16))
+    trees = forest.Trees(np.zeros(16), 8)
+    f, keys = forest.Forest(x, trees), trees.keys(x)
+    for depth in (0, 3, 6):
+        seen = f.candidates(keys[:, :20], depth, 5)
+        for q in range(20):
+            shared = forest.shared_depth(np.repeat(keys[:, q : q + 1], 400, axis=1), keys)
+            want = next(shared >= n for n in range(depth, -1, -1) if (shared >= n).sum() >= 5)
+            assert (seen[q] == want).all()
+
+
+def test_filters_find_pairs_at_the_threshold(spark):
+    """Planted pairs with a cosine of 0.90 to 0.92, for several sizes of the book."""
+    for book in (64, 128, 512):
+        made = vectors.codes_for(64, book, 0.9, 0.98)
+        assert vectors.found_together(made, 0.9, pairs=2000, seed=77) >= 0.95
+    r = np.random.default_rng(4)
+    x = unit(r.normal(size=(1000, 64)))
+    y = r.normal(size=(1000, 64))
+    y = unit(y - (y * x).sum(1, keepdims=True) * x)
+    c = r.uniform(0.9001, 0.92, size=(1000, 1))
+    both = np.concatenate([x, c * x + np.sqrt(1 - c**2) * y])
+    got = vectors.near_duplicates(spark.createDataFrame([(i, v) for i, v in enumerate(both.tolist())], "vec_id long, embedding array<double>"))
+    assert got.agg(F.sum("n_links")).first()[0] >= 0.95 * ((both @ both.T >= 0.9).sum() - len(both))
 
 
 # 3 languages

@@ -1,14 +1,21 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-Each tree gives every vector a string of 64 bits, the sides of 64 random hyperplanes on
-which it lies, and keeps the strings as one sorted array, so that the vectors that
-share a prefix of any length with a query lie next to each other. A query descends to
-its longest prefixes in all trees, and then ascends in all trees at once, a bit at a
-time, until the prefixes' ranges hold enough candidates; their distances are exact.
-
-The rows are dealt to blocks of bounded size by their ids' hash, each block has its own
-forest over all of its rows, and every block of queries meets every block of rows once.
-A block returns a query's nearest; the nearest of all blocks are the result.
+Each tree gives every vector a string of BITS bits, the sides of as many random hyperplanes on
+which it lies, and keeps the strings as sorted arrays, so that the vectors that share a prefix
+of any length with a query lie next to each other. A query descends to its longest
+prefixes in all trees, and then ascends in all trees at once, a bit at a time, to the
+depth at which the forest finds enough of the nearest; their distances are exact.
+
+That depth is measured: for PILOTS queries the nearest rows are found by comparing them with all
+rows, and the depth is the largest at which the forest holds the wanted share of these.
+More rows have nearer neighbours, which share longer prefixes, so the share of rows that are compared falls as
+tables grow. On vectors without any clusters it is large for small tables, whatever the
+index: what is near is hardly nearer than the rest.
+
+The trees' hyperplanes are the same everywhere. Rows are dealt to blocks of bounded size by their ids' hash, and
+a block sorts its own strings: all blocks' ranges together are the ranges of one forest over all rows.
+Where there are many blocks, the first SAMPLE-th of them bounds each query's distances, so
+that the others return only what can still be among the nearest.
 """
 
 from __future__ import annotations
@@ -21,54 +28,122 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .vectors import clean
 
-BITS = 64
+BITS, PILOTS, SAMPLE = 32, 64, 32
 
 
-class Forest:
-    def __init__(self, x: np.ndarray, trees: int, seed: int = 5):
-        self.x, self.trees = x, trees
-        self.center = x.mean(0)
-        self.planes = np.random.default_rng(seed).normal(size=(x.shape[1], trees * BITS)).astype(np.float32)
-        keys = self.keys(x)
-        self.order = np.argsort(keys, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(keys, self.order, 1)
+class Trees:
+    """Hyperplanes through center: trees x BITS of them."""
+
+    def __init__(self, center: np.ndarray, trees: int, seed: int = 5):
+        self.center, self.trees = center, trees
+        self.planes = np.random.default_rng(seed).normal(size=(len(center), trees * BITS)).astype(np.float32)
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """trees x rows strings, the first hyperplane in the highest bit."""
-        out = np.empty((self.trees, len(x)), np.uint64)
+        out = np.empty((self.trees, len(x)), np.uint32)
         for s in range(0, len(x), 1024):
-            sides = (x[s : s + 1024] - self.center).astype(np.float32) @ self.planes > 0
-            packed = np.packbits(sides.reshape(len(sides), self.trees, BITS), axis=2)
-            out[:, s : s + 1024] = packed.view(">u8")[:, :, 0].T
+            y = x[s : s + 1024] - self.center
+            y = y / np.maximum(np.abs(y).max(axis=1, keepdims=True), 1e-300)  # sides don't depend on lengths
+            sides = y.astype(np.float32) @ self.planes > 0
+            out[:, s : s + 1024] = np.packbits(sides.reshape(len(sides), self.trees, BITS), axis=2).view(">u4")[:, :, 0].T
         return out
 
-    def candidates(self, keys: np.ndarray, enough: float, least: int) -> np.ndarray:
-        """Rows met by one query (its strings) when all trees have ascended to the same prefix length."""
-        need, found = min(enough * len(self.x), self.trees * len(self.x)), None
-        low, high = 0, BITS  # ranges only grow as prefixes get shorter: the longest length that has enough, by halves
-        while low < high:
-            mid = (low + high + 1) // 2
-            begin, end = self._ranges(keys, mid)
-            if (end - begin).sum() >= need:
-                low = mid
-            else:
-                high = mid - 1
-        for length in range(low, -1, -1):
-            begin, end = self._ranges(keys, length)
-            seen = np.zeros(len(self.x), bool)
+
+def shared_depth(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For columns of strings the longest prefix that they share in any tree."""
+    differ = (a ^ b).astype(np.float64)
+    return (BITS - np.ceil(np.log2(differ + 1))).max(axis=0).astype(int)
+
+
+class Forest:
+    """The sorted strings of some rows."""
+
+    def __init__(self, x: np.ndarray, trees: Trees):
+        keys = trees.keys(x)
+        self.n, self.trees = len(x), trees.trees
+        self.order = np.argsort(keys, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(keys, self.order, 1)
+
+    def candidates(self, keys: np.ndarray, depth: int, least: int) -> np.ndarray:
+        """Queries x rows: what is met from the longest prefixes up to depth, and further up where fewer than least rows are."""
+        seen = np.zeros((keys.shape[1], self.n), bool)
+        open_ = np.arange(keys.shape[1])
+        for length in range(min(depth, BITS), -1, -1):
+            low = keys[:, open_] & np.uint32(((1 << length) - 1) << (BITS - length))
+            high = low | np.uint32((1 << (BITS - length)) - 1)
             for t in range(self.trees):
-                seen[self.order[t, begin[t] : end[t]]] = True
-            found = np.flatnonzero(seen)
-            if len(found) >= min(least, len(self.x)):
+                begin, end = np.searchsorted(self.sorted[t], low[t]), np.searchsorted(self.sorted[t], high[t], side="right")
+                for q, i, j in zip(open_.tolist(), begin.tolist(), end.tolist(), strict=True):
+                    seen[q, self.order[t, i:j]] = True
+            open_ = open_[seen[open_].sum(axis=1) < min(least, self.n)]
+            if not len(open_):
                 break
-        return found
+        return seen
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x from q; scaled, so that no square overflows or vanishes."""
+    away = x - q
+    most = np.abs(away).max(initial=0)
+    scale = 1.0 if 1e-100 < most < 1e100 or most == 0 else 2.0 ** np.floor(np.log2(most))
+    return scale * np.sqrt(((away / scale) ** 2).sum(axis=1))
+
+
+def best(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, within: float) -> tuple[list, list]:
+    """Ids and distances of the k nearest rows but the query's own, ties to the smaller id."""
+    on = ids != own
+    far = distances(x[on], q)
+    near = np.flatnonzero(far <= within)
+    near = near[np.lexsort((ids[on][near], far[near]))[:k]]
+    return ids[on][near].tolist(), far[near].tolist()
 
-    def _ranges(self, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        rest = np.uint64((1 << (BITS - length)) - 1)
-        first, last = keys & ~rest, keys | rest
-        begin = np.array([np.searchsorted(self.sorted[t], first[t]) for t in range(self.trees)])
-        end = np.array([np.searchsorted(self.sorted[t], last[t], side="right") for t in range(self.trees)])
-        return begin, end
+
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _found(rows: list) -> pa.Table:
+    q, i, d = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.Table.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "other", "score"])
+
+
+def _measured(rows: DataFrame, queries: DataFrame, dim: int, k: int, trees: int, recall: float) -> tuple[Trees, int]:
+    """The trees of the vectors of one length, and the depth at which the pilots' nearest are found."""
+
+    def sums(found):
+        total, n = np.zeros(dim), 0
+        for b in found:
+            x = _matrix(b.column(0))
+            total, n = total + x.sum(axis=0), n + len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n], pa.int64())], names=["total", "n"])
+
+    added = rows.select("v").mapInArrow(sums, "total array<double>, n long").select(F.posexplode("total"), "n").groupBy("pos").agg((F.sum("col") / F.sum("n")).alias("mean"))
+    center = np.array([r["mean"] for r in added.orderBy("pos").collect()])
+    made = Trees(np.where(np.isfinite(center), center, 0.0), trees)
+    pilots = queries.orderBy(F.xxhash64("_id"), "_id").limit(PILOTS).collect()  # PILOTS vectors
+    asked = [(r["_id"], np.array(r["v"])) for r in pilots]
+
+    def nearest(found):
+        held = {i: [] for i, _ in asked}
+        for b in found:
+            ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
+            for i, q in asked:
+                at = dict(zip(ids.tolist(), range(len(ids)), strict=True))
+                got = zip(*best(x, ids, q, i, k, np.inf), strict=True)
+                held[i] = sorted([*held[i], *((d, o, x[at[o]]) for o, d in got)], key=lambda r: r[:2])[:k]
+        rows = [(i, o, d, v.tolist()) for i, some in held.items() for d, o, v in some]
+        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["query_id", "other", "score", "v"])
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "other"))
+    true = rows.select("_id", "v").mapInArrow(nearest, "query_id long, other long, score double, v array<double>").withColumn("_rn", rank).where(F.col("_rn") <= k).collect()  # k vectors of each pilot
+    if not true:
+        return made, 0
+    at = dict(asked)
+    keys = made.keys(np.array([at[r.query_id] for r in true])), made.keys(np.array([r.v for r in true]))
+    depths = np.sort(shared_depth(*keys))
+    return made, int(depths[int((1 - recall) * len(depths))])
 
 
 def nearest(
@@ -78,51 +153,67 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     trees: int = 96,
-    enough: float = 0.6,
-    least: int = 1000,
-    block: int = 8192,
-    query_block: int = 1024,
+    recall: float = 0.94,
+    block: int = 16384,
+    query_block: int = 4096,
 ) -> DataFrame:
     """Rows (query_id, rank, id_col, score): each query's k nearest found, by Euclidean distance, ties to the smaller id.
 
     Queries are the rows whose id is divisible by every, candidates all rows with other
-    ids; fewer than k candidates are all returned. Trees ascend until their ranges hold
-    enough x the block's rows, counting a row once for each tree, and at least least rows: on vectors without any
-    clusters that is what a recall above 0.9 takes. Vectors that are null, zero, or hold
+    ids; fewer than k candidates are all returned. recall is the share of the pilots' nearest that the depth of
+    ascent is chosen for. Vectors that are null, zero, or hold
     null or non-finite components take no part, nor do rows with a null id; vectors
     of different lengths never meet. Repeated rows are candidates each; an id asks once,
-    by the first of its vectors in order. Other columns are ignored.
+    by the first of its vectors in order. Ids are whole numbers. Other columns are ignored.
     """
+    spark = vectors.sparkSession
     rows = written(clean(vectors, id_col, vector_col).where("ok and _id is not null").select("_id", "v", F.size("v").alias("dim")), "points")
-    total, asked = rows.agg(F.count("*"), F.count(F.when(F.col("_id") % every == 0, 1))).first()
+    queries = written(rows.where(F.col("_id") % every == 0).groupBy("_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "queries")
+    results = [spark.createDataFrame([], "query_id long, other long, score double")]
+    for r in rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():  # the lengths of vectors, a handful
+        mine, asking = rows.where(F.col("dim") == r.dim), queries.where(F.col("dim") == r.dim)
+        asked = asking.count()
+        if asked:
+            results.append(_search(spark, mine, asking, r.dim, r.n, asked, k, trees, recall, block, query_block))
+    found = results[0]
+    for more in results[1:]:
+        found = found.unionByName(more)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "other"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("other").alias(id_col), "score")
+
+
+def _search(spark, rows, queries, dim, total, asked, k, trees, recall, block, query_block) -> DataFrame:
+    made, depth = _measured(rows, queries, dim, k, trees, recall)
+    shared = spark.sparkContext.broadcast(made)  # dim x trees x BITS floats
     blocks, query_blocks = max(1, -(-total // block)), max(1, -(-asked // query_block))
-    own = lambda n: F.pmod(F.xxhash64("_id", F.lit(n)), F.lit(n)).cast("int")
-    points = rows.select("dim", own(blocks).alias("blk"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "_id", "v")
-    queries = rows.where(F.col("_id") % every == 0).groupBy("_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")).select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), own(query_blocks).alias("qb"), "_id", "v")
-    schema = "query_id long, other long, score double"
+    own = lambda n, seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(n)).cast("int")
+    points = rows.select(own(blocks, 1).alias("blk"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "_id", "v")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = []
         if left.num_rows and right.num_rows:
-            dim = left["dim"][0].as_py()
-            x, q = (t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (left, right))
-            ids, asked_ids = left["_id"].to_numpy(), right["_id"].to_numpy()
-            forest = Forest(x, trees)
-            keys = forest.keys(q)
-            for i, query in enumerate(asked_ids.tolist()):
-                at = forest.candidates(keys[:, i], enough, max(least, k + 1))
-                at = at[ids[at] != query]
-                far = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
-                best = np.lexsort((ids[at], far))[:k]
-                out[0] += [query] * len(best)
-                out[1] += ids[at][best].tolist()
-                out[2] += far[best].tolist()
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "other", "score"])
-
-    keys = ["dim", "blk", "qb"]
-    found = points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, schema)
+            x, q, ids = _matrix(left["v"]), _matrix(right["v"]), left["_id"].to_numpy()
+            within = right["within"].to_numpy()
+            forest, keys = Forest(x, shared.value), shared.value.keys(q)
+            for s in range(0, len(q), 256):
+                seen = forest.candidates(keys[:, s : s + 256], depth, k + 1)
+                for i, own_id in enumerate(right["_id"][s : s + 256].to_pylist()):
+                    at = np.flatnonzero(seen[i])
+                    out += [(own_id, o, d) for o, d in zip(*best(x[at], ids[at], q[s + i], own_id, k, within[s + i]), strict=True)]
+        return _found(out)
+
+    def over(first: int, stop: int, bounds: DataFrame | None) -> DataFrame:
+        asking = queries.withColumn("within", F.lit(float("inf"))) if bounds is None else queries.join(bounds, "_id", "left").withColumn("within", F.coalesce("within", F.lit(float("inf"))))
+        asking = asking.select(F.explode(F.sequence(F.lit(first), F.lit(stop - 1))).alias("blk"), own(query_blocks, 2).alias("qb"), "_id", "v", "within")
+        some = points.where((F.col("blk") >= first) & (F.col("blk") < stop))
+        return written(some.groupBy("blk", "qb").cogroup(asking.groupBy("blk", "qb")).applyInArrow(search, "query_id long, other long, score double"), "found")
+
+    if blocks < 2 * SAMPLE:
+        return over(0, blocks, None)
+    sample = over(0, blocks // SAMPLE, None)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "other"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("other").alias(id_col), "score")
+    bounds = sample.withColumn("_rn", rank).where(F.col("_rn") == k).select(F.col("query_id").alias("_id"), F.col("score").alias("within"))
+    return sample.unionByName(over(blocks // SAMPLE, blocks, bounds))
 
 
 def op8_forest(spark, sf_dir: str) -> DataFrame:
