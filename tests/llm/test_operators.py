@@ -228,6 +228,25 @@ def test_mixtures_find_both_languages(spark):
     assert pi["de"] > 0.3 and pi["fr"] > 0.3 and sum(pi.values()) == pytest.approx(1)
 
 
+def test_mixtures_match_a_search_over_all_proportions():
+    """The proportions against a fine grid, the set against the penalised likelihood of every set."""
+    r = np.random.default_rng(8)
+    for _ in range(12):
+        logs = np.log(r.dirichlet(np.full(30, 0.4), size=3).T + 1e-4)
+        share = r.dirichlet(np.full(3, 0.6))
+        counts = r.multinomial(400, np.exp(logs) @ share / (np.exp(logs) @ share).sum()).astype(float)
+        got = langid.mixture(logs.astype(np.float32), counts, rounds=300)
+        steps = np.linspace(0, 1, 101)
+        best = max(
+            (float(counts @ np.log(np.exp(logs) @ np.array([p, q, 1 - p - q]))) - 0.5 * np.log(400) * (np.array([p, q, 1 - p - q]) > 1e-9).sum(), (p, q, 1 - p - q))
+            for p in steps for q in steps if p + q <= 1 + 1e-12
+        )
+        mine = float(counts @ np.log(np.exp(logs) @ got)) - 0.5 * np.log(400) * (got > 0).sum()
+        assert got.sum() == pytest.approx(1) and mine >= best[0] - 1.0
+        if ((got > 0) == (np.array(best[1]) > 1e-9)).all():
+            assert got == pytest.approx(best[1], abs=0.05)
+
+
 # 4 toxicity
 def features(word):
     """The definition: every three letters in order, the beginning of the word before them, by the length over which they stretch."""
@@ -346,15 +365,25 @@ def test_tokenizer_chunks_give_the_tokenizers_ids():
 
 # 6 urls
 def test_urls_edges(spark):
-    rows = [(1, None), (2, ""), (3, "no scheme/casino"), (4, "HTTP://WWW.Example.ORG/en/12?x#y"), (5, "http://notexample.org/es/a"), (6, "http://a.b.com/de/?casino"), (7, "http://x.net/free-bet"), (8, "http://x.net/freebet"), (9, "http://x.net/bet/bet"), (10, "http://x.net/CASINO"), (11, "http://x.net/casinos"), (None, "http://org"), (1, None)]
+    rows = [(1, None), (2, ""), (3, "no scheme/casino"), (4, "HTTP://WWW.Example.ORG/en/12?x#y"), (5, "http://notexample.org/es/a"), (6, "http://a.b.com/de/?casino"), (7, "http://x.net/free-bet"), (8, "http://x.net/freebet"), (9, "http://x.net/bet/bet"), (10, "http://x.net/CASINO"), (11, "http://x.net/casinoz"), (None, "http://org"), (1, None)]
     got = [(r.page_id or 0, r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()]
     want = [
         (1, "", "", None, "allow"), (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "block"), (4, "www.example.org", "/en/12", "example.org/en/1", "block"), (5, "notexample.org", "/es/a", "org/", "allow"),
-        (6, "a.b.com", "/de/", "com/de/", "block"), (7, "x.net", "/free-bet", None, "block"), (8, "x.net", "/freebet", None, "allow"), (9, "x.net", "/bet/bet", None, "allow"), (10, "x.net", "/CASINO", None, "block"), (11, "x.net", "/casinos", None, "allow"), (0, "org", "", None, "allow"),
+        (6, "a.b.com", "/de/", "com/de/", "block"), (7, "x.net", "/free-bet", None, "block"), (8, "x.net", "/freebet", None, "allow"), (9, "x.net", "/bet/bet", None, "allow"), (10, "x.net", "/CASINO", None, "block"), (11, "x.net", "/casinoz", None, "allow"), (0, "org", "", None, "allow"),
     ]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_url_vocabulary(spark):
+    cases = {"http://x.net/poker-bonus": True, "http://x.net/poker": False, "http://x.net/free/win": False, "http://x.net/free/win/cheap": True, "http://x.net/a%2Dpoker%2Fbonus": True, "http://x.net/apuestas?gratis": True,
+             "http://xn--csino-zqa.net/": True, "http://x.net/" + "free-" * 20_000: False, "http://x.net/" + "a" * 100_000 + "/keygen": True, "http://x.net/pokerbonus": False}
+    rows = spark.createDataFrame([(i, u, 1, "h", "p", "r", "v", "w") for i, u in enumerate(cases)], "page_id long, url string, soft_weight int, host string, path string, rule string, verdict string, _url string")
+    assert [r.verdict == "block" for r in urls.judge(rows).orderBy("page_id").collect()] == list(cases.values())
+    assert urls.judge(rows.where("1 = 0")).count() == 0
+    heavy = urls.judge(rows, strict=("never",), soft={"poker": 5, "free": 1}, threshold=5, distinct=1)
+    assert [r.page_id for r in heavy.where("verdict = 'block'").orderBy("page_id").collect()] == [0, 1, 4]
+
+
 # 7 Jaccard
 def brute_links(rows):
     sets = []
@@ -388,6 +417,45 @@ def test_jaccard_at_the_border(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6}
 
 
+def test_hot_shingles_and_large_groups(spark, monkeypatch):
+    """Many documents with one passage, a large group of near copies, and tiles dealt to many parts."""
+    monkeypatch.setattr(jaccard, "CHUNK", 40)
+    r = random.Random(6)
+    say = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]
+    passage, base = say(40), say(90)
+    texts = [say(20) + passage + say(20) for _ in range(250)]
+    for _ in range(200):
+        copy = list(base)
+        copy[r.randrange(90)] = f"x{r.randint(0, 50)}"
+        texts.append(copy)
+    texts += [passage + say(n % 12) for n in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join(d).collect()), key=repr) == brute_links(rows)
+
+
+def test_prefixes_always_meet():
+    r = random.Random(2)
+    for _ in range(2000):
+        a = {r.randint(0, 60) for _ in range(r.randint(1, 40))}
+        b = {x if r.random() < 0.93 else r.randint(0, 60) for x in a} | {r.randint(0, 60) for _ in range(r.randint(0, 3))}
+        if 100 * len(a & b) >= 80 * len(a | b):
+            assert set(sorted(a)[: jaccard.prefix_of(len(a), 80)]) & set(sorted(b)[: jaccard.prefix_of(len(b), 80)])
+
+
+def test_bounded_samples_take_the_smallest_hashes(spark):
+    rows = [(i, "a" if i % 4 else "b") for i in range(9000)] + [(5, "a")] * 50 + [(None, "a"), (7, None)]
+    got = common.bounded_sample(spark.createDataFrame(rows, "i long, c string"), "i", "c", 300).collect()
+    for c in "ab":
+        want = sorted({i for i, x in rows if x == c and i is not None}, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:300]
+        assert sorted(x.i for x in got if x.c == c) == sorted(want)
+
+
+def test_ids_that_are_not_whole_numbers_are_refused(spark):
+    with pytest.raises(TypeError):
+        jaccard.join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_bitmaps_bound_overlaps():
     r = random.Random(1)
     for _ in range(100):

@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a new one where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="touchline-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -27,12 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def long_texts(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with batches for Python of no more than rows rows from here on: texts are long, workers' memory is not."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def whole_ids(df: DataFrame, id_col: str) -> Column:
+    """The ids as longs. Operators whose results are smallest ids take whole numbers only: other ids would become null."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; whole numbers are needed")
+    return F.col(id_col).cast("long")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,12 +55,12 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest id reachable over undirected edges (a, b): rows (id, component_id) for every id in an edge.
 
     Alternates large-star and small-star steps (each a shuffle by id, no group is
-    gathered beyond a running minimum) until the sum of the links stops changing.
-    A hub's star is a window minimum over its rows, not a collected list.
+    gathered beyond a running minimum) until a round changes no link.
+    A hub's star is a minimum over its rows, not a collected list.
     """
     cur = written(
         edges.where("a is not null and b is not null and a <> b")
@@ -66,8 +68,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    seen = None
-    for _ in range(rounds):
+    changed = cur.limit(1).count() > 0
+    while changed:
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: neighbours above a node go to the smallest of its neighbourhood
@@ -84,30 +86,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .distinct()
         )
         after = written(small, "edges")
-        now = after.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.col("a").cast("decimal(38,0)"))).first()
+        # both are sets of links: equal if as many, and none is in one only
+        changed = after.count() != cur.count() or after.join(cur, ["a", "b"], "left_anti").limit(1).count() > 0
         drop_written(cur)
         cur = after
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return cur.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component_id")).unionByName(
         cur.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
     )
 
 
 def bounded_sample(rows: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
-    """Ids and classes of at most per_class rows of each class, those with the smallest md5 of their ids."""
-    first = Window.partitionBy(class_col).orderBy(F.md5(F.col(id_col).cast("string")), F.col(id_col))
-    return (
-        rows.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
-        .select(id_col, class_col)
-        .distinct()
-        .withColumn("_rn", F.row_number().over(first))
-        .where(F.col("_rn") <= per_class)
-        .drop("_rn")
-    )
+    """Ids and classes of at most per_class rows of each class, those with the smallest md5 of their ids.
+
+    Classes are counted, and of a large one only the ids below a bound on the md5 that about four times per_class of them are
+    below are ranked: no class is gathered in one task. One count for each class comes to the driver.
+    """
+    each = rows.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull()).select(id_col, class_col).distinct()
+    counts = {r[class_col]: r["count"] for r in each.groupBy(class_col).count().collect()}
+    large = {c: 4.0 * per_class / n for c, n in counts.items() if n > 4 * per_class + 1000}
+    md5 = F.md5(F.col(id_col).cast("string"))
+    place = F.conv(F.substring(md5, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    if large:
+        bound = F.create_map(*[F.lit(x) for pair in large.items() for x in pair])
+        each = each.where(place < F.coalesce(bound[F.col(class_col)], F.lit(1.0)))
+    first = Window.partitionBy(class_col).orderBy(md5, F.col(id_col))
+    return each.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= per_class).drop("_rn")
 
 
 def held_out(id_col: str, folds: int = 5) -> Column:

@@ -7,20 +7,22 @@ bitmaps of their hashed shingles: every bit in which two differ is an element of
 only, so (sizes - differing bits) / 2 bounds the overlap from above. What passes the
 bound is compared exactly, as sorted arrays.
 
-Which classes meet in a tile: those that share one of their SKETCH smallest shingle
-hashes. The smallest hashes of two sets' union are in both sets, each with a
-probability of the similarity, so a pair at 0.8 is missed with a probability under
-0.2 ^ 16 = 7e-12; sets of up to 5 x SKETCH shingles can't be missed at all.
+Which classes meet in a tile: those that share a shingle of their prefixes. In one order of all shingles,
+two sets of n and m elements that are similar enough share one of the first
+n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, so no link is lost. Any order is right; here the shingles that
+are common in a bounded sample of texts come last, and the others are ordered by hash, so that most of a prefix is in no other document.
 
-    1. shingle every text once: size, hash of the set, sketch, bitmap
-    2. tiles by sketch hash and band: bitmaps only; a spanning forest of what may be linked
+    1. shingle every text once: size, hash of the set, prefix, bitmap
+    2. shingles of prefixes that two classes share; tiles by shingle and band: bitmaps only; a spanning forest of what may be linked
     3. its components: each class with possible links now stands in one group
     4. tiles by group: exact comparison; a spanning forest of the links
     5. components of the links
 
-A tile of more than CHUNK rows is dealt to one task for each pair of its parts of CHUNK
-rows. Pairs that a task has already connected aren't compared, so groups of near copies
-take about one comparison for each member and part, and no pairs are emitted but forests.
+A tile of more than CHUNK rows is dealt to parts. Each part is joined by itself; then one
+anchor of each component that it has now meets the others' anchors; only tiles
+that are still in pieces, and of these only the pieces, are met by all pairs of parts. Pairs that a task has already connected
+aren't compared, so groups of near copies take about one comparison for each member, and
+no pairs are emitted but forests.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sets, components, groups, long_texts, spread_join, table, written
+from .common import components, groups, spread_join, table, whole_ids, written
 from .shingles import mix, shingles
 
-SKETCH, CHUNK = 16, 2048
+CHUNK = 2048
+#: Texts from which common shingles are learned, and the share of them that makes a shingle common. Both only set the order of shingles.
+SAMPLE, COMMON = 20_000, 0.002
 #: Bits of a bitmap for each shingle, at least.
 BITS = 4
 EDGES = [1]
@@ -70,8 +74,37 @@ def enough(overlap, total, percent: int):
     return (100 + percent) * overlap >= percent * total
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """One row per input row: _id, n, h1, h2 (hash of the set, null if it is empty), band, sketch, bits."""
+def prefix_of(n: int, percent: int) -> int:
+    """How many shingles of a set of n, in any order that all sets follow, hold one that every similar enough set has among its own."""
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
+def common_shingles(docs: DataFrame, text_col: str, k: int, sample: int = SAMPLE, share: float = COMMON) -> np.ndarray:
+    """The sorted hashes of shingles in share or more of at most sample texts, those with the smallest hashes."""
+
+    def counts(found):
+        for b in found:
+            sets = [shingles(t.as_py(), k) for t in b.column(0)]
+            seen, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n, pa.int64())], names=["s", "n"])
+
+    few = docs.select(F.col(text_col).alias("t")).where("t is not null").withColumn("_h", F.xxhash64("t")).orderBy("_h").limit(sample).select("t")
+    found = few.mapInArrow(counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    at = max(8, int(share * sample))
+    return np.sort(np.array([r.s for r in found.where(F.col("n") >= at).select("s").collect()], np.int64).view(np.uint64))  # at most all shingles of the sample over at
+
+
+def profile(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
+    """One row per input row: _id, n, h1, h2 (hash of the set, null if it is empty), band, prefix, bits."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        n, common = prefix_of(len(s), percent), shared.value
+        if len(common):
+            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+            last = common[at] == s
+            s = np.concatenate([s[~last], s[last]])
+        return s[:n].view(np.int64)
 
     def batches(found):
         for b in found:
@@ -83,16 +116,33 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     continue
                 h, band = xxhash.xxh3_128_intdigest(s.tobytes()), band_of(len(s))
                 low, high = np.array([h & (1 << 64) - 1, h >> 64], np.uint64).view(np.int64).tolist()
-                rows.append((doc, len(s), low, high, band, s[:SKETCH].view(np.int64), bitmap(s, width_of(band)).tobytes()))
+                rows.append((doc, len(s), low, high, band, prefix(s), bitmap(s, width_of(band)).tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["_id", "n", "h1", "h2", "band", "sketch", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["_id", "n", "h1", "h2", "band", "prefix", "bits"])
 
-    return long_texts(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        batches, "_id long, n long, h1 long, h2 long, band int, sketch array<long>, bits binary"
+    return docs.select(whole_ids(docs, id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
+        batches, "_id long, n long, h1 long, h2 long, band int, prefix array<long>, bits binary"
     )
 
 
+def _repeated(found):
+    """Of batches sorted by their first column the rows that agree in it with the row before or after."""
+    held, again = None, False  # the last row, and whether it agrees with the one before
+    for b in found:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        key = t.column(0).to_numpy()
+        same = np.append(again, key[1:] == key[:-1])
+        keep = same[:-1] | same[1:]
+        yield from t.slice(0, len(key) - 1).filter(pa.array(keep, pa.bool_())).to_batches()
+        held, again = t.slice(len(key) - 1), bool(same[-1])
+    if again:
+        yield from held.to_batches()
+
+
 def _dealt(rows: DataFrame, counts: DataFrame, keys: list[str], chunk: int, id_col: str) -> DataFrame:
     """Rows of each tile, dealt to pairs of its parts: adds _c (the pair) and _part (the row's own part)."""
     parts = F.ceil(F.col("_m") / chunk).cast("int")
@@ -101,22 +151,60 @@ def _dealt(rows: DataFrame, counts: DataFrame, keys: list[str], chunk: int, id_c
         rows.join(counts.withColumn("_parts", parts).drop("_m"), keys)
         .withColumn("_part", F.pmod(F.xxhash64(id_col), F.col("_parts").cast("long")).cast("int"))
         .select("*", other.alias("_other"))
-        .withColumn("_c", F.least("_part", "_other") * F.col("_parts") + F.greatest("_part", "_other"))
+        .withColumn("_c", F.least("_part", "_other").cast("long") * F.col("_parts") + F.greatest("_part", "_other"))
         .drop("_other", "_parts")
     )
 
 
+def _meet(rows: DataFrame, keys: list[str], chunk: int, compare) -> DataFrame:
+    """Edges (a, b) of a forest that connects the rows' cls wherever compare links two of one tile, by rounds for tiles of more than chunk rows.
+
+    compare takes batches sorted by keys and _c, with the columns _part and _label: rows of one label are connected
+    already, and where a tile has two parts only rows of different ones meet.
+    """
+    order = [*keys, "_c"]
+    zero = {"_c": F.lit(0).cast("long"), "_part": F.lit(0)}
+    columns = [*order, "_part", "_label", *[c for c in rows.columns if c not in keys]]
+    met = lambda tiles, name: written(tiles.select(*columns).repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long"), name)
+    crowded = written(rows.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > chunk), "crowded")
+    if not crowded.count():
+        return met(rows.withColumns(zero).withColumn("_label", F.col("cls")), "forest")
+    hot = rows.join(crowded.withColumn("_parts", F.ceil(F.col("_m") / chunk)).drop("_m"), keys).withColumn("_c", F.pmod(F.xxhash64("cls"), F.col("_parts"))).drop("_parts")
+    hot = written(hot.withColumn("_part", F.lit(0)), "hot-tiles")
+    small = rows.join(crowded, keys, "left_anti").withColumns(zero)
+    one = met(small.unionByName(hot).withColumn("_label", F.col("cls")), "forest")
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        known = components(edges).select(F.col("id").alias("cls"), F.col("component_id").alias("_label"))
+        return hot.drop("_c", "_part").join(known, "cls", "left").withColumn("_label", F.coalesce("_label", "cls"))
+
+    def pieces_of(labels: DataFrame) -> DataFrame:
+        """The tiles that are in several pieces, with their rows' number."""
+        found = labels.groupBy(*keys).agg(F.count("*").alias("_m"), F.min("_label").alias("_low"), F.max("_label").alias("_high"))
+        return written(found.where("_low <> _high").select(*keys, "_m"), "pieces")
+
+    labels = written(labelled(one), "labels")
+    broken = labels.join(pieces_of(labels).select(*keys), keys, "left_semi")
+    first = broken.groupBy(*keys, "_label").agg(F.min("cls").alias("cls"))
+    anchors = broken.join(first.select(*keys, "cls"), [*keys, "cls"], "left_semi")
+    sizes = anchors.groupBy(*keys).agg(F.count("*").alias("_m"))
+    two = met(_dealt(anchors, sizes, keys, chunk, "cls"), "forest")
+    labels = written(labelled(one.unionByName(two)), "labels")
+    rest = pieces_of(labels)
+    three = met(_dealt(labels, rest, keys, chunk, "cls"), "forest") if rest.count() else two.limit(0)
+    return written(one.unionByName(two).unionByName(three), "forest")
+
+
 def _forest(percent: int, compare, upper):
     """For one tile: joins rows that may be linked; compare(i, js) says which. upper: rows of the band above, not compared with each other."""
 
-    def run(ids, n, part):
+    def run(ids, n, part, label):
         order = np.lexsort((ids, n))
-        sets, size = Sets(len(ids)), n[order]
-        low, high = size.copy(), (size * 100) // percent
-        two, root, out = len(np.unique(part)) > 1, np.arange(len(ids)), []
+        size, high = n[order], (n[order] * 100) // percent
+        two, out = len(np.unique(part)) > 1, []
+        root = np.unique(label[order], return_inverse=True)[1]
         for a in range(len(order) - 1):
-            stop = int(np.searchsorted(low, high[a], side="right"))
-            js = np.arange(a + 1, stop)
+            js = np.arange(a + 1, int(np.searchsorted(size, high[a], side="right")))
             if upper is not None and len(js) and upper[order[a]]:
                 js = js[~upper[order[js]]]
             if two and len(js):
@@ -126,10 +214,9 @@ def _forest(percent: int, compare, upper):
             if not len(js):
                 continue
             for j in js[compare(order[a], order[js])].tolist():
-                if sets.merge(a, j):
+                if root[a] != root[j]:
                     out.append((int(ids[order[a]]), int(ids[order[j]])))
-                    mine, theirs = root[a], root[j]
-                    root[root == max(mine, theirs)] = min(mine, theirs)
+                    root[root == root[j]] = root[a]
         return out
 
     return run
@@ -145,14 +232,14 @@ def _may_link(percent: int):
         for (_, band, _), t in groups(found, 3):
             if t.num_rows < 2:
                 continue
-            ids, n = t["rep"].to_numpy(), t["n"].to_numpy()
+            n = t["n"].to_numpy()
             bits = np.stack([fold(np.frombuffer(x, np.uint64), width_of(band)) for x in t["bits"].to_pylist()])
 
             def compare(i, js, bits=bits, n=n):
                 differ = np.bitwise_count(bits[js] ^ bits[i]).sum(1, dtype=np.int64)
                 return enough((n[js] + n[i] - differ) // 2, n[js] + n[i], percent)
 
-            pairs = _forest(percent, compare, t["band"].to_numpy() > band)(ids, n, t["_part"].to_numpy())
+            pairs = _forest(percent, compare, t["band"].to_numpy() > band)(t["cls"].to_numpy(), n, t["_part"].to_numpy(), t["_label"].to_numpy())
             if pairs:
                 yield _edges(pairs)
 
@@ -165,7 +252,7 @@ def _links(percent: int):
             if t.num_rows < 2:
                 continue
             arrays = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-            ids, n = t["rep"].to_numpy(), np.array([len(x) for x in arrays])
+            n = np.array([len(x) for x in arrays])
             width = width_of(band_of(int(np.median(n))))
             bits = np.stack([bitmap(x, width) for x in arrays])
 
@@ -179,7 +266,7 @@ def _links(percent: int):
                     ok[x] = enough(int((mine[at] == other).sum()), n[i] + n[js[x]], percent)
                 return ok
 
-            pairs = _forest(percent, compare, None)(ids, n, t["_part"].to_numpy())
+            pairs = _forest(percent, compare, None)(t["cls"].to_numpy(), n, t["_part"].to_numpy(), t["_label"].to_numpy())
             if pairs:
                 yield _edges(pairs)
 
@@ -194,51 +281,41 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     nothing, and are their own class and component. Rows that share an id are one
     document as far as links go. Rows with a null id keep their n_shingles; they have
     no class or component of their own but those of other rows with their set, if any.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; ids are whole numbers; other columns are ignored.
     """
-    base = written(profile(docs, id_col, text_col, k), "shingled")
+    base = written(profile(docs, id_col, text_col, k, percent, common_shingles(docs, text_col, k)), "shingled")
     total = base.count()
     full = base.where("n > 0")
     classes = full.groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count("*").alias("_copies"))
-    classes = written(classes, "classes")
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     picked = classes.where("rep is not null")
     reps = written(
-        full.where("_id is not null").join(picked.select("h1", "h2", F.col("rep").alias("_id")), ["h1", "h2", "_id"], "left_semi")
-        .groupBy("_id", "h1", "h2").agg(F.first("n").alias("n"), F.first("band").alias("band"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
-        .withColumnRenamed("_id", "rep"), "reps")
-
-    tiles = reps.select("rep", "h1", "band", F.explode("sketch").alias("token")).select(
-        "rep", "h1", "token", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(1).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(0).alias("own")))).alias("t")
-    ).select("rep", "h1", "token", "t.tile", "t.own")
-    counts = tiles.groupBy("token", "tile").agg(F.count("*").alias("_m"), F.sum("own").alias("_own")).where("_m > 1 and _own > 0").drop("_own")
-    dealt = _dealt(tiles.drop("own"), counts, ["token", "tile"], CHUNK, "rep")
-    dealt = dealt.join(reps.select("rep", "h1", "n", "band", "bits"), ["rep", "h1"])
-    near = (
-        dealt.select("token", "tile", "_c", "_part", "rep", "n", "band", "bits")
-        .repartition("token", "tile", "_c").sortWithinPartitions("token", "tile", "_c")
-        .mapInArrow(_may_link(percent), "a long, b long")
-    )
+        full.where("_id is not null").join(picked.select("h1", "h2", F.col("rep").alias("_id"), "cls"), ["h1", "h2", "_id"])
+        .groupBy("cls").agg(F.first("_id").alias("rep"), F.first("h1").alias("h1"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "reps")
+
+    shared = written(reps.select(F.explode("prefix").alias("token"), "cls", "band").repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, cls long, band int"), "shared")
+    tiles = shared.select("token", "cls", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(1).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(0).alias("own")))).alias("t")).select("token", "cls", "t.*")
+    counts = tiles.groupBy("token", "tile").agg(F.count("*").alias("_m"), F.sum("own").alias("_own")).where("_m > 1 and _own > 0")
+    meeting = tiles.drop("own").join(counts.select("token", "tile"), ["token", "tile"], "left_semi").join(reps.select("cls", "n", "band", "bits"), "cls")
+    near = _meet(meeting.select("token", "tile", "cls", "n", "band", "bits"), ["token", "tile"], CHUNK, _may_link(percent))
     grouped = written(components(near), "near")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("_text")).join(grouped.select(F.col("id").alias("rep"), F.col("component_id").alias("grp")), "rep")
+    wanted = grouped.select(F.col("id").alias("cls"), F.col("component_id").alias("grp")).join(reps.select("cls", "rep", "h1"), "cls")
+    texts = docs.select(whole_ids(docs, id_col).alias("rep"), F.col(text_col).alias("_text")).join(wanted, "rep")
 
     def again(found):
         for b in found:
-            sets = [shingles(x.as_py(), k) for x in b.column(2)]
-            hashes = [int(np.array([xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1], np.uint64).view(np.int64)[0]) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(hashes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["grp", "rep", "h1", "shingles"])
-
-    sets = texts.select("rep", "grp", "_text").mapInArrow(again, "grp long, rep long, h1 long, shingles binary").join(reps.select("rep", "h1"), ["rep", "h1"], "left_semi")
-    sizes = grouped.groupBy(F.col("component_id").alias("grp")).agg(F.count("*").alias("_m"))
-    exact = (
-        _dealt(sets, sizes, ["grp"], CHUNK // 2, "rep")
-        .select("grp", "_c", "_part", "rep", "shingles")
-        .repartition("grp", "_c").sortWithinPartitions("grp", "_c")
-        .mapInArrow(_links(percent), "a long, b long")
-    )
+            sets = [shingles(x.as_py(), k) for x in b.column(3)]
+            same = [int(np.array([xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1], np.uint64).view(np.int64)[0]) == h for s, h in zip(sets, b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["grp", "cls", "shingles"]).filter(pa.array(same, pa.bool_()))
+
+    # rows that repeat an id with the same set are one member
+    sets = written(texts.select("grp", "cls", "h1", "_text").mapInArrow(again, "grp long, cls long, shingles binary").groupBy("grp", "cls").agg(F.first("shingles").alias("shingles")), "sets")
+    exact = _meet(sets, ["grp"], CHUNK // 2, _links(percent)).join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     # an id whose rows differ in text stands in several classes, and so connects them
-    several = full.where("_id is not null").select("_id", "h1", "h2").distinct().groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
-    bridges = full.join(several, "_id", "left_semi").select("_id", "h1", "h2").distinct().join(classes, ["h1", "h2"]).select(F.col("_id").alias("a"), F.col("rep").alias("b"))
+    known = full.where("_id is not null").select("_id", "h1", "h2").distinct()
+    several = known.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    bridges = known.join(several, "_id", "left_semi").join(classes, ["h1", "h2"]).select(F.col("_id").alias("a"), F.col("rep").alias("b"))
     linked = components(exact.unionByName(bridges))
 
     of_class = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id"), "_copies")

@@ -4,7 +4,7 @@ A document's byte n-grams are taken as draws from a mixture of the languages' n-
 distributions. Expectation-maximisation finds the proportions of a set of languages,
 and the set grows from the likeliest single language by the one that the likelihood
 rises towards most, as long as the likelihood, less half the logarithm of the number
-of n-grams for each language, rises. The likelihood is concave in the proportions, so
+of n-grams for each language, rises; languages that later ones make needless leave it again. The likelihood is concave in the proportions, so
 where no language has a positive slope the single one is already the best mixture;
 most documents end there after one pass.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, long_texts, pieces, table
+from .common import bounded_sample, held_out, pieces, table
 
 #: n-grams of four bytes are hashed to this many buckets.
 BUCKETS = 1 << 17
@@ -77,26 +77,35 @@ def mixture(logs: np.ndarray, counts: np.ndarray, rounds: int = 30) -> np.ndarra
     # relative to the best single language, whose own column becomes 1
     odds = np.exp(np.minimum(logs - logs[:, chosen[0]][:, None], 30).astype(np.float64))
     best, share, mixed = 0.0, np.ones(1), np.ones(len(counts))
+
+    def fitted(trial: list[int], pi: np.ndarray):
+        """Their proportions by expectation-maximisation, and the penalised likelihood above that of one language."""
+        p = odds[:, trial]
+        for _ in range(rounds):
+            after = pi * ((counts / (p @ pi)) @ p) / total
+            done = np.abs(after - pi).max() < 1e-4
+            pi = after
+            if done:
+                break
+        now = p @ pi
+        return float(counts @ np.log(now)) - 0.5 * np.log(total) * (len(trial) - 1), pi, now
+
     while len(chosen) < logs.shape[1]:
         slope = (counts / mixed) @ odds - total
         slope[chosen] = 0
         new = int(np.argmax(slope))
         if slope[new] <= 0:
             break
-        trial = [*chosen, new]
-        p = odds[:, trial]
-        pi = np.append(share * 0.9, 0.1)
-        for _ in range(rounds):
-            after = pi * ((counts / (p @ pi)) @ p) / total
-            if np.abs(after - pi).max() < 1e-4:
-                pi = after
-                break
-            pi = after
-        now = p @ pi
-        gain = float(counts @ np.log(now)) - 0.5 * np.log(total) * len(chosen)
+        gain, pi, now = fitted([*chosen, new], np.append(share * 0.9, 0.1))
         if gain <= best:
             break
-        chosen, share, mixed, best = trial, pi, now, gain
+        chosen, share, mixed, best = [*chosen, new], pi, now, gain
+        while len(chosen) > 2:  # a language that later ones make needless leaves the set
+            tried = [(*fitted([c for j, c in enumerate(chosen) if j != i], (rest := np.delete(share, i)) / max(rest.sum(), 1e-300)), i) for i in range(len(chosen) - 1)]
+            gain, pi, now, i = max(tried, key=lambda x: x[0])
+            if gain <= best:
+                break
+            chosen, share, mixed, best = [c for j, c in enumerate(chosen) if j != i], pi, now, gain
     out = np.zeros(logs.shape[1])
     out[chosen] = share
     return out
@@ -133,7 +142,7 @@ def predict(docs: DataFrame, languages: list[str], logs: np.ndarray, id_col: str
 
     kept = [F.col(c).alias(f"_c_{c}") for c in carry]
     schema = [f"_id {docs.schema[id_col].dataType.simpleString()}", "lang_pred string", "score double", "mixture string", *[f"`_c_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]]
-    rows = long_texts(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *kept).mapInArrow(batches, ", ".join(schema))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *kept).mapInArrow(batches, ", ".join(schema))
     return rows.select(F.col("_id").alias(id_col), "lang_pred", "score", "mixture", *[F.col(f"_c_{c}").alias(c) for c in carry])
 
 

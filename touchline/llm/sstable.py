@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import long_texts, pieces, shared_dir, written
+from .common import pieces, shared_dir, whole_ids, written
 
 MAGIC = b"TLSST1"
 _FOOTER = struct.Struct("<QQQQQQI6s")
@@ -317,7 +317,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
             schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]),
         )
 
-    rows = long_texts(docs).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(whole_ids(docs, id_col).alias("_id"), F.col(text_col).alias("_text"))
     order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text").asc()]
     sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return written(sorted_.mapInArrow(shard, "shard int, path string, docs long, tokens long, first_id long, last_id long"), "manifest")
@@ -387,7 +387,7 @@ def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> Da
                 rows += [{id_col: doc_id, "ids": ids} for ids in open_[path].get(doc_id)]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
-    asked = wanted.select(F.col(id_col).cast("long").alias("_id")).mapInArrow(route, "shard int, _id long")
+    asked = wanted.select(whole_ids(wanted, id_col).alias("_id")).mapInArrow(route, "shard int, _id long")
     return asked.join(manifest.select("shard", "path"), "shard").select("path", "_id").repartition("path").sortWithinPartitions("path", "_id").mapInArrow(batches, f"{id_col} long, ids array<int>")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, long_texts, pieces, table, written
+from .common import bounded_sample, held_out, pieces, table, written
 
 ORDER, DECAY = 3, 0.75
 #: Kernels below this count as nothing.
@@ -376,7 +376,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             near = [model.words[int(np.argmax(x))] if len(x) and x.max() > 0 else None for x in k]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(near, pa.string())], names=[id_col, "score", "predicted", "closest"])
 
-    return long_texts(docs).select(id_col, text_col).mapInArrow(batches, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int, closest string")
+    return docs.select(id_col, text_col).mapInArrow(batches, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int, closest string")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

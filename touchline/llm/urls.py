@@ -3,8 +3,8 @@
 A rule names a host and a path prefix; it fits the host and all its subdomains, and
 the longest fitting rule decides. Without a rule the vocabulary does: one automaton
 finds all terms in the lower-cased url; a hit counts if no letter or digit stands
-directly before or after it. One strict term, or soft terms whose distinct
-weights add up to the threshold, reject the url.
+directly before or after it. One strict term, or several distinct soft terms whose
+weights add up to the threshold, reject the url. Rules, terms and weights are parameters of judge.
 """
 
 from __future__ import annotations
@@ -18,11 +18,18 @@ from pyspark.sql import functions as F
 #: Fixed values: (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Terms that reject on their own.
-STRICT = ("casino", "casino-win", "porn", "xxx", "escort", "viagra", "free-bets", "cheap-pills")
-#: Terms that reject together, with their weights.
-SOFT = {"ads": 1, "track": 1, "tracker": 1, "bet": 1, "bets": 1, "win": 1, "free": 1, "cheap": 1, "pills": 1, "poker": 1, "bonus": 1, "slots": 1, "adult": 1, "sex": 1, "loan": 1, "loans": 1, "crack": 1, "warez": 1, "torrent": 1}
-#: Sum of the distinct soft hits' weights that rejects.
-THRESHOLD = 2
+STRICT = (
+    "casino", "casinos", "casino-win", "porn", "porno", "pornos", "xxx", "escort", "escorts", "viagra", "cialis", "free-bets", "cheap-pills", "webcam-sex", "sexcam",
+    "spielcasino", "glucksspiel", "tragamonedas", "apuestas-gratis", "pornografia", "machines-a-sous", "paris-gratuits", "xn--csino-zqa", "payday-loans", "keygen", "warez",
+)
+#: Terms that reject together, by weight: weak ones, which clean urls hold too, and strong ones.
+WEAK = ("ads", "ad", "track", "tracker", "win", "free", "cheap", "bonus", "adult", "loan", "credit", "download", "click", "promo", "gratis", "gratuit", "kostenlos", "billig", "barato", "oferta", "kredit", "pret", "prestamo", "gewinn", "gana", "gagner")
+STRONG = ("bet", "bets", "betting", "pills", "poker", "slots", "sex", "loans", "crack", "cracked", "torrent", "torrents", "roulette", "jackpot", "lottery", "nude", "milf", "wetten", "apuestas", "paris-sportifs", "loteria", "loterie", "sexo", "sexe")
+SOFT = {term: 1 for term in WEAK} | {term: 2 for term in STRONG}
+#: The distinct soft hits that reject together: their number and the sum of their weights, at least.
+DISTINCT, THRESHOLD = 2, 3
+#: Escaped separators are read as -.
+ESCAPED = "%(2d|2e|2f|5f|20|2b|3d|26)"
 
 _ORDER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,7 +46,7 @@ def automaton(strict, soft):
 
 def hits(found, url: str) -> tuple[list[str], list[str], int]:
     """The distinct strict and soft terms in the url, and the soft terms' weight together."""
-    text, strict, soft, weight = url.translate(_LOWER), set(), set(), 0
+    text, strict, soft, weight = re.sub(ESCAPED, "-", url.translate(_LOWER)), set(), set(), 0
     letter = lambda i: 0 <= i < len(text) and (text[i].isascii() and text[i].isalnum())
     for end, (term, is_strict, w) in found.iter(text):
         if letter(end + 1) or letter(end - len(term)):
@@ -63,6 +70,7 @@ def judge(
     strict=STRICT,
     soft=None,
     threshold: int = THRESHOLD,
+    distinct: int = DISTINCT,
 ) -> DataFrame:
     """One row per input row: id_col, host, path, rule, verdict, strict_hits, soft_hits, soft_weight.
 
@@ -90,7 +98,7 @@ def judge(
         for b in found:
             got = [hits(terms, url or "") for url in b.column("_url").to_pylist()]
             ruled = b.column("_verdict").to_pylist()
-            verdicts = [v or ("block" if s or w >= threshold else "allow") for v, (s, _, w) in zip(ruled, got, strict=True)]
+            verdicts = [v or ("block" if s or len(t) >= distinct and w >= threshold else "allow") for v, (s, t, w) in zip(ruled, got, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(id_col), b.column("host"), b.column("path"), b.column("rule"), pa.array(verdicts, pa.string()), pa.array([",".join(s) for s, _, _ in got], pa.string()), pa.array([",".join(s) for _, s, _ in got], pa.string()), pa.array([w for _, _, w in got], pa.int64())],
                 names=[id_col, "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight"],
@@ -112,10 +120,10 @@ def _sql() -> str:
 
     rules = "\n".join(f"    when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h}{p}|{v}'" for h, p, v in sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r)))
     listed = lambda terms: "concat_ws(','" + "".join(f", case when {hit(t)} then '{t}' end" for t in sorted(terms)) + ")"
-    weight = " + ".join(f"case when {hit(t)} then {w} else 0 end" for t, w in SOFT.items())
+    weight, number = " + ".join(f"case when {hit(t)} then {w} else 0 end" for t, w in SOFT.items()), " + ".join(f"case when {hit(t)} then 1 else 0 end" for t in SOFT)
     return f"""
 with a as (
-  select page_id, translate(coalesce(url, ''), '{_ORDER.upper()}', '{_ORDER}') as u,
+  select page_id, regexp_replace(translate(coalesce(url, ''), '{_ORDER.upper()}', '{_ORDER}'), '{ESCAPED}', '-', 'g') as u,
     case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages
 ), b as (
   select page_id, u, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{_ORDER.upper()}', '{_ORDER}'), '') as host,
@@ -123,10 +131,10 @@ with a as (
 ), c as (
   select *, case
 {rules}
-  end as fit, {listed(STRICT)} as strict_hits, {listed(SOFT)} as soft_hits, ({weight})::bigint as soft_weight from b
+  end as fit, {listed(STRICT)} as strict_hits, {listed(SOFT)} as soft_hits, ({weight})::bigint as soft_weight, ({number}) as soft_number from b
 )
 select page_id, host, path, split_part(fit, '|', 1) as rule,
-  case when fit is not null then split_part(fit, '|', 2) when strict_hits <> '' or soft_weight >= {THRESHOLD} then 'block' else 'allow' end as verdict,
+  case when fit is not null then split_part(fit, '|', 2) when strict_hits <> '' or soft_number >= {DISTINCT} and soft_weight >= {THRESHOLD} then 'block' else 'allow' end as verdict,
   strict_hits, soft_hits, soft_weight
 from c
 """

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sets, components, drop_written, groups, spread_join, table, written
+from .common import Sets, components, drop_written, groups, spread_join, table, whole_ids, written
 from .jaccard import _dealt
 
 CHUNK = 1024
@@ -123,7 +123,7 @@ def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """_id, v (array of doubles) and ok: not null or zero, nor with null or non-finite components."""
     v = F.col(vector_col).cast("array<double>")
     ok = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("_id"), v.alias("v"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    return vectors.select(whole_ids(vectors, id_col).alias("_id"), v.alias("v"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def _packed(unit: np.ndarray) -> list[bytes]:
