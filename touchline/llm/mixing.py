@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, written
 
 #: Size band: eight to an octave. Slot: 4096 to a band, from the md5 of the id.
 _BAND = "case when size < 8 then size else length(bin(size)) * 8L + shiftright(size, length(bin(size)) - 4) end"
@@ -74,9 +74,10 @@ def mix(
         .withColumn("_band", F.expr(_BAND))
         .withColumn("_slot", F.coalesce(F.expr(_SLOT.format(id="_id")), F.lit("")))
     )
+    sized = written(sized, "sizes")  # words are counted once; what follows reads the columns it needs
     keys = ["_null", "_key", "_band", "_slot"]
     dealt = sized.repartition(*[F.col(k) for k in keys])
-    groups = dealt.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
+    groups = sized.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
     # per band first, so that no window holds more than the bands of a source or the slots of a band
     bands = groups.groupBy("_null", "_key", "_band").agg(F.sum("_n").alias("_bn"), F.sum("_words").alias("_bw"))
     sizes = bands.groupBy("_null", "_key").agg(F.sum("_bw").alias("source_size")).select(
