@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm import bpe, jaccard, langid, mixing, secrets
-from touchline.llm.common import shared_dir, table, written
+from touchline.llm.common import drop_written, shared_dir, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose likeliest language has a smaller proportion than this is of no language.
@@ -82,5 +82,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            drop_written(docs)  # the stage before; nothing reads it any more
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
