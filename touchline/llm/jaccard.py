@@ -13,7 +13,8 @@ n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, so no link is lost. Any order is ri
 are common in a bounded sample of texts come last, and the others are ordered by hash, so that most of a prefix is in no other document.
 
     1. shingle every text once: size, hash of the set, prefix, bitmap
-    2. shingles of prefixes that two classes share; tiles by shingle and band: bitmaps only; a spanning forest of what may be linked
+    2. shingles of prefixes that two classes share; tiles by shingle and band: bitmaps only; a spanning forest of what may be linked,
+       first by the EARLY first shingles, then by all, where a tile's classes are not connected yet
     3. its components: each class with possible links now stands in one group
     4. tiles by group: exact comparison; a spanning forest of the links
     5. components of the links
@@ -33,10 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, groups, spread_join, table, whole_ids, written
+from .common import components, drop_written, groups, spread_join, table, whole_ids, written
 from .shingles import mix, shingles
 
 CHUNK = 2048
+#: Shingles of each prefix by which classes meet first.
+EARLY = 6
 #: Texts from which common shingles are learned, and the share of them that makes a shingle common. Both only set the order of shingles.
 SAMPLE, COMMON = 20_000, 0.002
 #: Bits of a bitmap for each shingle, at least.
@@ -80,7 +83,7 @@ def prefix_of(n: int, percent: int) -> int:
 
 
 def common_shingles(docs: DataFrame, text_col: str, k: int, sample: int = SAMPLE, share: float = COMMON) -> np.ndarray:
-    """The sorted hashes of shingles in share or more of at most sample texts, those with the smallest hashes."""
+    """The sorted hashes of shingles in share or more of about sample texts, taken by their hashes."""
 
     def counts(found):
         for b in found:
@@ -88,7 +91,9 @@ def common_shingles(docs: DataFrame, text_col: str, k: int, sample: int = SAMPLE
             seen, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n, pa.int64())], names=["s", "n"])
 
-    few = docs.select(F.col(text_col).alias("t")).where("t is not null").withColumn("_h", F.xxhash64("t")).orderBy("_h").limit(sample).select("t")
+    texts = docs.select(F.col(text_col).alias("t")).where("t is not null")
+    total = max(1, texts.count())
+    few = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / total))))
     found = few.mapInArrow(counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     at = max(8, int(share * sample))
     return np.sort(np.array([r.s for r in found.where(F.col("n") >= at).select("s").collect()], np.int64).view(np.uint64))  # at most all shingles of the sample over at
@@ -156,27 +161,26 @@ def _dealt(rows: DataFrame, counts: DataFrame, keys: list[str], chunk: int, id_c
     )
 
 
-def _meet(rows: DataFrame, keys: list[str], chunk: int, compare) -> DataFrame:
+def _meet(rows: DataFrame, keys: list[str], chunk: int, compare, known: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) of a forest that connects the rows' cls wherever compare links two of one tile, by rounds for tiles of more than chunk rows.
 
     compare takes batches sorted by keys and _c, with the columns _part and _label: rows of one label are connected
-    already, and where a tile has two parts only rows of different ones meet.
+    already, and where a tile has two parts only rows of different ones meet. known: edges that connect rows already.
     """
     order = [*keys, "_c"]
     zero = {"_c": F.lit(0).cast("long"), "_part": F.lit(0)}
-    columns = [*order, "_part", "_label", *[c for c in rows.columns if c not in keys]]
-    met = lambda tiles, name: written(tiles.select(*columns).repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long"), name)
+    columns = [*order, "_part", "_label", *[c for c in rows.columns if c not in (*keys, "_label")]]
+    met = lambda tiles: written(tiles.select(*columns).repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long"), "forest")
+    rows = rows if "_label" in rows.columns else rows.withColumn("_label", F.col("cls"))
     crowded = written(rows.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > chunk), "crowded")
     if not crowded.count():
-        return met(rows.withColumns(zero).withColumn("_label", F.col("cls")), "forest")
+        return met(rows.withColumns(zero))
     hot = rows.join(crowded.withColumn("_parts", F.ceil(F.col("_m") / chunk)).drop("_m"), keys).withColumn("_c", F.pmod(F.xxhash64("cls"), F.col("_parts"))).drop("_parts")
     hot = written(hot.withColumn("_part", F.lit(0)), "hot-tiles")
-    small = rows.join(crowded, keys, "left_anti").withColumns(zero)
-    one = met(small.unionByName(hot).withColumn("_label", F.col("cls")), "forest")
+    one = met(rows.join(crowded, keys, "left_anti").withColumns(zero).unionByName(hot))
 
     def labelled(edges: DataFrame) -> DataFrame:
-        known = components(edges).select(F.col("id").alias("cls"), F.col("component_id").alias("_label"))
-        return hot.drop("_c", "_part").join(known, "cls", "left").withColumn("_label", F.coalesce("_label", "cls"))
+        return _labels(hot.drop("_c", "_part", "_label"), edges if known is None else edges.unionByName(known))
 
     def pieces_of(labels: DataFrame) -> DataFrame:
         """The tiles that are in several pieces, with their rows' number."""
@@ -187,12 +191,22 @@ def _meet(rows: DataFrame, keys: list[str], chunk: int, compare) -> DataFrame:
     broken = labels.join(pieces_of(labels).select(*keys), keys, "left_semi")
     first = broken.groupBy(*keys, "_label").agg(F.min("cls").alias("cls"))
     anchors = broken.join(first.select(*keys, "cls"), [*keys, "cls"], "left_semi")
-    sizes = anchors.groupBy(*keys).agg(F.count("*").alias("_m"))
-    two = met(_dealt(anchors, sizes, keys, chunk, "cls"), "forest")
+    two = met(_dealt(anchors, anchors.groupBy(*keys).agg(F.count("*").alias("_m")), keys, chunk, "cls"))
+    drop_written(labels)
     labels = written(labelled(one.unionByName(two)), "labels")
     rest = pieces_of(labels)
-    three = met(_dealt(labels, rest, keys, chunk, "cls"), "forest") if rest.count() else two.limit(0)
-    return written(one.unionByName(two).unionByName(three), "forest")
+    found = one.unionByName(two)
+    if rest.count():
+        found = found.unionByName(met(_dealt(labels, rest, keys, chunk, "cls")))
+    for t in (hot, labels):
+        drop_written(t)
+    return written(found, "forest")
+
+
+def _labels(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with _label: what edges connect has one label."""
+    known = components(edges).select(F.col("id").alias("cls"), F.col("component_id").alias("_label"))
+    return rows.join(known, "cls", "left").withColumn("_label", F.coalesce("_label", "cls"))
 
 
 def _forest(percent: int, compare, upper):
@@ -293,12 +307,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         full.where("_id is not null").join(picked.select("h1", "h2", F.col("rep").alias("_id"), "cls"), ["h1", "h2", "_id"])
         .groupBy("cls").agg(F.first("_id").alias("rep"), F.first("h1").alias("h1"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "reps")
 
-    shared = written(reps.select(F.explode("prefix").alias("token"), "cls", "band").repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, cls long, band int"), "shared")
-    tiles = shared.select("token", "cls", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(1).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(0).alias("own")))).alias("t")).select("token", "cls", "t.*")
-    counts = tiles.groupBy("token", "tile").agg(F.count("*").alias("_m"), F.sum("own").alias("_own")).where("_m > 1 and _own > 0")
-    meeting = tiles.drop("own").join(counts.select("token", "tile"), ["token", "tile"], "left_semi").join(reps.select("cls", "n", "band", "bits"), "cls")
-    near = _meet(meeting.select("token", "tile", "cls", "n", "band", "bits"), ["token", "tile"], CHUNK, _may_link(percent))
-    grouped = written(components(near), "near")
+    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), "cls", "band")
+    shared = written(tokens.select("token", "cls", "band", "pos").repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, cls long, band int, pos int"), "shared")
+    both = F.array(F.struct(F.col("band").alias("tile"), F.lit(1).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(0).alias("own")))
+    tiles = shared.select("token", "cls", "pos", F.explode(both).alias("t")).select("token", "cls", "pos", "t.*")
+    per = ["token", "tile"]
+    payload = reps.select("cls", "n", "band", "bits")
+    # most near copies share the first of their prefixes; after these, only tiles that are still in pieces meet
+    early = tiles.where(F.col("pos") < EARLY)
+    here = early.groupBy(*per).agg(F.count("*").alias("_m"), F.sum("own").alias("_own")).where("_m > 1 and _own > 0").select(*per)
+    near = _meet(early.join(here, per, "left_semi").join(payload, "cls").select(*per, "cls", "n", "band", "bits"), per, CHUNK, _may_link(percent))
+    labels = written(_labels(tiles.drop("pos"), near), "labelled-tiles")
+    here = labels.groupBy(*per).agg(F.sum("own").alias("_own"), F.min("_label").alias("_low"), F.max("_label").alias("_high")).where("_low <> _high and _own > 0").select(*per)
+    late = labels.drop("own").join(here, per, "left_semi").join(payload, "cls").select(*per, "cls", "n", "band", "bits", "_label")
+    grouped = written(components(near.unionByName(_meet(late, per, CHUNK, _may_link(percent), near))), "near")
+    for t in (shared, labels):
+        drop_written(t)
 
     wanted = grouped.select(F.col("id").alias("cls"), F.col("component_id").alias("grp")).join(reps.select("cls", "rep", "h1"), "cls")
     texts = docs.select(whole_ids(docs, id_col).alias("rep"), F.col(text_col).alias("_text")).join(wanted, "rep")
