@@ -81,10 +81,10 @@ def explain(rows: DataFrame) -> DataFrame:
         factor(enough10 & (F.abs(defence) >= MATERIAL), "defence", defence > 0, one(defence, 1) * 0.85, said("conceded a match, last 10", c("home_ga10"), c("away_ga10"))),
         factor((c("home_n_home") >= LEAST) & (c("home_ppg") != 0) & (F.abs(home_venue) >= 0.25), "venue", home_venue > 0, one(home_venue, 1.5) * 0.8, said("points at home and overall", c("home_ppg_home"), c("home_ppg"))),
         factor((c("away_n_away") >= LEAST) & (c("away_ppg") != 0) & (F.abs(away_venue) >= 0.25), "venue", away_venue < 0, one(away_venue, 1.5) * 0.8, said("points away and overall", c("away_ppg_away"), c("away_ppg"))),
-        factor((c("away_n_away") >= LEAST) & (road > 0.15), "road_defence", F.lit(True), F.least(road, F.lit(1.0)) * 0.7, said("conceded away, league's home goals", c("away_ga_away"), c("avg_home_goals"))),
+        factor((c("away_n_away") >= LEAST) & (road > 0.15), "defence", F.lit(True), F.least(road, F.lit(1.0)) * 0.7, said("conceded away, league's home goals", c("away_ga_away"), c("avg_home_goals"))),
         factor(enough10 & (F.abs(shots) >= MATERIAL), "chance_creation", shots > 0, one(shots, 1) * 0.65, said("shots on target, last 10", c("home_sot10"), c("away_sot10"))),
-        factor(F.abs(c("home_trend")) >= 0.4, "form_home", c("home_trend") > 0, one(c("home_trend"), 1.5) * 0.6, said("trend, home", c("home_trend"), F.lit(0.0))),
-        factor(F.abs(c("away_trend")) >= 0.4, "form_away", c("away_trend") < 0, one(c("away_trend"), 1.5) * 0.6, said("trend, away", c("away_trend"), F.lit(0.0))),
+        factor(F.abs(c("home_trend")) >= 0.4, "form", c("home_trend") > 0, one(c("home_trend"), 1.5) * 0.6, said("trend, home", c("home_trend"), F.lit(0.0))),
+        factor(F.abs(c("away_trend")) >= 0.4, "form", c("away_trend") < 0, one(c("away_trend"), 1.5) * 0.6, said("trend, away", c("away_trend"), F.lit(0.0))),
         factor(F.abs(places) >= 4, "standing", places > 0, one(places, 15) * 0.55, said("places", c("home_position"), c("away_position"))),
         factor(F.abs(rest) >= 2, "rest", rest > 0, one(rest, 7) * 0.45, said("days of rest", c("home_rest_days"), c("away_rest_days"))),
         factor(F.abs(busy) >= 2, "congestion", busy < 0, one(busy, 4) * 0.4, said("matches in 14 days", c("home_matches_last_14_days"), c("away_matches_last_14_days"))),

@@ -10,18 +10,32 @@ from touchline.functions.scalars import counts, half_life, poisson, poisson_upto
 MOST = 10
 
 
+def score_cells(rates: DataFrame, most: int = MOST) -> DataFrame:
+    """rows (id, lam, mu, rho) with cells: all (h, a, p) of two Poissons with the four low scores corrected, normalised, as one array a row."""
+    lam, mu, rho = (F.col(c) for c in ("lam", "mu", "rho"))
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731 - value is made once, however often f uses it
+    one = lambda rate: F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: poisson(k, rate))
+    grid = F.sequence(F.lit(0), F.lit((most + 1) ** 2 - 1))
+    row, col = lambda i: F.floor(i / (most + 1)).cast("int"), lambda i: (i % (most + 1)).cast("int")
+
+    def weights(x):
+        def weight(i):
+            h, a = row(i), col(i)
+            tau = F.when((h == 0) & (a == 0), 1 - lam * mu * rho).when((h == 0) & (a == 1), 1 + lam * rho).when((h == 1) & (a == 0), 1 + mu * rho).when((h == 1) & (a == 1), 1 - rho).otherwise(1.0)
+            return F.greatest(F.get(x.ph, h) * F.get(x.pa, a) * tau, F.lit(0.0))
+
+        return F.transform(grid, weight)
+
+    def normalised(w):
+        cell = lambda t: F.transform(w, lambda v, i: F.struct(row(i).alias("h"), col(i).alias("a"), F.try_divide(v, t).alias("p")))
+        return bound(F.aggregate(w, F.lit(0.0), lambda s, v: s + v), cell)
+
+    return rates.withColumn("cells", bound(bound(F.struct(one(lam).alias("ph"), one(mu).alias("pa")), weights), normalised))
+
+
 def score_matrix(rates: DataFrame, most: int = MOST) -> DataFrame:
-    """(id, h, a, p) from rows (id, lam, mu, rho): two Poissons with the four low scores corrected, normalised.
-
-    121 rows a match, made and summed where the match's row stands; no shuffle until markets are gathered.
-    """
-    grid = F.sequence(F.lit(0), F.lit(most))
-    lam, mu, rho, h, a = (F.col(c) for c in ("lam", "mu", "rho", "h", "a"))
-    tau = F.when((h == 0) & (a == 0), 1 - lam * mu * rho).when((h == 0) & (a == 1), 1 + lam * rho).when((h == 1) & (a == 0), 1 + mu * rho).when((h == 1) & (a == 1), 1 - rho).otherwise(1.0)
-    cells = rates.select("id", "lam", "mu", "rho", F.explode(grid).alias("h")).select("*", F.explode(grid).alias("a"))
-    raw = cells.select("id", "h", "a", F.greatest(poisson(h, lam) * poisson(a, mu) * tau, F.lit(0.0)).alias("w"))
-    total = raw.groupBy("id").agg(F.sum("w").alias("t"))
-    return raw.join(total, "id").select("id", "h", "a", (F.col("w") / F.col("t")).alias("p"))
+    """(id, h, a, p) from rows (id, lam, mu, rho): 121 rows a match, made and summed where the match's row stands; no shuffle."""
+    return score_cells(rates, most).select("id", F.inline("cells"))
 
 
 def _mass(condition):

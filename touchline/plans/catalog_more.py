@@ -183,8 +183,8 @@ _TEN = "h_n >= 6 and a_n >= 6"
 @query(over("hist", " union all ".join([
     _rule(f"{_TEN} and abs(g1) >= 0.12", "attack", "g1 > 0", "least(abs(g1), 1) * 0.9"), _rule(f"{_TEN} and not coalesce(abs(g1) >= 0.12, false) and abs(g2) >= 0.12", "attack", "g2 > 0", "least(abs(g2), 1) * 0.6"),
     _rule(f"{_TEN} and abs(g3) >= 0.12", "defence", "g3 > 0", "least(abs(g3), 1) * 0.85"), _rule("h_n_home >= 6 and h_ppg <> 0 and abs(h_ppg_home - h_ppg) >= 0.25", "venue", "h_ppg_home > h_ppg", "least(abs(h_ppg_home - h_ppg) / 1.5, 1) * 0.8"),
-    _rule("a_n_away >= 6 and a_ppg <> 0 and abs(a_ppg_away - a_ppg) >= 0.25", "venue", "a_ppg_away < a_ppg", "least(abs(a_ppg_away - a_ppg) / 1.5, 1) * 0.8"), _rule("a_n_away >= 6 and a_ga_away / ahg - 1 > 0.15", "road_defence", "true", "least(a_ga_away / ahg - 1, 1) * 0.7"),
-    _rule(f"{_TEN} and abs(g4) >= 0.12", "chance_creation", "g4 > 0", "least(abs(g4), 1) * 0.65"), _rule("abs(h_trend) >= 0.4", "form_home", "h_trend > 0", "least(abs(h_trend) / 1.5, 1) * 0.6"), _rule("abs(a_trend) >= 0.4", "form_away", "a_trend < 0", "least(abs(a_trend) / 1.5, 1) * 0.6"),
+    _rule("a_n_away >= 6 and a_ppg <> 0 and abs(a_ppg_away - a_ppg) >= 0.25", "venue", "a_ppg_away < a_ppg", "least(abs(a_ppg_away - a_ppg) / 1.5, 1) * 0.8"), _rule("a_n_away >= 6 and a_ga_away / ahg - 1 > 0.15", "defence", "true", "least(a_ga_away / ahg - 1, 1) * 0.7"),
+    _rule(f"{_TEN} and abs(g4) >= 0.12", "chance_creation", "g4 > 0", "least(abs(g4), 1) * 0.65"), _rule("abs(h_trend) >= 0.4", "form", "h_trend > 0", "least(abs(h_trend) / 1.5, 1) * 0.6"), _rule("abs(a_trend) >= 0.4", "form", "a_trend < 0", "least(abs(a_trend) / 1.5, 1) * 0.6"),
     _rule("abs(ap - hp) >= 4", "standing", "ap > hp", "least(abs(ap - hp) / 15, 1) * 0.55"), _rule("abs(h_rest - a_rest) >= 2", "rest", "h_rest > a_rest", "least(abs(h_rest - a_rest) / 7, 1) * 0.45"), _rule("abs(h_busy - a_busy) >= 2", "congestion", "h_busy < a_busy", "least(abs(h_busy - a_busy) / 4, 1) * 0.4"),
     _rule("meetings >= 5 and abs(wins - losses) >= 2", "head_to_head", "wins > losses", "least(abs(wins - losses) / meetings, 1) * 0.4"), _rule("hs >= 8 and as_ >= 8 and abs(g5) >= 0.12", "strength_adjusted", "g5 > 0", "least(abs(g5), 1) * 0.75")]),
     _ADJUSTED,

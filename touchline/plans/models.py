@@ -48,6 +48,18 @@ def draw_curve(gaps: DataFrame, least: int = 30) -> DataFrame:
     return overall.join(line, "competition_id", "left").select("competition_id", "n", F.round(F.when(ok, F.col("base")).otherwise(F.col("share")), 6).alias("base"), F.round(F.when(ok, F.col("decay")).otherwise(0.0), 6).alias("decay"))
 
 
+def elo_evidence(matches: DataFrame, fixtures: DataFrame, least: int = 60, each: int = 4) -> DataFrame:
+    """(id, sufficient_data, note): whether a fixture's competition has least scored matches and both its teams each of them."""
+    scored = matches.where(F.col("ft_home_goals").isNotNull() & F.col("ft_away_goals").isNotNull())
+    teams = scored.select("competition_id", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")).groupBy("competition_id", "team_id").agg(F.count("*").alias("n"))
+    r = fixtures.select("id", "competition_id", "home_team_id", "away_team_id").join(scored.groupBy("competition_id").agg(F.count("*").alias("_all")), "competition_id", "left")
+    for p in ("home", "away"):
+        r = r.join(teams.select("competition_id", F.col("team_id").alias(f"{p}_team_id"), F.col("n").alias(f"_{p}")), ["competition_id", f"{p}_team_id"], "left")
+    n, fewest = F.coalesce("_all", F.lit(0)), F.least(F.coalesce("_home", F.lit(0)), F.coalesce("_away", F.lit(0)))
+    note = F.when(n < least, F.concat(n.cast("string"), F.lit(f" of {least} matches in the competition"))).when(fewest < each, F.concat(fewest.cast("string"), F.lit(f" of {each} matches of a team")))
+    return r.select("id", note.isNull().alias("sufficient_data"), note.alias("note"))
+
+
 def elo_predict(ratings: DataFrame, curve: DataFrame, scale: float = 400.0) -> DataFrame:
     """(id, home, draw, away) from gaps: the draw's probability by the curve, the rest split by expectancy."""
     r = ratings.join(F.broadcast(curve.select("competition_id", "base", "decay")), "competition_id")  # one row a competition
@@ -103,10 +115,10 @@ def goals_objective(h, a, yh, ya, real_h, real_a, w, teams: int, ridge: float, p
         tau = np.maximum(np.select(cells, [1 - lam * mu * rho, 1 + lam * rho, 1 + mu * rho, np.full(len(lam), 1 - rho)], 1.0), 1e-9)
         dl, dm = np.select(cells[:3], [-mu * rho, np.full(len(lam), rho), np.zeros(len(lam))], 0.0) / tau, np.select(cells[:3], [-lam * rho, np.zeros(len(lam)), np.full(len(lam), rho)], 0.0) / tau
         dr = np.select(cells, [-lam * mu, lam, mu, np.full(len(lam), -1.0)], 0.0) / tau
-        value = -(w * (np.log(tau) + yh * np.log(lam) - lam + ya * np.log(mu) - mu)).sum() + ridge * (((att - prior) ** 2).sum() + ((dfn - prior) ** 2).sum())
+        value = -(w * (np.log(tau) + yh * np.log(lam) - lam + ya * np.log(mu) - mu)).sum() + 0.5 * ridge * (((att - prior) ** 2).sum() + ((dfn - prior) ** 2).sum())
         gl, gm = -w * (yh - lam + dl * lam), -w * (ya - mu + dm * mu)
-        ga = np.bincount(h, gl, t) + np.bincount(a, gm, t) + 2 * ridge * (att - prior)
-        gd = -np.bincount(a, gl, t) - np.bincount(h, gm, t) + 2 * ridge * (dfn - prior)
+        ga = np.bincount(h, gl, t) + np.bincount(a, gm, t) + ridge * (att - prior)
+        gd = -np.bincount(a, gl, t) - np.bincount(h, gm, t) + ridge * (dfn - prior)
         return value, np.concatenate([ga[:-1] - ga[-1], gd[:-1] - gd[-1], [(gl + gm).sum(), gl.sum(), -(w * dr).sum()]])
 
     return value_and_slope, unpack
@@ -153,8 +165,8 @@ def scoring_strengths(matches: DataFrame, as_of, stats: DataFrame | None = None,
         prior = np.array([absent if last and t not in last else 0.0 for t in teams])
         w, n = 0.5 ** (np.maximum(rows.age.to_numpy(float), 0) / days), len(teams)
         f, unpack = goals_objective(h, a, yh, ya, real_h, real_a, w, n, ridge, prior)
-        low, high = np.r_[np.full(2 * n - 2, -3.0), -1.0, -1.0, -0.4], np.r_[np.full(2 * n - 2, 3.0), 1.5, 1.5, 0.4]
-        att, dfn, c, home, rho = unpack(minimise(f, np.r_[np.zeros(2 * n - 2), 0.2, 0.25, -0.05], low, high))
+        low, high = np.r_[np.full(2 * n - 2, -3.0), -3.0, -1.0, -0.4], np.r_[np.full(2 * n - 2, 3.0), 3.0, 1.5, 0.4]
+        att, dfn, c, home, rho = unpack(minimise(f, np.r_[np.zeros(2 * n - 2), np.log(max(1e-3, (yh.mean() + ya.mean()) / 2)), 0.0, 0.0], low, high))
         return pd.DataFrame({"competition_id": rows.competition_id.iloc[0], "team_id": teams, "attack": att, "defence": dfn, "intercept": c, "home": home, "rho": rho, "matches": len(rows)})[names]
 
     on = F.to_date(F.lit(as_of).cast("timestamp"))

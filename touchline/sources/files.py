@@ -15,8 +15,13 @@ from touchline.functions.scalars import to_day, to_number, to_whole
 
 #: Columns of statistics that look like odds but aren't.
 STATISTIC_COLUMNS = frozenset("Div Date Time HomeTeam AwayTeam FTHG FTAG FTR HTHG HTAG HTR Referee HS AS HST AST HC AC HF AF HY AY HR AR HO AO HBP ABP HHW AHW Attendance".split())
-#: bookmakers' prefixes and outcomes' suffixes of odds columns.
-_ODDS = re.compile(r"^(B365|BW|BF|BFE|GB|IW|LB|P|PS|SB|SJ|SO|SY|VC|WH|Max|Avg|BbMx|BbAv|Bb|1XB|BS|BMGM|BV|CL)C?(H|D|A|CH|CD|CA|AHH|AHA|AH|1X2|OU|[<>]2\.5|AHh)$|^AHh$|^AHCh$")
+#: bookmakers' prefixes of odds columns, what may follow them, and words that no statistic's name holds.
+BOOKMAKERS = "1XB|365|B365|BB|BF|BFD|BFE|BMGM|BS|BV|BW|Bb|BbAv|BbMx|CL|GB|IW|LB|LS|Avg|Max|P|PC|PS|SB|SJ|SO|SY|VC|WH"
+PRICES = "H|D|A|CH|CD|CA|AH|AHH|AHA|AHh|CAHH|CAHA|1X2|OU|[<>]2\\.5|C[<>]2\\.5"
+WORDS = ("odds", "pinnacle", "bookmaker", "betfair")
+_ODDS = re.compile(rf"^({BOOKMAKERS})({PRICES})$|^AHC?h$|^pin", re.IGNORECASE)
+
+
 #: Canonical names of statistics' columns.
 MATCH_STATS = {"HS": "home_shots", "AS": "away_shots", "HST": "home_shots_on_target", "AST": "away_shots_on_target", "HC": "home_corners", "AC": "away_corners", "HF": "home_fouls", "AF": "away_fouls", "HY": "home_yellows", "AY": "away_yellows", "HR": "home_reds", "AR": "away_reds"}
 #: Availability codes.
@@ -25,7 +30,8 @@ STATUS = {"a": "available", "d": "doubtful", "i": "injured", "s": "suspended", "
 
 def is_odds(column: str) -> bool:
     """Whether a column's name has the shape of a price; known statistics never do."""
-    return column not in STATISTIC_COLUMNS and bool(_ODDS.match(column))
+    name = column.strip()
+    return name not in STATISTIC_COLUMNS and (bool(_ODDS.match(name)) or any(w in name.lower() for w in WORDS))
 
 
 def match_csv(spark: SparkSession, path, season_of_path: bool = False) -> DataFrame:
