@@ -299,12 +299,12 @@ def player_projection(spark, d):
 
 
 def queries() -> dict:
-    from . import catalog_more  # noqa: F401  registers the other queries
+    from . import catalog_entities, catalog_more  # noqa: F401  register the other queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more  # noqa: F401
+    from . import catalog_entities, catalog_more  # noqa: F401
 
     return dict(ORACLE)
