@@ -7,14 +7,14 @@ bitmaps of their hashed shingles: every bit in which two differ is an element of
 only, so (sizes - differing bits) / 2 bounds the overlap from above. What passes the
 bound is compared exactly, as sorted arrays.
 
-Which classes meet in a tile: those that share a shingle of their prefixes. In one order of all shingles,
-two sets of n and m elements that are similar enough share one of the first
-n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1, so no link is lost. Any order is right; here the shingles that
-are common in a bounded sample of texts come last, and the others are ordered by hash, so that most of a prefix is in no other document.
+Which classes meet in a tile: those that share one of the first shingles of their prefixes. In one order of all shingles,
+here by hash, two sets of n and m elements that are similar enough share one of the first
+n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. Of these prefixes the first MOST shingles are used: sets of up to
+5 x (MOST - 1) shingles can't be missed at all, and of larger pairs at 0.8 a share under
+0.2 ^ MOST = 2e-17 is missed, as each of the smallest hashes of their union is in both with a probability of the similarity.
 
     1. shingle every text once: size, hash of the set, prefix, bitmap
-    2. shingles of prefixes that two classes share; tiles by shingle and band: bitmaps only; a spanning forest of what may be linked,
-       first by the EARLY first shingles, then by all, where a tile's classes are not connected yet
+    2. shingles of prefixes that two classes share; tiles by shingle and band: bitmaps only; a spanning forest of what may be linked
     3. its components: each class with possible links now stands in one group
     4. tiles by group: exact comparison; a spanning forest of the links
     5. components of the links
@@ -38,10 +38,8 @@ from .common import components, drop_written, groups, spread_join, table, whole_
 from .shingles import mix, shingles
 
 CHUNK = 2048
-#: Shingles of each prefix by which classes meet first.
-EARLY = 6
-#: Texts from which common shingles are learned, and the share of them that makes a shingle common. Both only set the order of shingles.
-SAMPLE, COMMON = 20_000, 0.002
+#: Shingles of each prefix by which classes meet; whole prefixes of long texts need more than four times the input's disk.
+MOST = 24
 #: Bits of a bitmap for each shingle, at least.
 BITS = 4
 EDGES = [1]
@@ -82,34 +80,8 @@ def prefix_of(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def common_shingles(docs: DataFrame, text_col: str, k: int, sample: int = SAMPLE, share: float = COMMON) -> np.ndarray:
-    """The sorted hashes of shingles in share or more of about sample texts, taken by their hashes."""
-
-    def counts(found):
-        for b in found:
-            sets = [shingles(t.as_py(), k) for t in b.column(0)]
-            seen, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n, pa.int64())], names=["s", "n"])
-
-    texts = docs.select(F.col(text_col).alias("t")).where("t is not null")
-    total = max(1, texts.count())
-    few = texts.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / total))))
-    found = few.mapInArrow(counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    at = max(8, int(share * sample))
-    return np.sort(np.array([r.s for r in found.where(F.col("n") >= at).select("s").collect()], np.int64).view(np.uint64))  # at most all shingles of the sample over at
-
-
-def profile(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
+def profile(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """One row per input row: _id, n, h1, h2 (hash of the set, null if it is empty), band, prefix, bits."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-
-    def prefix(s: np.ndarray) -> np.ndarray:
-        n, common = prefix_of(len(s), percent), shared.value
-        if len(common):
-            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-            last = common[at] == s
-            s = np.concatenate([s[~last], s[last]])
-        return s[:n].view(np.int64)
 
     def batches(found):
         for b in found:
@@ -121,7 +93,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, c
                     continue
                 h, band = xxhash.xxh3_128_intdigest(s.tobytes()), band_of(len(s))
                 low, high = np.array([h & (1 << 64) - 1, h >> 64], np.uint64).view(np.int64).tolist()
-                rows.append((doc, len(s), low, high, band, prefix(s), bitmap(s, width_of(band)).tobytes()))
+                rows.append((doc, len(s), low, high, band, s[: min(MOST, prefix_of(len(s), percent))].view(np.int64), bitmap(s, width_of(band)).tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["_id", "n", "h1", "h2", "band", "prefix", "bits"])
@@ -161,17 +133,17 @@ def _dealt(rows: DataFrame, counts: DataFrame, keys: list[str], chunk: int, id_c
     )
 
 
-def _meet(rows: DataFrame, keys: list[str], chunk: int, compare, known: DataFrame | None = None) -> DataFrame:
+def _meet(rows: DataFrame, keys: list[str], chunk: int, compare) -> DataFrame:
     """Edges (a, b) of a forest that connects the rows' cls wherever compare links two of one tile, by rounds for tiles of more than chunk rows.
 
     compare takes batches sorted by keys and _c, with the columns _part and _label: rows of one label are connected
-    already, and where a tile has two parts only rows of different ones meet. known: edges that connect rows already.
+    already, and where a tile has two parts only rows of different ones meet.
     """
     order = [*keys, "_c"]
     zero = {"_c": F.lit(0).cast("long"), "_part": F.lit(0)}
     columns = [*order, "_part", "_label", *[c for c in rows.columns if c not in (*keys, "_label")]]
     met = lambda tiles: written(tiles.select(*columns).repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long"), "forest")
-    rows = rows if "_label" in rows.columns else rows.withColumn("_label", F.col("cls"))
+    rows = rows.withColumn("_label", F.col("cls"))
     crowded = written(rows.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > chunk), "crowded")
     if not crowded.count():
         return met(rows.withColumns(zero))
@@ -180,7 +152,8 @@ def _meet(rows: DataFrame, keys: list[str], chunk: int, compare, known: DataFram
     one = met(rows.join(crowded, keys, "left_anti").withColumns(zero).unionByName(hot))
 
     def labelled(edges: DataFrame) -> DataFrame:
-        return _labels(hot.drop("_c", "_part", "_label"), edges if known is None else edges.unionByName(known))
+        known = components(edges).select(F.col("id").alias("cls"), F.col("component_id").alias("_label"))
+        return hot.drop("_c", "_part", "_label").join(known, "cls", "left").withColumn("_label", F.coalesce("_label", "cls"))
 
     def pieces_of(labels: DataFrame) -> DataFrame:
         """The tiles that are in several pieces, with their rows' number."""
@@ -203,12 +176,6 @@ def _meet(rows: DataFrame, keys: list[str], chunk: int, compare, known: DataFram
     return written(found, "forest")
 
 
-def _labels(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with _label: what edges connect has one label."""
-    known = components(edges).select(F.col("id").alias("cls"), F.col("component_id").alias("_label"))
-    return rows.join(known, "cls", "left").withColumn("_label", F.coalesce("_label", "cls"))
-
-
 def _forest(percent: int, compare, upper):
     """For one tile: joins rows that may be linked; compare(i, js) says which. upper: rows of the band above, not compared with each other."""
 
@@ -297,7 +264,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     no class or component of their own but those of other rows with their set, if any.
     An empty table gives an empty result; ids are whole numbers; other columns are ignored.
     """
-    base = written(profile(docs, id_col, text_col, k, percent, common_shingles(docs, text_col, k)), "shingled")
+    base = written(profile(docs, id_col, text_col, k, percent), "shingled")
     total = base.count()
     full = base.where("n > 0")
     classes = full.groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count("*").alias("_copies"))
@@ -307,22 +274,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         full.where("_id is not null").join(picked.select("h1", "h2", F.col("rep").alias("_id"), "cls"), ["h1", "h2", "_id"])
         .groupBy("cls").agg(F.first("_id").alias("rep"), F.first("h1").alias("h1"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "reps")
 
-    tokens = reps.select(F.posexplode("prefix").alias("pos", "token"), "cls", "band")
-    shared = written(tokens.select("token", "cls", "band", "pos").repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, cls long, band int, pos int"), "shared")
+    tokens = reps.select(F.explode("prefix").alias("token"), "cls", "band")
+    shared = written(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, cls long, band int"), "shared")
     both = F.array(F.struct(F.col("band").alias("tile"), F.lit(1).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(0).alias("own")))
-    tiles = shared.select("token", "cls", "pos", F.explode(both).alias("t")).select("token", "cls", "pos", "t.*")
+    tiles = shared.select("token", "cls", F.explode(both).alias("t")).select("token", "cls", "t.*")
     per = ["token", "tile"]
-    payload = reps.select("cls", "n", "band", "bits")
-    # most near copies share the first of their prefixes; after these, only tiles that are still in pieces meet
-    early = tiles.where(F.col("pos") < EARLY)
-    here = early.groupBy(*per).agg(F.count("*").alias("_m"), F.sum("own").alias("_own")).where("_m > 1 and _own > 0").select(*per)
-    near = _meet(early.join(here, per, "left_semi").join(payload, "cls").select(*per, "cls", "n", "band", "bits"), per, CHUNK, _may_link(percent))
-    labels = written(_labels(tiles.drop("pos"), near), "labelled-tiles")
-    here = labels.groupBy(*per).agg(F.sum("own").alias("_own"), F.min("_label").alias("_low"), F.max("_label").alias("_high")).where("_low <> _high and _own > 0").select(*per)
-    late = labels.drop("own").join(here, per, "left_semi").join(payload, "cls").select(*per, "cls", "n", "band", "bits", "_label")
-    grouped = written(components(near.unionByName(_meet(late, per, CHUNK, _may_link(percent), near))), "near")
-    for t in (shared, labels):
-        drop_written(t)
+    here = tiles.groupBy(*per).agg(F.count("*").alias("_m"), F.sum("own").alias("_own")).where("_m > 1 and _own > 0").select(*per)
+    meeting = tiles.join(here, per, "left_semi").join(reps.select("cls", "n", "band", "bits"), "cls")
+    near = _meet(meeting.select(*per, "cls", "n", "band", "bits"), per, CHUNK, _may_link(percent))
+    grouped = written(components(near), "near")
+    drop_written(shared)
 
     wanted = grouped.select(F.col("id").alias("cls"), F.col("component_id").alias("grp")).join(reps.select("cls", "rep", "h1"), "cls")
     texts = docs.select(whole_ids(docs, id_col).alias("rep"), F.col(text_col).alias("_text")).join(wanted, "rep")
