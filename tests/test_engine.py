@@ -154,7 +154,7 @@ def test_quality_of_unknown_sides_is_insufficient(league, spark):
     assert got[2].tier == "INSUFFICIENT" and got[2].score == 0 and got[1].tier != "INSUFFICIENT" and got[1].h2h_matches > 0
 
 
-@pytest.mark.parametrize("column, odds", [("B365H", True), ("Avg>2.5", True), ("BbMxA", True), ("PSCD", True), ("AHh", True), ("HS", False), ("AS", False), ("HST", False), ("FTHG", False), ("Referee", False), ("BWA", True)])
+@pytest.mark.parametrize("column, odds", [("B365H", True), ("Avg>2.5", True), ("BbMxA", True), ("PSCD", True), ("AHh", True), ("HS", False), ("AS", False), ("HST", False), ("FTHG", False), ("Referee", False), ("BWA", True), ("BFDH", True), ("LSH", True), ("PSC<2.5", True), ("pinnacle_home", True), ("home_odds", True), ("best_bookmaker", True), ("pin_x", True), ("HTHG", False), ("Attendance", False), ("Date", False)])
 def test_odds_columns_by_shape(column, odds):
     assert files.is_odds(column) is odds
 
@@ -222,3 +222,20 @@ def test_prior_means_of_a_team_with_most_facts(spark):
     plan = df._jdf.queryExecution().analyzed().toString()
     windows = re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", plan)
     assert windows and all("day#" in w or "block#" in w for w in windows)  # no window holds a team's whole history
+
+
+def test_entities(spark):
+    from touchline.operators import entities
+
+    day = dt.date
+    rows = spark.createDataFrame([(1, 10, day(2025, 1, 5)), (1, 11, day(2025, 2, 5)), (2, 10, day(2025, 1, 5)), (3, 12, day(2025, 9, 1))], "player_id long, team_id long, match_date date")
+    assert sorted(map(tuple, entities.squads(rows, "2025-06-01").collect())) == [(1, 11), (2, 10)]
+    matches = spark.createDataFrame([(7, 10, 99, day(2025, 1, 4)), (8, 98, 10, day(2025, 1, 6)), (9, 11, 10, day(2025, 2, 7))], "id long, home_team_id long, away_team_id long, kickoff_date date")
+    assert sorted((r.player_id, r.match_id) for r in entities.rows_to_matches(rows, matches).collect()) == [(1, 7), (2, 7)]
+    kick = "id long, kickoff_utc string, kickoff_is_exact boolean, status string"
+    old = spark.createDataFrame([(1, "a", False, "played"), (2, "b", True, "scheduled"), (3, "c", False, "scheduled")], kick)
+    new = spark.createDataFrame([(1, "x", True, "scheduled"), (2, "y", True, "played")], kick)
+    assert sorted(map(tuple, entities.upgrade_kickoffs(old, new).collect())) == [(1, "x", True, "played"), (2, "b", True, "played"), (3, "c", False, "scheduled")]
+    known = spark.createDataFrame([(4, "a")], "k long, n string")
+    assert sorted(map(tuple, entities.get_or_create(spark.createDataFrame([("c",), ("b",), ("a",), ("b",), (None,)], "n string"), known, "k", "n").collect())) == [(4, "a"), (5, "b"), (6, "c")]
+    assert entities.get_or_create(known.select("n"), known.where("1 = 0"), "k", "n").first().k == 1

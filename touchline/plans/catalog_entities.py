@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import entities
+from touchline.operators import entities, evaluation
 from touchline.sources import derived
 
 from . import models
@@ -128,3 +128,9 @@ def skip_counters(spark, d):
 def content_digests(spark, d):
     o = derived.table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("id"), F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus", "o_orderpriority"), 256).alias("digest"))
+
+
+@query()
+def forward_validation(spark, d):
+    p = predictions(spark, d).withColumn("p", evaluation._of_truth())
+    return models.forward_validation(p.select("competition_id", "id", "kickoff_date", "model", "p"), ["steep", "flat"], least=20)

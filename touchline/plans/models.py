@@ -223,3 +223,19 @@ def ensemble_weights(predictions: DataFrame, models: list[str], rounds: int = 50
         return pd.DataFrame({"competition_id": rows.competition_id.iloc[0], "model": models, "weight": np.round(w, 4), "n": len(rows)})
 
     return wide.groupBy("competition_id").applyInPandas(fit, "competition_id long, model string, weight double, n long")
+
+
+def forward_validation(predictions: DataFrame, models: list[str], share: float = 0.6, least: int = 60) -> DataFrame:
+    """(competition_id, n_fitted, n_scored, weighted, equal): mean log loss of later matches by weights that earlier ones gave, and by equal weights.
+
+    Rows (competition_id, id, kickoff_date, model, p) up to each competition's share quantile of days fit, later ones score; competitions with
+    fewer than least matches on either side go.
+    """
+    day = F.unix_date("kickoff_date")
+    cuts = predictions.groupBy("competition_id").agg(F.percentile(day, share).alias("_cut"))
+    rows = predictions.join(cuts, "competition_id").withColumn("_early", day <= F.col("_cut"))
+    weights = ensemble_weights(rows.where("_early"), models).withColumnRenamed("n", "n_fitted")
+    mixed = rows.where("not _early").join(weights, ["competition_id", "model"]).groupBy("competition_id", "n_fitted", "id").agg(F.sum(F.col("weight") * F.col("p")).alias("w"), F.avg("p").alias("e"), F.count("*").alias("k")).where(F.col("k") == len(models))
+    loss = lambda c: F.round(F.avg(-F.ln(F.greatest(c, F.lit(1e-15)))), 6)
+    scored = mixed.groupBy("competition_id", "n_fitted").agg(F.count("*").alias("n_scored"), loss(F.col("w")).alias("weighted"), loss(F.col("e")).alias("equal"))
+    return scored.where((F.col("n_fitted") >= least) & (F.col("n_scored") >= least))
