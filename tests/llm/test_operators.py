@@ -420,6 +420,7 @@ def test_jaccard_at_the_border(spark):
 def test_hot_shingles_and_large_groups(spark, monkeypatch):
     """Many documents with one passage, a large group of near copies, and tiles dealt to many parts."""
     monkeypatch.setattr(jaccard, "CHUNK", 40)
+    monkeypatch.setattr(jaccard, "PARTS", 1)
     r = random.Random(6)
     say = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]
     passage, base = say(40), say(90)

@@ -19,7 +19,7 @@ n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1. Of these prefixes the first MOST sh
     4. tiles by group: exact comparison; a spanning forest of the links
     5. components of the links
 
-A tile of more than CHUNK rows is dealt to parts. Each part is joined by itself; then one
+A tile of more than CHUNK rows is dealt to pairs of its parts, one of more than PARTS parts in rounds. Each part is joined by itself; then one
 anchor of each component that it has now meets the others' anchors; only tiles
 that are still in pieces, and of these only the pieces, are met by all pairs of parts. Pairs that a task has already connected
 aren't compared, so groups of near copies take about one comparison for each member, and
@@ -38,6 +38,8 @@ from .common import components, drop_written, groups, spread_join, table, whole_
 from .shingles import mix, shingles
 
 CHUNK = 2048
+#: Tiles of up to so many parts are dealt to all pairs of parts at once; rounds pay for larger ones.
+PARTS = 16
 #: Shingles of each prefix by which classes meet; whole prefixes of long texts need more than four times the input's disk.
 MOST = 24
 #: Bits of a bitmap for each shingle, at least.
@@ -147,6 +149,8 @@ def _meet(rows: DataFrame, keys: list[str], chunk: int, compare) -> DataFrame:
     crowded = written(rows.groupBy(*keys).agg(F.count("*").alias("_m")).where(F.col("_m") > chunk), "crowded")
     if not crowded.count():
         return met(rows.withColumns(zero))
+    if not crowded.where(F.col("_m") > PARTS * chunk).count():
+        return met(rows.join(crowded, keys, "left_anti").withColumns(zero).unionByName(_dealt(rows, crowded, keys, chunk, "cls")))
     hot = rows.join(crowded.withColumn("_parts", F.ceil(F.col("_m") / chunk)).drop("_m"), keys).withColumn("_c", F.pmod(F.xxhash64("cls"), F.col("_parts"))).drop("_parts")
     hot = written(hot.withColumn("_part", F.lit(0)), "hot-tiles")
     one = met(rows.join(crowded, keys, "left_anti").withColumns(zero).unionByName(hot))
