@@ -18,6 +18,8 @@ QUERIES = {
     "op6_urls": ("urls", "op6_urls", "SQL"),
     "op9_mixing": ("mixing", "op9_mixing", "SQL"),
     "op10_bpe": ("bpe", "op10_bpe", None),
+    "op11_spelling": ("spelling", "op11_spelling", None),
+    "op12_audit": ("diagrams", "op12_audit", "SQL"),
 }
 
 
