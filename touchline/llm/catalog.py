@@ -19,6 +19,7 @@ QUERIES = {
     "op9_mixing": ("mixing", "op9_mixing", "SQL"),
     "op10_bpe": ("bpe", "op10_bpe", None),
     "op11_spelling": ("spelling", "op11_spelling", None),
+    "op13_suffixes": ("suffixes", "op13_suffixes", None),
     "op12_audit": ("diagrams", "op12_audit", "SQL"),
 }
 
