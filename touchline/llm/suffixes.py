@@ -90,7 +90,7 @@ def _batch(key, c, doc, at, shape):
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, c, doc, at, shape.astype(np.int32), again)], ["key", "c", "doc", "at", "shape", "again"])
 
 
-def _runs(length: int):
+def _runs(length: int, most_bytes: int):
     """(doc, bytes) -> rows of runs: hash, digest of the bytes covered, document, start and text's crc32, windows and place of the anchor."""
     import xxhash
 
@@ -118,10 +118,10 @@ def _runs(length: int):
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = raw.as_py()
                 crc = zlib.crc32(text)
-                for base in range(0, len(text) - length + 1, PIECE):
-                    piece.append((doc, base, crc, text[base : base + PIECE + length - 1]))
+                for base in range(0, len(text) - length + 1, most_bytes):
+                    piece.append((doc, base, crc, text[base : base + most_bytes + length - 1]))
                     size += len(piece[-1][3])
-                    if size >= PIECE:
+                    if size >= most_bytes:
                         work()
                         size = 0
             work()
@@ -341,11 +341,11 @@ def _fetched(length: int):
     return each
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, most: int = 512) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, most: int = 512, piece: int = PIECE) -> DataFrame:
     """Spans of windows (doc, crc, start, windows) that start earlier elsewhere; docs: (doc, crc, raw), see clean. A hash with more than `most` different rows is spread by its windows."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} bytes or more")
-    each = _settled(docs.select("doc", "raw").mapInArrow(_runs(length), _ROWS), contests=True)
+    each = _settled(docs.select("doc", "raw").mapInArrow(_runs(length, piece), _ROWS), contests=True)
     many = F.sum(F.when(~F.col("repeat"), 1).otherwise(0)).over(Window.partitionBy("key", "again")) > most
     settled = written(each.withColumn("many", many), "runs")
     crc, start = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("at", 32)
@@ -389,19 +389,19 @@ def _cut(length: int):
     return each
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = 512) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = 512, piece: int = PIECE) -> DataFrame:
     """One row per row of docs: id_col (a long), n_bytes, spans (removed, as bytes from start up to end), kept (bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: under a smaller id, or under the same id
     at an earlier place. Null texts are empty; texts shorter than length keep all. Rows of one id and text are one document, each with
     the same result; different texts under one id have one order of starts, ties by the crc32 of the text, which also tells such texts
-    apart. Rows without an id come after all others. Other columns are ignored; an empty table gives no rows.
+    apart. Longer texts are worked on in pieces of `piece` bytes that overlap. Rows without an id come after all others. Other columns are ignored; an empty table gives no rows.
     """
     from .common import whole_ids
 
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(whole_ids(docs, id_col).alias("_id"), raw.alias("raw")).select("_id", F.coalesce("_id", F.lit(LAST_ID)).alias("doc"), F.crc32("raw").alias("crc"), "raw")
-    spans = repeated(rows, length, most).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    spans = repeated(rows, length, most, piece).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     schema = "_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     cut = rows.join(spans.hint("shuffle_hash"), ["doc", "crc"], "left").select("_id", "raw", "spans").mapInArrow(_cut(length), schema)
     return cut.withColumnRenamed("_id", id_col)
