@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars
@@ -27,9 +28,11 @@ def test_no_competitions_means_none(league):
 
 def test_leaks_are_raised(league):
     a = asof.AsOf(*league, "2025-02-01")
-    with pytest.raises(asof.LeakageError):
-        a.verified(league[0])
-    assert a.verified(a.completed()).count() == 11
+    with pytest.raises(Exception, match=asof.LEAK):
+        a.verified(league[0]).collect()
+    seen = Observation("reads")
+    assert len(a.verified(a.completed(), seen).collect()) == 11
+    assert seen.get["rows"] == 11 and seen.get["leaks"] == 0 and str(seen.get["newest"]) <= "2025-02-01"
 
 
 def test_table_grows_and_balances(league):

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from touchline.session import written
 
-class LeakageError(RuntimeError):
-    """A read returned something that the cutoff forbids."""
+
+#: What a plan says when a read holds something that its cutoff forbids.
+LEAK = "leakage: a row was not known at the cutoff"
 
 
 #: Statistics of a side, and their names from the other side's view.
@@ -51,7 +53,23 @@ class AsOf:
         if as_of is None:
             raise ValueError("a cutoff is required")
         self.as_of = F.lit(as_of).cast("timestamp")
-        self._matches, self._candidates = matches, candidates
+        self._matches, self._candidates, self._view, self._best = matches, candidates, None, None
+
+    def snapshot(self) -> AsOf:
+        """The same cutoff with matches, best statistics and team rows written once: whatever reads it afterwards scans these tables,
+        never the sources again, and joins no statistics a second time."""
+        self._matches = written(self._matches, "matches")
+        self._best = written(best_stats(self._candidates), "stats")
+        self._view = written(team_view(self.completed(), self._best), "team-rows")
+        return self
+
+    def matches(self) -> DataFrame:
+        """All matches, those after the cutoff too: for reads that have a cutoff of their own for each row."""
+        return self._matches
+
+    def scheduled(self) -> DataFrame:
+        """Matches that are not played yet, whatever their day."""
+        return self._matches.where("status = 'scheduled'")
 
     def visible(self):
         return (F.col("status") == "played") & (F.col("known_at") <= self.as_of)
@@ -64,18 +82,27 @@ class AsOf:
         return rows if since is None else rows.where(F.col("kickoff_date") >= F.lit(since).cast("date"))
 
     def stats(self) -> DataFrame:
-        return best_stats(self._candidates)
+        return best_stats(self._candidates) if self._best is None else self._best
 
     def history(self, competitions: list[int] | None = None, since=None, newest_rows: int | None = None) -> DataFrame:
         """Team rows, newest first by rn; at most newest_rows for each team."""
-        rows = team_view(self.completed(competitions, since), self.stats()).withColumn("rn", F.row_number().over(newest("team_id")))
+        rows = self._view
+        if rows is None:
+            rows = team_view(self.completed(competitions, since), self.stats())
+        else:
+            if competitions is not None:
+                rows = rows.where(F.col("competition_id").isin(*competitions) if competitions else F.lit(False))
+            if since is not None:
+                rows = rows.where(F.col("kickoff_date") >= F.lit(since).cast("date"))
+        rows = rows.withColumn("rn", F.row_number().over(newest("team_id")))
         return rows if newest_rows is None else rows.where(F.col("rn") <= newest_rows)
 
-    def verified(self, rows: DataFrame) -> DataFrame:
-        """The rows, or LeakageError if any was not known at the cutoff."""
-        if not rows.where(F.col("known_at") > self.as_of).isEmpty():
-            raise LeakageError("rows from after the cutoff")
-        return rows
+    def verified(self, rows: DataFrame, counters: Observation | None = None) -> DataFrame:
+        """The rows; the job that reads them fails with LEAK if any was not known at the cutoff. No job of its own runs: the check is part
+        of the plan, and counters holds rows, leaks and newest once an action is over."""
+        leak = F.coalesce(F.col("known_at") > self.as_of, F.lit(True))
+        seen = rows if counters is None else rows.observe(counters, F.count("*").alias("rows"), F.count(F.when(leak, 1)).alias("leaks"), F.max("known_at").alias("newest"))
+        return seen.where(F.when(leak, F.raise_error(F.lit(LEAK)).cast("boolean")).otherwise(F.lit(True)))
 
     def head_to_head(self, limit: int | None = None) -> DataFrame:
         """Team rows of every pair, newest first by meeting."""
@@ -99,21 +126,22 @@ def latest_observation(rows: DataFrame, as_of, entity: str, observed: str = "obs
 DAY_BITS = 17
 
 
-def prior_means(facts: DataFrame, probes: DataFrame, team: str, value: str, n: int) -> DataFrame:
-    """For each probe (id, team, at) the mean and count of the team's n newest facts known by then.
+def prior_lists(facts: DataFrame, probes: DataFrame, team: str, values: tuple[str, ...], n: int) -> DataFrame:
+    """For each probe (id, team_id, at) the team's n newest facts known by then, newest first: (id, team_id, at, seen), seen an array
+    of (kickoff_date, id, v) with the values in v.
 
     Facts and probes share one axis of time, cut into days. All days before a probe's are
     the union of as many blocks of 2^k days as its number has bits set; of each team's
     block, only the n newest facts are kept, then of their union. Within the probe's day
     facts are read in one window a team and day, facts first at equal times. So no array
     holds more than n facts and a day's, whatever a team's history. Newest means latest
-    date, then largest id, among what is known.
+    date, then largest id, among what is known. Facts that are never known count for nothing.
     """
     number = F.datediff(F.to_date("ts"), F.lit("1900-01-01").cast("date"))
     day = F.when(number < 0, 0).when(number >= 2**DAY_BITS, 2**DAY_BITS - 1).otherwise(F.coalesce(number, F.lit(0)))  # without a time: before all days, where nothing is known
-    axis = facts.where("known_at is not null").select(F.col(team).alias("team_id"), F.col("known_at").alias("ts"), F.lit(0).alias("kind"), F.struct("kickoff_date", "id", F.col(value).alias("v")).alias("f"), F.lit(None).cast("long").alias("probe_id")).unionByName(
-        probes.select("team_id", F.col("at").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast(f"struct<kickoff_date:date,id:bigint,v:{facts.schema[value].dataType.simpleString()}>").alias("f"), F.col("id").alias("probe_id"))
-    ).withColumn("day", day)
+    known = facts.where("known_at is not null").select(F.col(team).alias("team_id"), F.col("known_at").alias("ts"), F.lit(0).alias("kind"), F.struct("kickoff_date", "id", F.struct(*values).alias("v")).alias("f"), F.lit(None).cast("long").alias("probe_id"))
+    asks = probes.select("team_id", F.col("at").alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast(known.schema["f"].dataType).alias("f"), F.col("id").alias("probe_id"))
+    axis = known.unionByName(asks).withColumn("day", day)
     top = lambda rows, *by: rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("f")))).where(F.col("_rn") <= n).drop("_rn")
     blocks = lambda rows, odd: rows.withColumn("_b", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("day", k).alias("block")) for k in range(DAY_BITS)]))).select("*", "_b.*").where(F.col("block") % 2 == odd)
     kept = top(blocks(top(axis.where("kind = 0").select("team_id", "day", "f"), "team_id", "day"), 0).select(F.col("team_id").alias("_team"), "level", "block", "f"), "_team", "level", "block")
@@ -123,6 +151,12 @@ def prior_means(facts: DataFrame, probes: DataFrame, team: str, value: str, n: i
     before = Window.partitionBy("team_id", "day").orderBy("ts", "kind", "f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     today = axis.withColumn("new", F.when(F.col("kind") == 1, F.collect_list("f").over(before))).where("kind = 1")
     both = today.join(carried, [F.col("team_id").eqNullSafe(F.col("_team")), F.col("day") == F.col("_day")], "left")
-    seen = both.withColumn("seen", F.slice(F.reverse(F.array_sort(F.concat("new", F.when(F.col("old").isNotNull(), F.col("old")).otherwise(F.slice("new", 1, 0))))), 1, n))
-    mean = F.aggregate("seen", F.lit(0.0), lambda a, x: a + x.v) / F.size("seen")
-    return seen.select(F.col("probe_id").alias("id"), "team_id", F.size("seen").cast("long").alias("n"), F.when(F.size("seen") > 0, mean).alias("mean"))
+    seen = F.slice(F.reverse(F.array_sort(F.concat("new", F.when(F.col("old").isNotNull(), F.col("old")).otherwise(F.slice("new", 1, 0))))), 1, n)
+    return both.select(F.col("probe_id").alias("id"), "team_id", F.col("ts").alias("at"), seen.alias("seen"))
+
+
+def prior_means(facts: DataFrame, probes: DataFrame, team: str, value: str, n: int) -> DataFrame:
+    """For each probe (id, team_id, at) the mean and count of the team's n newest facts known by then, as prior_lists finds them."""
+    seen = prior_lists(facts, probes, team, (value,), n)
+    mean = F.aggregate("seen", F.lit(0.0), lambda a, x: a + x.v[value]) / F.size("seen")
+    return seen.select("id", "team_id", F.size("seen").cast("long").alias("n"), F.when(F.size("seen") > 0, mean).alias("mean"))

@@ -169,6 +169,11 @@ def match_features(fixtures: DataFrame, teams: DataFrame, standings: DataFrame)
     r = fixtures.select("id", "competition_id", "home_team_id", "away_team_id")
     for p in ("home", "away"):
         r = r.join(side(p), f"{p}_team_id", "left").join(place(p), ["competition_id", f"{p}_team_id"], "left")
+    return r.select("id", *feature_columns())
+
+
+def feature_columns() -> list:
+    """The 23 features from a fixture's inputs with prefixes home_ and away_, in the order that models expect."""
     c = lambda name, default, *more: F.round(F.coalesce(name if not isinstance(name, str) else F.col(name), *[F.col(m) for m in more], F.lit(float(default))), 6)
     out = {
         "home_gf_10": c("home_gf10", 1.3), "home_ga_10": c("home_ga10", 1.3), "away_gf_10": c("away_gf10", 1.3), "away_ga_10": c("away_ga10", 1.3),
@@ -180,4 +185,4 @@ def match_features(fixtures: DataFrame, teams: DataFrame, standings: DataFrame)
         "congestion_difference": F.round(F.coalesce("home_matches_last_14_days", F.lit(0)).cast("double") - F.coalesce("away_matches_last_14_days", F.lit(0)), 6),
         "position_difference": c((F.col("away_position") - F.col("home_position")).cast("double"), 0.0),
     }
-    return r.select("id", *[v.alias(k) for k, v in out.items()])
+    return [v.alias(k) for k, v in out.items()]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators import asof, features, scores
+from touchline.session import written
 from touchline.sources import derived
 
 from .base_sql import AS_OF, SEASON_START, SINCE, over
@@ -29,6 +30,12 @@ def cut(spark, d) -> asof.AsOf:
     return asof.AsOf(derived.matches(spark, d), derived.stat_candidates(spark, d), AS_OF)
 
 
+def snapshot(spark, d) -> asof.AsOf:
+    """cut() written once: the order lines are scanned twice, for matches and for statistics, however much is read afterwards."""
+    m = written(derived.matches(spark, d), "derived")
+    return asof.AsOf(m, derived.stat_candidates(spark, d, m), AS_OF).snapshot()
+
+
 def rates(spark, d) -> DataFrame:
     """Expected goals of every fixture that is not played, by rule."""
     m = derived.matches(spark, d).where("status = 'scheduled'")
@@ -166,9 +173,8 @@ _F = lambda name, expr: f"round(coalesce({expr}), 6) as {name}"
   min(date_diff('day', kickoff_date, date '{AS_OF[:10]}')) as rest, count(*) filter (date_diff('day', kickoff_date, date '{AS_OF[:10]}') <= 14) as busy from hist80 group by 1)""",
     f"places as ({ORACLE['league_table'][ORACLE['league_table'].rindex('select competition_id, team_id, played'):]})"))
 def match_features_23(spark, d):
-    a = cut(spark, d)
-    fixtures = derived.matches(spark, d).where("status = 'scheduled'")
-    return features.match_features(fixtures, features.team_features(a, AS_OF), features.league_table(a.history(since=SEASON_START)))
+    a = snapshot(spark, d)
+    return features.match_features(a.scheduled(), features.team_features(a, AS_OF), features.league_table(a.history(since=SEASON_START)))
 
 
 @query(over("hist", f"""select competition_id, team_id from (select distinct competition_id, team_id from sides where kickoff_date >= date '{SEASON_START}') n
@@ -299,12 +305,12 @@ def player_projection(spark, d):
 
 
 def queries() -> dict:
-    from . import catalog_entities, catalog_more  # noqa: F401  register the other queries
+    from . import catalog_entities, catalog_forward, catalog_more  # noqa: F401  register the other queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_entities, catalog_more  # noqa: F401
+    from . import catalog_entities, catalog_forward, catalog_more  # noqa: F401
 
     return dict(ORACLE)

@@ -11,7 +11,7 @@ from touchline.sources import derived
 
 from . import models
 from .base_sql import AS_OF, SEASON_START, SINCE, over
-from .catalog import ORACLE, _ADJUSTED, cut, query, rates
+from .catalog import ORACLE, _ADJUSTED, cut, query, rates, snapshot
 
 #: Two rule-based models' probabilities of every played match; the second declines some home sides.
 _PREDS = """played as (select *, (home_team_id % 10 - away_team_id % 9) * 0.1::double as s, case when ft_home_goals > ft_away_goals then 'H' when ft_home_goals = ft_away_goals then 'D' else 'A' end as outcome from matches where status = 'played'),
@@ -153,20 +153,19 @@ _SPARSE = " + ".join(f"coalesce(({p}.{s} > 0 and {p}.{s} < 0.5)::int, 0)" for p
   select m.id, coalesce(h.n, 0)::bigint as home_matches, coalesce(a.n, 0)::bigint as away_matches, coalesce(met.n, 0)::bigint as h2h_matches, date_diff('day', greatest(h.last_date, a.last_date), date '{AS_OF[:10]}')::int as freshness_days, date_diff('day', date '{AS_OF[:10]}', m.kickoff_date) as lead_days, {_MISSING} as miss, {_SPARSE} as sparse
   from matches m left join cover h on h.team_id = home_team_id left join cover a on a.team_id = away_team_id left join met on met.team_id = home_team_id and met.opponent_id = away_team_id where status = 'scheduled'))"""))
 def quality_tier(spark, d):
-    a = cut(spark, d)
-    fixtures = derived.matches(spark, d).where("status = 'scheduled'").select("id", "home_team_id", "away_team_id", "kickoff_date")
+    a = snapshot(spark, d)
+    fixtures = a.scheduled().select("id", "home_team_id", "away_team_id", "kickoff_date")
     meetings = a.head_to_head(12).groupBy("team_id", "opponent_id").agg(F.count("*").alias("matches"))
     return judgement.quality(fixtures, judgement.coverage(a.history(newest_rows=80)), meetings, AS_OF)
 
 
-def explanation_rows(spark, d) -> DataFrame:
-    a = cut(spark, d)
+def explanation_rows(a: asof.AsOf) -> DataFrame:
     h = a.history(newest_rows=80)
     more = h.groupBy("team_id").agg(F.count(F.when(F.col("is_home"), 1)).alias("n_home"), F.count(F.when(~F.col("is_home"), 1)).alias("n_away")).join(features.form_points(h).select("team_id", "trend"), "team_id")
     teams = features.team_features(a, AS_OF).join(more, "team_id", "left")
     table = features.league_table(a.history(since=SEASON_START)).select("competition_id", "team_id", "position")
     met = features.head_to_head(a).select(F.col("team_id").alias("home_team_id"), F.col("opponent_id").alias("away_team_id"), F.col("matches").alias("meetings"), "wins", "losses")
-    r = derived.matches(spark, d).where("status = 'scheduled'").select("id", "competition_id", "home_team_id", "away_team_id")
+    r = a.scheduled().select("id", "competition_id", "home_team_id", "away_team_id")
     for p in ("home", "away"):
         r = r.join(teams.select(*[F.col(c).alias(f"{p}_{c}") for c in teams.columns]), f"{p}_team_id", "left").join(table.select("competition_id", F.col("team_id").alias(f"{p}_team_id"), F.col("position").alias(f"{p}_position")), ["competition_id", f"{p}_team_id"], "left")
     return r.join(met, ["home_team_id", "away_team_id"], "left").join(features.league_baseline(a, SINCE).select("competition_id", "avg_home_goals"), "competition_id", "left")
@@ -198,7 +197,7 @@ _TEN = "h_n >= 6 and a_n >= 6"
   from matches m left join tf h on h.team_id = home_team_id left join tf a on a.team_id = away_team_id left join adjusted hj on hj.team_id = home_team_id left join adjusted aj on aj.team_id = away_team_id left join places hp on hp.team_id = home_team_id and hp.competition_id = m.competition_id left join places ap on ap.team_id = away_team_id and ap.competition_id = m.competition_id
   left join met on met.team_id = home_team_id and met.opponent_id = away_team_id left join home_goals g on g.competition_id = m.competition_id where status = 'scheduled')"""))
 def explanation_factors(spark, d):
-    return judgement.explain(explanation_rows(spark, d)).drop("statement")
+    return judgement.explain(explanation_rows(snapshot(spark, d))).drop("statement")
 
 
 def _two_sources(spark, d):
@@ -275,14 +274,15 @@ def elo_predictions(spark, d):
 
 @query()
 def dixon_coles_ratings(spark, d):
-    return models.scoring_strengths(_played(spark, d), AS_OF, cut(spark, d).stats())
+    a = snapshot(spark, d)
+    return models.scoring_strengths(a.completed(), AS_OF, a.stats())
 
 
 @query()
 def dixon_coles_markets(spark, d):
-    m = derived.matches(spark, d)
-    strengths = models.scoring_strengths(_played(spark, d), AS_OF, cut(spark, d).stats())
-    return scores.goal_markets(scores.score_matrix(models.expected_goals(m.where("status = 'scheduled'"), strengths)))
+    a = snapshot(spark, d)
+    strengths = models.scoring_strengths(a.completed(), AS_OF, a.stats())
+    return scores.goal_markets(scores.score_matrix(models.expected_goals(a.scheduled(), strengths)))
 
 
 @query()

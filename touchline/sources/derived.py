@@ -46,10 +46,10 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("known_at", known_at(F.col("kickoff_is_exact"), F.col("kickoff_utc"), F.col("kickoff_date")))
 
 
-def stat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of a match's two suppliers is one source's statistics of that team in that match."""
+def stat_candidates(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Every line of a match's two suppliers is one source's statistics of that team in that match; of: the matches, where they are written already."""
     line = table(spark, sf_dir, "lineitem")
-    sides = matches(spark, sf_dir).select(F.col("id").alias("match_id"), F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
+    sides = (matches(spark, sf_dir) if of is None else of).select(F.col("id").alias("match_id"), F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
     source = (F.col("l_linenumber") % 3).cast("int")
     reliability = F.element_at(F.create_map(*[F.lit(x) for pair in RELIABILITY.items() for x in pair]), source)
     return line.join(sides, (F.col("l_orderkey") == F.col("match_id")) & (F.col("l_suppkey") == F.col("team_id"))).select(
