@@ -208,7 +208,7 @@ def passages():
     return rows + [(1, rows[1][1]), (1, rows[2][1]), (1, "x" + rows[1][1]), (None, rows[5][1]), (None, None), (7, ""), (400, "a" * 700), (401, "ab" * 300), (402, "a" * 99), (403, "é" * 120), (404, "ab" * 300 + "x"), (405, passage * 40)]
 
 
-@pytest.mark.parametrize("most", [512, 3, 0])
+@pytest.mark.parametrize("most", [10_000, 3, 0])
 def test_repeats_against_all_strings(spark, passages, most):
     """Sorted classes only, some classes spread by windows, all spread."""
     assert cleaned(spark.createDataFrame(passages, "doc_id long, text string").repartition(3), most=most) == plain_clean(passages)

@@ -83,10 +83,22 @@ def first_of_equals(key: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndar
 _ROWS = "key long, c long, doc long, at long, shape int, again boolean"
 
 
-def _batch(key, c, doc, at, shape):
+def merged_repeats(key, c, doc, at, shape, again):
+    """The rows with windows that repeat and follow each other in a document as one row, its number of windows in shape; other rows stay."""
+    o = np.flatnonzero(again)[np.lexsort((at[again], doc[again]))]
+    start = np.ones(len(o), bool)
+    start[1:] = (np.diff(doc[o]) != 0) | (np.diff(at[o]) != 1 << 32)
+    size = np.diff(np.append(np.flatnonzero(start), len(o)))
+    kept = np.concatenate([np.flatnonzero(~again), o[start]])
+    shape = np.concatenate([shape[~again], size])
+    return key[kept], c[kept], doc[kept], at[kept], shape, again[kept]
+
+
+def _batch(key, c, doc, at, shape, merge: bool = False):
     import pyarrow as pa
 
-    key, c, doc, at, shape, again = first_of_equals(key, c, doc, at, shape)
+    rows = first_of_equals(key, c, doc, at, shape)
+    key, c, doc, at, shape, again = merged_repeats(*rows) if merge else rows
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, c, doc, at, shape.astype(np.int32), again)], ["key", "c", "doc", "at", "shape", "again"])
 
 
@@ -292,7 +304,7 @@ def _sorted_classes(length: int, rows_at_once: int):
 
 
 def _windows(length: int):
-    """Rows (key, doc, at, shape, bytes) -> a row for each window, keyed by its digest."""
+    """Rows (key, doc, at, shape, bytes) -> a row for each window, keyed by its digest; what a batch itself shows to repeat is one row a span."""
     import xxhash
 
     def each(batches: Iterator) -> Iterator:
@@ -306,7 +318,7 @@ def _windows(length: int):
                         doc.append(d)
                         at.append(a + (k << 32))
                 pairs = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
-                yield _batch(pairs[:, 0], pairs[:, 1], np.array(doc, np.int64), np.array(at, np.int64), np.ones(len(doc), np.int64))
+                yield _batch(pairs[:, 0], pairs[:, 1], np.array(doc, np.int64), np.array(at, np.int64), np.ones(len(doc), np.int64), merge=True)
 
     return each
 
@@ -341,7 +353,7 @@ def _fetched(length: int):
     return each
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, most: int = 512, piece: int = PIECE) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, most: int = 64, piece: int = PIECE) -> DataFrame:
     """Spans of windows (doc, crc, start, windows) that start earlier elsewhere; docs: (doc, crc, raw), see clean. A hash with more than `most` different rows is spread by its windows."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} bytes or more")
@@ -356,7 +368,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, most: int = 512, piece: int
     )
     few = contexts.where("not many").drop("many").repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_classes(length, 4096), _SPANS)
     spread = _settled(contexts.where("many").drop("many").mapInArrow(_windows(length), _ROWS), contests=False)
-    found = written(whole.unionByName(few).unionByName(spread.select("doc", crc.alias("crc"), start.alias("start"), F.lit(1).alias("windows"))), "spans")
+    found = written(whole.unionByName(few).unionByName(spread.select("doc", crc.alias("crc"), start.alias("start"), F.col("shape").alias("windows"))), "spans")
     drop_written(settled)
     drop_written(contexts)
     return found
@@ -389,7 +401,7 @@ def _cut(length: int):
     return each
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = 512, piece: int = PIECE) -> DataFrame:
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = 64, piece: int = PIECE) -> DataFrame:
     """One row per row of docs: id_col (a long), n_bytes, spans (removed, as bytes from start up to end), kept (bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: under a smaller id, or under the same id
