@@ -15,6 +15,12 @@ from .asof import PER_MATCH, AsOf
 
 WINDOWS = {"last5": 5, "last10": 10, "last20": 20, "all": 80}
 HISTORY = 80
+#: The 23 features, in the order that models expect.
+FEATURES = (
+    "home_gf_10", "home_ga_10", "away_gf_10", "away_ga_10", "home_gf_home", "home_ga_home", "away_gf_away", "away_ga_away",
+    "home_sot_10", "away_sot_10", "home_sot_against_10", "away_sot_against_10", "home_ppg_5", "away_ppg_5", "home_ppg_all", "away_ppg_all",
+    "home_attack_index", "away_attack_index", "home_defence_index", "away_defence_index", "home_rest_advantage_days", "congestion_difference", "position_difference",
+)
 
 
 def _long(wide: DataFrame, keys: list[str], names: dict[str, tuple], columns: tuple[str, ...]) -> DataFrame:
@@ -185,4 +191,4 @@ def feature_columns() -> list:
         "congestion_difference": F.round(F.coalesce("home_matches_last_14_days", F.lit(0)).cast("double") - F.coalesce("away_matches_last_14_days", F.lit(0)), 6),
         "position_difference": c((F.col("away_position") - F.col("home_position")).cast("double"), 0.0),
     }
-    return [v.alias(k) for k, v in out.items()]
+    return [out[k].alias(k) for k in FEATURES]

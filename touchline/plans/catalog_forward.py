@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import timeline
+from touchline.operators import evaluation, timeline
 
+from . import backtest, models
 from .base_sql import over
 from .catalog import _F, query, snapshot
 
@@ -49,3 +50,44 @@ FEATURES_SQL = over("stats", "select m.id, coalesce(h.n, 0)::bigint as home_n, c
 def features_23_at_each_kickoff(spark, d):
     a = snapshot(spark, d)
     return timeline.kickoff_features(a.matches(), a.stats())
+
+
+#: The last two years of the tables, refitted every 30 days.
+RUN = backtest.Run("1996-08-01", "1998-08-02")
+
+
+def _forward(spark, d):
+    a = snapshot(spark, d)
+    return backtest.walk_forward(a.matches(), a.stats(), RUN)
+
+
+@query()
+def walk_forward(spark, d):
+    """Three models and their ensemble, refitted at every checkpoint of every competition, scored on what followed."""
+    test, _, made = _forward(spark, d)
+    return backtest.report(backtest.scored(test, made), RUN)
+
+
+@query()
+def walk_forward_predictions(spark, d):
+    return _forward(spark, d)[2]
+
+
+@query()
+def walk_forward_skips(spark, d):
+    test, _, made = _forward(spark, d)
+    return backtest.skipped(test, made)
+
+
+@query()
+def logistic_coefficients(spark, d):
+    """The six features that weigh most in each outcome, at each checkpoint."""
+    return backtest.coefficients(_forward(spark, d)[1])
+
+
+@query()
+def walk_forward_validation(spark, d):
+    """Weights that earlier predictions give, on later ones: against equal weights and each model alone."""
+    test, _, made = _forward(spark, d)
+    rows = backtest.scored(test, made).where("model <> 'ensemble'").withColumn("p", evaluation._of_truth())
+    return models.forward_validation(rows.select("competition_id", "id", "kickoff_date", "model", "p"), list(backtest.MODELS))

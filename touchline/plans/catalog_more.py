@@ -306,16 +306,3 @@ def logistic_1x2(spark, d):
 def ensemble_weights(spark, d):
     p = predictions(spark, d).withColumn("p", evaluation._of_truth())
     return models.ensemble_weights(p.select("competition_id", "id", "model", "p"), ["steep", "flat"])
-
-
-@query()
-def walk_forward(spark, d):
-    """Ratings are known before each match, the draw curve from the matches before the cutoff; scored on all after it."""
-    m = derived.matches(spark, d).where("status = 'played'")
-    r = models.elo(m)
-    before = r.join(_played(spark, d).select("id"), "id", "left_semi")
-    after = r.join(_played(spark, d).select("id"), "id", "left_anti")
-    p = models.elo_predict(after, models.draw_curve(before))
-    h, w = F.col("ft_home_goals"), F.col("ft_away_goals")
-    truth = m.select("id", F.when(h > w, "H").when(h == w, "D").otherwise("A").alias("outcome"))
-    return evaluation.outcome_scores(p.join(truth, "id").withColumn("model", F.lit("elo")))

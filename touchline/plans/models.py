@@ -12,23 +12,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def fold_ratings(rows: pd.DataFrame, k: float = 20.0, start: float = 1500.0, home_bonus: float = 60.0, scale: float = 400.0, regress: float = 0.1) -> tuple[dict, dict, list[tuple]]:
+    """Ratings and numbers of matches of all teams after these matches, in their order, and what stood before each: (id, competition_id, home, away, gap, drawn)."""
+    rating: dict = {}
+    seen: dict = {}
+    out: list[tuple] = []
+    season = None
+    for r in rows.itertuples():
+        now = r.kickoff_date.year - (r.kickoff_date.month < 7)
+        if season is not None and now != season:
+            rating = {t: x + regress * (start - x) for t, x in rating.items()}
+        season = now
+        h, a = rating.get(r.home_team_id, start), rating.get(r.away_team_id, start)
+        gap = h + home_bonus - a
+        score = 1.0 if r.ft_home_goals > r.ft_away_goals else 0.0 if r.ft_home_goals < r.ft_away_goals else 0.5
+        weight = np.log(abs(r.ft_home_goals - r.ft_away_goals) + 1.0) * 2.2 / (0.001 * abs(gap) + 2.2)
+        move = k * weight * (score - 1 / (1 + 10 ** (-gap / scale)))
+        rating[r.home_team_id], rating[r.away_team_id] = h + move, a - move
+        for t in (r.home_team_id, r.away_team_id):
+            seen[t] = seen.get(t, 0) + 1
+        out.append((r.id, r.competition_id, h, a, gap, score == 0.5))
+    return rating, seen, out
+
+
+def draw_line(gaps: list[tuple], least: int = 30) -> tuple[float, float]:
+    """draw_curve's base and decay of one competition, from fold_ratings' rows."""
+    g, y = np.abs([x[4] for x in gaps]), np.array([float(x[5]) for x in gaps])
+    edges = np.quantile(g, np.arange(6) / 5)
+    fifths = [(g[i].mean(), y[i].mean()) for lo, hi in zip(edges, edges[1:], strict=False) if (i := (g >= lo) & (g <= hi)).sum() >= least]
+    if len(fifths) >= 3 and len({x for x, _ in fifths}) > 1:
+        slope, level = np.polyfit([x for x, _ in fifths], np.log(np.clip([p for _, p in fifths], 1e-3, 0.999)), 1)
+        base, decay = float(np.exp(level)), float(-slope)
+        if 0.05 <= base <= 0.6 and 0.0 <= decay <= 0.02:
+            return round(base, 6), round(decay, 6)
+    return round(float(y.mean()), 6), 0.0
+
+
 def elo(matches: DataFrame, k: float = 20.0, start: float = 1500.0, home_bonus: float = 60.0, scale: float = 400.0, regress: float = 0.1) -> DataFrame:
     """(id, competition_id, home_before, away_before, gap): ratings before every match, by a fold over each competition's matches."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, rating, season, out = rows.sort_values(["kickoff_date", "id"]), {}, None, []
-        for r in rows.itertuples():
-            now = r.kickoff_date.year - (r.kickoff_date.month < 7)
-            if season is not None and now != season:
-                rating = {t: x + regress * (start - x) for t, x in rating.items()}
-            season = now
-            h, a = rating.get(r.home_team_id, start), rating.get(r.away_team_id, start)
-            gap = h + home_bonus - a
-            score = 1.0 if r.ft_home_goals > r.ft_away_goals else 0.0 if r.ft_home_goals < r.ft_away_goals else 0.5
-            weight = np.log(abs(r.ft_home_goals - r.ft_away_goals) + 1.0) * 2.2 / (0.001 * abs(gap) + 2.2)
-            move = k * weight * (score - 1 / (1 + 10 ** (-gap / scale)))
-            rating[r.home_team_id], rating[r.away_team_id] = h + move, a - move
-            out.append((r.id, r.competition_id, h, a, gap, score == 0.5))
+        out = fold_ratings(rows.sort_values(["kickoff_date", "id"]), k, start, home_bonus, scale, regress)[2]
         return pd.DataFrame(out, columns=["id", "competition_id", "home_before", "away_before", "gap", "drawn"])
 
     cols = ["id", "competition_id", "home_team_id", "away_team_id", "ft_home_goals", "ft_away_goals", "kickoff_date"]
@@ -110,13 +134,15 @@ def goals_objective(h, a, yh, ya, real_h, real_a, w, teams: int, ridge: float, p
 
     def value_and_slope(x):
         att, dfn, c, home, rho = unpack(x)
-        lam, mu = np.exp(np.clip(c + att[h] - dfn[a] + home, -5, 3)), np.exp(np.clip(c + att[a] - dfn[h], -5, 3))
+        el, em = c + att[h] - dfn[a] + home, c + att[a] - dfn[h]
+        lam, mu = np.exp(np.clip(el, -5, 3)), np.exp(np.clip(em, -5, 3))
         cells = [(real_h == i) & (real_a == j) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1))]
-        tau = np.maximum(np.select(cells, [1 - lam * mu * rho, 1 + lam * rho, 1 + mu * rho, np.full(len(lam), 1 - rho)], 1.0), 1e-9)
+        raw = np.select(cells, [1 - lam * mu * rho, 1 + lam * rho, 1 + mu * rho, np.full(len(lam), 1 - rho)], 1.0)
+        tau, sloping = np.maximum(raw, 1e-9), raw > 1e-9  # where tau is floored, nothing moves it
         dl, dm = np.select(cells[:3], [-mu * rho, np.full(len(lam), rho), np.zeros(len(lam))], 0.0) / tau, np.select(cells[:3], [-lam * rho, np.zeros(len(lam)), np.full(len(lam), rho)], 0.0) / tau
-        dr = np.select(cells, [-lam * mu, lam, mu, np.full(len(lam), -1.0)], 0.0) / tau
+        dr = np.select(cells, [-lam * mu, lam, mu, np.full(len(lam), -1.0)], 0.0) / tau * sloping
         value = -(w * (np.log(tau) + yh * np.log(lam) - lam + ya * np.log(mu) - mu)).sum() + 0.5 * ridge * (((att - prior) ** 2).sum() + ((dfn - prior) ** 2).sum())
-        gl, gm = -w * (yh - lam + dl * lam), -w * (ya - mu + dm * mu)
+        gl, gm = -w * (yh - lam + dl * lam * sloping) * (np.abs(el + 1) < 4), -w * (ya - mu + dm * mu * sloping) * (np.abs(em + 1) < 4)  # -5 to 3
         ga = np.bincount(h, gl, t) + np.bincount(a, gm, t) + ridge * (att - prior)
         gd = -np.bincount(a, gl, t) - np.bincount(h, gm, t) + ridge * (dfn - prior)
         return value, np.concatenate([ga[:-1] - ga[-1], gd[:-1] - gd[-1], [(gl + gm).sum(), gl.sum(), -(w * dr).sum()]])
@@ -124,6 +150,44 @@ def goals_objective(h, a, yh, ya, real_h, real_a, w, teams: int, ridge: float, p
     return value_and_slope, unpack
 
 
+def last_full_season(days: pd.Series, on) -> np.ndarray:
+    """Which days are of the last season, from July to June, that was over on a day."""
+    end = on.year if on.month >= 7 else on.year - 1
+    year = np.array([d.year - (d.month < 7) for d in days])
+    return year == end - 1
+
+
+def blended_targets(rows: pd.DataFrame, on_target: float = 0.35, shots: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
+    """scoring_targets of one competition's matches with home_sot, away_sot, home_shots, away_shots."""
+    goals = {p: rows[f"ft_{p}_goals"].to_numpy(float) for p in ("home", "away")}
+    out = {p: (1 - on_target - shots) * g for p, g in goals.items()}
+    for name, share in (("sot", on_target), ("shots", shots)):
+        made = {p: rows[f"{p}_{name}"].to_numpy(float) for p in ("home", "away")}
+        both = ~np.isnan(made["home"]) & ~np.isnan(made["away"])
+        total = (made["home"] + made["away"])[both].sum()
+        for p in ("home", "away"):
+            value = made[p] * ((goals["home"] + goals["away"])[both].sum() / total) if total > 0 else goals[p]
+            out[p] = out[p] + share * np.where(both, value, goals[p])
+    return out["home"], out["away"]
+
+
+def fit_goals(rows: pd.DataFrame, age: np.ndarray, last_season: np.ndarray, days: float = 270.0, ridge: float = 1.0, absent: float = -0.3) -> dict:
+    """The bivariate Poisson fit of one competition's matches: teams, attack, defence, intercept, home, rho. Targets are columns yh and ya, or blended_targets."""
+    teams = sorted({*rows.home_team_id, *rows.away_team_id})
+    at = {t: i for i, t in enumerate(teams)}
+    h, a = rows.home_team_id.map(at).to_numpy(), rows.away_team_id.map(at).to_numpy()
+    real_h, real_a = rows.ft_home_goals.to_numpy(float), rows.ft_away_goals.to_numpy(float)
+    yh, ya = (rows.yh.to_numpy(float), rows.ya.to_numpy(float)) if "yh" in rows else blended_targets(rows)
+    last = {*rows.home_team_id[last_season], *rows.away_team_id[last_season]}
+    prior = np.array([absent if last and t not in last else 0.0 for t in teams])
+    w, n = 0.5 ** (np.maximum(age, 0) / days), len(teams)
+    f, unpack = goals_objective(h, a, yh, ya, real_h, real_a, w, n, ridge, prior)
+    low, high = np.r_[np.full(2 * n - 2, -3.0), -3.0, -1.0, -0.4], np.r_[np.full(2 * n - 2, 3.0), 3.0, 1.5, 0.4]
+    start = np.r_[np.zeros(2 * n - 2), np.log(max(1e-3, (yh.mean() + ya.mean()) / 2)), 0.0, 0.0]
+    attack, defence, c, home, rho = unpack(minimise(f, start, low, high))
+    return {"teams": teams, "attack": attack, "defence": defence, "intercept": float(c), "home": float(home), "rho": float(rho)}
+
+
 def scoring_targets(matches: DataFrame, stats: DataFrame | None, on_target: float = 0.35, shots: float = 0.15) -> DataFrame:
     """Matches with yh, ya: goals blended with shots on target and shots at the competition's goals per shot.
 
@@ -156,18 +220,9 @@ def scoring_strengths(matches: DataFrame, as_of, stats: DataFrame | None = None,
         if len(rows) < least:
             return pd.DataFrame({n: [] for n in names})
         rows = rows.sort_values("id")
-        teams = sorted({*rows.home_team_id, *rows.away_team_id})
-        at = {t: i for i, t in enumerate(teams)}
-        h, a = rows.home_team_id.map(at).to_numpy(), rows.away_team_id.map(at).to_numpy()
-        real_h, real_a = rows.ft_home_goals.to_numpy(float), rows.ft_away_goals.to_numpy(float)
-        yh, ya = rows.yh.to_numpy(float), rows.ya.to_numpy(float)
-        last = {*rows.home_team_id[rows.last_season], *rows.away_team_id[rows.last_season]}
-        prior = np.array([absent if last and t not in last else 0.0 for t in teams])
-        w, n = 0.5 ** (np.maximum(rows.age.to_numpy(float), 0) / days), len(teams)
-        f, unpack = goals_objective(h, a, yh, ya, real_h, real_a, w, n, ridge, prior)
-        low, high = np.r_[np.full(2 * n - 2, -3.0), -3.0, -1.0, -0.4], np.r_[np.full(2 * n - 2, 3.0), 3.0, 1.5, 0.4]
-        att, dfn, c, home, rho = unpack(minimise(f, np.r_[np.zeros(2 * n - 2), np.log(max(1e-3, (yh.mean() + ya.mean()) / 2)), 0.0, 0.0], low, high))
-        return pd.DataFrame({"competition_id": rows.competition_id.iloc[0], "team_id": teams, "attack": att, "defence": dfn, "intercept": c, "home": home, "rho": rho, "matches": len(rows)})[names]
+        found = fit_goals(rows, rows.age.to_numpy(float), rows.last_season.to_numpy(bool), days, ridge, absent)
+        shared = {k: found[k] for k in ("intercept", "home", "rho")}
+        return pd.DataFrame({"competition_id": rows.competition_id.iloc[0], "team_id": found["teams"], "attack": found["attack"], "defence": found["defence"], **shared, "matches": len(rows)})[names]
 
     on = F.to_date(F.lit(as_of).cast("timestamp"))
     start = F.add_months(F.make_date(F.year(on), F.lit(7), F.lit(1)), F.when(F.month(on) < 7, -12).otherwise(0))
