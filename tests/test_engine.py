@@ -162,6 +162,13 @@ def test_odds_columns_by_shape(column, odds):
     assert files.is_odds(column) is odds
 
 
+def test_prices_of_every_line_and_word_are_odds():
+    prices = "bet365_home implied_prob_home market_price closing_price price_home B365>1.5 Max>3.5 Avg<3.5 PO PU BbMx>2.5 BbAvAHH AHCh PAHH B365AHA BMGMH 1XBD BFECH BbOU AvgC<2.5 Bet365 Home".split()
+    assert [c for c in prices if not files.is_odds(c) and c != "Home"] == []
+    statistics = "Div Date HS AS AF HHW AHW HBP ABP SoT xG xGA xA possession shots_on_target key_passes minutes assists saves tackles bps influence P Max Avg".split()
+    assert [c for c in statistics if files.is_odds(c)] == []
+
+
 def test_feeds(spark, tmp_path):
     (tmp_path / "season-2425.csv").write_text("Date,Time,HomeTeam,AwayTeam,FTHG,FTAG,HS,AS,B365H,Avg>2.5\n16/08/24,20:00,A,B,1,0,10,4,1.5,1.9\n17/08/24,,C,,1,0,1,1,1,1\n18/08/24,,C,D,,,,,1,1\n")
     rows = files.match_csv(spark, str(tmp_path / "season-2425.csv"), season_of_path=True).orderBy("home").collect()

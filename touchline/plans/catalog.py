@@ -177,11 +177,17 @@ def match_features_23(spark, d):
     return features.match_features(a.scheduled(), features.team_features(a, AS_OF), features.league_table(a.history(since=SEASON_START)))
 
 
-@query(over("hist", f"""select competition_id, team_id from (select distinct competition_id, team_id from sides where kickoff_date >= date '{SEASON_START}') n
-where not exists (select 1 from sides s where s.competition_id = n.competition_id and s.team_id = n.team_id and s.kickoff_date < date '{SEASON_START}' and s.kickoff_date >= date '1997-07-01')
-and exists (select 1 from sides s where s.competition_id = n.competition_id and s.kickoff_date < date '{SEASON_START}' and s.kickoff_date >= date '1997-07-01')"""))
+_PAUSED = f"sides2 as (select * from sides where not (team_id % 10 = 3 and competition_id = 1 and kickoff_date < date '{SEASON_START}' and kickoff_date >= date '1997-07-01'))"
+
+
+@query(over("hist", f"""select competition_id, team_id from (select distinct competition_id, team_id from sides2 where kickoff_date >= date '{SEASON_START}') n
+where not exists (select 1 from sides2 s where s.competition_id = n.competition_id and s.team_id = n.team_id and s.kickoff_date < date '{SEASON_START}' and s.kickoff_date >= date '1997-07-01')
+and exists (select 1 from sides2 s where s.competition_id = n.competition_id and s.kickoff_date < date '{SEASON_START}' and s.kickoff_date >= date '1997-07-01')""", _PAUSED))
 def promoted_teams(spark, d):
-    return features.absent_last_season(cut(spark, d).history(), SEASON_START)
+    """Every tenth team sat out a season of one competition."""
+    rows = cut(spark, d).history()
+    paused = (F.col("team_id") % 10 == 3) & (F.col("competition_id") == 1) & (F.col("kickoff_date") < F.lit(SEASON_START).cast("date")) & (F.col("kickoff_date") >= F.lit("1997-07-01").cast("date"))
+    return features.absent_last_season(rows.where(~paused), SEASON_START)
 
 
 @query(over("matches", """select m.id, m.home_team_id as team_id, count(f.id) as n, round(avg(f.g), 6) as mean from matches m left join lateral (
@@ -301,16 +307,16 @@ from (select t.*, coalesce(status in ('injured', 'suspended', 'unavailable'), fa
     f"""t as (select player_id, sum(minutes)::bigint as minutes, count(*) filter (minutes > 0) as appearances, sum(goals)::double as goals, sum(assists)::double as assists, sum(xg) as xg, sum(xa) as xa, avg(minutes) filter (k <= 8) as em, avg(started::int) filter (k <= 8) as sp
   from (select *, row_number() over (partition by player_id order by match_date desc, l_orderkey desc, l_linenumber desc, l_extendedprice desc, team_id desc, minutes desc) as k from players where match_date < date '{AS_OF[:10]}') group by 1)"""))
 def player_projection(spark, d):
-    return scores.player_projection(derived.players(spark, d), asof.latest_observation(derived.availability(spark, d), _LATE, "player_id"), AS_OF)
+    return scores.player_projection(derived.players(spark, d), asof.latest_observation(derived.availability(spark, d), _LATE, "player_id"), AS_OF, tie=("l_orderkey", "l_linenumber", "l_extendedprice"))
 
 
 def queries() -> dict:
-    from . import catalog_entities, catalog_forward, catalog_more  # noqa: F401  register the other queries
+    from . import catalog_entities, catalog_forward, catalog_ingest, catalog_more  # noqa: F401  register the other queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_entities, catalog_forward, catalog_more  # noqa: F401
+    from . import catalog_entities, catalog_forward, catalog_ingest, catalog_more  # noqa: F401
 
     return dict(ORACLE)

@@ -99,7 +99,7 @@ def registered_weights(spark, d):
     names = list(entities.DEFAULT_WEIGHTS)
     entry = lambda i: F.create_map(*[x for j in range(i) for x in (F.lit(names[j]), F.col("value") / (j + 1))])
     weights = F.when(F.col("event_id") % 4 == 3, entry(3)).when(F.col("event_id") % 4 == 2, entry(2)).when(F.col("event_id") % 4 == 1, entry(1))
-    stored = e.select((F.col("user_id") % 50).alias("competition_id"), F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("model_version"), weights.alias("weights"), F.col("ts").alias("at"), "event_id")
+    stored = e.select((F.col("user_id") % 50).alias("competition_id"), F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("model_version"), weights.alias("weights"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
     return entities.stored_weights(stored, spark.range(60).select(F.col("id").alias("competition_id")), "v2")
 
 
@@ -132,5 +132,6 @@ def content_digests(spark, d):
 
 @query()
 def forward_validation(spark, d):
-    p = predictions(spark, d).withColumn("p", evaluation._of_truth())
-    return models.forward_validation(p.select("competition_id", "id", "kickoff_date", "model", "p"), ["steep", "flat"], least=20)
+    """All competitions as one, as a single run has them."""
+    p = predictions(spark, d).withColumn("p", evaluation._of_truth()).withColumn("competition_id", F.lit(0).cast("long"))
+    return models.forward_validation(p.select("competition_id", "id", "kickoff_date", "model", "p"), ["steep", "flat"])

@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from touchline.functions.scalars import to_day, to_number, to_whole
 
-#: Columns of statistics that look like odds but aren't.
-STATISTIC_COLUMNS = frozenset("Div Date Time HomeTeam AwayTeam FTHG FTAG FTR HTHG HTAG HTR Referee HS AS HST AST HC AC HF AF HY AY HR AR HO AO HBP ABP HHW AHW Attendance".split())
-#: bookmakers' prefixes of odds columns, what may follow them, and words that no statistic's name holds.
-BOOKMAKERS = "1XB|365|B365|BB|BF|BFD|BFE|BMGM|BS|BV|BW|Bb|BbAv|BbMx|CL|GB|IW|LB|LS|Avg|Max|P|PC|PS|SB|SJ|SO|SY|VC|WH"
-PRICES = "H|D|A|CH|CD|CA|AH|AHH|AHA|AHh|CAHH|CAHA|1X2|OU|[<>]2\\.5|C[<>]2\\.5"
-WORDS = ("odds", "pinnacle", "bookmaker", "betfair")
-_ODDS = re.compile(rf"^({BOOKMAKERS})({PRICES})$|^AHC?h$|^pin", re.IGNORECASE)
+#: Columns of statistics, in lower case, whatever they look like.
+STATISTIC_COLUMNS = frozenset(
+    "hs as hst ast hc ac hf af hy ay hr ar ho ao hhw ahw hbp abp fthg ftag ftr hthg htag htr sot shots shots_on_target possession corners fouls saves passes attendance referee date time div hometeam awayteam season xg xga xa".split()
+)
+#: Bookmakers, what a price may be of (after C for closing prices and Mx or Av for the largest or mean), words of prices, handicaps.
+BOOKMAKERS = "b365|bw|iw|ps|p|wh|vc|gb|bs|so|sj|sy|sb|ls|lb|bf|bfe|bfc|bfd|avg|max|bb|1xb|bmgm|pin|bet365|betfair|cl"
+PRICED = "ahh|ahca|ahch|aha|ah|ou|o|u|h|d|a"
+WORDS = ("odds", "bookmaker", "betfair", "pinnacle", "bet365", "implied_prob", "market_price", "closing_price", "price_")
+HANDICAPS = frozenset(("ah", "ahh", "ahch", "ahca", "bbah", "bbahh", "bbav", "bbmx"))
+_ODDS = re.compile(rf"({BOOKMAKERS})(?=.)c?(mx|av)?({PRICED})?([<>]=?\d+(\.\d+)?)?")
 
 
 #: Canonical names of statistics' columns.
@@ -30,8 +33,8 @@ STATUS = {"a": "available", "d": "doubtful", "i": "injured", "s": "suspended", "
 
 def is_odds(column: str) -> bool:
     """Whether a column's name has the shape of a price; known statistics never do."""
-    name = column.strip()
-    return name not in STATISTIC_COLUMNS and (bool(_ODDS.match(name)) or any(w in name.lower() for w in WORDS))
+    name = column.strip().lower().replace(" ", "_")
+    return name not in STATISTIC_COLUMNS and (name in HANDICAPS or name.startswith("pin_") or any(w in name for w in WORDS) or _ODDS.fullmatch(name) is not None)
 
 
 def match_csv(spark: SparkSession, path, season_of_path: bool = False) -> DataFrame:
