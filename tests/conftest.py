@@ -35,7 +35,7 @@ def league(spark):
                 kick = dt.datetime.combine(on, dt.time(15))
                 matches.append((n, 1, i, j, h, a, h // 2, a // 2, on, True, kick, "played", "Test Referee", kick + dt.timedelta(minutes=150)))
                 for team, g in ((i, h), (j, a)):
-                    stats.append((n, team, 0, 0.9, 10 + g, 3 + g, 4 + g % 3, 1 + g % 2, 0, None, n))
+                    stats.append((n, team, 0, 0.9, 10 + g, 3 + g, 4 + g % 3, 9 + g, 1 + g % 2, 0, None, n))
     m = spark.createDataFrame(matches, "id long, competition_id long, home_team_id long, away_team_id long, ft_home_goals int, ft_away_goals int, ht_home_goals int, ht_away_goals int, kickoff_date date, kickoff_is_exact boolean, kickoff_utc timestamp, status string, referee string, known_at timestamp")
-    s = spark.createDataFrame(stats, "match_id long, team_id long, source_id int, reliability double, shots int, shots_on_target int, corners int, yellows int, reds int, xg double, arrival long")
+    s = spark.createDataFrame(stats, "match_id long, team_id long, source_id int, reliability double, shots int, shots_on_target int, corners int, fouls int, yellows int, reds int, xg double, arrival long")
     return m.cache(), s.cache()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scalars
 from touchline.operators import asof, evaluation, features, judgement, merge, scores
+from touchline.operators import names as names_to_teams
 from touchline.plans import models
 from touchline.sources import files
 
@@ -104,7 +105,7 @@ def test_names(spark, a, b, same):
 def test_resolution_by_name_then_closeness(spark):
     known = spark.createDataFrame([(1, "Real Sociedad"), (2, "Athletic Bilbao")], "team_id long, canonical string")
     names = spark.createDataFrame([("Real Sociedad",), ("REAL SOCIEDAD CF",), ("Real Sociedadd",), ("Unknown",)], "name string")
-    got = {r.name: (r.team_id, r.how) for r in merge.resolve_names(names, known).collect()}
+    got = {r.name: (r.team_id, r.how) for r in names_to_teams.resolve(names, known).collect()}
     assert got == {"Real Sociedad": (1, "exact"), "REAL SOCIEDAD CF": (1, "plain"), "Real Sociedadd": (1, "close"), "Unknown": (None, "none")}
 
 

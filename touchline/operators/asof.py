@@ -15,7 +15,7 @@ LEAK = "leakage: a row was not known at the cutoff"
 
 
 #: Statistics of a side, and their names from the other side's view.
-SIDE_STATS = ("shots", "shots_on_target", "corners", "yellows", "reds", "xg")
+SIDE_STATS = ("shots", "shots_on_target", "corners", "fouls", "yellows", "reds", "xg")
 AGAINST = {"shots": "shots_against", "shots_on_target": "sot_against", "corners": "corners_against", "yellows": "yellows_against", "xg": "xga"}
 PER_MATCH = ("goals_for", "goals_against", "shots", "shots_against", "shots_on_target", "sot_against", "corners", "corners_against", "yellows", "yellows_against", "reds", "xg", "xga")
 

@@ -103,3 +103,46 @@ def refit_checkpoints(days: DataFrame, every: int = 28) -> DataFrame:
     """The days on which a model is fitted anew: the first, then each first day at least every days later. One list of days a key."""
     step = F.aggregate("days", F.array().cast("array<date>"), lambda acc, d: F.when((F.size(acc) == 0) | (F.datediff(d, F.element_at(acc, -1)) >= every), F.array_append(acc, d)).otherwise(acc))
     return days.groupBy("competition_id").agg(F.array_sort(F.collect_set("day")).alias("days")).select("competition_id", F.explode(step).alias("checkpoint"))
+
+
+def draw_multiplier(fit: DataFrame, score: DataFrame, low: float = 0.85, high: float = 1.25, steps: int = 81) -> DataFrame:
+    """One row (multiplier, n_fitted, n_scored, before, after, difference): the factor on the draw's probability with the least log loss on fit,
+    and what it does on score. Both hold rows (home, draw, away, outcome).
+
+    All losses of the grid are sums of one pass: a row gives one value a step, which are added up where the row is.
+    """
+    grid = [low + (high - low) * i / (steps - 1) for i in range(steps)]
+    total = F.col("home") + F.col("draw") + F.col("away")
+
+    def loss(k):
+        p = F.when(F.col("outcome") == "D", F.col("draw") * k).otherwise(_of_truth())
+        return -F.ln(F.least(F.greatest(p / (total + F.col("draw") * (k - 1)), F.lit(1e-12)), F.lit(1.0)))
+
+    sums = fit.agg(F.count("*").alias("n_fitted"), *[F.avg(loss(F.lit(k))).alias(f"l{i}") for i, k in enumerate(grid)])  # one row
+    best = sums.select("n_fitted", F.array_min(F.array(*[F.struct(F.round(f"l{i}", 9).alias("l"), F.lit(k).alias("k")) for i, k in enumerate(grid)])).alias("b")).select("n_fitted", F.col("b.k").alias("multiplier"))
+    r = score.join(F.broadcast(best)).groupBy("multiplier", "n_fitted").agg(F.count("*").alias("n_scored"), F.avg(loss(F.lit(1.0))).alias("before"), F.avg(loss(F.col("multiplier"))).alias("after"))
+    return r.select(F.round("multiplier", 6).alias("multiplier"), "n_fitted", "n_scored", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), F.round(F.col("after") - F.col("before"), 6).alias("difference"))
+
+
+def poisson_edges(most: int = 8) -> list[float]:
+    """Where a number between 0 and 1 stands for 0, 1, ... draws of a Poisson(1)."""
+    edges, p, total = [], 0.36787944117144233, 0.0
+    for k in range(most):
+        total += p
+        edges.append(total)
+        p /= k + 1
+    return edges
+
+
+def bootstrap(differences: DataFrame, replicates: int = 4000, seed: str = "7") -> DataFrame:
+    """One row (difference, low, high) over rows (id, diff): the mean and its interval over resamples in which each row is drawn a Poisson(1) number of
+    times, by the md5 of seed, replicate and id. Rows meet no other rows; what is grouped is replicates x partial sums."""
+    drawn = differences.select("id", "diff", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("r").cast("string"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    edges = poisson_edges()
+    times = F.lit(len(edges))
+    for k in range(len(edges) - 1, -1, -1):
+        times = F.when(u < edges[k], k).otherwise(times)
+    means = drawn.withColumn("k", times).groupBy("r").agg((F.sum(F.col("diff") * F.col("k")) / F.nullif(F.sum("k"), F.lit(0))).alias("m"))
+    every = differences.agg(F.avg("diff").alias("d"))  # one row
+    return means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")).join(F.broadcast(every)).select(F.round("d", 6).alias("difference"), F.round("lo", 6).alias("low"), F.round("hi", 6).alias("high"))

@@ -1,11 +1,9 @@
-"""Merging sources: near-date matching, conflicts, gap filling by reliability; names to teams."""
+"""Merging sources: near-date matching, conflicts, gap filling by reliability."""
 
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.scalars import plain_name
-
 
 def near_date(rows: DataFrame, matches: DataFrame, days: int = 1, keys: tuple[str, ...] = ("competition_id", "home_team_id", "away_team_id")) -> DataFrame:
     """Each row's match with equal keys within days of it: the same day first, then the earlier, then the smaller id.
@@ -32,31 +30,3 @@ def merge(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFr
 def latest_rows(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """An upsert sink's dedupe: the last row of each key."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
-
-
-def resolve_names(names: DataFrame, known: DataFrame, least: float = 0.9) -> DataFrame:
-    """Teams of raw names: by the exact name, then the plain name, then closeness among names that share a word; else none.
-
-    names (name), known (team_id, canonical). Closeness is 2 x matching characters over
-    both lengths, as Ratcliff and Obershelp count them; it is computed only for names
-    that are left and only against names with a common word.
-    """
-    import difflib
-
-    import pandas as pd
-
-    n = names.select("name").distinct().withColumn("plain", plain_name(F.col("name")))
-    k = known.withColumn("plain", plain_name(F.col("canonical")))
-    exact = n.join(k.groupBy(F.col("canonical").alias("name")).agg(F.min("team_id").alias("exact_id")), "name", "left")
-    both = exact.join(k.groupBy("plain").agg(F.min("team_id").alias("plain_id")), "plain", "left")
-    rest = both.where("exact_id is null and plain_id is null").select("name", "plain", F.explode(F.split("plain", " ")).alias("word"))
-    pairs = rest.join(k.select("team_id", F.col("plain").alias("other"), F.explode(F.split("plain", " ")).alias("word")), "word").select("name", "plain", "team_id", "other").distinct()
-
-    @F.pandas_udf("double")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    fuzzy = pairs.withColumn("ratio", close("plain", "other")).where(F.col("ratio") >= least).groupBy("name").agg(F.max_by("team_id", F.struct("ratio", -F.col("team_id"))).alias("fuzzy_id"))
-    out = both.join(fuzzy, "name", "left")
-    how = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("plain_id").isNotNull(), "plain").when(F.col("fuzzy_id").isNotNull(), "close").otherwise("none")
-    return out.select("name", F.coalesce("exact_id", "plain_id", "fuzzy_id").alias("team_id"), how.alias("how"))

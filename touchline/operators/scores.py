@@ -162,3 +162,57 @@ def player_projection(rows: DataFrame, availability: DataFrame, as_of, blend: fl
         shown(eg, 3).alias("expected_goals"), shown(ea, 3).alias("expected_assists"), shown(at_least(eg), 4).alias("prob_scores"), shown(1 - poisson_upto(1, F.greatest(eg, F.lit(1e-6))), 4).alias("prob_two_plus"),
         shown(at_least(ea), 4).alias("prob_assists"), shown(at_least(eg + ea), 4).alias("prob_involvement"),
     )
+
+
+def count_expectations(fixtures: DataFrame, rows: DataFrame, value: str, as_of, referees: DataFrame | None = None, least: int = 8, days: float = 365.0, shrinkage: float = 6.0) -> DataFrame:
+    """(id, mu_home, mu_away, sufficient_data): a count expected of both sides of fixtures (id, home_team_id, away_team_id, referee): the league's mean
+    at that venue x the side's rate for x the other's rate against, and the referee's multiplier where there is one.
+
+    Nothing is known where a side has fewer than least rows with the count.
+    """
+    r = rows.where(F.col(value).isNotNull())
+    rates = count_rates(rows, value, as_of, days, shrinkage)
+    league = r.agg(F.avg(F.when(F.col("is_home"), F.col(value))).alias("mh"), F.avg(F.when(~F.col("is_home"), F.col(value))).alias("ma"))  # one row
+    f = fixtures.select("id", "home_team_id", "away_team_id", F.trim(F.coalesce("referee", F.lit(""))).alias("referee"))
+    for p in ("home", "away"):
+        f = f.join(rates.select(F.col("team_id").alias(f"{p}_team_id"), *[F.col(c).alias(f"{p}_{c}") for c in rates.columns if c != "team_id"]), f"{p}_team_id", "left")
+    f = f.join(F.broadcast(league))
+    f = f.withColumn("multiplier", F.lit(None).cast("double")) if referees is None else f.join(referees.select("referee", "multiplier"), "referee", "left")
+    rate = lambda c: F.coalesce(c, F.lit(1.0))
+    enough = F.least(F.coalesce("home_n", F.lit(0)), F.coalesce("away_n", F.lit(0))) >= least
+    by = F.coalesce("multiplier", F.lit(1.0))
+    mu = lambda m, own, other: F.when(enough, F.round(F.col(m) * rate(own) * rate(other) * by, 6))
+    return f.select("id", mu("mh", "home_for_home", "away_against_away").alias("mu_home"), mu("ma", "away_for_away", "home_against_home").alias("mu_away"), enough.alias("sufficient_data"))
+
+
+def count_targets(expected: DataFrame, market: str, lines, dispersion: DataFrame | None = None, most: int = 30) -> DataFrame:
+    """(id, market, selection, value, low, high, sufficient_data) from count_expectations: the total with its central 80 %, both sides' counts, over and
+    under of every line; a withheld row where nothing is known. dispersion: (id, dispersion), for a negative binomial above 1.1."""
+    r = expected if dispersion is None else expected.join(dispersion, "id", "left")
+    r = r.withColumn("pmf", counts(F.greatest(F.col("mu_home") + F.col("mu_away"), F.lit(0.05)), F.col("dispersion") if dispersion is not None else F.lit(None).cast("double"), most))
+    running = F.aggregate("pmf", F.array().cast("array<double>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + p)))
+    r = r.withColumn("cdf", running)
+    reach = lambda q: F.size(F.filter("cdf", lambda c: F.round(c, 9) < q))
+    none = F.lit(None).cast("int")
+    row = lambda m, s, v, low=none, high=none: F.struct(F.lit(m).alias("market"), F.lit(s).alias("selection"), F.round(v, 6).alias("value"), low.alias("low"), high.alias("high"))
+    cells = [row(f"expected_{market}", "total", F.col("mu_home") + F.col("mu_away"), reach(0.10), reach(0.90)), row(f"expected_{market}", "home", F.col("mu_home")), row(f"expected_{market}", "away", F.col("mu_away"))]
+    for line in lines:
+        over = F.aggregate(F.slice("pmf", int(line) + 2, most), F.lit(0.0), lambda s, p: s + p)
+        cells += [row(f"{market}_over_under_{line}", "over", over), row(f"{market}_over_under_{line}", "under", 1 - over)]
+    known = r.where("sufficient_data").select("id", F.inline(F.array(*cells))).withColumn("sufficient_data", F.lit(True))
+    withheld = r.where("not sufficient_data").select("id", F.lit(market).alias("market"), F.lit("").alias("selection"), F.lit(None).cast("double").alias("value"), none.alias("low"), none.alias("high"), F.lit(False).alias("sufficient_data"))
+    return known.unionByName(withheld)
+
+
+def player_factor(projections: DataFrame, expected: DataFrame, recent: DataFrame, least: float = 0.1) -> DataFrame:
+    """projections (player_id, team_id, expected_goals, expected_assists) for one match: both scaled by the team's expected goals over its recent
+    rate, between 0.5 and 2, and what follows: (player_id, team_id, id, scale, expected_goals, expected_assists, prob_scores, prob_two_plus, prob_assists, prob_involvement).
+
+    expected: (id, team_id, goals), recent: (team_id, rate). Without a recent rate above least the scale is 1.
+    """
+    r = projections.join(expected, "team_id").join(recent.select("team_id", "rate"), "team_id", "left")
+    scale = F.when(F.coalesce(F.col("rate") > least, F.lit(False)) & (F.col("goals") > 0), F.least(F.greatest(F.col("goals") / F.col("rate"), F.lit(0.5)), F.lit(2.0))).otherwise(1.0)
+    r = r.withColumn("scale", F.round(scale, 9)).withColumn("g", F.round(F.col("expected_goals") * F.col("scale"), 9)).withColumn("a", F.round(F.col("expected_assists") * F.col("scale"), 9))
+    some = lambda x: F.round(1 - F.exp(-F.greatest(x, F.lit(1e-6))), 4)
+    return r.select("player_id", "team_id", "id", F.round("scale", 3).alias("scale"), F.round("g", 3).alias("expected_goals"), F.round("a", 3).alias("expected_assists"), some(F.col("g")).alias("prob_scores"),
+                    F.round(1 - poisson_upto(1, F.greatest(F.col("g"), F.lit(1e-6))), 4).alias("prob_two_plus"), some(F.col("a")).alias("prob_assists"), some(F.col("g") + F.col("a")).alias("prob_involvement"))

@@ -23,7 +23,7 @@ _MATCHES = """matches0 as (
 _STATS = """candidates as (
   select m.id as match_id, t.team_id, l_linenumber % 3 as source_id, case l_linenumber % 3 when 0 then 0.90 when 1 then 0.85 else 0.60 end as reliability,
     (l_partkey % 20)::int as shots, (l_partkey % 8)::int as shots_on_target, case when l_returnflag <> 'R' then (l_partkey % 12)::int end as corners,
-    (l_linenumber % 4)::int as yellows, case when l_discount = 0 then 1 else 0 end as reds, case when l_linestatus <> 'O' then round(l_discount * 20, 2) end as xg, l_shipdate as retrieved_at,
+    case when l_linestatus <> 'F' then (l_suppkey % 30)::int end as fouls, (l_linenumber % 4)::int as yellows, case when l_discount = 0 then 1 else 0 end as reds, case when l_linestatus <> 'O' then round(l_discount * 20, 2) end as xg, l_shipdate as retrieved_at,
     row_number() over (partition by m.id, t.team_id order by case l_linenumber % 3 when 0 then 0.90 when 1 then 0.85 else 0.60 end desc, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) as best
   from matches m cross join lateral (select unnest([m.home_team_id, m.away_team_id]) as team_id) t join lineitem on l_orderkey = m.id and l_suppkey = t.team_id
 ), stats as (select * from candidates where best = 1)"""
@@ -34,7 +34,7 @@ sides as (
   select id, competition_id, kickoff_date, known_at, referee, away_team_id, home_team_id, false, ft_away_goals, ft_home_goals, ht_away_goals from done
 ), hist as (
   select s.*, case when goals_for > goals_against then 3 when goals_for = goals_against then 1 else 0 end as points,
-    o.shots, o.shots_on_target, o.corners, o.yellows, o.reds, o.xg, p.shots as shots_against, p.shots_on_target as sot_against, p.corners as corners_against, p.yellows as yellows_against, p.xg as xga,
+    o.shots, o.shots_on_target, o.corners, o.fouls, o.yellows, o.reds, o.xg, p.shots as shots_against, p.shots_on_target as sot_against, p.corners as corners_against, p.yellows as yellows_against, p.xg as xga,
     row_number() over (partition by s.team_id order by kickoff_date desc, id desc) as rn
   from sides s left join stats o on o.match_id = s.id and o.team_id = s.team_id left join stats p on p.match_id = s.id and p.team_id = s.opponent_id
 ), hist80 as (select * from hist where rn <= 80)"""

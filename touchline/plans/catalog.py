@@ -311,12 +311,12 @@ def player_projection(spark, d):
 
 
 def queries() -> dict:
-    from . import catalog_entities, catalog_forward, catalog_ingest, catalog_more  # noqa: F401  register the other queries
+    from . import catalog_analysis, catalog_entities, catalog_forward, catalog_ingest, catalog_more  # noqa: F401  register the other queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_entities, catalog_forward, catalog_ingest, catalog_more  # noqa: F401
+    from . import catalog_analysis, catalog_entities, catalog_forward, catalog_ingest, catalog_more  # noqa: F401
 
     return dict(ORACLE)

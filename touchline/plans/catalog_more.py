@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars
-from touchline.operators import asof, evaluation, features, judgement, merge, scores
+from touchline.operators import asof, evaluation, features, judgement, merge, names, scores
 from touchline.sources import derived
 
 from . import models
@@ -129,10 +129,10 @@ def refit_checkpoints(spark, d):
     return evaluation.refit_checkpoints(derived.matches(spark, d).where("status = 'played'").select("competition_id", F.col("kickoff_date").alias("day")))
 
 
-@query(over("hist", "select id, team_id, stat, value::double as value from (select id, team_id, unnest(['goals_for', 'shots', 'shots_on_target', 'corners', 'yellows', 'reds']) as stat, unnest([goals_for * 4, shots * 3, shots_on_target, corners, yellows, reds]) as value, unnest([12, 50, 30, 25, 12, 5]) as hi from hist) where value > hi or value < 0"))
+@query(over("hist", "select id, team_id, stat, value::double as value from (select id, team_id, unnest(['goals_for', 'shots', 'shots_on_target', 'corners', 'fouls', 'yellows', 'reds']) as stat, unnest([goals_for * 4, shots * 3, shots_on_target, corners, fouls * 2, yellows, reds]) as value, unnest([12, 50, 30, 25, 40, 12, 5]) as hi from hist) where value > hi or value < 0"))
 def suspicious_values(spark, d):
     rows = cut(spark, d).history()
-    return judgement.suspicious(rows.withColumn("goals_for", F.col("goals_for") * 4).withColumn("shots", F.col("shots") * 3))
+    return judgement.suspicious(rows.withColumn("goals_for", F.col("goals_for") * 4).withColumn("shots", F.col("shots") * 3).withColumn("fouls", F.col("fouls") * 2))
 
 
 _COVER = ", ".join(f"round(avg(({s} is not null)::int), 3) as {s}" for s in judgement.COVERED)
@@ -248,7 +248,7 @@ def team_name_resolution(spark, d):
     s = derived.table(spark, d, "supplier")
     known = s.select(F.col("s_suppkey").alias("team_id"), F.col("s_name").alias("canonical"))
     spelled = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).when(F.col("s_suppkey") % 3 == 1, F.upper(F.concat(F.col("s_name"), F.lit(" FC")))).otherwise(F.concat(F.col("s_name"), F.lit("x")))
-    return merge.resolve_names(s.select(spelled.alias("name")), known)
+    return names.resolve(s.select(spelled.alias("name")), known)
 
 
 def _played(spark, d):
@@ -285,23 +285,6 @@ def dixon_coles_markets(spark, d):
     return scores.goal_markets(scores.score_matrix(models.expected_goals(a.scheduled(), strengths)))
 
 
-@query()
-def logistic_1x2(spark, d):
-    a = cut(spark, d)
-    m = a.completed()
-    side = lambda p, v: m.select("id", "kickoff_date", "known_at", F.col(f"{p}_team_id").alias("team_id"), F.col(v).alias("goals"))
-    gf = side("home", "ft_home_goals").unionByName(side("away", "ft_away_goals"))
-    ga = side("home", "ft_away_goals").unionByName(side("away", "ft_home_goals"))
-    at = F.coalesce("kickoff_utc", F.col("kickoff_date").cast("timestamp")).alias("at")
-    h, w = F.col("ft_home_goals"), F.col("ft_away_goals")
-    rows = m.select("id", F.when(h > w, 0).when(h == w, 1).otherwise(2).alias("label"), F.pow(F.lit(0.5), F.datediff(F.to_date(F.lit(AS_OF)), "kickoff_date") / 365.0).alias("w"))
-    for p in ("home", "away"):
-        probes = m.select("id", F.col(f"{p}_team_id").alias("team_id"), at)
-        for name, facts in (("gf", gf), ("ga", ga)):
-            rows = rows.join(asof.prior_means(facts, probes, "team_id", "goals", 10).select("id", F.coalesce("mean", F.lit(1.3)).alias(f"{p}_{name}")), "id")
-    return models.outcome_regression(rows, ["home_gf", "home_ga", "away_gf", "away_ga"], "w")
-
-
 @query()
 def ensemble_weights(spark, d):
     p = predictions(spark, d).withColumn("p", evaluation._of_truth())

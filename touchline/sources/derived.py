@@ -56,7 +56,7 @@ def stat_candidates(spark: SparkSession, sf_dir: str, of: DataFrame | None = Non
         "match_id", "team_id", source.alias("source_id"), reliability.alias("reliability"),
         (F.col("l_partkey") % 20).cast("int").alias("shots"), (F.col("l_partkey") % 8).cast("int").alias("shots_on_target"),
         F.when(F.col("l_returnflag") != "R", F.col("l_partkey") % 12).cast("int").alias("corners"),
-        (F.col("l_linenumber") % 4).cast("int").alias("yellows"), F.when(F.col("l_discount") == 0, 1).otherwise(0).alias("reds"),
+        F.when(F.col("l_linestatus") != "F", F.col("l_suppkey") % 30).cast("int").alias("fouls"), (F.col("l_linenumber") % 4).cast("int").alias("yellows"), F.when(F.col("l_discount") == 0, 1).otherwise(0).alias("reds"),
         F.when(F.col("l_linestatus") != "O", F.round(F.col("l_discount") * 20, 2)).alias("xg"), F.col("l_shipdate").alias("retrieved_at"),
         F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus").alias("arrival"),
     )
