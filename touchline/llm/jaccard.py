@@ -86,7 +86,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     """One row per input row: _id, n, h1, h2 (hash of the set, null if it is empty), band, prefix, bits."""
 
     def batches(found):
-        for b in found:
+        for b in sliced(found):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(text.as_py(), k)
@@ -105,6 +105,13 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     )
 
 
+def sliced(found, rows: int = 256):
+    """Batches in runs of rows, so that what is made of a batch's texts is never held for all of it."""
+    for b in found:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def _repeated(found):
     """Of batches sorted by their first column the rows that agree in it with the row before or after."""
     held, again = None, False  # the last row, and whether it agrees with the one before
@@ -293,7 +300,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     texts = docs.select(whole_ids(docs, id_col).alias("rep"), F.col(text_col).alias("_text")).join(wanted, "rep")
 
     def again(found):
-        for b in found:
+        for b in sliced(found):
             sets = [shingles(x.as_py(), k) for x in b.column(3)]
             same = [int(np.array([xxhash.xxh3_128_intdigest(s.tobytes()) & (1 << 64) - 1], np.uint64).view(np.int64)[0]) == h for s, h in zip(sets, b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["grp", "cls", "shingles"]).filter(pa.array(same, pa.bool_()))
