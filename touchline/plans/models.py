@@ -294,3 +294,66 @@ def forward_validation(predictions: DataFrame, models: list[str], share: float =
     loss = lambda c: F.round(F.avg(-F.ln(F.greatest(c, F.lit(1e-15)))), 6)
     scored = mixed.groupBy("competition_id", "n_fitted").agg(F.count("*").alias("n_scored"), loss(F.col("w")).alias("weighted"), loss(F.col("e")).alias("equal"))
     return scored.where((F.col("n_fitted") >= least) & (F.col("n_scored") >= least))
+
+
+def strengths_by_sums(rows: DataFrame, days: float = 270.0, ridge: float = 1.0, absent: float = -0.3, broadcast_teams: int = 100_000) -> DataFrame:
+    """(team_id, attack, defence, intercept, home, rho) of one competition by sums over Spark: for one whose matches don't fit a task.
+
+    rows (home_team_id, away_team_id, ft_home_goals, ft_away_goals, yh, ya, age, last_season). Matches are first summed by pair of teams and low
+    score, all that the likelihood needs; each evaluation of it is then one aggregation by team over that table. The driver
+    holds a few numbers a team and takes the steps. Teams' numbers are broadcast up to broadcast_teams of them, joined beyond.
+    """
+    from touchline.session import written
+
+    spark = rows.sparkSession
+    h, a = F.col("ft_home_goals"), F.col("ft_away_goals")
+    cell = F.when((h < 2) & (a < 2), 2 * h + a).otherwise(-1)
+    w = F.pow(F.lit(0.5), F.greatest(F.col("age"), F.lit(0)) / days)
+    pairs = written(rows.groupBy("home_team_id", "away_team_id", cell.alias("cell")).agg(F.sum(w).alias("w"), F.sum(w * F.col("yh")).alias("wh"), F.sum(w * F.col("ya")).alias("wa")), "pairs")
+    seen = rows.select(F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"), "last_season").groupBy("team_id").agg(F.max(F.col("last_season").cast("int")).alias("last")).collect()
+    seen = sorted((r["team_id"], bool(r["last"])) for r in seen)
+    teams, n = [t for t, _ in seen], len(seen)
+    prior = np.array([absent if any(x for _, x in seen) and not last else 0.0 for _, last in seen])
+    at = {t: i for i, t in enumerate(teams)}
+    low, high = np.r_[np.full(2 * n - 2, -3.0), -3.0, -1.0, -0.4], np.r_[np.full(2 * n - 2, 3.0), 3.0, 1.5, 0.4]
+    mean = rows.agg((F.avg("yh") + F.avg("ya")).alias("m")).first()["m"] / 2
+
+    def unpack(x):
+        return np.append(x[: n - 1], -x[: n - 1].sum()), np.append(x[n - 1 : 2 * n - 2], -x[n - 1 : 2 * n - 2].sum()), *x[2 * n - 2 :]
+
+    def value_and_slope(x):
+        att, dfn, c, home, rho = unpack(x)
+        known = spark.createDataFrame(pd.DataFrame({"t": teams, "att": att, "dfn": dfn}), "t long, att double, dfn double")
+        side = lambda p: (F.broadcast if n <= broadcast_teams else lambda d: d)(known.select(F.col("t").alias(f"{p}_team_id"), F.col("att").alias(f"{p}_att"), F.col("dfn").alias(f"{p}_dfn")))
+        r = pairs.join(side("home"), "home_team_id").join(side("away"), "away_team_id")
+        el, em = c + F.col("home_att") - F.col("away_dfn") + home, c + F.col("away_att") - F.col("home_dfn")
+        bound = lambda e: F.least(F.greatest(e, F.lit(-5.0)), F.lit(3.0))
+        r = r.withColumns({"el": el, "em": em}).withColumns({"lam": F.exp(bound(F.col("el"))), "mu": F.exp(bound(F.col("em")))})
+        lam, mu, k = F.col("lam"), F.col("mu"), F.col("cell")
+        pick = lambda c00, c01, c10, c11, other: F.when(k == 0, c00).when(k == 1, c01).when(k == 2, c10).when(k == 3, c11).otherwise(F.lit(other))
+        raw = pick(1 - lam * mu * rho, 1 + lam * rho, 1 + mu * rho, F.lit(1 - rho), 1.0)
+        r = r.withColumn("raw", raw).withColumn("tau", F.greatest("raw", F.lit(1e-9)))
+        sloping = F.when(F.col("raw") > 1e-9, 1.0).otherwise(0.0) / F.col("tau")
+        dl, dm = pick(-mu * rho, F.lit(rho), F.lit(0.0), F.lit(0.0), 0.0) * sloping, pick(-lam * rho, F.lit(0.0), F.lit(rho), F.lit(0.0), 0.0) * sloping
+        dr = pick(-lam * mu, lam, mu, F.lit(-1.0), 0.0) * sloping
+        inside = lambda e: F.when((F.col(e) > -5) & (F.col(e) < 3), 1.0).otherwise(0.0)
+        w = F.col("w")
+        gl, gm = -(F.col("wh") - w * lam + w * dl * lam) * inside("el"), -(F.col("wa") - w * mu + w * dm * mu) * inside("em")
+        loss = -(w * F.ln("tau") + F.col("wh") * F.ln(lam) - w * lam + F.col("wa") * F.ln(mu) - w * mu)
+        part = lambda team, *values: F.struct(team.alias("t"), *[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+        zero, none = F.lit(0.0), F.lit(None).cast("long")
+        r = r.withColumns({"gl": gl, "gm": gm}).select(F.inline(F.array(
+            part(F.col("home_team_id"), F.col("gl"), -F.col("gm"), zero, zero), part(F.col("away_team_id"), F.col("gm"), -F.col("gl"), zero, zero), part(none, F.col("gl") + F.col("gm"), F.col("gl"), -(w * dr), loss))))
+        sums = r.groupBy("t").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(4)]).collect()  # a row a team
+        ga, gd = ridge * (att - prior), ridge * (dfn - prior)
+        value, rest = 0.5 * ridge * (((att - prior) ** 2).sum() + ((dfn - prior) ** 2).sum()), [0.0, 0.0, 0.0]
+        for s in sums:
+            if s["t"] is None:
+                value, rest = value + s["v3"], [s["v0"], s["v1"], s["v2"]]
+            else:
+                ga[at[s["t"]]] += s["v0"]
+                gd[at[s["t"]]] += s["v1"]
+        return value, np.concatenate([ga[:-1] - ga[-1], gd[:-1] - gd[-1], rest])
+
+    att, dfn, c, home, rho = unpack(minimise(value_and_slope, np.r_[np.zeros(2 * n - 2), np.log(max(1e-3, mean)), 0.0, 0.0], low, high))
+    return spark.createDataFrame(pd.DataFrame({"team_id": teams, "attack": att, "defence": dfn, "intercept": float(c), "home": float(home), "rho": float(rho)}))
