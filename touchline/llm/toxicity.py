@@ -305,8 +305,8 @@ def _lookalikes(counts: DataFrame, words: list[str], most: int) -> list[str]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2000, landmarks: int = 128, lookalikes: int = 24, sentences: int = 8, ridge: float = 1e-4, rounds: int = 2000) -> Model:
     """Fits on at most per_class labelled texts of either class, by the md5 of their ids (a documented bound),
-    and on up to sentences sentences of each toxic one, as far as text and sentences hold a landmark, and of
-    each clean one, as far as they come near to a landmark. Nothing but labelled texts teaches.
+    and on up to sentences sentences of each: of a toxic one those that hold a landmark, of a clean one those that
+    come near to a landmark. Nothing but labelled texts teaches, and every one of them does.
 
     An id labelled more than once counts once for each class that it has. Without
     labels of both classes the model scores everything 0.
@@ -330,8 +330,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 k, begin = marks.texts([p for some in parts for p in some]), 0
                 for some in parts:
                     mine, begin, label, at = k[begin : begin + len(some)], begin + len(some), labels_[at], at + 1
-                    # a toxic text teaches by itself and by its sentences, as far as they hold a landmark: the others don't show why it is
-                    near = [0, *[i for i in range(1, len(mine)) if mine[i].any()][:sentences]] if label == 0 else [i for i in range(len(mine)) if mine[i].max(initial=0) >= 0.97][: sentences + 1]
+                    # every text teaches; a toxic one's sentences as far as they hold a landmark: the others don't show why it is
+                    near = [0, *[i for i in range(1, len(mine)) if mine[i].any()][:sentences]] if label == 0 else [0, *[i for i in range(1, len(mine)) if mine[i].max(initial=0) >= 0.97][:sentences]]
                     toxic += [label] * len(near)
                     rows += mine[near].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["toxic", "k"])
