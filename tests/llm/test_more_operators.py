@@ -235,3 +235,11 @@ def test_repeats_in_odd_rows(spark, docs, none):  # noqa: F811
 
 def test_query_columns(spark):
     assert suffixes.op13_suffixes(spark, SF).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+# 2 vectors
+def test_filters_reach_the_wanted_recall_or_all_pass():
+    from touchline.llm.vectors import codes_for, found_together
+
+    for dim, book, similarity, recall in ((64, 16, 0.9, 0.98), (64, 8, 0.3, 0.98), (8, 4, 0.5, 0.98), (3, 4, 0.2, 0.99)):
+        assert found_together(codes_for(dim, book, similarity, recall), similarity) >= recall

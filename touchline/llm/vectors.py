@@ -53,8 +53,11 @@ class Code:
         self.let_pass(passes)
 
     def let_pass(self, passes: int) -> None:
-        """Sets the threshold by what random vectors' sums are."""
-        at = len(self._sums) - 1 - round(4 * len(self._sums) * min(0.2, passes / self.book**2))
+        """Sets the threshold by what random vectors' sums are; where a fifth of the filters or more should pass, all do."""
+        if 5 * passes >= self.book**2:
+            self.threshold = -np.inf
+            return
+        at = len(self._sums) - 1 - round(4 * len(self._sums) * passes / self.book**2)
         self.threshold = float(self._sums[max(0, at)])
 
     def __getstate__(self):
@@ -104,10 +107,12 @@ def found_together(codes: list[Code], similarity: float, pairs: int = 1000, seed
 
 
 def codes_for(dim: int, book: int, similarity: float, recall: float, codes: int = 3, passes: int = 8) -> list[Code]:
-    """Codes with the fewest passes, in steps of a quarter, of which simulated pairs at the threshold say that recall is reached."""
+    """Codes with the fewest passes, in steps of a quarter, of which simulated pairs at the threshold say that recall is reached;
+    if need be all filters pass, and all vectors meet."""
+    passes = min(passes, book * book)
     made = [Code(dim, book, passes, seed=7 + i) for i in range(codes)]
-    while passes < book * book / 5 and found_together(made, similarity) < recall:
-        passes = passes * 5 // 4
+    while passes < book * book and found_together(made, similarity) < recall:
+        passes = min(passes * 5 // 4 + 1, book * book)
         for c in made:
             c.let_pass(passes)
     return made
