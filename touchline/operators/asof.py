@@ -109,6 +109,10 @@ class AsOf:
         rows = self.history().withColumn("meeting", F.row_number().over(newest("team_id", "opponent_id")))
         return rows if limit is None else rows.where(F.col("meeting") <= limit)
 
+    def last_match(self) -> DataFrame:
+        """The newest match of each team: (team_id, id, kickoff_date, opponent_id)."""
+        return self.history(newest_rows=1).select("team_id", "id", "kickoff_date", "opponent_id")
+
     def upcoming(self, limit: int | None = None) -> DataFrame:
         rows = self._matches.where((F.col("kickoff_date") >= F.to_date(self.as_of)) & (F.col("status") != "played"))
         return rows if limit is None else rows.orderBy("kickoff_date", "id").limit(limit)

@@ -30,3 +30,22 @@ def merge(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFr
 def latest_rows(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """An upsert sink's dedupe: the last row of each key."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def requested_fixtures(requests: DataFrame, matches: DataFrame, days: int = 2, hour: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(answers, placeholders) of requests (row_id, competition_id, home_team_id, away_team_id, day): each request's match within days of it, as near_date
+    chooses; where there is none, a placeholder match that all requests of one fixture and day share, numbered after all matches.
+
+    answers (row_id, match_id, placeholder); placeholders (id, competition_id, home_team_id, away_team_id, kickoff_date, kickoff_utc, kickoff_is_exact, status),
+    scheduled at an hour that isn't exact. Requests without two different teams have neither.
+    """
+    from .entities import numbered
+
+    keys = ["competition_id", "home_team_id", "away_team_id"]
+    asked = requests.where("home_team_id <> away_team_id")
+    found = near_date(asked, matches, days).select("row_id", *keys, "day", "match_id")
+    lacking = found.where("match_id is null").select(*keys, "day").distinct()
+    made = numbered(lacking, matches.agg(F.max("id").alias("_last")), "id", [*keys, "day"])
+    answers = found.join(made.withColumnRenamed("id", "new_id"), [*keys, "day"], "left").select("row_id", F.coalesce("match_id", "new_id").alias("match_id"), F.col("match_id").isNull().alias("placeholder"))
+    at = F.col("day").cast("timestamp") + F.make_interval(hours=F.lit(hour))
+    return answers, made.select("id", *keys, F.col("day").alias("kickoff_date"), at.alias("kickoff_utc"), F.lit(False).alias("kickoff_is_exact"), F.lit("scheduled").alias("status"))

@@ -55,7 +55,7 @@ def corner_targets(spark, d):
     return scores.count_targets(scores.count_expectations(a.scheduled(), history, "corners", AS_OF, referees), "corners", analysis.CORNERS)
 
 
-@query(over("players", f"""select p.player_id, p.team_id, f.id, round(s, 3) as scale, round(g, 3) as expected_goals, round(x, 3) as expected_assists, round(1 - exp(-greatest(g, 1e-6)), 4) as prob_scores, round(1 - exp(-greatest(g, 1e-6)) * (1 + greatest(g, 1e-6)), 4) as prob_two_plus,
+@query(over("players", f"""select p.player_id, p.team_id, f.id, round(s, 3) as scale, round(g + 1e-10, 3) as expected_goals, round(x + 1e-10, 3) as expected_assists, round(1 - exp(-greatest(g, 1e-6)), 4) as prob_scores, round(1 - exp(-greatest(g, 1e-6)) * (1 + greatest(g, 1e-6)), 4) as prob_two_plus,
   round(1 - exp(-greatest(x, 1e-6)), 4) as prob_assists, round(1 - exp(-greatest(g + x, 1e-6)), 4) as prob_involvement
 from sq q join proj p0 using (player_id) join fx f on f.team_id = q.team_id left join recent r on r.team_id = q.team_id,
   lateral (select q.player_id, q.team_id) p, lateral (select round(case when r.rate > 0.1 and f.goals > 0 then least(greatest(f.goals / r.rate, 0.5), 2.0) else 1.0::double end, 9) as s), lateral (select round(p0.expected_goals * s, 9) as g, round(p0.expected_assists * s, 9) as x) where p0.sufficient_data""",

@@ -134,4 +134,4 @@ def content_digests(spark, d):
 def forward_validation(spark, d):
     """All competitions as one, as a single run has them."""
     p = predictions(spark, d).withColumn("p", evaluation._of_truth()).withColumn("competition_id", F.lit(0).cast("long"))
-    return models.forward_validation(p.select("competition_id", "id", "kickoff_date", "model", "p"), ["steep", "flat"])
+    return models.forward_validation(p.select("competition_id", "id", "kickoff_date", "model", "p"), ["steep", "flat"]).drop("losses")

@@ -90,4 +90,4 @@ def walk_forward_validation(spark, d):
     """Weights that earlier predictions give, on later ones: against equal weights and each model alone."""
     test, _, made = _forward(spark, d)
     rows = backtest.scored(test, made).where("model <> 'ensemble'").withColumn("p", evaluation._of_truth())
-    return models.forward_validation(rows.select("competition_id", "id", "kickoff_date", "model", "p"), list(backtest.MODELS))
+    return models.forward_validation(rows.select("competition_id", "id", "kickoff_date", "model", "p"), list(backtest.MODELS)).drop("losses")

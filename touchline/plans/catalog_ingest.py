@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.operators import ingest
+from touchline.operators import ingest, merge
 from touchline.session import written
 from touchline.sources import derived
 
 from .base_sql import over
-from .catalog import query
+from .catalog import cut, query
 
 #: Three sources' records of the matches by rule, and a store that misses a quarter of them. The same rules in SQL below.
 _SOURCES = {"results": 0.60, "mirror": 0.85, "publisher": 0.90}
@@ -130,3 +130,47 @@ def player_identities(spark, d):
     seen = p.where("p_partkey % 3 <> 0").select(F.col("p_name").alias("name"), (key % 7).alias("team_id"), key.alias("at"))
     stored = p.where("p_partkey % 2 = 0").select(key.alias("player_id"), F.when(key % 4 == 0, F.concat("p_name", F.lit(" II"))).otherwise(F.col("p_name")).alias("name"), F.when(key % 5 == 0, F.lit(99).cast("long")).otherwise(key % 7).alias("team_id"))
     return ingest.players(stored, seen)
+
+
+_REQUESTS = "asked as (select id as row_id, competition_id, home_team_id, away_team_id, kickoff_date + (id % 7)::int - 3 as day from matches)"
+_NEAR = "hit as (select row_id, r.competition_id, r.home_team_id, r.away_team_id, day, arg_min(m.id, (abs(date_diff('day', day, m.kickoff_date)), m.kickoff_date, m.id)) filter (m.id is not null) as match_id from asked r left join matches m on m.competition_id = r.competition_id and m.home_team_id = r.home_team_id and m.away_team_id = r.away_team_id and abs(date_diff('day', day, m.kickoff_date)) <= 2 group by 1, 2, 3, 4, 5)"
+_MADE = "made as (select *, (select max(id) from matches) + row_number() over (order by competition_id, home_team_id, away_team_id, day) as new_id from (select distinct competition_id, home_team_id, away_team_id, day from hit where match_id is null))"
+
+
+def _requests(spark, d):
+    m = derived.matches(spark, d)
+    asked = m.select(F.col("id").alias("row_id"), "competition_id", "home_team_id", "away_team_id", F.date_add("kickoff_date", (F.col("id") % 7).cast("int") - 3).alias("day"))
+    return merge.requested_fixtures(asked, m)
+
+
+@query(over("matches", "select row_id, coalesce(match_id, new_id) as match_id, match_id is null as placeholder from hit left join made using (competition_id, home_team_id, away_team_id, day)", _REQUESTS, _NEAR, _MADE))
+def requested_fixtures(spark, d):
+    """Requests up to three days off their match."""
+    return _requests(spark, d)[0]
+
+
+@query(over("matches", "select new_id as id, competition_id, home_team_id, away_team_id, day as kickoff_date, day::timestamp + interval 15 hours as kickoff_utc, false as kickoff_is_exact, 'scheduled' as status from made", _REQUESTS, _NEAR, _MADE))
+def placeholder_fixtures(spark, d):
+    return _requests(spark, d)[1]
+
+
+@query(over("hist", "select team_id, id, kickoff_date, opponent_id from hist where rn = 1"))
+def last_matches(spark, d):
+    return cut(spark, d).last_match()
+
+
+@query("""select player_id, match_date, source, minutes, goals from (select *, row_number() over (partition by player_id, match_date, source order by arrival desc, minutes desc, goals desc, team_id desc) as k from (
+  select l_partkey as player_id, l_shipdate::date as match_date, l_linenumber % 3 as source, least(l_quantity::int * 2, 90) as minutes, (l_partkey % 3)::int as goals, l_orderkey as arrival, l_suppkey as team_id from lineitem)) where k = 1""")
+def player_rows_upsert(spark, d):
+    """Statistics of a player, day and source that arrive several times: the last one counts."""
+    rows = derived.players(spark, d).withColumn("source", F.col("l_linenumber") % 3).withColumnRenamed("l_orderkey", "arrival")
+    return ingest.newest_rows(rows, ["player_id", "match_date", "source"], ["arrival", "minutes", "goals", "team_id"]).select("player_id", "match_date", "source", "minutes", "goals")
+
+
+@query("""select match_id, kind, player_id, position from (select *, row_number() over (partition by match_id, kind, player_id order by event_id desc) as k from (
+  select event_id % 500 as match_id, case when event_id % 2 = 0 then 'predicted' else 'confirmed' end as kind, user_id as player_id, event_type as position, event_id from events)) where k = 1""")
+def lineups_upsert(spark, d):
+    """Lineups by rule from events: of each match, kind and player the newest entry."""
+    e = derived.table(spark, d, "events")
+    rows = e.select((F.col("event_id") % 500).alias("match_id"), F.when(F.col("event_id") % 2 == 0, "predicted").otherwise("confirmed").alias("kind"), F.col("user_id").alias("player_id"), F.col("event_type").alias("position"), "event_id")
+    return ingest.newest_rows(rows, ["match_id", "kind", "player_id"], ["event_id"]).select("match_id", "kind", "player_id", "position")

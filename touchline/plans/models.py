@@ -281,19 +281,24 @@ def ensemble_weights(predictions: DataFrame, models: list[str], rounds: int = 50
 
 
 def forward_validation(predictions: DataFrame, models: list[str], share: float = 0.6, least: int = 60) -> DataFrame:
-    """(competition_id, n_fitted, n_scored, weighted, equal): mean log loss of later matches by weights that earlier ones gave, and by equal weights.
+    """(competition_id, n_fitted, n_scored, weighted, equal, best_single, best_loss, beat_equal, beat_best_single, losses): mean log loss of later matches by
+    weights that earlier ones gave, by equal weights, and of each model alone (losses, a map).
 
     Rows (competition_id, id, kickoff_date, model, p) up to each competition's share quantile of days fit, later ones score; competitions with
-    fewer than least matches on either side go.
+    fewer than least matches on either side go. Models are compared on matches that all predict.
     """
     day = F.unix_date("kickoff_date")
     cuts = predictions.groupBy("competition_id").agg(F.percentile(day, share).alias("_cut"))
     rows = predictions.join(cuts, "competition_id").withColumn("_early", day <= F.col("_cut"))
     weights = ensemble_weights(rows.where("_early"), models).withColumnRenamed("n", "n_fitted")
-    mixed = rows.where("not _early").join(weights, ["competition_id", "model"]).groupBy("competition_id", "n_fitted", "id").agg(F.sum(F.col("weight") * F.col("p")).alias("w"), F.avg("p").alias("e"), F.count("*").alias("k")).where(F.col("k") == len(models))
+    alone = [F.max(F.when(F.col("model") == m, F.col("p"))).alias(f"p_{i}") for i, m in enumerate(models)]
+    mixed = rows.where("not _early").join(weights, ["competition_id", "model"]).groupBy("competition_id", "n_fitted", "id").agg(F.sum(F.col("weight") * F.col("p")).alias("w"), F.avg("p").alias("e"), F.count("*").alias("k"), *alone).where(F.col("k") == len(models))
     loss = lambda c: F.round(F.avg(-F.ln(F.greatest(c, F.lit(1e-15)))), 6)
-    scored = mixed.groupBy("competition_id", "n_fitted").agg(F.count("*").alias("n_scored"), loss(F.col("w")).alias("weighted"), loss(F.col("e")).alias("equal"))
-    return scored.where((F.col("n_fitted") >= least) & (F.col("n_scored") >= least))
+    scored = mixed.groupBy("competition_id", "n_fitted").agg(F.count("*").alias("n_scored"), loss(F.col("w")).alias("weighted"), loss(F.col("e")).alias("equal"), *[loss(F.col(f"p_{i}")).alias(f"l_{i}") for i in range(len(models))])
+    singles = F.array(*[F.struct(F.col(f"l_{i}").alias("loss"), F.lit(m).alias("model")) for i, m in enumerate(models)])
+    scored = scored.where((F.col("n_fitted") >= least) & (F.col("n_scored") >= least)).withColumn("b", F.array_min(singles))
+    return scored.select("competition_id", "n_fitted", "n_scored", "weighted", "equal", F.col("b.model").alias("best_single"), F.col("b.loss").alias("best_loss"), (F.col("weighted") < F.col("equal")).alias("beat_equal"), (F.col("weighted") < F.col("b.loss")).alias("beat_best_single"),
+                         F.create_map(*[x for i, m in enumerate(models) for x in (F.lit(m), F.col(f"l_{i}"))]).alias("losses"))
 
 
 def strengths_by_sums(rows: DataFrame, days: float = 270.0, ridge: float = 1.0, absent: float = -0.3, broadcast_teams: int = 100_000) -> DataFrame:
