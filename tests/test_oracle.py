@@ -12,7 +12,7 @@ from .conftest import SF
 
 QUERIES, ORACLE = catalog.queries(), catalog.oracle_sql()
 #: Two hundred feature rows a competition are needed, which the smallest tables lack; test_backtest runs them with smaller bounds.
-LARGE = {n for n in QUERIES if n.startswith("walk_forward")} | {"logistic_coefficients"}
+LARGE = {n for n in QUERIES if n.startswith("walk_forward")} | {"logistic_coefficients", "logistic_1x2"}
 
 
 @pytest.fixture(scope="module")

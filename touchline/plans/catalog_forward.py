@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from touchline.operators import evaluation, timeline
 
 from . import backtest, models

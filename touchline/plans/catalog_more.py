@@ -11,7 +11,7 @@ from touchline.sources import derived
 
 from . import models
 from .base_sql import AS_OF, SEASON_START, SINCE, over
-from .catalog import ORACLE, _ADJUSTED, cut, query, rates, snapshot
+from .catalog import ORACLE, _ADJUSTED, cut, query, snapshot
 
 #: Two rule-based models' probabilities of every played match; the second declines some home sides.
 _PREDS = """played as (select *, (home_team_id % 10 - away_team_id % 9) * 0.1::double as s, case when ft_home_goals > ft_away_goals then 'H' when ft_home_goals = ft_away_goals then 'D' else 'A' end as outcome from matches where status = 'played'),
