@@ -47,20 +47,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by [SECRET]; no document goes."""
+    """Replaces every secret by [SECRET]; no document goes. Null and empty texts, and rows without an id, stay as they are; repeated rows each stay."""
     rows = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)), carry=COLUMNS[1:])
     rows = rows.withColumn("_text", secrets.redact(F.col("text"), F.col("found")))
     return rows.select("doc_id", F.col("_text").alias("text"), "lang", "source", F.when(F.size("found") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emits every document as often as the mix of sources takes it."""
+    """Emits every document as often as the mix of sources takes it. A null source is a source of its own. Null and empty texts have no words, but are
+    taken as often as others of their source; a source without any words gives nothing. Repeated rows are documents of their own."""
     mixed = mixing.mix(docs, carry=("text", "lang", "n_chars"))
     return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that the mix emitted."""
+    """Token counts and digests of every row that the mix emitted, repeats included; null texts count as empty ones, ids may be null."""
     import public_tokenizers
 
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
