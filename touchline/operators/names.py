@@ -99,15 +99,23 @@ def close_pairs(names: DataFrame, known: DataFrame, least: float = 0.9) -> DataF
     """Candidates (plain, other) of distinct names (plain) and known (plain) that can be as close as least: 2 x matching letters over both
     lengths. None that is as close is missed for least of 0.9 or more; names up to four letters are close only if equal.
 
-    Of a name of length n, the other's length lies between n*least/(2-least) and n*(2-least)/least, so both share max(1, ceil((5*least-4)L-2))
-    3-grams with the smallest such L: of each, only the n-2 less that, plus one, rarest ones are looked up.
+    Of a name of length n, the other's length m lies between n*least/(2-least) and n*(2-least)/least. Of both, no more than u = (1-least)(n+m) letters match
+    nothing, a number as odd as n+m; the (n+m-u)/2 that match stand in u+1 runs, each with two 3-grams fewer than letters. Of the smallest such number
+    c of shared 3-grams over all m follows: only the n-2-c+1 rarest ones of a name are looked up.
     """
     if least < 0.9:
         raise ValueError("closeness below 0.9 isn't covered by shared 3-grams")
     every = names.select("plain").unionByName(known.select("plain")).distinct().where(F.length("plain") > 4).withColumn("g", F.explode(_grams(F.col("plain"))))
     often = every.groupBy("g").agg(F.count("*").alias("n"))
     n = F.length("plain")
-    shared = F.greatest(F.ceil((5 * least - 4) * (n + n * least / (2 - least)) / 2 - 2), F.lit(1))
+    lengths = F.sequence(F.ceil(n * least / (2 - least) - 1e-9).cast("int"), F.floor(n * (2 - least) / least + 1e-9).cast("int"))
+
+    def kept(m):
+        most = F.floor((1 - least) * (n + m) + 1e-9)
+        left = most - F.pmod(most - n - m, F.lit(2))
+        return (n + m - left) / 2 - 2 * (left + 1)
+
+    shared = F.greatest(F.array_min(F.transform(lengths, kept)).cast("int"), F.lit(1))
     rarest = Window.partitionBy("plain").orderBy("n", "g")
     prefix = every.join(often, "g").withColumn("_rn", F.row_number().over(rarest)).where(F.col("_rn") <= n - 2 - shared + 1).select("plain", "g")
     mine = names.select("plain").distinct().join(prefix, "plain")
