@@ -174,24 +174,49 @@ def test_forest_recall_over_blocks(spark, monkeypatch, block, share):
     hit = [len(got[q] & set(brute_nearest(x, q))) for q in range(0, len(x), 20)]
     assert len(got) == 100 and sum(hit) >= 0.9 * 1000
     rows = d.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("v"))
-    trees, depth = forest._measured(rows, rows.where("_id % 20 = 0"), 32, 10, 96, 0.94)
-    seen = forest.Forest(x, trees).candidates(trees.keys(x[1500:1700]), depth, 11)
-    assert seen.mean() < share and depth > 2
+    trees, enough = forest._measured(rows, rows.where("_id % 20 = 0"), 32, 10, 96, 0.94)
+    seen = forest.Forest(x, trees).candidates(trees.keys(x), enough)
+    assert seen.mean() < share and seen[1500:].mean() < share and enough > 10
 
 
 def test_prefixes_ascend_together():
     r = np.random.default_rng(3)
     x = r.normal(size=(400, 16))
     trees = forest.Trees(np.zeros(16), 8)
-    f, keys = forest.Forest(x, trees), trees.keys(x)
-    for depth in (0, 3, 6):
-        seen = f.candidates(keys[:, :20], depth, 5)
+    f, keys = forest.Forest(x, trees), trees.keys(np.concatenate([x[:10], r.normal(size=(10, 16))]))
+    other = np.ones((20, 400), bool)
+    other[3] = False
+    other[4, 5:] = False
+    for least in (1, 5, 60, 400, 1000):
+        seen = f.candidates(keys, least, other)
+        assert (f.candidates(keys[:, :3], least) == seen[:3]).all()
         for q in range(20):
-            shared = forest.shared_depth(np.repeat(keys[:, q : q + 1], 400, axis=1), keys)
-            want = next(shared >= n for n in range(depth, -1, -1) if (shared >= n).sum() >= 5)
+            shared = forest.shared_depth(np.repeat(keys[:, q : q + 1], 400, axis=1), trees.keys(x))
+            wanted = min(least, int(other[q].sum()))
+            want = next(shared >= n for n in range(32, -1, -1) if (other[q] & (shared >= n)).sum() >= wanted) if wanted else np.zeros(400, bool)
             assert (seen[q] == want).all()
 
 
+def test_forest_takes_no_more_copies_than_can_be_nearest(spark, monkeypatch):
+    """A third of the rows equal, an id with more rows than k, rows repeated: the results of brute force, and few rows dealt to blocks."""
+    r = np.random.default_rng(8)
+    x = np.concatenate([np.tile(r.normal(size=(1, 8)), (400, 1)), r.normal(size=(200, 8)), np.tile(r.normal(size=(1, 8)), (60, 1))])
+    ids = [*range(400), *range(400, 600), *[600] * 50, *range(601, 611)]
+    d = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "vec_id long, embedding array<double>")
+    dealt = {}
+    search = forest._search
+    monkeypatch.setattr(forest, "_search", lambda rows, *a: dealt.update(n=rows.count()) or search(rows, *a))
+    got = collections.defaultdict(list)
+    for row in forest.nearest(d, every=50, k=5, recall=1.0).collect():
+        got[row.query_id].append((row["rank"], row.score, row.vec_id))
+    assert set(got) == {i for i in ids if i % 50 == 0} and dealt["n"] == 6 + 200 + 5 + 5
+    for q, found in got.items():
+        far = np.sqrt(((x - x[ids.index(q)]) ** 2).sum(1))
+        want = sorted((f, i) for f, i in zip(far.tolist(), ids, strict=True) if i != q)[:5]
+        assert [i for _, _, i in sorted(found)] == [i for _, i in want]
+        assert [s for _, s, _ in sorted(found)] == pytest.approx([f for f, _ in want], abs=1e-12)
+
+
 def test_filters_find_pairs_at_the_threshold(spark):
     """Planted pairs with a cosine of 0.90 to 0.92, for several sizes of the book."""
     for book in (64, 128, 512):
