@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import asof, evaluation, features, ingest, names, timeline
-from touchline.plans import analysis, backtest, catalog, experiments, models
+from touchline.plans import analysis, backtest, catalog, catalog_forward, count_runs, experiments, models
 from touchline.sources import derived, feeds
 
 from .conftest import SF
@@ -88,6 +88,61 @@ def test_scores_equal_sql_on_the_written_predictions(spark, forward, tmp_path):
     assert skips["scored"] == got["elo", "1x2", "log_loss"][0] and sum(skips.get(k, 0) for k in ("scored", "incomplete_model_set", "no_model_output")) == test.count()
 
 
+COUNTS = count_runs.CountRun(least_matches=20, least_team=3, least_referee=3, least_totals=10, lines=(("corners", (8.5, 10.5)), ("cards", (2.5,))))
+
+
+def duck_tables(matches, stats):
+    c = duckdb.connect()
+    c.register("m", matches.toPandas())
+    c.register("s", stats.drop("arrival").toPandas())
+    return c
+
+
+def counts_by_sql(matches, stats, b):
+    """The catalogue's SQL over given matches and statistics in place of those derived from the order lines."""
+    text = catalog_forward.counts_sql("select id, market, line, round(expected, 6) as expected, round(p_over, 6) as p_over, actual from scored", RUN, b)
+    own = text[text.index("played as ("):]
+    return sorted(duck_tables(matches, stats).sql(f"with recursive matches as (select * replace (kickoff_date::date as kickoff_date) from m), stats as (select * from s), {own}").fetchall())
+
+
+def test_count_runs_equal_sql(spark):
+    """As the tables are, and with counts so uneven that their distribution is wide, cards of one kind, unnamed referees."""
+    a = catalog.snapshot(spark, SF)
+    m, s = a.matches(), a.stats()
+    odd = s.withColumn("corners", F.when(F.col("match_id") % 4 == 0, F.col("corners") * 3).otherwise(F.col("corners"))).withColumn("yellows", F.when(F.col("match_id") % 5 != 0, F.col("yellows"))).withColumn("reds", F.when(F.col("match_id") % 3 != 0, F.col("reds")))
+    unnamed = m.withColumn("referee", F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 4 == 1, F.lit("  ")).otherwise(F.concat(F.lit(" "), "referee")))
+    for matches, stats, wide in ((m, s, False), (unnamed, odd, True)):
+        got = count_runs.walk_forward_counts(matches, stats, RUN, COUNTS)
+        rows = sorted((r.id, r.market, r.line, round(r.expected, 6), round(r.p_over, 6), r.actual) for r in got.collect())
+        want = counts_by_sql(matches, stats, COUNTS)
+        assert len(rows) == len(want) > 100
+        for x, y in zip(rows, want, strict=True):
+            assert x[:3] == y[:3] and x[3:5] == pytest.approx(y[3:5], abs=2e-6) and x[5] == y[5]
+        if wide:
+            played = matches.where("status = 'played'")
+            days = backtest.checkpoints(played.where("kickoff_date between '1996-08-01' and '1998-08-02'"), RUN)
+            leagues, _, referees = count_runs.count_fits(backtest.training_sets(count_runs.sides(played, stats, "corners"), days, RUN), COUNTS)
+            assert leagues.where("dispersion > 1.1").count() and referees.count() and referees.where("trim(referee) = ''").count() == 0
+            assert any(x[1] == "cards" and x[5] is None for x in rows)  # reds alone are fitted, not scored
+
+
+def test_count_fits_see_nothing_after_their_checkpoint(spark):
+    """What happens from a checkpoint on changes no prediction made with the fit of that day."""
+    a = catalog.snapshot(spark, SF)
+    m, s = a.matches(), a.stats()
+    late = m.where("kickoff_date >= '1997-09-01'").select("id")
+    changed = s.join(late, s.match_id == late.id, "left").withColumn("corners", F.when(F.col("id").isNull(), F.col("corners")).otherwise(F.col("corners") + 9)).drop("id")
+    before = lambda stats: sorted(map(repr, count_runs.walk_forward_counts(m, stats, RUN, COUNTS).where("market = 'corners' and checkpoint <= '1997-09-01'").select("id", "line", F.round("expected", 9), F.round("p_over", 9)).collect()))
+    assert before(s) == before(changed) != []
+
+
+def test_count_runs_without_evidence_are_empty(spark):
+    a = catalog.snapshot(spark, SF)
+    assert count_runs.walk_forward_counts(a.matches(), a.stats(), RUN).count() == 0  # no competition has 150 matches in three seasons
+    assert count_runs.count_report(count_runs.walk_forward_counts(a.matches().where("1 = 0"), a.stats(), RUN, COUNTS)).count() == 0
+    assert count_runs.walk_forward_counts(a.matches(), a.stats().withColumn("corners", F.lit(None).cast("int")), RUN, COUNTS).where("market = 'corners'").count() == 0
+
+
 def test_coefficients_are_the_largest_of_each_outcome(forward):
     rows = backtest.coefficients(forward[2]).collect()
     assert rows and len(rows) % 18 == 0 and {r.outcome for r in rows} == {"home", "draw", "away"} and all(r.feature in features.FEATURES for r in rows)

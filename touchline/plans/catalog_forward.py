@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from touchline.operators import evaluation, timeline
 
-from . import backtest, models
+from . import backtest, count_runs, models
 from .base_sql import over
 from .catalog import _F, query, snapshot
 
@@ -54,6 +56,81 @@ def features_23_at_each_kickoff(spark, d):
 RUN = backtest.Run("1996-08-01", "1998-08-02")
 
 
+def counts_sql(select: str, run: backtest.Run = RUN, b: count_runs.CountRun = count_runs.CountRun()) -> str:  # noqa: B008
+    """The count models' walk-forward run in SQL: the table `scored` (id, market, checkpoint, expected, line, p_over, actual)."""
+    ctes = [f"""played as (select * from matches where status = 'played' and ft_home_goals is not null and ft_away_goals is not null
+), test as (select * from played where kickoff_date between date '{run.start}' and date '{run.end}'
+), steps as (
+  select competition_id, min(kickoff_date) as checkpoint from test group by 1
+  union all
+  select s.competition_id, (select min(kickoff_date) from test m where m.competition_id = s.competition_id and m.kickoff_date >= s.checkpoint + {run.refit_days}) from steps s
+  where exists (select 1 from test m where m.competition_id = s.competition_id and m.kickoff_date >= s.checkpoint + {run.refit_days})
+), recorded as (
+  select match_id, team_id, 'corners' as market, corners::double as v, corners is not null as whole from stats where corners is not null
+  union all select match_id, team_id, 'cards', (coalesce(yellows, 0) + 2 * coalesce(reds, 0))::double, yellows is not null from stats where yellows is not null or reds is not null
+), sides as (
+  select p.*, x.market, x.v, x.whole, x.team_id, x.team_id = home_team_id as is_home, case when x.team_id = home_team_id then away_team_id else home_team_id end as opponent_id from played p join recorded x on x.match_id = p.id
+), train as (
+  select s.*, checkpoint, pow(0.5, greatest(date_diff('day', kickoff_date, checkpoint), 0) / {b.half_life_days}::double) as w from steps c join sides s using (competition_id)
+  where known_at <= checkpoint::timestamp and kickoff_date >= make_date(year(checkpoint) - {b.seasons_back}, 7, 1)
+), league as (
+  select market, competition_id, checkpoint, avg(v) filter (is_home) as mh, avg(v) filter (not is_home) as ma from train group by 1, 2, 3
+  having count(*) >= {2 * b.least_matches} and avg(v) filter (is_home) > 0 and avg(v) filter (not is_home) > 0
+), spread as (
+  select market, competition_id, checkpoint, case when count(*) >= {b.least_totals} then var_samp(t) / avg(t) end as disp from (select market, competition_id, checkpoint, id, sum(v) as t from train group by 1, 2, 3, 4 having count(*) = 2) group by 1, 2, 3
+), own as (
+  select market, competition_id, checkpoint, team_id, sum(v * w) filter (is_home) as hs, sum(w) filter (is_home) as hw, sum(v * w) filter (not is_home) as vs, sum(w) filter (not is_home) as vw, count(*) as n from train group by 1, 2, 3, 4
+), met as (
+  select market, competition_id, checkpoint, opponent_id as team_id, sum(v * w) filter (is_home) as hs, sum(w) filter (is_home) as hw, sum(v * w) filter (not is_home) as vs, sum(w) filter (not is_home) as vw from train group by 1, 2, 3, 4
+), refs as (
+  select market, competition_id, checkpoint, trim(referee) as referee, least(greatest(avg(v) / any_value(o), 0.7), 1.4) as f
+  from (select *, avg(v) over (partition by market, competition_id, checkpoint) as o from train where trim(coalesce(referee, '')) <> '') where o > 0 group by 1, 2, 3, 4 having count(*) >= {b.least_referee}
+), placed as (select t.*, (select max(checkpoint) from steps s where s.competition_id = t.competition_id and s.checkpoint <= t.kickoff_date) as checkpoint from test t
+), mu as (
+  select p.id, l.market, l.checkpoint, s.disp,
+    coalesce(f, 1) * (l.mh * coalesce((ho.hs + {b.shrinkage} * l.mh) / (ho.hw + {b.shrinkage}) / l.mh, 1) * coalesce((am.hs + {b.shrinkage} * l.mh) / (am.hw + {b.shrinkage}) / l.mh, 1)
+      + l.ma * coalesce((ao.vs + {b.shrinkage} * l.ma) / (ao.vw + {b.shrinkage}) / l.ma, 1) * coalesce((hm.vs + {b.shrinkage} * l.ma) / (hm.vw + {b.shrinkage}) / l.ma, 1)) as expected
+  from placed p join league l on l.competition_id = p.competition_id and l.checkpoint = p.checkpoint left join spread s on (s.market, s.competition_id, s.checkpoint) = (l.market, l.competition_id, l.checkpoint)
+  join own ho on (ho.market, ho.competition_id, ho.checkpoint, ho.team_id) = (l.market, l.competition_id, l.checkpoint, p.home_team_id) and ho.n >= {b.least_team}
+  join own ao on (ao.market, ao.competition_id, ao.checkpoint, ao.team_id) = (l.market, l.competition_id, l.checkpoint, p.away_team_id) and ao.n >= {b.least_team}
+  left join met hm on (hm.market, hm.competition_id, hm.checkpoint, hm.team_id) = (l.market, l.competition_id, l.checkpoint, p.home_team_id)
+  left join met am on (am.market, am.competition_id, am.checkpoint, am.team_id) = (l.market, l.competition_id, l.checkpoint, p.away_team_id)
+  left join refs r on (r.market, r.competition_id, r.checkpoint, r.referee) = (l.market, l.competition_id, l.checkpoint, trim(p.referee))
+), pmf as (
+  select id, market, k, w / sum(w) over (partition by id, market) as p from (select id, market, k, case when disp > 1.1
+    then exp(lgamma(m / (disp - 1) + k) - lgamma(m / (disp - 1)) - lgamma(k + 1)) * pow(1 / disp, m / (disp - 1)) * pow(1 - 1 / disp, k) else exp(-m) * pow(m, k) / gamma(k + 1) end as w
+    from (select *, greatest(expected, 0.05) as m from mu), (select unnest(range(0, {b.most + 1}))::int as k))
+), actuals as (select id, market, sum(v) as actual from sides where whole group by 1, 2 having count(*) = 2
+), bars as (select * from (values {", ".join(f"('{m}', {x}::double)" for m, some in b.lines for x in some)}) as v(market, line)
+), scored as (
+  select mu.id, mu.market, checkpoint, expected, line, (select coalesce(sum(p), 0) from pmf where pmf.id = mu.id and pmf.market = mu.market and k > line) as p_over, actual from mu join bars using (market) left join actuals using (id, market)
+)"""]
+    return over("stats", select, *ctes).replace("with ", "with recursive ", 1)
+
+
+@query(counts_sql("select id, market, checkpoint, round(expected, 6) as expected, line, round(p_over, 6) as p_over, actual from scored"))
+def walk_forward_counts(spark, d):
+    """Corners and card points of every match of the run that the counts up to its checkpoint can predict, and what was recorded."""
+    a = snapshot(spark, d)
+    rows = count_runs.walk_forward_counts(a.matches(), a.stats(), RUN)
+    return rows.select("id", "market", "checkpoint", F.round("expected", 6).alias("expected"), "line", F.round("p_over", 6).alias("p_over"), "actual")
+
+
+_LOSS = "-ln(case when actual > line then q else 1 - q end)"
+
+
+@query(counts_sql(f"""select model, market, metric, n, value from (
+  select market as model, market || '_over_under_' || line as market, unnest(['log_loss', 'brier']) as metric, n, unnest([ll, br]) as value from (
+    select market, line, count(*) as n, round(avg({_LOSS}), 6) as ll, round(avg(pow(p_over - (actual > line)::int, 2)), 6) as br from (select *, least(greatest(p_over, {evaluation.EPS}), 1 - {evaluation.EPS}) as q from scored where actual is not null) group by 1, 2)
+  union all
+  select market, 'expected_' || market, unnest(['mae', 'rmse', 'bias']), n, unnest([mae, rmse, bias]) from (
+    select market, count(*) as n, round(avg(abs(expected - actual)), 6) as mae, round(sqrt(avg(pow(expected - actual, 2))), 6) as rmse, round(avg(expected - actual), 6) as bias from (select distinct id, market, expected, actual from scored where actual is not null) group by 1))"""))
+def walk_forward_count_scores(spark, d):
+    """Log loss and Brier score of each line, and errors of the expected counts, over the run."""
+    a = snapshot(spark, d)
+    return count_runs.count_report(count_runs.walk_forward_counts(a.matches(), a.stats(), RUN))
+
+
 def _forward(spark, d):
     a = snapshot(spark, d)
     return backtest.walk_forward(a.matches(), a.stats(), RUN)
@@ -61,9 +138,12 @@ def _forward(spark, d):
 
 @query()
 def walk_forward(spark, d):
-    """Three models and their ensemble, refitted at every checkpoint of every competition, scored on what followed."""
-    test, _, made = _forward(spark, d)
-    return backtest.report(backtest.scored(test, made), RUN)
+    """Three models and their ensemble, refitted at every checkpoint of every competition, scored on what followed; the counts on the same matches."""
+    a = snapshot(spark, d)
+    test, _, made = backtest.walk_forward(a.matches(), a.stats(), RUN)
+    rows = backtest.scored(test, made)
+    counted = count_runs.walk_forward_counts(a.matches(), a.stats(), RUN).join(rows.select("id").distinct(), "id", "left_semi")
+    return backtest.report(rows, RUN).unionByName(count_runs.count_report(counted))
 
 
 @query()
