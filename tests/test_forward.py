@@ -88,6 +88,22 @@ def test_scores_equal_sql_on_the_written_predictions(spark, forward, tmp_path):
     assert skips["scored"] == got["elo", "1x2", "log_loss"][0] and sum(skips.get(k, 0) for k in ("scored", "incomplete_model_set", "no_model_output")) == test.count()
 
 
+def test_a_model_alone_predicts_as_among_others(forward):
+    """The light run of each model against the full run's predictions of it; what it counts, and goals over 2.5 by hand."""
+    a, test, fitted, made = forward
+    for model in ("elo", "dixon_coles"):
+        rows, summary = backtest.light_run(a.matches(), a.stats(), RUN, model)
+        pick = lambda df: sorted((r.id, r.checkpoint, round(r.home, 6), round(r.draw, 6), round(r.away, 6)) for r in df.select("id", "checkpoint", "home", "draw", "away").collect())  # noqa: E731, B023
+        assert pick(rows) == pick(made.where(F.col("model") == model)) != []
+        got, each = summary.first(), rows.collect()
+        assert got.n == len(each) and got.declined == test.count() - len(each) and got.fits == test.select("competition_id").distinct().count() + sum(
+            r.n - 1 for r in backtest.checkpoints(test, RUN).select(F.size("checkpoints").alias("n")).collect())
+        losses = [-np.log(r.over_2_5 if r.goals > 2.5 else 1 - r.over_2_5) for r in each if r.over_2_5 is not None]
+        assert got.ou25_n == (len(losses) if model == "dixon_coles" else None) and (not losses or got.ou25_log_loss == pytest.approx(np.mean(losses), abs=1e-6))
+    rows, summary = backtest.light_run(a.matches().where("1 = 0"), a.stats(), RUN, "elo")
+    assert rows.count() == 0 and summary.count() == 0
+
+
 COUNTS = count_runs.CountRun(least_matches=20, least_team=3, least_referee=3, least_totals=10, lines=(("corners", (8.5, 10.5)), ("cards", (2.5,))))
 
 

@@ -9,6 +9,7 @@ from touchline.operators import evaluation, timeline
 from . import backtest, count_runs, models
 from .base_sql import over
 from .catalog import _F, query, snapshot
+from .catalog_more import fold_sql
 
 _AT_KICKOFF = """facts as (
   select s.*, case when goals_for > goals_against then 3 when goals_for = goals_against then 1 else 0 end as points, o.shots_on_target, p.shots_on_target as sot_against,
@@ -169,3 +170,46 @@ def walk_forward_validation(spark, d):
     test, _, made = _forward(spark, d)
     rows = backtest.scored(test, made).where("model <> 'ensemble'").withColumn("p", evaluation._of_truth())
     return models.forward_validation(rows.select("competition_id", "id", "kickoff_date", "model", "p"), list(backtest.MODELS)).drop("losses")
+
+
+#: Ratings alone, refitted every four weeks.
+LIGHT = backtest.Run("1996-08-01", "1998-08-02", refit_days=28)
+
+
+def light_sql(select: str, run: backtest.Run = LIGHT) -> str:
+    """The ratings' light run in SQL: a fold of each (competition, checkpoint)'s training set; the table `seen` (id, checkpoint, home, draw, away, outcome)."""
+    ctes = [f"""played as (select * from matches where status = 'played' and ft_home_goals is not null and ft_away_goals is not null
+), test as (select * from played where kickoff_date between date '{run.start}' and date '{run.end}'
+), steps as (
+  select competition_id, min(kickoff_date) as checkpoint from test group by 1
+  union all
+  select s.competition_id, (select min(kickoff_date) from test m where m.competition_id = s.competition_id and m.kickoff_date >= s.checkpoint + {run.refit_days}) from steps s
+  where exists (select 1 from test m where m.competition_id = s.competition_id and m.kickoff_date >= s.checkpoint + {run.refit_days})
+), train as (
+  select p.*, checkpoint from steps join played p using (competition_id) where known_at <= checkpoint::timestamp and kickoff_date >= make_date(year(checkpoint) - {run.seasons_back}, 7, 1)
+)""", fold_sql("train", "competition_id, checkpoint", run.least_matches), f"""teams as (
+  select competition_id, checkpoint, team, count(*) as k from (select competition_id, checkpoint, unnest([home_team_id, away_team_id]) as team from train) group by 1, 2, 3
+), placed as (select t.*, (select max(checkpoint) from steps s where s.competition_id = t.competition_id and s.checkpoint <= t.kickoff_date) as checkpoint from test t
+), gaps as (
+  select p.id, p.checkpoint, c.base, c.decay, r[home_team_id::bigint] + 60 - r[away_team_id::bigint] as gap, case when ft_home_goals > ft_away_goals then 'H' when ft_home_goals = ft_away_goals then 'D' else 'A' end as outcome
+  from placed p join curve c on c.competition_id = p.competition_id and c.checkpoint = p.checkpoint join last_ratings l on l.competition_id = p.competition_id and l.checkpoint = p.checkpoint
+  join teams h on (h.competition_id, h.checkpoint, h.team) = (p.competition_id, p.checkpoint, p.home_team_id) and h.k >= {run.least_team} join teams a on (a.competition_id, a.checkpoint, a.team) = (p.competition_id, p.checkpoint, p.away_team_id) and a.k >= {run.least_team}
+), seen as (
+  select id, checkpoint, (1 - tie) * win as home, tie as draw, (1 - tie) * (1 - win) as away, outcome from (select *, least(greatest(base * exp(-decay * abs(gap)), 0.05::double), 0.4::double) as tie, 1 / (1 + pow(10::double, -gap / 400)) as win from gaps)
+)"""]
+    return over("matches", select, *ctes).replace("with ", "with recursive ", 1)
+
+
+@query(light_sql("select id, checkpoint, round(home, 6) as home, round(draw, 6) as draw, round(away, 6) as away, outcome from seen"))
+def light_run_predictions(spark, d):
+    a = snapshot(spark, d)
+    rows, _ = backtest.light_run(a.matches(), a.stats(), LIGHT, "elo")
+    return rows.select("id", "checkpoint", *[F.round(c, 6).alias(c) for c in ("home", "draw", "away")], "outcome")
+
+
+@query(light_sql(f"""select 'elo' as model, count(*) as n, round(avg(-ln(greatest(p, {evaluation.EPS}))), 6) as log_loss, round(avg(pow(home - (outcome = 'H')::int, 2) + pow(draw - (outcome = 'D')::int, 2) + pow(away - (outcome = 'A')::int, 2)), 6) as brier,
+  (select count(*) from steps) as fits, (select count(*) from test) - count(*) as declined from (select *, case outcome when 'H' then home when 'D' then draw else away end as p from seen) having count(*) > 0"""))
+def light_run_summary(spark, d):
+    """How the ratings do when they are fitted anew every four weeks."""
+    a = snapshot(spark, d)
+    return backtest.light_run(a.matches(), a.stats(), LIGHT, "elo")[1].select("model", "n", "log_loss", "brier", "fits", "declined")

@@ -255,35 +255,39 @@ def _played(spark, d):
     return cut(spark, d).completed()
 
 
-#: The fold as a recursion over each competition's matches in order, the ratings held as a map.
-_ELO = """scored as (
-  select *, row_number() over (partition by competition_id order by kickoff_date, id) as n, year(kickoff_date) - case when month(kickoff_date) < 7 then 1 else 0 end as season,
+def fold_sql(source: str, keys: str = "competition_id", least: int = 0) -> str:
+    """The fold as a recursion over the matches of each group of source (a relation with the keys) in order, the ratings held as a map: tables elo, last_ratings
+    and curve (the draw's line by group); least: the fewest matches of a group."""
+    match = " and ".join(f"s.{k} = f.{k}" for k in keys.split(", "))
+    return f"""scored as (
+  select *, row_number() over (partition by {keys} order by kickoff_date, id) as n, year(kickoff_date) - case when month(kickoff_date) < 7 then 1 else 0 end as season,
     case when ft_home_goals > ft_away_goals then 1.0::double when ft_home_goals < ft_away_goals then 0.0::double else 0.5::double end as score, ln(abs(ft_home_goals - ft_away_goals) + 1.0::double) * 2.2::double as margin
-  from done where ft_home_goals is not null and ft_away_goals is not null
+  from {source} where ft_home_goals is not null and ft_away_goals is not null
 ), fold as (
-  select distinct competition_id, 0::bigint as n, null::bigint as season, map([]::bigint[], []::double[]) as r, null::bigint as id, null::double as home_before, null::double as away_before, null::double as gap, false as drawn from scored
+  select distinct {keys}, 0::bigint as n, null::bigint as season, map([]::bigint[], []::double[]) as r, null::bigint as id, null::double as home_before, null::double as away_before, null::double as gap, false as drawn from scored
   union all
-  select competition_id, n, season, map_concat(r, map([h, a], [hb + move, ab - move])), id, hb, ab, gap, score = 0.5 from (
+  select {keys}, n, season, map_concat(r, map([h, a], [hb + move, ab - move])), id, hb, ab, gap, score = 0.5 from (
     select *, 20 * margin / (0.001::double * abs(gap) + 2.2::double) * (score - 1 / (1 + pow(10::double, -gap / 400))) as move from (
       select *, hb + 60 - ab as gap from (
         select *, coalesce(r[h], 1500::double) as hb, coalesce(r[a], 1500::double) as ab from (
-          select s.competition_id, s.n, s.season, s.score, s.margin, s.id, s.home_team_id::bigint as h, s.away_team_id::bigint as a,
-            case when f.season <> s.season then map_from_entries(list_transform(map_entries(f.r), lambda e: {'k': e.key, 'v': e.value + 0.1::double * (1500 - e.value)})) else f.r end as r
-          from fold f join scored s on s.competition_id = f.competition_id and s.n = f.n + 1))))
-), elo as (select id, competition_id, home_before, away_before, gap, drawn from fold where n > 0
-), g as (select competition_id, abs(gap) as g, drawn::int::double as y from elo
-), edges as (select competition_id, [quantile_cont(g, 0.0), quantile_cont(g, 0.2), quantile_cont(g, 0.4), quantile_cont(g, 0.6), quantile_cont(g, 0.8), quantile_cont(g, 1.0)] as e from g group by 1
+          select {', '.join('s.' + k for k in keys.split(', '))}, s.n, s.season, s.score, s.margin, s.id, s.home_team_id::bigint as h, s.away_team_id::bigint as a,
+            case when f.season <> s.season then map_from_entries(list_transform(map_entries(f.r), lambda e: {{'k': e.key, 'v': e.value + 0.1::double * (1500 - e.value)}})) else f.r end as r
+          from fold f join scored s on {match} and s.n = f.n + 1))))
+), elo as (select id, {keys}, home_before, away_before, gap, drawn from fold where n > 0
+), last_ratings as (select {keys}, n, r from fold where n > 0 qualify n = max(n) over (partition by {keys})
+), g as (select {keys}, abs(gap) as g, drawn::int::double as y from elo
+), edges as (select {keys}, [quantile_cont(g, 0.0), quantile_cont(g, 0.2), quantile_cont(g, 0.4), quantile_cont(g, 0.6), quantile_cont(g, 0.8), quantile_cont(g, 1.0)] as e from g group by {keys}
 ), fifths as (
-  select competition_id, i, avg(g) as x, ln(least(greatest(avg(y), 1e-3), 0.999::double)) as lp from g join edges using (competition_id), range(1, 6) as t(i) where g >= e[i] and g <= e[i + 1] group by 1, 2 having count(*) >= 30
-), line as (select competition_id, count(*) as k, exp(regr_intercept(lp, x)) as b, -regr_slope(lp, x) as d from fifths group by 1
+  select {keys}, i, avg(g) as x, ln(least(greatest(avg(y), 1e-3), 0.999::double)) as lp from g join edges using ({keys}), range(1, 6) as t(i) where g >= e[i] and g <= e[i + 1] group by {keys}, i having count(*) >= 30
+), line as (select {keys}, count(*) as k, exp(regr_intercept(lp, x)) as b, -regr_slope(lp, x) as d from fifths group by {keys}
 ), curve as (
-  select competition_id, n, round(case when ok then b else share end, 6) as base, round(case when ok then d else 0 end, 6) as decay
-  from (select competition_id, count(*) as n, avg(y) as share from g group by 1) left join (select *, coalesce(k >= 3 and b between 0.05 and 0.6 and d between 0 and 0.02, false) as ok from line) using (competition_id)
+  select {keys}, n, round(case when ok then b else share end, 6) as base, round(case when ok then d else 0 end, 6) as decay
+  from (select {keys}, count(*) as n, avg(y) as share from g group by {keys}) left join (select *, coalesce(k >= 3 and b between 0.05 and 0.6 and d between 0 and 0.02, false) as ok from line) using ({keys}) where n >= {least}
 )"""
 
 
 def _elo_sql(select: str) -> str:
-    return over("hist", select, _ELO).replace("with ", "with recursive ", 1)
+    return over("hist", select, fold_sql("done")).replace("with ", "with recursive ", 1)
 
 
 @query(_elo_sql("select id, competition_id, round(home_before, 6) as home_before, round(away_before, 6) as away_before, round(gap, 6) as gap, drawn from elo"))
