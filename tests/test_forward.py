@@ -369,3 +369,9 @@ def test_row_bootstrap_is_near_the_textbook(spark):
     got = evaluation.bootstrap(spark.createDataFrame([(i, float(x)) for i, x in enumerate(diffs)], "id long, diff double"), 400).first()
     half = 1.96 * diffs.std() / np.sqrt(2000)
     assert got.low == pytest.approx(diffs.mean() - half, abs=0.012) and got.high == pytest.approx(diffs.mean() + half, abs=0.012)
+
+
+def test_plans_of_features_at_every_kickoff_stay_small(spark):
+    """The driver holds each step's plan: a step reads what the one before has written."""
+    a = catalog.snapshot(spark, SF)
+    assert len(timeline.kickoff_features(a.matches(), a.stats())._jdf.queryExecution().toString()) < 100_000
