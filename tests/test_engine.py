@@ -250,3 +250,11 @@ def test_entities(spark):
     known = spark.createDataFrame([(4, "a")], "k long, n string")
     assert sorted(map(tuple, entities.get_or_create(spark.createDataFrame([("c",), ("b",), ("a",), ("b",), (None,)], "n string"), known, "k", "n").collect())) == [(4, "a"), (5, "b"), (6, "c")]
     assert entities.get_or_create(known.select("n"), known.where("1 = 0"), "k", "n").first().k == 1
+
+
+def test_scores_of_a_row_are_ranked_and_summed_where_it_is(spark):
+    rates = spark.createDataFrame([(1, 1.5, 1.1, -0.05), (2, 1.2, 1.2, 0.0), (3, 0.4, 3.0, -0.1)], "id long, lam double, mu double, rho double")
+    wide, rows = scores.score_columns(rates), scores.score_matrix(rates)
+    got = scores.top_scores_of(wide)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, scores.top_scores(rows).collect()))
