@@ -258,3 +258,17 @@ def test_scores_of_a_row_are_ranked_and_summed_where_it_is(spark):
     got = scores.top_scores_of(wide)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(repr, got.collect())) == sorted(map(repr, scores.top_scores(rows).collect()))
+
+
+def test_ratings_pass_as_a_stream(spark, league):
+    """A competition's matches come in many batches; its plan gathers no group."""
+    m = league[0].unionByName(league[0].withColumn("competition_id", F.lit(2).cast("long")).withColumn("id", F.col("id") + 1000))
+    want = {r[0]: r[2:] for c in (1, 2) for r in models.fold_ratings(m.where(F.col("competition_id") == c).orderBy("kickoff_date", "id").toPandas())[2]}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = models.elo(m)
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: (r.home_before, r.away_before, r.gap, r.drawn) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
