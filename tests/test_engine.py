@@ -272,3 +272,11 @@ def test_ratings_pass_as_a_stream(spark, league):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_halves_are_rounded_as_their_multiple_is(spark):
+    assert round(0.5025 * 1000) == 502 and 0.5025 * 1000 < 502.5  # SQL rounds the multiple
+    day = lambda i: dt.date(2024, 1, 1 + i)
+    rows = spark.createDataFrame([(1, 1, day(i), 90, 0, 0, 3.35 if i == 0 else 0.0, 0.0, True) for i in range(4)], "player_id long, team_id long, match_date date, minutes int, goals int, assists int, xg double, xa double, started boolean")
+    news = spark.createDataFrame([], "player_id long, status string, chance_of_playing double")
+    assert scores.player_projection(rows, news, "2024-06-01").first().expected_goals == 0.502
