@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import plain_name
+from touchline.session import spread, written
 
 from .entities import numbered
 
@@ -95,35 +96,56 @@ def _grams(plain: Column) -> Column:
     return F.transform(raw, lambda g, i: F.concat(g, F.size(F.filter(F.slice(raw, 1, i + 1), lambda x: x == g)).cast("string")))
 
 
-def close_pairs(names: DataFrame, known: DataFrame, least: float = 0.9) -> DataFrame:
+def close_pairs(names: DataFrame, known: DataFrame, least: float = 0.9, closer: DataFrame | None = None) -> DataFrame:
     """Candidates (plain, other) of distinct names (plain) and known (plain) that can be as close as least: 2 x matching letters over both
     lengths. None that is as close is missed for least of 0.9 or more; names up to four letters are close only if equal.
 
     Of a name of length n, the other's length m lies between n*least/(2-least) and n*(2-least)/least. Of both, no more than u = (1-least)(n+m) letters match
     nothing, a number as odd as n+m; the (n+m-u)/2 that match stand in u+1 runs, each with two 3-grams fewer than letters. Of the smallest such number
     c of shared 3-grams over all m follows: only the n-2-c+1 rarest ones of a name are looked up.
+
+    closer (plain, least) tells of some names that a pair as close as that is known; of theirs, only pairs that can be as close as that are given.
     """
     if least < 0.9:
         raise ValueError("closeness below 0.9 isn't covered by shared 3-grams")
-    every = names.select("plain").unionByName(known.select("plain")).distinct().where(F.length("plain") > 4).withColumn("g", F.explode(_grams(F.col("plain"))))
+    every = written(names.select("plain").unionByName(known.select("plain")).distinct().where(F.length("plain") > 4).withColumn("g", F.explode(_grams(F.col("plain")))), "grams")
     often = every.groupBy("g").agg(F.count("*").alias("n"))
     n = F.length("plain")
-    lengths = F.sequence(F.ceil(n * least / (2 - least) - 1e-9).cast("int"), F.floor(n * (2 - least) / least + 1e-9).cast("int"))
 
-    def kept(m):
-        most = F.floor((1 - least) * (n + m) + 1e-9)
-        left = most - F.pmod(most - n - m, F.lit(2))
-        return (n + m - left) / 2 - 2 * (left + 1)
+    def needed(by: Column) -> Column:
+        lengths = F.sequence(F.ceil(n * by / (2 - by) - 1e-9).cast("int"), F.floor(n * (2 - by) / by + 1e-9).cast("int"))
+
+        def kept(m):
+            most = F.floor((1 - by) * (n + m) + 1e-9)
+            left = most - F.pmod(most - n - m, F.lit(2))
+            return (n + m - left) / 2 - 2 * (left + 1)
+
+        return F.greatest(F.array_min(F.transform(lengths, kept)).cast("int"), F.lit(1))
 
-    shared = F.greatest(F.array_min(F.transform(lengths, kept)).cast("int"), F.lit(1))
     rarest = Window.partitionBy("plain").orderBy("n", "g")
-    prefix = every.join(often, "g").withColumn("_rn", F.row_number().over(rarest)).where(F.col("_rn") <= n - 2 - shared + 1).select("plain", "g")
-    mine = names.select("plain").distinct().join(prefix, "plain")
-    other = known.select("plain").distinct().join(prefix, "plain").withColumnRenamed("plain", "other")
-    fits = 2 * F.least(F.length("plain"), F.length("other")) >= least * (F.length("plain") + F.length("other"))
+    ranked = written(every.join(often, "g").withColumn("_rn", F.row_number().over(rarest)).where(F.col("_rn") <= n - 2 - needed(F.lit(least)) + 1).select("plain", "g", "_rn"), "rarest-grams")
+    mine = names.select("plain").distinct()
+    if closer is None:
+        mine = mine.join(ranked, "plain").withColumn("_by", F.lit(least))
+    else:
+        mine = mine.join(closer.select("plain", F.greatest(F.col("least") - 1e-9, F.lit(least)).alias("_by")), "plain", "left").fillna(least, ["_by"]).join(ranked, "plain").where(F.col("_rn") <= n - 2 - needed(F.col("_by")) + 1)
+    other = known.select("plain").distinct().join(ranked.drop("_rn"), "plain").withColumnRenamed("plain", "other")
+    fits = 2 * F.least(F.length("plain"), F.length("other")) >= F.col("_by") * (F.length("plain") + F.length("other"))
     return mine.join(other, "g").where(fits).select("plain", "other").distinct()
 
 
+def first_pairs(names: DataFrame, known: DataFrame, each: int = 32) -> DataFrame:
+    """Some pairs (plain, other) that are likely close: of the rarest 3-gram that a name shares with any known one, as many as each. They only say how close
+    a name's closest at least is."""
+    grams = lambda df: df.select("plain").distinct().where(F.length("plain") > 4).withColumn("g", F.explode(_grams(F.col("plain"))))
+    other = written(grams(known), "known-grams")
+    often = other.groupBy("g").agg(F.count("*").alias("n"))
+    mine = grams(names).join(often, "g").withColumn("_rn", F.row_number().over(Window.partitionBy("plain").orderBy("n", "g"))).where("_rn = 1").select("plain", "g")
+    some = other.withColumnRenamed("plain", "other")
+    near = Window.partitionBy("plain").orderBy(F.levenshtein("plain", "other"), "other")
+    return mine.join(some, "g").withColumn("_rn", F.row_number().over(near)).where(F.col("_rn") <= each).select("plain", "other")
+
+
 def resolve(names: DataFrame, known: DataFrame, curated: DataFrame | None = None, learned: DataFrame | None = None, least: float = 0.9, create: bool = False) -> DataFrame:
     """(name, team_id, how) of distinct names: by the canonical name (a curated spelling stands for its canonical name), then a learned alias, then the
     plain name, then the closest plain name with a word in common; else a new team if create, else none.
@@ -154,7 +176,9 @@ def resolve(names: DataFrame, known: DataFrame, curated: DataFrame | None = None
         return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
     word = F.arrays_overlap(F.split("plain", " "), F.split("other", " "))
-    scored = close_pairs(rest, spellings, least).withColumn("ratio", close("plain", "other")).where(F.col("ratio") >= least).join(spellings.select(F.col("plain").alias("other"), "id"), "other")
+    rest, spellings = written(rest, "names"), written(spellings, "spellings")
+    closer = spread(first_pairs(rest, spellings, 4), "plain", "other").withColumn("ratio", close("plain", "other")).groupBy("plain").agg(F.max("ratio").alias("least"))
+    scored = spread(close_pairs(rest, spellings, least, written(closer, "closer")), "plain", "other").withColumn("ratio", close("plain", "other")).where(F.col("ratio") >= least).join(spellings.select(F.col("plain").alias("other"), "id"), "other")
     best = scored.groupBy("plain").agg(F.max_by(F.struct("id", word.alias("word")), F.struct("ratio", -F.col("id"))).alias("b")).where("b.word").select(F.col("plain").alias("canonical_plain"), F.col("b.id").alias("fuzzy_id"))
     r = r.join(best, "canonical_plain", "left")
     how = F.when(F.col("exact_id").isNotNull(), F.when(F.col("canonical") == F.col("name"), "exact").when(F.col("plain") == F.col("canonical_plain"), "plain").otherwise("curated")).when(F.coalesce("alias_id", "alias2_id").isNotNull(), "alias").when(F.col("plain_id").isNotNull(), "plain").when(F.col("fuzzy_id").isNotNull(), "close").otherwise("none")
