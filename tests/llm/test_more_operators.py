@@ -91,6 +91,14 @@ def test_chains_end_at_the_last_form(spark):
     assert {x.root for x in got} == {"abbbbb", "zzzzz"} and max(x.n_near for x in got) == 2
 
 
+def test_words_and_their_lists_are_never_broadcast(spark):
+    """A table of words is small on disk, its lists are not: neither passes through the driver, however small Spark takes it to be."""
+    vocab = spelling.written(spark.createDataFrame([("aaaaaa", 3), ("aaaaab", 6), ("aaaabb", 12), ("zzzzz", 5)], "word string, n long"), "words")
+    for rows in (spelling.near(vocab), spelling.group(vocab)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_a_hot_list_holds_every_pair_once(spark):
     """A thousand words with one beginning and one ending that no other words have."""
     r = random.Random(3)

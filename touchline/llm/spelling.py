@@ -84,6 +84,12 @@ def _chosen(rank: dict[str, int], size: list[int]):
     return choose
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df as a side that a join shuffles, never broadcasts: a table of words is small on disk, but its rows, and the lists that are
+    made of them, would all pass through the driver."""
+    return df.hint("merge")
+
+
 def near(vocab: DataFrame) -> DataFrame:
     """Pairs (a, an, b, bn) of words that differ by exactly one inserted, deleted or replaced code point, each pair once.
 
@@ -93,7 +99,7 @@ def near(vocab: DataFrame) -> DataFrame:
     grams = vocab.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(GRAM)))).alias("g")).groupBy("g").count().collect()
     ordered = sorted((r["count"], r["g"]) for r in grams)
     rank, size = {g: k for k, (_, g) in enumerate(ordered)}, [n for n, _ in ordered]
-    chosen = written(vocab.select("word").mapInArrow(_chosen(rank, size), "word string, last int, a int, b int, places array<int>").join(vocab, "word"), "grams")
+    chosen = written(vocab.select("word").mapInArrow(_chosen(rank, size), "word string, last int, a int, b int, places array<int>").join(_shuffled(vocab), "word"), "grams")
     length = F.length("word")
     # a list's key: the bigram with all that is left of it, or right of it, and the length of the words in the list
     left = lambda at: F.concat(F.lit("<"), F.substring("word", F.lit(1), at + GRAM))
@@ -104,7 +110,7 @@ def near(vocab: DataFrame) -> DataFrame:
     asks = chosen.select(F.col("word").alias("a_word"), F.col("n").alias("a_n"), F.col("last").alias("a_last"), F.substring("word", F.lit(1), F.col("b")).alias("head"), F.explode(F.array(*ways)).alias("ask")).select("*", "ask.*").drop("ask")
     # of a pair, the word whose prefix ends earlier asks (of two that end alike, the first); the pair is found from the left if all
     # before the second pivot agrees, and from the right only if it doesn't: so each pair comes once
-    met = asks.join(lists, "key").where((F.col("a_last") < F.col("last")) | ((F.col("a_last") == F.col("last")) & (F.col("a_word") < F.col("word"))))
+    met = asks.join(_shuffled(lists), "key").where((F.col("a_last") < F.col("last")) | ((F.col("a_last") == F.col("last")) & (F.col("a_word") < F.col("word"))))
     met = met.where(F.col("word").startswith(F.col("head")) == (F.col("way") == "<")).where(F.levenshtein("a_word", "word", EDITS) == EDITS)
     return met.select(F.col("a_word").alias("a"), F.col("a_n").alias("an"), F.col("word").alias("b"), F.col("n").alias("bn"))
 
@@ -114,7 +120,7 @@ def roots(forms: DataFrame) -> DataFrame:
     held = written(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         onward = held.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        after = written(held.join(onward, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), "forms")
+        after = written(held.join(_shuffled(onward), "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), "forms")
         moved = after.where("_moved").limit(1).count()
         drop_written(held)
         held = after.drop("_moved")
@@ -131,8 +137,8 @@ def group(vocab: DataFrame, times: int = 2) -> DataFrame:
     each: list[Column] = [F.struct(F.col(x).alias("word"), (-F.col(f"{y}n")).alias("less"), F.col(y).alias("near")) for x, y in (("a", "b"), ("b", "a"))]
     best = near(vocab).select(F.explode(F.array(*each)).alias("p")).groupBy("p.word").agg(F.count("*").alias("n_near"), F.min(F.struct("p.less", "p.near")).alias("best"))
     known = F.col("best").isNotNull() & (-F.col("best.less") >= times * F.col("n"))
-    rows = written(vocab.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(known, F.col("best.near")).alias("form"), F.when(known, -F.col("best.less")).cast("long").alias("form_n")), "near")
-    return rows.join(roots(rows.where("form is not null")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    rows = written(vocab.join(_shuffled(best), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(known, F.col("best.near")).alias("form"), F.when(known, -F.col("best.less")).cast("long").alias("form_n")), "near")
+    return rows.join(_shuffled(roots(rows.where("form is not null"))), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op11_spelling(spark, sf_dir: str) -> DataFrame:
