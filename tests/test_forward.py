@@ -3,6 +3,7 @@
 import dataclasses
 import difflib
 import json
+import math
 import random
 
 import duckdb
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.functions import scalars
 from touchline.operators import asof, evaluation, features, ingest, names, timeline
 from touchline.plans import analysis, backtest, catalog, catalog_forward, count_runs, experiments, models
 from touchline.sources import derived, feeds
@@ -375,3 +377,34 @@ def test_plans_of_features_at_every_kickoff_stay_small(spark):
     """The driver holds each step's plan: a step reads what the one before has written."""
     a = catalog.snapshot(spark, SF)
     assert len(timeline.kickoff_features(a.matches(), a.stats())._jdf.queryExecution().toString()) < 100_000
+
+
+def test_counts_make_each_cell_once(spark):
+    """A distribution of a hundred times as many cells takes about as many times as long, not ten thousand times; a dispersion of one or none is Poisson's."""
+    d = spark.createDataFrame([(float(m), x) for m in range(1, 9) for x in (None, 1.0, 0.0, 1.5)], "mean double, dispersion double")
+    plan = d.select(scalars.counts(F.col("mean"), F.col("dispersion"), 30).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1  # no second pass over the cells, which a lambda would make once a cell
+    for m, x, p in d.select("*", scalars.counts(F.col("mean"), F.col("dispersion"), 30)).collect():
+        q = [math.exp(-m) * m**k / math.factorial(k) if x != 1.5 else math.exp(math.lgamma(2 * m + k) - math.lgamma(2 * m) - math.lgamma(k + 1)) * (2 / 3) ** (2 * m) / 3**k for k in range(31)]
+        assert p == pytest.approx([y / sum(q) for y in q], rel=1e-9)
+
+
+def test_count_fits_multiply_no_side_by_its_checkpoints(spark):
+    """The rates of the teams that are wanted are those of all teams, and sides stand once in the tables that fits read."""
+    a = catalog.snapshot(spark, SF)
+    played = a.matches().where("status = 'played'")
+    days = backtest.checkpoints(played.where("kickoff_date between '1996-08-01' and '1998-08-02'"), RUN)
+    seen = backtest.trained_by(count_runs.sides(played, a.stats(), "corners"), days, RUN).cache()
+    wanted = played.select("competition_id", F.explode(F.array("home_team_id", "away_team_id")).alias("team")).distinct().join(days, "competition_id").select("competition_id", "team", F.explode("checkpoints").alias("checkpoint"))
+    once, each = count_runs.count_fits(seen, COUNTS, wanted), count_runs.count_fits(backtest.training_sets(count_runs.sides(played, a.stats(), "corners"), days, RUN), COUNTS)
+    for x, y in zip(once, each, strict=True):
+        rows = [sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in t.collect()], key=repr) for t in (x, y)]
+        assert rows[0] == rows[1] != []
+    sizes = []
+    before = count_runs.written
+    count_runs.written = lambda df, name: sizes.append((name, df.count())) or before(df, name)
+    try:
+        count_runs.walk_forward_counts(a.matches(), a.stats(), RUN, COUNTS)
+    finally:
+        count_runs.written = before
+    assert all(n <= 2 * played.count() for name, n in sizes) and sum("sides" in name for name, _ in sizes) == 2
