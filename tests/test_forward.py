@@ -2,6 +2,7 @@
 
 import dataclasses
 import difflib
+import hashlib
 import json
 import math
 import random
@@ -408,3 +409,22 @@ def test_count_fits_multiply_no_side_by_its_checkpoints(spark):
     finally:
         count_runs.written = before
     assert all(n <= 2 * played.count() for name, n in sizes) and sum("sides" in name for name, _ in sizes) == 2
+
+
+def test_md5_starts_are_md5s():
+    for head, size in ((b"7:0", 0), (b"7:12", 3), (b"7:399", 9), (b"seed:3", 20), (b"x" * 20, 35)):
+        tails = np.random.default_rng(size).integers(0, 256, (50, size), np.uint8)
+        assert evaluation.md5_starts(head, tails).tolist() == [int(hashlib.md5(head + t.tobytes()).hexdigest()[:8], 16) for t in tails]
+
+
+def test_row_bootstrap_draws_in_the_task_where_the_row_is(spark):
+    """Rows aren't multiplied by replicates; draws are those of the definition, for long, missing and repeated ids too."""
+    rows = [("1", 0.5), ("22", -0.25), ("x" * 70, 1.5), (None, 2.0), ("22", 0.125), ("ü", None)]
+    df = spark.createDataFrame(rows, "id string, diff double")
+    edges, means = evaluation.poisson_edges(), []
+    for r in range(60):
+        k = [sum(int(hashlib.md5(":".join(["7", str(r), *([i] if i is not None else [])]).encode()).hexdigest()[:8], 16) / 2**32 >= e for e in edges) for i, _ in rows]
+        means += [sum(n * d for n, (_, d) in zip(k, rows, strict=True) if d is not None) / sum(k)] if sum(k) else []
+    got = evaluation.bootstrap(df, 60)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert tuple(got.first()) == pytest.approx((0.775, *np.quantile(means, [0.025, 0.975])), abs=1e-6)
