@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scalars
 from touchline.operators import asof, evaluation, features, ingest, names, timeline
-from touchline.plans import analysis, backtest, catalog, catalog_forward, count_runs, experiments, models
+from touchline.plans import analysis, backtest, catalog, catalog_forward, catalog_ingest, count_runs, experiments, models
 from touchline.sources import derived, feeds
 
 from .conftest import SF
@@ -428,3 +428,11 @@ def test_row_bootstrap_draws_in_the_task_where_the_row_is(spark):
     got = evaluation.bootstrap(df, 60)
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     assert tuple(got.first()) == pytest.approx((0.775, *np.quantile(means, [0.025, 0.975])), abs=1e-6)
+
+
+def test_a_batch_reads_the_order_lines_once(spark):
+    """What is folded, and what the log counts, comes from tables: matches aren't derived again for each source, store and log."""
+    folded, staged = catalog_ingest.batch(spark, SF)
+    for rows in (folded, staged, ingest.run_log(folded, staged)):
+        assert "lineitem" not in rows._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in rows.inputFiles())
+    assert ingest.run_log(folded, staged).agg(F.sum("records")).first()[0] == catalog_ingest.staged_records(spark, SF).count()

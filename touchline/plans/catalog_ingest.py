@@ -15,8 +15,9 @@ from .catalog import cut, query
 _SOURCES = {"results": 0.60, "mirror": 0.85, "publisher": 0.90}
 
 
-def stored_matches(spark, d):
-    m = derived.matches(spark, d).where("id % 4 <> 0")
+def stored_matches(spark, d, of=None):
+    """of: the matches, where they are written already; so below."""
+    m = (derived.matches(spark, d) if of is None else of).where("id % 4 <> 0")
     score = F.col("id") % 6 != 0
     return m.select(
         "id", "competition_id", "home_team_id", "away_team_id", F.when(score, F.col("ft_home_goals")).alias("ft_home_goals"), F.when(score, F.col("ft_away_goals")).alias("ft_away_goals"), F.lit(None).cast("int").alias("ht_home_goals"), F.lit(None).cast("int").alias("ht_away_goals"),
@@ -24,9 +25,9 @@ def stored_matches(spark, d):
         F.when(score, "played").otherwise("scheduled").alias("status"), F.create_map(F.lit("seed"), F.col("id").cast("string")).alias("external_ids"), F.lit("seed").alias("source"), F.lit(0.7).alias("reliability"))
 
 
-def staged_records(spark, d):
+def staged_records(spark, d, of=None):
     """Up to three records a match; one in 23 has no away side, one in 29 the same side twice."""
-    m = derived.matches(spark, d)
+    m = derived.matches(spark, d) if of is None else of
     c = F.col
     away = F.when(c("id") % 23 == 0, F.lit(None).cast("long")).when(c("id") % 29 == 0, c("home_team_id")).otherwise(c("away_team_id")).alias("away_team_id")
     none = lambda t: F.lit(None).cast(t)
@@ -45,6 +46,13 @@ def staged_records(spark, d):
     )
 
 
+def batch(spark, d):
+    """(folded, staged): the order lines are read once for the matches, and staged records are written once, whatever reads them afterwards."""
+    m = written(derived.matches(spark, d), "derived")
+    staged = written(staged_records(spark, d, m), "staged")
+    return ingest.fold(stored_matches(spark, d, m), staged), staged
+
+
 _STORE = """store as (
   select id, competition_id, home_team_id, away_team_id, case when id % 6 <> 0 then ft_home_goals end as fh, case when id % 6 <> 0 then ft_away_goals end as fa, null::int as hh, null::int as ha, case when id % 3 <> 0 then referee else '' end as referee, null::int as matchday,
     kickoff_date, null::timestamp as kickoff_utc, false as exact, case when id % 6 <> 0 then 'played' else 'scheduled' end as status, 'seed' as source, 0.7::double as rel, map {'seed': id::varchar} as ids from matches where id % 4 <> 0
@@ -90,29 +98,29 @@ _FOLD = over("matches", "SELECT", _STORE, _STAGED).replace("with ", "with recurs
 @query(_FOLD + """select match, competition_id, home_team_id, away_team_id, fh as ft_home_goals, fa as ft_away_goals, hh as ht_home_goals, ha as ht_away_goals, referee, matchday, kickoff_date, kickoff_utc, exact as kickoff_is_exact, status, source, rel as reliability,
   array_to_string(list_sort(list_transform(map_entries(ids), lambda e: e.key || '=' || e.value)), ',') as external_ids, clashes::int as n_conflicts from done""")
 def ingest_batch(spark, d):
-    r = ingest.fold(stored_matches(spark, d), staged_records(spark, d))
+    r, _ = batch(spark, d)
     ids = F.array_join(F.array_sort(F.transform(F.map_entries("external_ids"), lambda e: F.concat_ws("=", e.key, e.value))), ",")
     return r.select("match", "competition_id", "home_team_id", "away_team_id", *ingest.FIELDS, "kickoff_date", "kickoff_utc", "kickoff_is_exact", "status", "source", "reliability", ids.alias("external_ids"), F.size("conflicts").alias("n_conflicts"))
 
 
 @query(_FOLD + "select match, unnest(log) as conflict from done")
 def ingest_conflicts(spark, d):
-    r = ingest.conflicts(ingest.fold(stored_matches(spark, d), staged_records(spark, d)))
+    r = ingest.conflicts(batch(spark, d)[0])
     return r.select("match", F.concat_ws(" ", "stored_source", "stored", "new_source", "new", "kept").alias("conflict"))
 
 
 @query(_FOLD + """select source, count(*) as records, count(*) filter (usable) as used from (select s.source, coalesce(home_team_id <> away_team_id, false) as usable from staged s) group by 1""")
 def ingest_records(spark, d):
     """How many records of each source the batch holds, and how many of them have two teams."""
-    staged = staged_records(spark, d)
-    log = ingest.run_log(written(ingest.fold(stored_matches(spark, d), staged), "folded"), staged)
+    folded, staged = batch(spark, d)
+    log = ingest.run_log(written(folded.select("events", "conflicts"), "folded"), staged)
     return log.select("source", "records", (F.col("records") - F.col("skipped")).alias("used"))
 
 
 @query(_FOLD + "select sum(written)::bigint as written, sum(updated)::bigint as updated, sum(refused)::bigint as refused, sum(clashes)::bigint as conflicts from done")
 def ingest_totals(spark, d):
-    staged = staged_records(spark, d)
-    log = ingest.run_log(written(ingest.fold(stored_matches(spark, d), staged), "folded"), staged)
+    folded, staged = batch(spark, d)
+    log = ingest.run_log(written(folded.select("events", "conflicts"), "folded"), staged)
     return log.agg(*[F.sum(c).alias(c) for c in ("written", "updated", "refused", "conflicts")])
 
 
