@@ -292,3 +292,20 @@ def test_count_markets_are_made_in_the_row(spark):
         p = d.where(F.col("id") == r.id).select(scalars.counts(F.col("mean"), F.col("dispersion"), 30).alias("p")).first().p
         c = np.cumsum(p)
         assert (r.expected, r.over_8_5) == pytest.approx((np.dot(p, range(31)), sum(p[9:])), abs=2e-6) and (r.interval_low, r.interval_high) == ((c < 0.1).sum(), (c < 0.9).sum())
+
+
+def test_count_markets_are_compiled_and_equal_the_distribution(spark):
+    """No lambda runs once a cell, and the row's method is small enough for the JVM to compile it; results are those of the array counts() makes."""
+    d = spark.createDataFrame([(i, m, x) for i, (m, x) in enumerate((m, x) for m in (0.0, 0.7, 5.0, 17.0, 40.0, 600.0, 900.0, None) for x in (None, 1.0, 1.1, 1.4, 3.0))], "id long, mean double, dispersion double")
+    got = scores.count_markets(d, (0.5, 8.5, 30.5))
+    plan = got._jdf.queryExecution().executedPlan()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    assert "lambda" not in plan.toString() and 0 < max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+    known = d.where("coalesce(mean, 0) < 100")
+    want = {r.id: r.p for r in known.select("id", scalars.counts(F.greatest("mean", F.lit(0.05)), F.col("dispersion"), 30).alias("p")).collect()}
+    for r in got.collect():
+        if r.id in want:
+            p = np.array(want[r.id])
+            c = np.round(np.cumsum(p), 9)
+            assert (r.expected, r.over_0_5, r.over_8_5, r.over_30_5) == pytest.approx((p @ range(31), p[1:].sum(), p[9:].sum(), 0), abs=1e-6) and (r.interval_low, r.interval_high) == ((c < 0.1).sum(), (c < 0.9).sum())
+    assert got.where("id in (30, 31, 32) and expected is null and interval_low is null").count() == 3  # e to the power of -900 is none
