@@ -309,3 +309,24 @@ def test_count_markets_are_compiled_and_equal_the_distribution(spark):
             c = np.round(np.cumsum(p), 9)
             assert (r.expected, r.over_0_5, r.over_8_5, r.over_30_5) == pytest.approx((p @ range(31), p[1:].sum(), p[9:].sum(), 0), abs=1e-6) and (r.interval_low, r.interval_high) == ((c < 0.1).sum(), (c < 0.9).sum())
     assert got.where("id in (30, 31, 32) and expected is null and interval_low is null").count() == 3  # e to the power of -900 is none
+
+
+def test_strengths_are_fitted_from_a_stream_and_by_blocks(spark, league, monkeypatch):
+    """No competition is gathered as a pandas frame; how many matches are evaluated at once, and how they are cut into batches, changes no bit."""
+    m = league[0]
+    both = m.unionByName(m.withColumn("competition_id", F.lit(2).cast("long")).withColumn("away_team_id", F.when(F.col("away_team_id") == 3, 30).otherwise(F.col("away_team_id"))).withColumn("id", F.col("id") + 1000))
+    got = models.scoring_strengths(both, "2026-06-01")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    found = {(r.competition_id, r.team_id): r for r in got.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = m.toPandas().sort_values("id")
+    rows["yh"], rows["ya"] = rows.ft_home_goals.astype(float), rows.ft_away_goals.astype(float)
+    age = np.array([(dt.date(2026, 6, 1) - d).days for d in rows.kickoff_date], float)
+    monkeypatch.setattr(models, "AT_ONCE", 7)
+    want = models.fit_goals(rows, age, models.last_full_season(rows.kickoff_date, dt.date(2026, 6, 1)))
+    assert sorted(t for c, t in found if c == 1) == want["teams"] and sorted(t for c, t in found if c == 2) == [0, 1, 2, 3, 30]
+    for t, att, dfn in zip(want["teams"], want["attack"], want["defence"], strict=True):
+        r = found[1, t]
+        assert (r.attack, r.defence, r.intercept, r.home, r.rho, r.matches) == (att, dfn, want["intercept"], want["home"], want["rho"], len(rows))
