@@ -330,3 +330,14 @@ def test_strengths_are_fitted_from_a_stream_and_by_blocks(spark, league, monkeyp
     for t, att, dfn in zip(want["teams"], want["attack"], want["defence"], strict=True):
         r = found[1, t]
         assert (r.attack, r.defence, r.intercept, r.home, r.rho, r.matches) == (att, dfn, want["intercept"], want["home"], want["rho"], len(rows))
+
+
+def test_count_targets_run_no_lambda_a_cell(spark):
+    e = spark.createDataFrame([(1, 5.0, 4.5, True), (2, None, None, False)], "id long, mu_home double, mu_away double, sufficient_data boolean")
+    got = scores.count_targets(e, "corners", (8.5,))
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    p = np.array(e.where("id = 1").select(scalars.counts(F.lit(9.5), F.lit(None).cast("double"), 30).alias("p")).first().p)
+    found = {(r.id, r.market, r.selection): r for r in got.collect()}
+    total = found[1, "expected_corners", "total"]
+    assert (total.low, total.high) == ((np.cumsum(p) < 0.1).sum(), (np.cumsum(p) < 0.9).sum()) and found[1, "corners_over_under_8.5", "over"].value == pytest.approx(p[9:].sum(), abs=1e-6)
+    assert len(found) == 6 and not found[2, "corners", ""].sufficient_data
