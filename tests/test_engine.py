@@ -341,3 +341,18 @@ def test_count_targets_run_no_lambda_a_cell(spark):
     total = found[1, "expected_corners", "total"]
     assert (total.low, total.high) == ((np.cumsum(p) < 0.1).sum(), (np.cumsum(p) < 0.9).sum()) and found[1, "corners_over_under_8.5", "over"].value == pytest.approx(p[9:].sum(), abs=1e-6)
     assert len(found) == 6 and not found[2, "corners", ""].sufficient_data
+
+
+def test_count_targets_read_what_is_expected_once(spark, league):
+    """Known and withheld rows come from one read, rates are made once for both sides, and what makes the rows is compiled."""
+    a = asof.AsOf(*league, "2025-06-01")
+    fixtures = league[0].where("id >= 100").select("id", "home_team_id", F.when(F.col("id") % 2 == 0, F.col("away_team_id")).otherwise(99).alias("away_team_id"), F.lit(" Test Referee ").alias("referee"))
+    referees = scores.referee_multipliers(a.history().withColumn("cards", F.col("yellows") + 2 * F.col("reds")), "cards")
+    got = scores.count_targets(scores.count_expectations(fixtures, a.history(), "corners", "2025-06-01", referees), "corners", (8.5, 9.5, 10.5))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else nothing is compiled before it runs
+    plan = got.select("*")._jdf.queryExecution().executedPlan()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    assert "Union" not in plan.toString() and "POWER(0.5" not in plan.toString() and 0 < max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+    n = fixtures.count()
+    assert got.where("not sufficient_data and market = 'corners' and selection = '' and value is null").count() == n // 2 and got.where("sufficient_data and value is not null").count() == 9 * (n - n // 2)

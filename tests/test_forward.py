@@ -1,6 +1,7 @@
 """Walk-forward runs, features at kickoffs, batches, names, feeds, experiments: against plain versions."""
 
 import dataclasses
+import datetime as dt
 import difflib
 import hashlib
 import json
@@ -35,6 +36,33 @@ def test_snapshot_reads_as_the_sources_do(spark):
         assert rows[0] == rows[1]
 
 
+def test_snapshot_is_written_once_from_one_shuffle_of_the_lines(spark, monkeypatch):
+    made = []
+    for module in (asof, catalog):
+        if hasattr(module, "written"):
+            monkeypatch.setattr(module, "written", lambda df, name: made.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    catalog.snapshot(spark, SF)
+    assert len(made) == 1 and made[0].count("lineitem.parquet") == 1 and made[0].count("orders.parquet") == 1 and made[0].count("Exchange hashpartitioning") <= 2
+
+
+def test_snapshot_of_odd_lines_reads_as_the_sources_do(spark, tmp_path):
+    """One line, one supplier, a missing supplier, number or order, equal lines, sources of all kinds and of none."""
+    r, some = random.Random(25), []
+    for order in range(120):
+        for _ in range(r.randint(1, 7)):
+            some.append((order if order else None, r.choice([1, 2, 3, None]) or 4, r.choice([1, 2, 3, 3, None]), r.choice([1, 1, 2, 3, -2, None]), float(r.randint(1, 50)), r.choice([1.0, 2.0]), r.choice([0.0, 0.05]), 0.02, r.choice("RAN"), r.choice(["F", "O", None]), dt.datetime(1997, 1, r.randint(1, 3))))
+    some += some[::5]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(some, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(k, k * 3, r.choice("FOP"), 1.0, dt.datetime(1997, 1 + k % 12, 1), r.choice(["1-URGENT", "2-HIGH", "5-LOW", None])) for k in range(100)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    plain, kept = catalog.cut(spark, str(tmp_path)), catalog.snapshot(spark, str(tmp_path))
+    for read in (lambda a: a.history(), lambda a: a.matches(), lambda a: a.stats().select("match_id", "team_id", "source_id", "reliability", *asof.SIDE_STATS)):
+        x, y = read(plain), read(kept)
+        want = sorted(map(repr, x.collect()))
+        assert x.columns and set(x.columns) == set(y.columns) and len(want) > 20 and want == sorted(map(repr, y.select(x.columns).collect()))
+
+
 def test_features_at_one_kickoff_equal_those_at_its_cutoff(spark):
     a = catalog.snapshot(spark, SF)
     m, stats = a.matches(), a.stats()
