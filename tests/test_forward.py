@@ -1,5 +1,6 @@
 """Walk-forward runs, features at kickoffs, batches, names, feeds, experiments: against plain versions."""
 
+import bisect
 import dataclasses
 import datetime as dt
 import difflib
@@ -10,6 +11,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -464,3 +466,60 @@ def test_a_batch_reads_the_order_lines_once(spark):
     for rows in (folded, staged, ingest.run_log(folded, staged)):
         assert "lineitem" not in rows._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in rows.inputFiles())
     assert ingest.run_log(folded, staged).agg(F.sum("records")).first()[0] == catalog_ingest.staged_records(spark, SF).count()
+
+
+def _scattered(spark):
+    """Results of a dozen teams that become known up to two months late, several at once, some never; statistics of most sides."""
+    r, rows, stats = np.random.default_rng(4), [], []
+    for n in range(420):
+        home, away = (int(x) for x in r.choice(12, 2, replace=False))
+        day = dt.date(2024, 3, 1) + dt.timedelta(days=int(r.integers(0, 260)))
+        kick = dt.datetime.combine(day, dt.time(int(r.integers(12, 20)))) if r.random() < 0.5 else None
+        known = None if r.random() < 0.03 else dt.datetime.combine(day, dt.time()) + dt.timedelta(days=1 + int(r.choice([0, 0, 0, 7, 60])))
+        rows.append((n, n % 2, home, away, int(r.integers(0, 5)), int(r.integers(0, 4)), day, kick, "played" if r.random() < 0.95 else "scheduled", known))
+        stats += [(n, t, int(r.integers(0, 9))) for t in (home, away) if r.random() < 0.9]
+    return spark.createDataFrame(rows, "id long, competition_id long, home_team_id long, away_team_id long, ft_home_goals int, ft_away_goals int, kickoff_date date, kickoff_utc timestamp, status string, known_at timestamp"), spark.createDataFrame(stats, "match_id long, team_id long, shots_on_target int")
+
+
+def test_features_at_every_kickoff_of_late_results_equal_sql(spark):
+    """Results that become known out of their order, against the SQL; and of some matches alone, those of all."""
+    m, s = _scattered(spark)
+    own = catalog_forward.FEATURES_SQL[catalog_forward.FEATURES_SQL.index("facts as (") :]
+    want = sorted(duck_tables(m, s).sql(f"with matches as (select * replace (kickoff_date::date as kickoff_date) from m), stats as (select * from s), {own}").fetchall())
+    got = sorted(tuple(r) for r in timeline.kickoff_features(m, s).collect())
+    assert len(got) == len(want) == 420 and sum(r[19] != 1.0 for r in got) > 100
+    for x, y in zip(got, want, strict=True):
+        assert x == pytest.approx(y, abs=1.1e-3), x[0]  # indices are rounded to three digits
+    some = m.where("id % 7 = 0").select("id")
+    assert sorted(tuple(r) for r in timeline.kickoff_features(m, s, some).collect()) == [x for x in got if x[0] % 7 == 0]
+
+
+def test_streams_of_a_team_hold_its_newest_results_alone(monkeypatch):
+    """A team's rows give the same whether they are worked on two at a time or at once, and no list of its history is sent: a result has steps for its newest opponents' window."""
+    n = 600
+    col = {"team_id": [7] * n, "ts": [i // 2 * 10 for i in range(n)], "day": [i // 2 - i % 5 for i in range(n)], "id": list(range(n)), "is_home": [i % 2 for i in range(n)], "other": [8] * n, "asked": [1] * n}
+    col |= {"gf": [float(i * 7 % 5) for i in range(n)], "ga": [float(i * 3 % 4) for i in range(n)], "sot": [None if i % 9 == 0 else 2.0 for i in range(n)], "sota": [1.0] * n}
+    made = {}
+    for size in (2, 2048):
+        monkeypatch.setattr(timeline, "AT_ONCE", size)
+        told = pa.Table.from_batches(list(timeline._told(30, 5)(pa.table(col).to_batches(max_chunksize=100)))).sort_by("id")
+        assert told.num_rows == n and max(map(len, told["since"].to_pylist())) <= 45
+        facts = [r | {"kind": 0} for r in told.to_pylist()]
+        rows = sorted([*facts, *({k: None for k in facts[0]} | {"team_id": 8, "ts": 5 + 10 * i, "day": i, "id": i, "is_home": 0, "kind": 1} for i in range(300))], key=lambda r: (r["ts"], r["kind"]))
+        made[size] = pa.Table.from_batches(list(timeline._answered(20, 5)(pa.Table.from_pylist(rows, pa.schema([*told.schema, pa.field("kind", pa.int64())])).to_batches(max_chunksize=64)))).sort_by("id").to_pylist()
+    assert len(made[2]) == 300 and repr(made[2]) == repr(made[2048])
+
+
+def test_places_are_those_of_a_sorted_list():
+    r, held, plain = np.random.default_rng(2), timeline.Places(4), []
+    for _ in range(2000):
+        if plain and r.random() < 0.45:
+            key = plain.pop(int(r.integers(len(plain))))
+            held.drop(key)
+        else:
+            key = (int(r.integers(50)), int(r.integers(10**6)))
+            held.add(key)
+            bisect.insort(plain, key)
+        if plain:
+            key = plain[int(r.integers(len(plain)))]
+            assert held.from_top(key) == len(plain) - bisect.bisect_left(plain, key)
