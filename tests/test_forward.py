@@ -523,3 +523,24 @@ def test_places_are_those_of_a_sorted_list():
         if plain:
             key = plain[int(r.integers(len(plain)))]
             assert held.from_top(key) == len(plain) - bisect.bisect_left(plain, key)
+
+
+def test_fits_read_only_what_their_model_needs(spark, monkeypatch):
+    """The regression's matches are the newest of each training set, ties of a day and late results included; features are made of no others."""
+    m, _ = _scattered(spark)
+    played = m.where("status = 'played'")
+    days = spark.createDataFrame([(c, [dt.date(2024, 7, 1), dt.date(2024, 9, 1), dt.date(2024, 12, 31)]) for c in (0, 1)], "competition_id long, checkpoints array<date>")
+    sets = {}
+    for r in backtest.training_sets(played, days, RUN).collect():
+        sets.setdefault((r.competition_id, r.checkpoint), []).append((r.kickoff_date, r.id))
+    for most in (1, 37, 10**6):
+        got = {}
+        for r in backtest.newest_trained(played, days, dataclasses.replace(RUN, most_rows=most)).collect():
+            got.setdefault((r.competition_id, r.checkpoint), set()).add(r.id)
+        assert got == {k: {i for _, i in sorted(v)[-most:]} for k, v in sets.items()}
+    asked = []
+    monkeypatch.setattr(analysis, "kickoff_features", lambda rows, stats, of: asked.append(of.count()) or timeline.kickoff_features(rows, stats, of))
+    monkeypatch.setattr(analysis.backtest, "fits", lambda played, days, newest, featured, run: asked.append(featured.count()))
+    a = catalog.snapshot(spark, SF)
+    analysis.fitted_at(a, "1998-06-15", dataclasses.replace(RUN, most_rows=5))
+    assert asked == [25, 25] and a.completed().count() > 100
